@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import shuffle_partitions
 
 #: White space of Unicode, as a class of Java patterns.
-_WS = r"[\x09-\x0D\x1C-\x20\x85\xA0  -     　]+"
+_WS = r"[\x09-\x0D\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]+"
 #: Static methods of the ICU library that Spark itself ships for its collations.
 _NORMALIZER, _CHARACTERS = "com.ibm.icu.text.Normalizer", "com.ibm.icu.lang.UCharacter"
 

@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, media, mixing
+from . import bpe, fingerprint, langid, media, mixing, pii, toxicity
 from .common import read_table
 
 
@@ -17,10 +17,33 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("times") * F.col("size")).cast("long").alias("taken"))
 
 
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.extract(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", pii.spans_string().alias("spans"))
+
+
 def op4_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.store_texts(read_table(spark, sf_dir, "documents"), with_media=False)
 
 
+def _held_out(parts: int, part: int) -> Column:
+    """Whether a document is held out: crc32 of its id as text leaves ``part``."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts == part
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    model = toxicity.learn(docs, labels, ~_held_out(3, 1))
+    scored = toxicity.score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", _held_out(3, 1).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = langid.learn(docs, ~_held_out(4, 2), public_tokenizers.path("piece_bpe_32k.model"))
+    return langid.predict(docs, model).select("doc_id", _held_out(4, 2).alias("held_out"), "lang_pred", "score")
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.tokenize(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
                         public_tokenizers.PATTERN, outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
@@ -32,7 +55,10 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mix_sources": op2_mix_sources,
+    "op3_personal_data": op3_personal_data,
     "op4_matroska": op4_matroska,
+    "op5_toxicity": op5_toxicity,
+    "op7_language_id": op7_language_id,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_fingerprints": op10_fingerprints,
 }
