@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import curation_queries, evaluation_queries
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+QUERIES = {**curation_queries.QUERIES, **evaluation_queries.QUERIES}
+ORACLES = {**curation_queries.ORACLES, **evaluation_queries.ORACLES}
