@@ -33,7 +33,7 @@ def normalize_path(path: Column) -> Column:
     x = F.regexp_replace(F.regexp_replace(x, r"^(\./)+", ""), "^/+", "")
     parts = F.filter(F.split(x, "/"), lambda p: ~p.isin("", "."))
     clean = F.array_join(parts, "/")
-    name = F.lower(F.element_at(parts, -1))
+    name = F.lower(F.try_element_at(parts, F.lit(-1)))
     suffix = F.regexp_extract(name, r"^.+(\.[^.]+)$", 1)
     return F.when((F.size(parts) > 0) & ~F.array_contains(parts, "..") & (suffix.isin(*R.WRITABLE) | name.isin(*R.WRITABLE_NAMES)), clean)
 
@@ -80,14 +80,18 @@ def json_object(text: str | None) -> str | None:
     return None
 
 
-@F.pandas_udf("boolean")
-def bracket_balance(code: pd.Series) -> pd.Series:
-    return code.map(balanced)
+def bracket_balance(code: Column | str) -> Column:
+    def run(code: pd.Series) -> pd.Series:
+        return code.map(balanced)
 
+    return F.pandas_udf(run, "boolean")(code)
 
-@F.pandas_udf("string")
-def extract_json(text: pd.Series) -> pd.Series:
-    return text.map(json_object)
+
+def extract_json(text: Column | str) -> Column:
+    def run(text: pd.Series) -> pd.Series:
+        return text.map(json_object)
+
+    return F.pandas_udf(run, "string")(text)
 
 
 def static_issues(files: DataFrame) -> DataFrame:
