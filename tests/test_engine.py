@@ -1,0 +1,169 @@
+"""Behaviour that the SQL counterparts don't reach: ingestion, nulls, sinks, injected functions, streams."""
+
+import hashlib
+import json
+import unicodedata
+
+import pytest
+from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
+
+from grainmill.functions import text as T
+from grainmill.operators import codegen as G
+from grainmill.operators import curation as C
+from grainmill.operators import evaluation as E
+from grainmill.operators import repository as Y
+from grainmill.sources import readers, sinks
+from grainmill.streaming import ingest
+
+
+def lines(path, *objects):
+    path.write_text("\n".join(o if isinstance(o, str) else json.dumps(o, ensure_ascii=False) for o in objects), encoding="utf-8")
+
+
+def prose(x):
+    return " ".join(unicodedata.normalize("NFC", x).split()).casefold()
+
+
+BASE = {"id": "a", "instruction": "Add  two NUMBERS", "category": "coding", "difficulty": "easy", "language": "python", "code": "x = 1  \n\n\n\ny = 2", "files": {"b.py": "1\r\n", "a.py": "é"}, "tests": [{"input": 1, "expected": "ß"}], "test_command": ["pytest"], "expected_answer": None}
+
+
+def expected_hash(c):
+    code = lambda x: C and "\n".join(l.rstrip() for l in x.replace("\r\n", "\n").split("\n")).replace("\n\n\n\n", "\n\n").strip()  # noqa: E731, E741
+    own = {"category": c["category"], "difficulty": c["difficulty"], "language": c.get("language", ""), "instruction": prose(c["instruction"]), "context": prose(str(c.get("context", ""))), "expected_answer": prose(str(c.get("expected_answer", ""))),
+           "code": code(c.get("code", "")), "files": {k: code(v) for k, v in sorted(c.get("files", {}).items())}, "tests": c.get("tests") or [], "test_command": c.get("test_command") or []}
+    return hashlib.sha256(json.dumps(own, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
+
+
+def test_fingerprint_tells_missing_from_null(spark, tmp_path):
+    rows = [BASE, BASE | {"id": "b", "language": None}, {k: v for k, v in BASE.items() if k != "language"} | {"id": "c"}]
+    lines(tmp_path / "c.jsonl", *rows)
+    got = {r["id"]: r["content_hash"] for r in C.with_fingerprints(readers.load_candidates(spark, [str(tmp_path)])).collect()}
+    assert got == {r["id"]: expected_hash(r) for r in rows}
+    assert len(set(got.values())) == 3
+
+
+def test_ingest_order_errors_and_types(spark, tmp_path):
+    first, second = tmp_path / "one", tmp_path / "two"
+    first.mkdir()
+    second.mkdir()
+    lines(first / "b.jsonl", BASE | {"id": "3"})
+    lines(first / "a.jsonl", BASE | {"id": "1"}, "", BASE | {"id": "2", "instruction": 5, "tests": [{"input": 1}, 7], "files": {"a": 1}, "source": {"type": "web"}, "trajectory": []})
+    lines(second / "a.jsonl", BASE | {"id": "4"})
+    df = readers.load_candidates(spark, [str(first), str(tmp_path / "none"), str(second)])
+    assert [r["id"] for r in df.orderBy("ord").collect()] == ["1", "2", "3", "4"]
+    errors = df.where("id = '2'").select(C.validation_errors().alias("e")).first()["e"]
+    assert [e.split(" ")[0] for e in errors] == ["instruction", "files", "tests", "tests", "source.type", "trajectory"]
+    with pytest.raises(FileNotFoundError):
+        readers.load_candidates(spark, [str(tmp_path / "none")], missing_ok=False)
+    lines(second / "z.jsonl", BASE, "{broken")
+    with pytest.raises(PySparkException, match="z.jsonl:2"):
+        readers.read_jsonl(spark, str(second)).collect()
+    assert readers.read_jsonl(spark, str(second), quarantine=True).where("v is null").first()["line"] == 2
+
+
+def test_curation_end_to_end(spark, tmp_path):
+    ok = {"success": True, "exit_code": 0, "stdout": "", "stderr": "", "timed_out": False, "error": None}
+    rows = [BASE, BASE | {"id": "dup", "instruction": "add two numbers"}, {"id": "chat", "instruction": "why is the sky blue?", "category": "reasoning", "difficulty": "easy"}, BASE | {"id": "bad", "category": "x"}, BASE | {"id": "evil", "code": "rm -rf /"}]
+    lines(tmp_path / "c.jsonl", *rows)
+    cands = readers.load_candidates(spark, [str(tmp_path)])
+    todo = cands.where(C.executable_decision() == "verify").select("id", C.verify_payload().alias("payload"))
+    done = C.curate(cands, readers.execute_with(todo, lambda p: ok))
+    assert {r["id"]: r["reason"] for r in done.collect()} == {"a": None, "dup": "duplicate", "chat": None, "bad": "malformed_record", "evil": "unsafe_candidate"}
+    with pytest.raises(PySparkException, match="no executor result"):
+        C.curate(cands).collect()
+    records = C.export_records(done, "2000-01-01")
+    sinks.write_splits(records, str(tmp_path / "out"))
+    assert spark.read.json(str(tmp_path / "out")).count() == 2
+    sinks.write_rejected(done, str(tmp_path / "rejected"), "now")
+    assert {r["reason"] for r in spark.read.json(str(tmp_path / "rejected")).collect()} == {"duplicate", "malformed_record", "unsafe_candidate"}
+    m = sinks.manifest(C.manifest_totals(done), C.manifest_counts(done), "1", "now")
+    assert (m["verified_count"], m["rejected_count"], m["split_leakage_check"]["passed"]) == (2, 3, True)
+    assert sum(m["counts_by_split"].values()) == 2
+    sinks.write_manifest(spark, m, str(tmp_path / "manifest"))
+    assert json.loads(spark.read.text(str(tmp_path / "manifest")).first()[0])["total_candidates"] == 5
+
+
+def test_executor_exceptions_fail_the_query(spark):
+    def broken(payload):
+        raise RuntimeError("no daemon")
+
+    with pytest.raises(PySparkException, match="no daemon"):
+        readers.execute_with(spark.createDataFrame([("a", {"x": "y"})], "id string, payload map<string,string>"), broken).collect()
+
+
+def test_splits_are_stable_and_near_their_shares(spark):
+    df = spark.range(3000).select(F.sha2(F.concat(F.lit("seed-"), F.col("id").cast("string")), 256).alias("fp"))
+    got = {r["fp"]: r["s"] for r in df.select("fp", T.assign_split(F.col("fp")).alias("s")).collect()}
+    for fp, s in got.items():
+        b = int(hashlib.sha256(f"split:{fp}".encode()).hexdigest(), 16) % 100
+        assert s == ("train" if b < 80 else "validation" if b < 90 else "test")
+
+
+def test_gate(spark):
+    base = [("coding", p) for p in (True, True, False, False)] + [("debugging", True), ("debugging", False), ("debugging", None)]
+    run = lambda rows: spark.createDataFrame(rows, "category string, pass boolean")
+    check = lambda a, b, **k: E.verdict(E.compare(run(a), run(b)), **k).first()
+    assert check(base, base)["passed"]
+    worse = [("coding", True), ("coding", True), ("coding", True), ("coding", False), ("debugging", False), ("debugging", False)]
+    assert not check(base, worse)["passed"] and check(base, worse)["overall_delta"] == 0
+    assert check(base, worse, max_category_regression=0.5)["passed"]
+    assert "missing" in check(base, base[:4], min_overall_delta=-1)["reasons"]
+    assert "no scored" in check(base, [("coding", None)])["reasons"]
+    assert sinks.exit_code(E.verdict(E.compare(run(base), run(base)))) == 0
+    assert sinks.gate_markdown(E.verdict(E.compare(run(base), run(base))), E.compare(run(base), run(base))).startswith("# Gate: PASS")
+
+
+def test_reports_tasks_and_repository(spark, tmp_path):
+    (tmp_path / "run").mkdir()
+    (tmp_path / "run/report.json").write_text(json.dumps({"meta": {}, "results": [{"id": "t", "category": "coding", "pass": None}, {"id": "u", "category": "coding", "pass": True}]}))
+    assert readers.read_report(spark, str(tmp_path / "run")).count() == 2
+    (tmp_path / "bad.json").write_text('{"meta": 1}')
+    with pytest.raises(PySparkException):
+        readers.read_report(spark, str(tmp_path / "bad.json")).collect()
+    with pytest.raises(FileNotFoundError):
+        readers.read_report(spark, str(tmp_path / "none.json"))
+    (tmp_path / "tasks.json").write_text(json.dumps([{"id": "t", "rubric": ["a"], "rubric_min": 1}]))
+    assert readers.read_tasks(spark, str(tmp_path / "tasks.json")).first()["rubric"] == ["a"]
+    repo = tmp_path / "repo"
+    (repo / "node_modules").mkdir(parents=True)
+    (repo / "node_modules/x.js").write_text("x")
+    (repo / "README.md").write_text("hello")
+    got = readers.read_repository(spark, str(repo)).collect()
+    assert [(r["path"], r["size"], r["extension"], r["important"], r["hash"]) for r in got] == [("README.md", 5, ".md", True, hashlib.sha256(b"hello").hexdigest())]
+    assert "README.md" in Y.project_context(readers.read_repository(spark, str(repo)), "x").first()["context"]
+    files = readers.read_text_files(spark, str(repo), "*.md").select(F.lit("README.md").alias("path"), "text")
+    assert Y.read_readme(files).first()["text"] == "hello"
+
+
+def test_brackets_and_json():
+    assert G.balanced("f(a[1], {x: ')'}) // (") and G.balanced("# (\nx") and G.balanced("/* ( */") and G.balanced("it's (ok)")
+    assert not G.balanced("(]") and not G.balanced("([)]") and not G.balanced("{") and not G.balanced("x # ok\n )")
+    assert G.balanced("'unclosed (") and G.balanced('"a\\"(" ') and G.balanced(None)
+    assert G.json_object('x {bad} {"a": {"b": "}"}} {"c": 1}') == '{"a":{"b":"}"}}' and G.json_object("[1]") is None and G.json_object(None) is None
+
+
+def test_upsert_and_generator(spark):
+    rows = lambda *r: spark.createDataFrame(r, "namespace string, key string, updated_at string, value string")
+    out = sinks.upsert(rows(("n", "k", "1", "old"), ("n", "l", "1", "x")), rows(("n", "k", "2", "new"))).collect()
+    assert {(r["key"], r["value"]) for r in out} == {("k", "new"), ("l", "x")}
+    tasks = spark.createDataFrame([(1, "joins")], "ord bigint, task string")
+    assert readers.stub_candidates(spark, tasks).first()["id"] == "stub-synthetic-00001"
+    assert readers.generate_with(tasks, lambda t: {"instruction": t}, "instruction string", "me").first()["source_teacher"] == "me"
+    with pytest.raises(PySparkException, match="must return dicts"):
+        readers.generate_with(tasks, lambda t: 5, "instruction string", "me").collect()
+
+
+def test_empty_tables(spark):
+    none = C.typed(spark.createDataFrame([], "ord bigint, id string, instruction string, category string"))
+    assert C.curate(none).count() == 0 and C.manifest_counts(C.curate(none)).count() == 0
+    assert C.manifest_totals(C.curate(none)).first()["total_candidates"] == 0
+
+
+def test_stream(spark, tmp_path):
+    rows = [(1, "2024-01-01 00:00:00", "say hello to the new user"), (2, "2024-01-01 00:00:05", "Say  HELLO to the new user"), (3, "2024-01-01 00:01:00", "say goodbye to the old user")]
+    spark.createDataFrame(rows, "ord bigint, ts string, instruction string").selectExpr("ord", "to_timestamp(ts) ts", "instruction", "'coding' category", "'easy' difficulty").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("ord bigint, ts timestamp, instruction string, category string, difficulty string").parquet(str(tmp_path / "in"))
+    q = ingest.new_instructions(stream).writeStream.format("memory").queryName("fresh").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert spark.table("fresh").count() == 2
