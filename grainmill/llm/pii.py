@@ -26,6 +26,7 @@ _IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _HINT = re.compile(r"[0-9@]")
+_TOKEN_HINT = re.compile(r"[0-9@]|[(\[_][Aa][Tt][)\]_]")
 _TRIM = "\"'()[]{}<>.,;:!?*#$%&="
 #: A pattern must have been seen before this many different seeds, and reach this confidence.
 SUPPORT, CONFIDENCE, ROUNDS = 3, 0.8, 3
@@ -95,9 +96,9 @@ def _instance(token: str) -> int:
 
 
 def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, list[int]]]:
-    """(start, end, kinds as bits, instance, contexts) of tokens with digits or @ outside the base spans."""
+    """(start, end, kinds as bits, instance, contexts) of tokens with digits or a written @ outside the base spans."""
     out, at = [], 0
-    while m := _HINT.search(text, at):
+    while m := _TOKEN_HINT.search(text, at):
         start, end = m.start(), m.end()
         while start and not text[start - 1].isspace():
             start -= 1
@@ -134,7 +135,7 @@ def scan(df: DataFrame, text_col: str = "text", key: str = "doc_id") -> DataFram
                 base.append([{"start": a, "kind": k, "stop": b} for a, k, b in spans])
                 sha.append(hashlib.sha256(render(spans).encode()).hexdigest())
                 seeds.append([{"kind": k, "instance": _instance(text[a:b]), "contexts": _context(text, a)} for a, k, b in spans])
-                found.append([{"start": a, "stop": b, "fits": bits, "instance": i, "contexts": c} for a, b, bits, i, c in candidates(text, spans)] if _HINT.search(text) else [])
+                found.append([{"start": a, "stop": b, "fits": bits, "instance": i, "contexts": c} for a, b, bits, i, c in candidates(text, spans)])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *[pa.array(c, pa.int64()) for c in counts], pa.array(base, _BASE), pa.array(sha, pa.string()), pa.array(seeds, _SEEDS), pa.array(found, _FOUND)],
                 names=["key", "n_email", "n_ip", "n_card", "n_phone", "base", "base_sha256", "seeds", "found"])
