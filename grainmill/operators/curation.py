@@ -186,16 +186,16 @@ def with_fingerprints(df: DataFrame) -> DataFrame:
     return df.withColumns({"content_hash": content_fingerprint(), "instruction_hash": instruction_fingerprint()})
 
 
-def deduplicate(df: DataFrame, id_prefix: str = "record-") -> DataFrame:
+def deduplicate(df: DataFrame, id_prefix: str = "record-", key: str = "instruction_hash") -> DataFrame:
     """Adds duplicate_type (null for rows that are kept) and duplicate_of.
 
     The first row of each instruction is kept; a later one is an exact duplicate if its content is that of the kept row, else a
     near one. Equal contents have equal instructions, so this is what a scan that keeps first occurrences decides. Only hashes,
-    ordinals and ids are shuffled for it.
+    ordinals and ids are aggregated for it. ``key`` may name another column that tells the groups apart.
     """
     name = F.when(F.coalesce(F.length("id"), F.lit(0)) > 0, F.col("id")).otherwise(F.concat(F.lit(id_prefix), F.left("content_hash", F.lit(16))))
-    first = df.groupBy("instruction_hash").agg(F.min(F.struct("ord", name.alias("id"), "content_hash")).alias("_first"))
-    joined = df.join(first, "instruction_hash")
+    first = df.groupBy(key).agg(F.min(F.struct("ord", name.alias("id"), "content_hash")).alias("_first"))
+    joined = df.join(first, key)
     later = F.col("ord") != F.col("_first.ord")
     kind = F.when(later, F.when(F.col("content_hash") == F.col("_first.content_hash"), "exact").otherwise("near_instruction"))
     return joined.withColumns({"duplicate_type": kind, "duplicate_of": F.when(later, F.col("_first.id"))}).drop("_first")
@@ -224,9 +224,9 @@ def curate(candidates: DataFrame, results: DataFrame | None = None, min_score: f
     dims = score_dimensions(F.col("status"), F.col("timed_out"), F.size("labels") > 0, F.col("indicators"))
     df = df.withColumn("score", F.when(F.col("early").isNull(), score_total(dims)))
     df = with_fingerprints(df.withColumn("early", F.coalesce("early", F.when(F.col("score") < min_score, "low_quality"))))
-    left = deduplicate(df.where("early is null"))
-    gone = df.where("early is not null").withColumns({"duplicate_type": F.lit(None).cast("string"), "duplicate_of": F.lit(None).cast("string")})
-    both = left.unionByName(gone)
+    # what is rejected already is a group of its own: it shadows no later row
+    own = F.coalesce(F.when(F.col("early").isNull(), F.col("instruction_hash")), F.concat(F.lit("rejected "), F.col("ord").cast("string")))
+    both = deduplicate(df.withColumn("_group", own), key="_group").drop("_group")
     shown = lambda c: F.when(F.col(c), "True").otherwise("False")
     both = both.withColumn("reason", F.coalesce("early", F.when(F.col("duplicate_type").isNotNull(), "duplicate")))
     detail = (
