@@ -145,7 +145,10 @@ _OUT_ROWS = [
 ]
 
 
-@query("extract_code", rf"""WITH {S.values('o', _OUT, _OUT_ROWS)}, t AS (SELECT oid, regexp_replace(output, '<\|start_of_thought\|>.*?<\|end_of_thought\|>', '', 'gs') AS x FROM o) SELECT oid, {S.strip("coalesce(list_extract(regexp_extract_all(x, '(?s)```(?:[a-zA-Z]+)?\s*\n?(.*?)```', 1), -1), x)")} AS code FROM t""")
+_LAST = S.strip(r"coalesce(list_extract(regexp_extract_all(x, '(?s)```(?:[a-zA-Z]+)?\s*\n?(.*?)```', 1), -1), x)")
+
+
+@query("extract_code", rf"""WITH {S.values('o', _OUT, _OUT_ROWS)}, t AS (SELECT oid, regexp_replace(output, '<\|start_of_thought\|>.*?<\|end_of_thought\|>', '', 'gs') AS x FROM o) SELECT oid, {_LAST} AS code FROM t""")
 def _(spark, d):
     return frame(spark, _OUT, _OUT_ROWS).select("oid", E.extract_code(F.col("output")).alias("code"))
 
