@@ -26,6 +26,8 @@ WIDTH, SIMILARITY = 5, 80
 RATIO = 1.4
 #: A shared signature of more sets than this is hot: its pairs are not listed but found by pivots.
 HOT = 12
+#: Sets whose tokens are counted to order those of prefixes; a bound on what is broadcast that changes no result.
+COMMON_ROWS = 10_000
 #: Members of a hot signature in a row; more make more rows.
 BLOCK = 4096
 #: Signatures that a scanning task holds before it hands them on; bounds its memory and nothing else.
@@ -59,7 +61,7 @@ def allocate(i: int, similarity: int) -> tuple[int, int, int, bool]:
     """Of a band: H, segments, slack, and whether one-deletion neighbourhoods are used; the cheaper of the two schemes."""
     high = band(i)[1]
     h = 2 * high * (100 - similarity) // (100 + similarity)
-    slack = max(4, h // 3)
+    slack = max(4, h // 4)
     plain, near, spare = h + 1 + slack, h // 2 + 1 + slack // 4, slack // 4
     cost = lambda count, tokens: count * (1 + _MEETING * exp(-tokens))
     if cost(plain, high / plain) <= cost(high + near, high / near - 1):
@@ -70,12 +72,20 @@ def allocate(i: int, similarity: int) -> tuple[int, int, int, bool]:
 def signatures(tokens: np.ndarray, i: int, similarity: int) -> tuple[np.ndarray, int]:
     """Keys of a set in a band, and how many of its segments are too weak to have any.
 
-    A set with more weak segments than the slack of its band also gets the band's own key, shared by all such sets.
+    A set needs as many segments as its own largest partner in the band asks for, which are the first ones of the band; two
+    similar sets both have those that the pair needs. A set with more weak segments than the slack of its band also gets
+    the band's own key, shared by all such sets.
     """
     h, m, slack, near = allocate(i, similarity)
     if not h:
         return np.zeros(0, np.uint64), 0  # similar sets are equal here
+    n = len(tokens)
+    own = (n + min(band(i)[1], 100 * n // similarity)) * (100 - similarity) // (100 + similarity)
+    used_segments = min(m, own // 2 + 1 + slack if near else own + 1 + slack)
     segment = (mix(tokens * _C1 + np.uint64(i)) % np.uint64(m)).astype(np.int64)
+    tokens, segment, m = tokens[segment < used_segments], segment[segment < used_segments], used_segments
+    if not len(tokens):
+        return mix(np.array([i + 1 << 40], np.uint64)), m
     order = np.argsort(segment, kind="stable")
     segment, share = segment[order], mix(tokens[order] ^ _C2)
     start = np.flatnonzero(np.concatenate(([True], segment[1:] != segment[:-1])))
@@ -249,29 +259,93 @@ def verify(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     return pairs.select("a", "b").join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint, n_a bigint, n_b bigint, shared bigint")
 
 
+def common_tokens(texts: DataFrame, width: int, rows: int = COMMON_ROWS) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of several of ``rows`` sets, and in how many they are. They only order the tokens of prefixes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets = [shingle_set(lower_ascii(t), width) for batch in batches for t in batch.column(0).to_pylist()]
+        token, count = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.uint64), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array([token[count > 2].tobytes()], pa.binary()), pa.array([count[count > 2].astype(np.int32).tobytes()], pa.binary())], names=["token", "count"])
+
+    one = texts.orderBy("node").limit(rows).select("text").repartition(1).mapInArrow(run, "token binary, count binary").collect()
+    return (np.frombuffer(one[0]["token"], np.uint64), np.frombuffer(one[0]["count"], np.int32)) if one else (np.zeros(0, np.uint64), np.zeros(0, np.int32))
+
+
+def prefixes(texts: DataFrame, width: int, similarity: int) -> DataFrame:
+    """(token, node, n, place) of the first tokens of each set, common ones last: similar sets share one of them.
+
+    Tokens of one set only are left out.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(common_tokens(texts, width))  # COMMON_ROWS sets' tokens at most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, count = shared.value
+        for batch in batches:
+            for node, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                s = shingle_set(lower_ascii(text.as_py()), width)
+                n = len(s)
+                often = np.zeros(n, np.int64)
+                if len(common):
+                    at = np.minimum(np.searchsorted(common, s), len(common) - 1)
+                    often = np.where(common[at] == s, count[at], 0)
+                first = s[np.lexsort((s, often))][: n - -(-n * similarity // 100) + 1]
+                k = len(first)
+                yield pa.RecordBatch.from_arrays([pa.array(first.view(np.int64)), pa.array(np.full(k, node)), pa.array(np.full(k, n)), pa.array(np.arange(k))], names=["token", "node", "n", "place"])
+
+    def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            rest = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+            token = rest.column("token").to_numpy()
+            stop = int(np.searchsorted(token, token[-1])) if len(token) else 0  # the last token may go on
+            yield from keep(rest.slice(0, stop), token[:stop])
+            rest = rest.slice(stop)
+        if rest is not None:
+            yield from keep(rest, rest.column("token").to_numpy())
+
+    def keep(table: pa.Table, token: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if len(token) > 1:
+            same = token[1:] == token[:-1]
+            mask = np.concatenate(([False], same)) | np.concatenate((same, [False]))
+            yield from table.filter(pa.array(mask)).combine_chunks().to_batches()
+
+    kinds = "token bigint, node bigint, n bigint, place bigint"
+    rows = texts.select("node", "text").mapInArrow(run, kinds)
+    return rows.repartition(shuffle_partitions(texts.sparkSession), "token").sortWithinPartitions("token").mapInArrow(several, kinds)
+
+
 def open_pairs(members: DataFrame, similarity: int, most: int) -> DataFrame:
-    """Pairs of members of a list that are in different components so far and may be similar; up to ``most`` for each member.
+    """Pairs of sets with a common prefix token that are in different components so far and may be similar.
 
-    ``members``: id, node, n, label, far (1 - Jaccard to the list's pivot, null where unknown). Distances obey the triangle
-    inequality, so members whose distances to the pivot differ by more than the bound are not similar. A row with ``a`` null
-    says that some pairs were left for a later round.
+    Up to ``most`` for each set and token, smaller partners first. What two sets have after the token bounds their
+    intersection. A row with ``a`` null says that some pairs were left for a later round.
     """
-    bound = 1 - similarity / 100 + 1e-9
+    num, den = similarity, 100 + similarity
 
     def pairs(group: list[tuple]) -> tuple[set[tuple[int, int]], bool]:
-        node = np.array([g[1] for g in group], dtype=np.int64)
-        n = np.array([g[2] for g in group], dtype=np.int64)
-        label = np.array([g[3] for g in group], dtype=np.int64)
-        far = np.array([np.nan if g[4] is None else g[4] for g in group])
+        node, n, place, label = (np.array(c, dtype=np.int64) for c in list(zip(*group, strict=True))[1:5])
+        order = np.lexsort((node, n))
+        node, n, rest, label = node[order], n[order], (n - place)[order], label[order]
+        names, counts = np.unique(label, return_counts=True)
         out: set[tuple[int, int]] = set()
         left = False
-        for i in range(len(group)):
-            may = (label != label[i]) & (np.minimum(n, n[i]) * 100 >= np.maximum(n, n[i]) * similarity) & ~(np.abs(far - far[i]) > bound)
-            may[: i + 1] = False
-            at = np.flatnonzero(may)
-            if len(at) > most:
-                at, left = at[:most], True
-            out.update((min(int(node[i]), int(node[j])), max(int(node[i]), int(node[j]))) for j in at)
+        if len(names) < 2:
+            return out, left
+
+        def may(i: int) -> np.ndarray:
+            # a shared token at these places leaves so many that both may have: enough for the union's share?
+            return (label != label[i]) & (np.minimum(rest, rest[i]) * den >= (n + n[i]) * num) & (np.minimum(n, n[i]) * 100 >= np.maximum(n, n[i]) * similarity)
+
+        open_ = np.flatnonzero(label != names[counts.argmax()]) if counts.max() > 1 else np.arange(len(node))
+        if most == 1:  # at first, all that can go with the smallest set
+            at = np.flatnonzero(may(0))
+            out.update((min(int(node[0]), int(node[k])), max(int(node[0]), int(node[k]))) for k in at)
+            open_ = np.setdiff1d(open_, np.append(at, 0))
+            left = True
+        for i in open_:
+            at = np.flatnonzero(may(i))
+            left |= len(at) > most
+            out.update((min(int(node[i]), int(node[k])), max(int(node[i]), int(node[k]))) for k in at[:most])
         return out, left
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,8 +373,8 @@ def open_pairs(members: DataFrame, similarity: int, most: int) -> DataFrame:
         if out or left:
             yield give(out, left)
 
-    rows = members.select("id", "node", "n", "label", "far")
-    return rows.repartition(shuffle_partitions(members.sparkSession), "id").sortWithinPartitions("id", "node").mapInArrow(run, "a bigint, b bigint").distinct()
+    rows = members.select("token", "node", "n", "place", "label")
+    return rows.repartition(shuffle_partitions(members.sparkSession), "token").sortWithinPartitions("token", "node").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def _labelled(df: DataFrame, labels: DataFrame) -> DataFrame:
@@ -311,54 +385,67 @@ def _labelled(df: DataFrame, labels: DataFrame) -> DataFrame:
 def similar_sets(df: DataFrame, text_col: str = "text", key: str = "doc_id", width: int = WIDTH, similarity: int = SIMILARITY) -> DataFrame:
     """Components of documents whose sets of shingles have a Jaccard similarity of ``similarity`` per cent or more.
 
-    Returns key, n_shingles and component_id, the least key that links reach. Equal sets are one node of the graph
-    from the start, so groups of copies are no pairs. In each list of sets that share a signature, all are compared with one pivot first;
-    afterwards only members of different components are, unless the triangle inequality or the sizes rule it out, or (for hot
-    signatures) one of the two has so few hot or weak segments that a similar pair must meet elsewhere. The
-    rounds go on until nothing is open, so no link between components is lost.
+    Returns key, n_shingles and component_id, the least key that links reach. Equal sets are one node of the graph from the
+    start, so groups of copies are no pairs. Similar sets share more than the slack of segments: a pair of a short list counts only
+    if the lists with both, and the segments where either may meet others unlisted, make up that many. Hot signatures list no
+    pairs. Only sets with more hot and weak segments than the slack may be similar without a listed pair; these few meet once more
+    by the first tokens of their sets in an order that puts common ones last, each with the smallest partner at first and
+    then only with other components. Rounds go on until no pair of different components is open, so no link between
+    components is lost.
 
     Null and empty texts have no shingles and are linked with nothing. Rows without a key count as members but name no
     component. Repeated rows are copies. An empty table gives an empty result; further columns are not passed on.
     """
     docs = cut_lineage(sets_of(df, text_col, key, width))
     lists = cut_lineage(shared_signatures(df, text_col, width, similarity))
-    named = lists.select("id", "hot", "band", "times", F.element_at("nodes", 1).alias("pivot"), F.element_at("sizes", 1).alias("pivot_n"), F.posexplode(F.arrays_zip("nodes", "sizes", "weak")).alias("place", "m"))
-    named = named.select("id", "hot", "band", "times", "pivot", "pivot_n", "place", F.col("m.nodes").alias("node"), F.col("m.sizes").alias("n"), F.col("m.weak").alias("weak"))
-    # the texts of all sets that share a signature, one for each
-    met = named.select("node").distinct()
-    pick = docs.where("node is not null").groupBy("node").agg(F.min(F.xxhash64("key")).alias("row"), F.min("key").alias("key"))
-    pick = pick.join(met, "node", "left_semi").where("key is not null").select("node", F.col("key").alias("_key"))
+    member = F.col("m")
+    named = lists.where("hot").select("id", "block", "band", "times", F.posexplode(F.arrays_zip("nodes", "sizes", "weak")).alias("place", "m")).where("place > 0 or block = 0")
+    named = named.select("id", "band", "times", member["nodes"].alias("node"), member["sizes"].alias("n"), member["weak"].alias("weak"))
+    every = named.select("node", "band", "weak", "times").union(lists.where("not hot").select("band", F.explode(F.arrays_zip("nodes", "weak")).alias("m")).select(member["nodes"], "band", member["weak"], F.lit(0)))
+    # segments of a set in which it may meet a similar one without a listed pair
+    spare = cut_lineage(every.groupBy("node", "band").agg((F.max("weak") + F.sum("times")).alias("h")))
+    slack = F.element_at(F.create_map(*[F.lit(x) for i in range(64) for x in (i, allocate(i, similarity)[2])]), F.col("band"))
+
+    # pairs of short lists: similar sets share more than ``slack`` segments, of which all but h of either must be listed
+    at = lambda name, k: F.element_at(name, k.cast("int"))
+    two = lambda i, j: F.struct(at("nodes", i).alias("a"), at("nodes", j).alias("b"), at("sizes", i).alias("x"), at("sizes", j).alias("y"))
+    size = F.size("nodes")
+    pairs = F.flatten(F.transform(F.sequence(F.lit(1), size - 1), lambda i: F.transform(F.sequence(i + 1, size), lambda j: two(i, j))))
+    listed = lists.where("not hot").select("band", "times", F.explode(pairs).alias("p")).where(f"least(p.x, p.y) * 100 >= greatest(p.x, p.y) * {similarity}")
+    listed = listed.groupBy("band", "p.a", "p.b").agg(F.sum("times").alias("met"))
+    ends = [spare.select(F.col("node").alias(c), "band", F.col("h").alias(f"h_{c}")) for c in ("a", "b")]
+    near = listed.join(ends[0], ["a", "band"]).join(ends[1], ["b", "band"]).where(F.col("met") > slack - F.least("h_a", "h_b"))
+    near = cut_lineage(near.select("a", "b").distinct())
+    # long lists: only sets with more such segments than the slack can be similar without being in a short one together
+    heavy = cut_lineage(spare.where(F.col("h") > slack).select("node").distinct())
+
+    met = near.select(F.explode(F.array("a", "b")).alias("node")).union(heavy).distinct()
+    pick = docs.where("node is not null and key is not null").groupBy("node").agg(F.min("key").alias("_key")).join(met, "node", "left_semi")
     source = df.select(df[key].alias("_key"), df[text_col].alias("text"))
     texts = cut_lineage(source.join(pick, "_key").dropDuplicates(["node"]).select("node", "text"))
 
-    fits = F.expr(f"least(n, pivot_n) * 100 >= greatest(n, pivot_n) * {similarity}")
-    star = named.where("place > 0").where(F.col("hot") | fits).select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    known = cut_lineage(verify(star, texts, width))
+    # first a tree's worth of pairs: each set with the least one that it may be similar to
+    known = cut_lineage(verify(near.groupBy("b").agg(F.min("a").alias("a")), texts, width))
     linked = F.expr(f"shared * 100 >= (n_a + n_b - shared) * {similarity}")
     labels = connected_components(known.where(linked))
-
-    # hot signatures matter only to sets with more hot and weak segments than the slack of the band
-    slack = {i: allocate(i, similarity)[2] for i in range(64)}
-    bound = F.element_at(F.create_map(*[F.lit(x) for i in slack for x in (i, slack[i])]), F.col("band"))
-    heavy = named.where("hot").select("id", "node", "band", "weak", "times").distinct().groupBy("node", "band").agg((F.max("weak") + F.sum("times")).alias("h")).where(F.col("h") > bound)
-    hot = named.where("hot and place > 0").join(heavy, ["node", "band"], "left_semi")
-    away = known.select(F.col("a").alias("_a"), F.col("b").alias("_b"), (1 - F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared"))).alias("far"))
-    hot = hot.join(away, (hot["pivot"] == away["_a"]) & (hot["node"] == away["_b"]), "left").select("id", "node", "n", "far")
-    members = cut_lineage(hot.union(named.where("not hot and place > 0").select("id", "node", "n", F.lit(None).cast("double").alias("far"))).distinct())
-    most = 16
+    members = cut_lineage(prefixes(texts.join(heavy, "node", "left_semi"), width, similarity))
+    most = 1
     while True:
         open_ = _labelled(members, labels)
-        mixed = open_.groupBy("id").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("id")
-        pairs = cut_lineage(open_pairs(open_.join(mixed, "id", "left_semi"), similarity, most))
+        mixed = open_.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("token")
+        more = cut_lineage(open_pairs(open_.join(mixed, "token", "left_semi"), similarity, most))
         tried = known.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        new = cut_lineage(pairs.where("a is not null").join(tried, ["a", "b"], "left_anti"))
-        left, count = not pairs.where("a is null").isEmpty(), new.count()
+        rest = near.join(tried, ["a", "b"], "left_anti")
+        of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"l_{c}"))  # noqa: E731, B023
+        rest = rest.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("l_a", "a") != F.coalesce("l_b", "b"))
+        new = cut_lineage(more.where("a is not null").join(tried, ["a", "b"], "left_anti").union(rest.select("a", "b")).distinct())
+        left, count = not more.where("a is null").isEmpty(), new.count()
         if not count and not left:
             break
         if count:
             known = cut_lineage(known.union(verify(new, texts, width)))
             labels = connected_components(known.where(linked))
-        most *= 4
+        most *= 16
 
     whole = _labelled(docs, labels)
     first = whole.where("node is not null").groupBy("label").agg(F.min("key").alias("component_id"))
