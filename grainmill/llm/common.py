@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 import numpy as np
@@ -29,6 +30,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_small(df: DataFrame, rows: int, each: int = 50_000) -> DataFrame:
+    """``cut_lineage`` into one partition for every ``each`` rows; later shuffles of a small table then write few files."""
+    parts = max(1, min(-(-rows // each), shuffle_partitions(df.sparkSession)))
+    return cut_lineage(df.coalesce(parts))
+
+
+def release(spark: SparkSession) -> None:
+    """Let the driver drop what it no longer refers to, so that Spark removes the shuffle files of rounds that are over."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage
+from .common import cut_lineage, cut_small, release
 
 
 def _star(edges: DataFrame, both: DataFrame, keep) -> DataFrame:
@@ -21,6 +21,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """
     now = cut_lineage(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col("u").isNotNull() & F.col("v").isNotNull() & (F.col("u") != F.col("v"))).distinct())
     mark = None
+    rows = now.count()
     while True:
         # large star: neighbours above a node go to its least neighbour
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -29,9 +30,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         # small star: a node and its lesser neighbours go to the least of them
         least = ordered.groupBy("u").agg(F.min("v").alias("m"))
         small = ordered.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u != v").distinct()
-        now = cut_lineage(small)
+        now = cut_small(small, rows)
         found = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(found) == mark:
             break
-        mark = tuple(found)
+        mark, rows = tuple(found), found[0]
+    release(edges.sparkSession)
     return now.select(F.col("u").alias("node"), F.col("v").alias("label")).union(now.select(F.col("v"), F.col("v")).distinct())

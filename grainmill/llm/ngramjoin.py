@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _C1, _C2, cut_lineage, lower_ascii, mix, shingle_set, shuffle_partitions
+from .common import _C1, _C2, cut_lineage, cut_small, lower_ascii, mix, release, shingle_set, shuffle_partitions
 from .components import connected_components
 
 WIDTH, SIMILARITY = 5, 80
@@ -430,6 +430,7 @@ def similar_sets(df: DataFrame, text_col: str = "text", key: str = "doc_id", wid
     labels = connected_components(known.where(linked))
     members = cut_lineage(prefixes(texts.join(heavy, "node", "left_semi"), width, similarity))
     most = 1
+    total = known.count()
     while True:
         open_ = _labelled(members, labels)
         mixed = open_.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("token")
@@ -443,8 +444,10 @@ def similar_sets(df: DataFrame, text_col: str = "text", key: str = "doc_id", wid
         if not count and not left:
             break
         if count:
-            known = cut_lineage(known.union(verify(new, texts, width)))
+            total += count
+            known = cut_small(known.union(cut_lineage(verify(new, texts, width))), total)
             labels = connected_components(known.where(linked))
+        release(df.sparkSession)
         most *= 16
 
     whole = _labelled(docs, labels)
