@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 
 #: Characters of text that one replay takes together; bounds a worker's memory and nothing else.
 BLOCK_CHARS = 12_000_000
+#: Words of at least so many bytes are replayed one by one; either way gives the same ids.
+LONG_WORD = 512
 
 
 class MergeTable:
@@ -58,8 +60,60 @@ class MergeTable:
         at = np.searchsorted(self.keys, key)
         return np.where(self.keys[at] == key, self.merged[at], -1)
 
-    def replay(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def replay_long(self, word: bytes) -> list[int]:
+        """The ids of one long word: its index is a heap of (rank, place), so each merge costs a logarithm of its length."""
+        if (whole := self.ranks.get(word)) is not None:
+            return [whole]
+        n = len(word)
+        token: list[bytes] = [word[i : i + 1] for i in range(n)]
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        find = self.ranks.get
+        pair = [find(word[i : i + 2], -1) for i in range(n - 1)] + [-1]
+        heap = [r * n + i for i, r in enumerate(pair) if r >= 0]
+        heapify(heap)
+        while heap:
+            rank, at = divmod(heappop(heap), n)
+            if pair[at] != rank:
+                continue
+            gone = after[at]
+            then = after[at] = after[gone]
+            token[at] += token[gone]
+            token[gone], pair[gone] = b"", -1
+            if then < n:
+                before[then] = at
+                pair[at] = find(token[at] + token[then], -1)
+                if pair[at] >= 0:
+                    heappush(heap, pair[at] * n + at)
+            else:
+                pair[at] = -1
+            left = before[at]
+            if left >= 0:
+                pair[left] = find(token[left] + token[at], -1)
+                if pair[left] >= 0:
+                    heappush(heap, pair[left] * n + left)
+        return [self.ranks[t] for t in token if t]
+
+    def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words, one after another, and the number of ids of each."""
+        long = [i for i, w in enumerate(words) if len(w) >= LONG_WORD]
+        if not long:
+            return self.replay(words)
+        count = np.zeros(len(words), np.int64)
+        ids, count_short = self.replay([w for w in words if len(w) < LONG_WORD])
+        is_long = np.zeros(len(words), bool)
+        is_long[long] = True
+        count[~is_long] = count_short
+        own = [np.array(self.replay_long(words[i]), np.int64) for i in long]
+        count[long] = [len(x) for x in own]
+        out = np.empty(int(count.sum()), np.int64)
+        of_long = np.repeat(is_long, count)
+        out[of_long], out[~of_long] = np.concatenate(own), ids
+        return out, count
+
+    def replay(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """As ``encode_words``, of words that are not long."""
+        if not words:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         lens = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
         buf = np.frombuffer(b"".join(words), dtype=np.uint8)
         n = len(buf)
@@ -156,7 +210,7 @@ def encode_block(texts: list[str], table: MergeTable, pattern: regex.Pattern) ->
         spots.append(np.fromiter(map(number, found), dtype=np.int32, count=len(found)))
     if not seen:
         return np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64)
-    ids, count = table.replay([w.encode("utf-8", "surrogatepass") for w in seen])
+    ids, count = table.encode_words([w.encode("utf-8", "surrogatepass") for w in seen])
     start = np.cumsum(count) - count
     out, offsets = [], np.zeros(len(texts) + 1, np.int64)
     for i, spot in enumerate(spots):
