@@ -9,7 +9,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +24,9 @@ from .common import cut_lineage, lower_ascii, mix, word_hashes
 #: Kinds in the order that breaks ties of start.
 KINDS = ("email", "ip", "card", "phone")
 # The forms of the base spans.
-_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+_EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(\.[A-Za-z0-9-]++)+")  # no start within a run
+_EMAIL_LATER = re.compile(r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(\.[A-Za-z0-9-]++)+")
+_IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _HINT = re.compile(r"[0-9@]")
@@ -42,14 +46,26 @@ def _luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _emails(text: str) -> Iterator[tuple[int, int]]:
+    """Leftmost non-overlapping addresses, in time that grows with the text's length only.
+
+    All starts within a run of local characters reach the same @, so its first one decides. An address may end within a
+    run; what is left of that run is the one start that follows no other character.
+    """
+    at = 0
+    while m := _EMAIL_LATER.match(text, at) or _EMAIL.search(text, at):
+        yield m.span()
+        at = m.end()
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the fixed forms, leftmost and non-overlapping in each kind, by start and then kind."""
     out = []
     if "@" in text:
-        out += [(m.start(), 0, m.end()) for m in _EMAIL.finditer(text)]
+        out += [(a, 0, b) for a, b in _emails(text)]
     if _HINT.search(text):
         for m in _IP.finditer(text):
-            if all(len(part.lstrip("0")) <= 3 and int(part) <= 255 for part in m.group().split(".")):
+            if all(len(part.lstrip("0")) <= 3 and int(part.lstrip("0") or 0) <= 255 for part in m.group().split(".")):
                 out.append((m.start(), 1, m.end()))
         for m in _CARD.finditer(text):
             digits = m.group().replace(" ", "").replace("-", "")
@@ -79,16 +95,17 @@ def shape_fits(token: str) -> int:
 
 def _context(text: str, start: int) -> list[int]:
     """Hashes of the last word and of the last two words before ``start``, on the same line."""
-    line = text.rfind("\n", 0, start) + 1
+    line = text.rfind("\n", max(0, start - 201), start) + 1  # further back makes no difference
     words = text[max(line, start - 200) : start].lower().rsplit(None, 2)[-2:]
     if start - 200 > line and len(words) < 2:
         words = []
-    out = []
-    for k in (1, 2):
-        if len(words) >= k:
-            h = word_hashes(lower_ascii(" ".join(words[-k:])))
-            out.append(int(mix(np.array([np.bitwise_xor.reduce(h * np.arange(1, 2 * len(h), 2, dtype=np.uint64)) + np.uint64(k)]))[0].astype(np.int64)))
-    return out
+    return [_pattern(" ".join(words[-k:]), k) for k in (1, 2) if len(words) >= k]
+
+
+@lru_cache(1 << 16)
+def _pattern(words: str, k: int) -> int:
+    h = word_hashes(lower_ascii(words))
+    return int(mix(np.array([np.bitwise_xor.reduce(h * np.arange(1, 2 * len(h), 2, dtype=np.uint64)) + np.uint64(k)]))[0].astype(np.int64))
 
 
 def _instance(token: str) -> int:
@@ -98,6 +115,7 @@ def _instance(token: str) -> int:
 def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, list[int]]]:
     """(start, end, kinds as bits, instance, contexts) of tokens with digits or a written @ outside the base spans."""
     out, at = [], 0
+    starts, reach = [a for a, _, _ in spans], list(accumulate((b for *_, b in spans), max, initial=0))
     while m := _TOKEN_HINT.search(text, at):
         start, end = m.start(), m.end()
         while start and not text[start - 1].isspace():
@@ -109,7 +127,7 @@ def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int,
             start += 1
         while end > start and text[end - 1] in _TRIM:
             end -= 1
-        if start < end and not any(a < end and start < b for a, _, b in spans):
+        if start < end and reach[bisect_left(starts, end)] <= start:
             out.append((start, end, shape_fits(text[start:end]), _instance(text[start:end]), _context(text, start)))
     return out
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -179,6 +180,23 @@ def base(text):
     return sorted(out)
 
 
+def test_base_spans_of_short_alphabets():
+    email, ip = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    rng = np.random.default_rng(3)
+    for _ in range(20000):
+        t = "".join(rng.choice(list("a1.@-_ %"), rng.integers(0, 25)))
+        assert list(pii._emails(t)) == [m.span() for m in email.finditer(t)]
+        assert [m.span() for m in pii._IP.finditer(t)] == [m.span() for m in ip.finditer(t)]
+
+
+@pytest.mark.parametrize("text", ["a" * 1_000_000 + " @", "1" * 1_000_000, "a." * 400_000 + "@b", "1." * 400_000, "1 " * 200_000, "a@b.c" * 200_000])
+def test_long_runs_take_linear_time(text):
+    began = time.process_time()
+    spans = pii.base_spans(text)
+    pii.candidates(text, spans)
+    assert time.process_time() - began < 20
+
+
 def test_base_spans(spark, sf_dir, table, docs, odd):
     tricky = "a.b@c.de x 1.2.3.4 300.1.1.1 4111 1111 1111 1111 4111-1111-1111-1112 +1 (555) 555-0100 +12 00000001.0.0.255 a@b @c.d 12@x.y.z."
     for df, texts in ((read_table(spark, sf_dir, "documents"), table), (docs([*odd[:5], (9, tricky), (10, "é" * 9 + tricky)]), {**dict(odd[:5]), 9: tricky, 10: "é" * 9 + tricky})):
@@ -288,6 +306,16 @@ def test_repeats_on_odd_rows(docs, odd):
 
 # --- byte-level BPE
 
+@pytest.mark.parametrize("text", ["a" * 300_001, "1" * 50_000, " " * 50_001, "\n" * 7_001, "é" * 5_000, "中" * 3_000, "!" * 6_000, "abcdefghijkl" * 5_000, "ab" * 300 + " hi " + "thing" * 110])
+def test_bpe_of_long_words(text):
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    table = bpe.merge_table(path)
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table.ranks, special_tokens={})
+    ids, offsets = bpe.encode_block([text, "", "hello", text + " x"], table, bpe.regex.compile(public_tokenizers.PATTERN))
+    want = [enc.encode_ordinary(t) for t in (text, "", "hello", text + " x")]
+    assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:], strict=True)] == want
+
+
 def test_bpe_is_tiktokens(spark, docs, odd, sf_dir, table):
     enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.merge_table(VOCAB).ranks, special_tokens={})
     extra = [(20, "aaaaaaaaa" * 50), (21, "don't I'LL 12345 ²"), (22, "  \n\n\t x\r\n"), (23, "=-=-=-" * 99)]
