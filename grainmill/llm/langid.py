@@ -19,8 +19,12 @@ from .common import _C1, mix
 
 #: Bound on the documents that the probabilities are learned from, of all languages together.
 TRAIN_ROWS = 3000
-#: Longest piece and longest stretch of a word, in code points; longer words are cut into such stretches.
-PIECE, STRETCH = 5, 24
+#: Words at most so long are scored with others of the same length only; longer ones are padded to a common length.
+SAME = 32
+#: Code points of words that are looked up at once, and places of a word; both bound memory and nothing else.
+CELLS, PLACES = 480_000, 4096
+#: Places after which sums are rescaled; so many floors do not underflow together with the longest piece.
+RESCALE = 8
 #: Characters of text that a worker scores together; bounds its memory and nothing else.
 BLOCK_CHARS = 12_000_000
 #: Probability of a single character that is no piece, and pseudo-count of each piece.
@@ -39,10 +43,11 @@ def split_words(text: str) -> list[str]:
 
 
 class Pieces:
-    """Looks up all substrings of words, up to ``PIECE`` long, in the vocabulary."""
+    """Looks up all substrings of words, up to the longest piece, in the vocabulary."""
 
     def __init__(self, pieces: list[str]):
-        self.pieces = sorted({p for p in pieces if 0 < len(p) <= PIECE})
+        self.pieces = sorted({p for p in pieces if p})
+        self.longest = max(map(len, self.pieces), default=1)
         codes = [np.array([ord(c) for c in p], dtype=np.uint64) for p in self.pieces]
         keys = np.array([self._key(c) for c in codes], dtype=np.uint64)
         self.order = np.argsort(keys)
@@ -59,58 +64,98 @@ class Pieces:
         """For words of one length, as rows of code points: by length k, the piece that ends before each place, or -1."""
         rows, n = words.shape
         out, h = [], np.zeros((rows, n), dtype=np.uint64)
-        for k in range(1, min(PIECE, n) + 1):
+        for k in range(1, min(self.longest, n) + 1):
             h = mix(h[:, : n - k + 1] * _C1 + words[:, k - 1 :] + np.uint64(1))
             at = np.searchsorted(self.keys, h.ravel()).reshape(h.shape)
             hit = self.keys[at] == h
-            out.append(np.where(hit, self.order[np.minimum(at, len(self.order) - 1)], -1))
+            out.append(np.where(hit, self.order[np.minimum(at, len(self.order) - 1)], -1).astype(np.int32))
         return out
 
 
-def forward(found: list[np.ndarray], p: np.ndarray) -> np.ndarray:
-    """Sums over segmentations up to each place: places x rows x languages. ``p``: pieces x languages, last row the floor."""
-    n = found[0].shape[1]
-    alpha = np.zeros((n + 1, found[0].shape[0], p.shape[1]))
-    alpha[0] = 1
-    for i in range(1, n + 1):
-        for k, at in enumerate(found, 1):
-            if k <= i:
-                own = at[:, i - k]
-                if k == 1:
-                    alpha[i] += alpha[i - 1] * p[own]
-                else:
+def forward(words: np.ndarray, ends: np.ndarray, pieces: Pieces, p: np.ndarray) -> np.ndarray:
+    """Rows x languages: the logarithm of the sum over all segmentations of each row up to its end.
+
+    ``p``: pieces x languages, last row the floor. Only the sums of the last places are held, under one scale.
+    """
+    (rows, n), longest = words.shape, pieces.longest
+    window = np.zeros((longest, rows, p.shape[1]))  # of place i at i modulo the longest piece
+    window[0] = 1
+    scale, out = np.zeros((2, rows, p.shape[1]))
+    stops = set(ends.tolist())
+    for begin in range(0, n, PLACES):
+        end, left = min(n, begin + PLACES), max(0, begin - longest + 1)
+        found = pieces.find(words[:, left:end])
+        some = [(at >= 0).any(axis=0) for at in found]
+        for i in range(begin + 1, end + 1):
+            new = window[(i - 1) % longest] * p[found[0][:, i - 1 - left]]
+            for k in range(2, min(longest, i) + 1):
+                if some[k - 1][i - k - left]:
+                    own = found[k - 1][:, i - k - left]
                     hit = np.flatnonzero(own >= 0)
-                    alpha[i, hit] += alpha[i - k, hit] * p[own[hit]]
-    return alpha
+                    new[hit] += window[(i - k) % longest, hit] * p[own[hit]]
+            window[i % longest] = new
+            if i in stops:
+                at = np.flatnonzero(ends == i)
+                out[at] = np.log(new[at]) + scale[at]
+            if i % RESCALE == 0:
+                top = window.max(axis=0)
+                window /= top
+                scale += np.log(top)
+    return out
 
 
-def _by_length(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _by_length(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places in ``words``, code points by row and lengths, of words of one length or of long ones padded by a quarter at most."""
     lens = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-    for n in np.unique(lens):
-        at = np.flatnonzero(lens == n)
-        for k in range(0, len(at), 20_000):
-            own = at[k : k + 20_000]
-            data = "".join([words[i] for i in own]).encode("utf-32-le", "surrogatepass")
-            yield own, np.frombuffer(data, dtype="<u4").reshape(len(own), n).astype(np.uint64)
-
-
-def _stretches(words: list[str]) -> tuple[list[str], np.ndarray]:
-    """Marked words cut into stretches, and the word that each stretch belongs to."""
-    out, of = [], []
-    for i, w in enumerate(words):
-        w = _MARK + w
-        for k in range(0, len(w), STRETCH):
-            out.append(w[k : k + STRETCH])
-            of.append(i)
-    return out, np.array(of, dtype=np.int64)
+    order = np.argsort(lens, kind="stable")
+    sizes, at = lens[order], 0
+    while at < len(order):
+        most = sizes[at] if sizes[at] <= SAME else sizes[at] * 5 // 4
+        stop = min(int(np.searchsorted(sizes, most, "right")), at + max(1, CELLS // int(most)))
+        own, n = order[at:stop], int(sizes[stop - 1])
+        data = "".join([words[i].ljust(n, "\0") for i in own]).encode("utf-32-le", "surrogatepass")
+        yield own, np.frombuffer(data, dtype="<u4").reshape(len(own), n).astype(np.uint64), sizes[at:stop]
+        at = stop
 
 
 def log_probabilities(words: list[str], pieces: Pieces, p: np.ndarray) -> np.ndarray:
-    """Words x languages: the logarithm of each word's probability, all segmentations summed."""
-    parts, of = _stretches(words)
+    """Words x languages: the logarithm of each whole word's probability, all segmentations summed."""
     out = np.zeros((len(words), p.shape[1]))
-    for own, codes in _by_length(parts):
-        np.add.at(out, of[own], np.log(forward(pieces.find(codes), p)[-1] + 1e-300))
+    for own, codes, ends in _by_length([_MARK + w for w in words]):
+        out[own] = forward(codes, ends, pieces, p)
+    return out
+
+
+def _expected(codes: np.ndarray, ends: np.ndarray, often: np.ndarray, pieces: Pieces, q: np.ndarray) -> np.ndarray:
+    """How often each piece is expected in rows that stand for ``often`` words each; sums are held as logarithms."""
+    (rows, n), longest = codes.shape, pieces.longest
+    found = pieces.find(codes)
+    a = np.zeros((n + 1, rows))
+    for i in range(1, n + 1):
+        top = a[max(0, i - longest) : i].max(axis=0)
+        total = np.exp(a[i - 1] - top) * q[found[0][:, i - 1]]
+        for k in range(2, min(longest, i) + 1):
+            own = found[k - 1][:, i - k]
+            hit = np.flatnonzero(own >= 0)
+            total[hit] += np.exp(a[i - k, hit] - top[hit]) * q[own[hit]]
+        a[i] = top + np.log(total)
+    b = np.full((n + 1, rows), -np.inf)
+    b[ends, np.arange(rows)] = 0
+    for i in range(n - 1, -1, -1):
+        live = np.flatnonzero(ends > i)
+        top = b[i + 1 : i + 1 + longest, live].max(axis=0)
+        total = np.exp(b[i + 1, live] - top) * q[found[0][live, i]]
+        for k in range(2, min(longest, n - i) + 1):
+            own = found[k - 1][live, i]
+            hit = np.flatnonzero(own >= 0)
+            total[hit] += np.exp(b[i + k, live[hit]] - top[hit]) * q[own[hit]]
+        b[i, live] = top + np.log(total)
+    whole = a[ends, np.arange(rows)]
+    out = np.zeros(len(pieces.pieces))
+    for k, at in enumerate(found, 1):
+        row, i = np.nonzero(at >= 0)
+        ids = at[row, i]
+        out += np.bincount(ids, weights=np.exp(a[i, row] + b[i + k, row] - whole[row]) * q[ids] * often[row], minlength=len(out))
     return out
 
 
@@ -118,29 +163,13 @@ def learn_pieces(counts: Counter, pieces: Pieces, rounds: int = 3) -> np.ndarray
     """Piece probabilities of a language from its words, by expectation maximisation."""
     size = len(pieces.pieces)
     words = sorted(counts)
-    parts, of = _stretches(words)
-    often = np.array([counts[w] for w in words], dtype=float)[of]
-    p = np.full(size + 1, 1 / size)
-    blocks = [(own, pieces.find(codes)) for own, codes in _by_length(parts)]
+    often = np.array([counts[w] for w in words], dtype=float)
+    marked = [_MARK + w for w in words]
+    p = np.append(np.full(size, 1 / size), FLOOR)
     for _ in range(rounds):
         expected = np.full(size, PSEUDO)
-        q = np.append(p[:-1], FLOOR)[:, None]
-        for own, found in blocks:
-            a = forward(found, q)[:, :, 0]
-            n = a.shape[0] - 1
-            b = np.zeros_like(a)
-            b[n] = 1
-            for i in range(n - 1, -1, -1):
-                for k, at in enumerate(found, 1):
-                    if i + k <= n:
-                        use = q[at[:, i], 0] if k == 1 else np.where(at[:, i] >= 0, q[at[:, i], 0], 0)
-                        b[i] += use * b[i + k]
-            share = often[own] / (a[n] + 1e-300)
-            for k, at in enumerate(found, 1):
-                for i in range(n - k + 1):
-                    hit = np.flatnonzero(at[:, i] >= 0)
-                    ids = at[hit, i]
-                    expected += np.bincount(ids, weights=a[i, hit] * q[ids, 0] * b[i + k, hit] * share[hit], minlength=size)
+        for own, codes, ends in _by_length(marked):
+            expected += _expected(codes, ends, often[own], pieces, p)
         p = np.append(expected / expected.sum(), FLOOR)
     return p
 

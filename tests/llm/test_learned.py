@@ -62,6 +62,45 @@ def test_forward_sums_all_segmentations():
     assert np.allclose(np.exp(langid.log_probabilities(words, pieces, p))[:, 0], [total("▁" + w) for w in words])
 
 
+def test_forward_takes_whole_pieces_and_whole_words():
+    pieces = langid.Pieces(["a", "b", "▁", "ab", "▁abbab", "abbabbaab", "b" * 16])
+    assert pieces.longest == 16
+    p = np.append(np.linspace(0.05, 0.3, len(pieces.pieces)), langid.FLOOR)
+    prob = dict(zip(pieces.pieces, p))
+
+    def total(s):  # logarithm, by the plain recursion
+        sums, scale = [1.0], 0.0
+        for i in range(1, len(s) + 1):
+            sums.append(sum(sums[-k] * (prob.get(s[i - k : i]) or (langid.FLOOR if k == 1 else 0)) for k in range(1, min(16, i) + 1)))
+            scale, sums = scale + np.log(sums[-1]), [x / sums[-1] for x in sums[-16:]]
+        return scale
+
+    words = ["abbab", "abbabbaab", "b" * 16, "a" * 15 + "b" * 16 + "abbabbaab", "x" * 100, "ab" * 60, "abbabbaab" * 1000, "b" * 33, "b" * 40]
+    got = langid.log_probabilities(words, pieces, np.stack([p, p / 2], axis=1))
+    assert np.allclose(got[:, 0], [total("▁" + w) for w in words], rtol=1e-9)
+
+
+def test_expected_pieces_of_whole_words():
+    pieces = langid.Pieces(["a", "b", "▁", "ab", "▁abbab", "bbabba"])
+    q = np.append(np.linspace(0.05, 0.3, len(pieces.pieces)), langid.FLOOR)
+
+    def cuts(s):
+        return [[]] if not s else [[s[:k], *rest] for k in range(1, len(s) + 1) if s[:k] in pieces.pieces for rest in cuts(s[k:])]
+
+    words = ["▁abbabba", "▁ab", "▁" + "abbab" * 2]
+    want = np.zeros(len(pieces.pieces))
+    for w in words:
+        ways = [([pieces.pieces.index(x) for x in c]) for c in cuts(w)]
+        weights = [np.prod(q[c]) for c in ways]
+        for c, x in zip(ways, weights):
+            np.add.at(want, c, 3 * x / sum(weights))
+    got = sum(langid._expected(codes, ends, np.full(len(own), 3.0), pieces, q) for own, codes, ends in langid._by_length(words))
+    assert np.allclose(got, want)
+    padded = np.array([[ord(c) for c in w.ljust(11, "\0")] for w in words], dtype=np.uint64)
+    assert np.allclose(langid._expected(padded, np.array([len(w) for w in words]), np.full(3, 3.0), pieces, q), want)
+    assert np.isfinite(langid.learn_pieces({"ab" * 500: 2, "xyz" * 300: 1}, pieces)).all()
+
+
 def test_pipeline_stages(spark):
     docs = read_table(spark, SF, "documents")
     names = docs.columns
