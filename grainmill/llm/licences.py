@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +26,56 @@ TEMPLATES = (
     ("CC0-1.0", "To the extent possible under law the author has waived all copyright, CC0 1.0 Universal"),
     ("Unlicense", "This is free and unencumbered software released into the public domain"),
 )
+
+
+def _standard_texts() -> tuple[tuple[str, str, bool], ...]:
+    """The headers that licences prescribe and the heads of their texts, for each version and variant, and whether it is a mere title."""
+    gnu = {"GPL-2.0": ("General", "2", "June 1991", "1989, 1991"), "GPL-3.0": ("General", "3", "29 June 2007", "2007"), "LGPL-2.1": ("Lesser General", "2.1", "February 1999", "1991, 1999"),
+           "LGPL-3.0": ("Lesser General", "3", "29 June 2007", "2007"), "AGPL-3.0": ("Affero General", "3", "19 November 2007", "2007")}
+    body = {"GPL-2.0": "Preamble The licenses for most software are designed to take away your freedom to share and change it. By contrast, the GNU General Public License is intended to guarantee your freedom to share and change free software",
+            "GPL-3.0": "Preamble The GNU General Public License is a free, copyleft license for software and other kinds of works. The licenses for most software and other practical works are designed to take away your freedom to share and change the works",
+            "LGPL-2.1": "This is the first released version of the Lesser GPL. It also counts as the successor of the GNU Library Public License, version 2, hence the version number 2.1. Preamble The licenses for most software are designed to take away your freedom",
+            "LGPL-3.0": "This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License, supplemented by the additional permissions listed below. 0. Additional Definitions.",
+            "AGPL-3.0": "Preamble The GNU Affero General Public License is a free, copyleft license for software and other kinds of works, specifically designed to ensure cooperation with the community in the case of network server software"}
+    out, titles = [], {"Mozilla Public License Version 2.0"}
+    for name, (kind, version, date, years) in gnu.items():
+        title = f"GNU {kind} Public License Version {version}, {date}"
+        titles.add(title)
+        rights = f"Copyright (C) {years} Free Software Foundation, Inc."
+        copies = "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."
+        out += [(name, title), (name, f"{title} {rights} {copies} {body[name]}"), (name, f"{title} {rights} 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA {copies} {body[name]}")]
+        what = "library" if name == "LGPL-2.1" else "program"
+        for later in (f"either version {version} of the License, or (at your option) any later version", f"version {version} of the License", f"version {version} as published by the Free Software Foundation"):
+            grant = (f"This {what} is free software; you can redistribute it and/or modify it under the terms of the GNU {kind} Public License as published by the Free Software Foundation; {later}. This {what} is distributed in the hope that it will be useful,"
+                     f" but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {kind} Public License for more details. You should have received a copy of the GNU {kind} Public License along with this {what};")
+            out += [(name, f"{grant} if not, see https://www.gnu.org/licenses/"), (name, f"{grant} if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA")]
+    apache = "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"
+    titles.add(apache)
+    out += [("Apache-2.0", apache), ("Apache-2.0", f"{apache} TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION 1. Definitions. License shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document."),
+            ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing,"
+             " software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.")]
+    out += [("MPL-2.0", "Mozilla Public License Version 2.0"), ("MPL-2.0", "Mozilla Public License Version 2.0 1. Definitions 1.1. Contributor means each individual or legal entity that creates, contributes to the creation of, or owns Covered Software."),
+            ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.")]
+    bsd = ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
+           " 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.")
+    third = " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+    fourth = " 3. All advertising materials mentioning features or use of this software must display the following acknowledgement: This product includes software developed by the organization. 4." + third[3:]
+    end = (" THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.")
+    out += [("BSD-2-Clause", bsd + end), ("BSD-3-Clause", bsd + third + end), ("BSD-4-Clause", bsd + fourth + end)]
+    out += [("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute,"
+             " sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
+            ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.")]
+    for name, kind in (("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-ND", "Attribution-NoDerivatives"), ("BY-NC", "Attribution-NonCommercial"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives")):
+        out += [(f"CC-{name}-4.0", f"This work is licensed under a Creative Commons {kind} 4.0 International License"), (f"CC-{name}-4.0", f"Creative Commons {kind} 4.0 International Public License By exercising the Licensed Rights (defined below), You accept and agree to be bound by the terms and conditions of this Creative Commons {kind} 4.0 International Public License")]
+    out += [("CC0-1.0", "Creative Commons Legal Code CC0 1.0 Universal CREATIVE COMMONS CORPORATION IS NOT A LAW FIRM AND DOES NOT PROVIDE LEGAL SERVICES. DISTRIBUTION OF THIS DOCUMENT DOES NOT CREATE AN ATTORNEY-CLIENT RELATIONSHIP.")]
+    return tuple((licence, text, text in titles) for licence, text in out)
+
+
+STANDARD = _standard_texts()
+#: Titles count only at the head of a file, after so many other terms at most.
+HEAD_TERMS = 8
+#: Neighbouring terms at which standard texts and files are laid side by side.
+ANCHORS = (("public", "license"), ("apache", "license"), ("creative", "commons"), ("binary", "forms"), ("hereby", "granted"), ("free", "unencumbered"))
 # Words that weigh nothing.
 STOP_WORDS = ("a", "all", "and", "any", "are", "at", "by", "for", "from", "in", "into", "is", "it", "of", "on", "or", "the", "this", "to", "was", "with")
 THRESHOLD = 0.6
@@ -68,6 +123,53 @@ def detect(files: DataFrame, path_col: str = "path", text_col: str = "text", thr
     return best.select("path", F.col("b.licence").alias("licence"), (-F.col("b.low")).alias("score"))
 
 
+def _terms(text: str) -> list[str]:
+    """As ``tokens``, of a fixed text."""
+    terms = (t.strip(".") for t in re.split(_TOKEN, text.lower()))
+    return [t for t in terms if t and t not in STOP_WORDS]
+
+
+def detect_standard(files: DataFrame, path_col: str = "path", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """(path, licence, score) of each file that holds a standard header or licence head, over line breaks and comment signs.
+
+    A window as long as the standard text is laid over the file wherever the two have the same anchor, anywhere in the
+    file; both weigh their terms by inverse frequency over the standard texts. Only windows with a third of the text's
+    different terms are weighed. Of equal cosines the longer text holds, then the licence first in alphabetical order.
+    """
+    spark = files.sparkSession
+    texts = [(licence, _terms(text), title) for licence, text, title in STANDARD]
+    often = Counter(t for _, terms, _ in texts for t in set(terms))
+    idf = {t: math.log((len(texts) + 1) / (n + 1)) + 1 for t, n in often.items()}
+    rows, vectors = [], []
+    for i, (licence, terms, title) in enumerate(texts):
+        spots = [(k, ANCHORS.index(a)) for k, a in enumerate(zip(terms, terms[1:])) if a in ANCHORS]
+        rows.append((i, licence, spots[0][1], spots[0][0], len(terms), title, sorted(set(terms))))
+        weights = {t: n * idf[t] for t, n in Counter(terms).items()}
+        size = math.sqrt(sum(w * w for w in weights.values()))
+        vectors += [(i, t, w / size) for t, w in weights.items()]
+    before, longest = max(r[3] for r in rows), max(r[4] for r in rows)
+    standard = spark.createDataFrame(rows, "template int, licence string, anchor int, ahead int, n int, title boolean, own array<string>")
+    likely = F.col("text").rlike("(?i)" + "|".join(rf"{a}[^a-z0-9]+(?:and[^a-z0-9]+)?{b}" for a, b in ANCHORS))
+    held = files.select(files[path_col].alias("path"), files[text_col].alias("text")).where(likely).select("path", tokens(F.col("text")).alias("terms"))
+    pair = lambda x, y: reduce(lambda rest, a: F.when((x == a[1][0]) & (y == a[1][1]), F.lit(a[0])).otherwise(rest), enumerate(ANCHORS), F.lit(-1))
+    kinds = F.zip_with("terms", F.slice("terms", 2, F.greatest(F.size("terms") - 1, F.lit(0))), pair)
+    spots = F.filter(F.transform(kinds, lambda a, i: F.struct(a.alias("anchor"), i.alias("i"))), lambda x: x["anchor"] >= 0)
+    first = lambda i: F.greatest(i - before, F.lit(0))
+    around = F.transform(spots, lambda x: F.struct(x["anchor"].alias("anchor"), x["i"].alias("i"), first(x["i"]).alias("from"), F.slice("terms", first(x["i"]) + 1, before + longest).alias("near")))
+    placed = held.select("path", F.explode(around).alias("a")).select("path", "a.*").join(F.broadcast(standard), "anchor")
+    start = F.greatest(F.col("i") - F.col("ahead"), F.lit(0))
+    placed = placed.where(~F.col("title") | (start <= HEAD_TERMS))
+    windows = placed.select("path", F.col("i").alias("at"), "template", "licence", "n", "own", F.slice("near", start - F.col("from") + 1, F.col("n")).alias("window"))
+    windows = windows.where(3 * F.size(F.array_intersect("window", "own")) >= F.size("own")).distinct()
+    weights = F.broadcast(spark.createDataFrame(sorted(idf.items()), "term string, idf double"))
+    shares = F.broadcast(spark.createDataFrame(vectors, "template int, term string, share double"))
+    counted = windows.select("path", "at", "template", "licence", "n", F.explode("window").alias("term")).groupBy("path", "at", "template", "licence", "n", "term").agg(F.count(F.lit(1)).alias("tf"))
+    counted = counted.join(weights, "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(math.log(len(texts) + 1) + 1))).join(shares, ["template", "term"], "left")
+    scored = counted.groupBy("path", "at", "template", "licence", "n").agg(F.round(F.sum(F.col("w") * F.coalesce("share", F.lit(0.0))) / F.sqrt(F.sum(F.col("w") * F.col("w"))), 6).alias("score")).where(F.col("score") >= threshold)
+    best = scored.groupBy("path").agg(F.min(F.struct((-F.col("score")).alias("low"), (-F.col("n")).alias("short"), "licence")).alias("b"))
+    return best.select("path", F.col("b.licence").alias("licence"), (-F.col("b.low")).alias("score"))
+
+
 def parent(path: Column) -> Column:
     """The directory of a path; the empty string for the root."""
     return F.regexp_replace(path, r"/?[^/]*$", "")
@@ -76,12 +178,16 @@ def parent(path: Column) -> Column:
 def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The licence of every file: its own, or that of a licence file in the nearest ancestor directory.
 
+    A standard header or licence text names a file's own licence before any sentence of it does.
     Returns path, own_licence, own_score, licence and licence_dir (null unless inherited). Ancestors are looked up once for
     each directory, not for each file. Of several licence files of a directory the least path holds. Files without path are
     left out; of repeated paths each row counts. An empty table gives an empty result; further columns are not passed on.
     """
     paths = files.select(files[path_col].alias("path"), files[text_col].alias("text")).where("path is not null")
-    found = detect(paths, "path", "text", threshold)
+    short = detect(paths, "path", "text", threshold)
+    standard = detect_standard(paths, "path", "text", threshold).select("path", F.col("licence").alias("_licence"), F.col("score").alias("_score"))
+    agree = F.col("_licence").isNull() | F.col("licence").eqNullSafe(F.col("_licence"))  # then the short form's score holds
+    found = short.join(standard, "path", "full").select("path", F.when(agree, F.col("licence")).otherwise(F.col("_licence")).alias("licence"), F.when(agree, F.col("score")).otherwise(F.col("_score")).alias("score"))
     own = paths.select("path").join(found, "path", "left").withColumn("dir", parent(F.col("path")))
     licensed = own.where(F.col("path").rlike(LICENCE_FILE) & F.col("licence").isNotNull()).groupBy("dir").agg(F.min(F.struct("path", "licence"))["licence"].alias("dir_licence"))
     parts = F.split("dir", "/")

@@ -365,6 +365,19 @@ def test_licences_inherit_from_the_nearest_directory(spark):
     assert licences.scan(spark.createDataFrame([], "path string, text string")).count() == 0
 
 
+def test_standard_licence_texts_and_wrapped_headers(spark):
+    bsd = "Copyright (c) 2020, Someone\nAll rights reserved.\n\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.\n2. Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions and the following disclaimer in the documentation\n   and/or other materials provided with the distribution.\n"
+    third = "3. Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission.\n"
+    end = "\nTHIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\"\nAND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE\nIMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE\nDISCLAIMED.\n"
+    gpl = "# This program is free software; you can redistribute it and/or\n# modify it under the terms of the GNU General Public License\n# as published by the Free Software Foundation; either version {}\n# of the License, or (at your option) any later version.\n#\n# This program is distributed in the hope that it will be useful,\n# but WITHOUT ANY WARRANTY; without even the implied warranty of\n# MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the\n# GNU General Public License for more details.\nimport os\n"
+    cc = "This work is licensed under a Creative Commons Attribution{} 4.0 International License."
+    files = {"GPL-2.0": "                    GNU GENERAL PUBLIC LICENSE\n                       Version 2, June 1991\n\n Copyright (C) 1989, 1991 Free Software Foundation, Inc.\n", "Apache-2.0": "\n                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n",
+             "MPL-2.0": "Mozilla Public License\nVersion 2.0\n==================================\n\n1. Definitions\n--------------\n", "BSD-2-Clause": bsd + end, "BSD-3-Clause": bsd + third + end, "CC-BY-NC-4.0": cc.format("-NonCommercial"), "CC-BY-4.0": cc.format(""), "CC-BY-NC-SA-4.0": cc.format("-NonCommercial-ShareAlike"),
+             "GPL-2.0/h": gpl.format(2), "GPL-3.0/h": "#!/usr/bin/env python\n" + gpl.format(3), "AGPL-3.0/h": gpl.format(3).replace("General", "Affero General"), "None": "words on the public license of a free work\nand no more of it"}
+    got = {r["path"]: r["own_licence"] for r in licences.scan(spark.createDataFrame(list(files.items()), "path string, text string")).collect()}
+    assert got == {k: None if k == "None" else k.split("/")[0] for k in files}
+
+
 def test_shingles_of_short_texts():
     assert len(shingle_set(b"")) == len(shingle_set(b" \n")) == 0 and len(shingle_set(b"a b")) == 1
     assert shingle_set(b"a b")[0] != shingle_set(b"b a")[0] and shingle_set(b"a b")[0] == shingle_set(b" a\t\nb ")[0]
