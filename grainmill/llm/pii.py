@@ -16,7 +16,7 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut_lineage, lower_ascii, mix, word_hashes
@@ -31,6 +31,14 @@ _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _HINT = re.compile(r"[0-9@]")
 _TOKEN_HINT = re.compile(r"[0-9@]|[(\[_][Aa][Tt][)\]_]")
+# Written-out addresses and groups of digits, with spaces.
+_AT = re.compile(r"(?i)[(\[{<] ?at ?[)\]}>]|(?<=[ \t])at(?=[ \t])")
+_DOT = r"(?:[ \t]{0,2}[(\[{<] ?dot ?[)\]}>][ \t]{0,2}|[ \t]{1,2}dot[ \t]{1,2})"
+_DOMAIN = re.compile(rf"(?i)[ \t]{{0,2}}[a-z0-9-]++(?:(?:\.|{_DOT})[a-z0-9-]++)+")
+_DOTTED = re.compile(rf"(?i)[ \t]{{1,2}}[a-z0-9-]++(?:\.[a-z0-9-]++)*{_DOT}[a-z0-9-]++(?:{_DOT}[a-z0-9-]++)*")
+_LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
+_GROUP = re.compile(r"[(\[]?[0-9][0-9.()/-]*\]?")
+_NEXT_GROUP = re.compile(r"[ \t\xa0]{1,2}(?:[-/] )?[(\[]?[0-9](?:[.()/-]*[0-9)])*(?![^\s\"')\]}>.,;:!?])")
 _TRIM = "\"'()[]{}<>.,;:!?*#$%&="
 #: A pattern must have been seen before this many different seeds, and reach this confidence.
 SUPPORT, CONFIDENCE, ROUNDS = 3, 0.8, 3
@@ -112,24 +120,65 @@ def _instance(token: str) -> int:
     return int.from_bytes(hashlib.blake2b(token.lower().encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
+def _written(text: str) -> Iterator[tuple[int, int]]:
+    """Addresses with a written-out at that stands between spaces: with brackets, or bare and followed by a written dot."""
+    at = 0
+    while m := _AT.search(text, at):
+        start, at = m.start(), m.end()
+        while start > 0 and m.start() - start < 2 and text[start - 1] in " \t":
+            start -= 1
+        first = start
+        while first > 0 and start - first < 64 and text[first - 1] in _LOCAL:  # no address has a longer local part
+            first -= 1
+        if d := (_DOMAIN if m.group()[0] not in "Aa" else _DOTTED).match(text, m.end()):
+            if first < start and any(c in " \t" for c in text[first : d.end()]):
+                yield first, d.end()
+                at = d.end()
+
+
+def _groups(text: str, start: int, end: int, free: int) -> int:
+    """The end of the longest run of digit groups from the token at ``start``, up to ``free``, that fits a kind; 0 if none."""
+    digits, stop, best = sum("0" <= c <= "9" for c in text[start:end]), end, 0
+    while digits <= 19 and (m := _NEXT_GROUP.match(text, stop)) and m.end() <= free:
+        stop = m.end()
+        digits += sum("0" <= c <= "9" for c in m.group())
+        if shape_fits(text[start:stop]):
+            best = stop
+    return best
+
+
 def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, list[int]]]:
-    """(start, end, kinds as bits, instance, contexts) of tokens with digits or a written @ outside the base spans."""
+    """(start, end, kinds as bits, instance, contexts) of tokens with digits or a written @ outside the base spans.
+
+    A token of digits that fits no kind is taken with the digit groups that follow it, as many as fit a kind together;
+    written-out addresses are one candidate with their spaces. Contexts stand before the whole candidate.
+    """
     out, at = [], 0
     starts, reach = [a for a, _, _ in spans], list(accumulate((b for *_, b in spans), max, initial=0))
+    written = [(a, b) for a, b in _written(text) if reach[bisect_left(starts, b)] <= a]
+    out += [(a, b, 1, _instance(text[a:b]), _context(text, a)) for a, b in written]
+    inside = [a for a, _ in written]
     while m := _TOKEN_HINT.search(text, at):
         start, end = m.start(), m.end()
         while start and not text[start - 1].isspace():
             start -= 1
         while end < len(text) and not text[end].isspace():
             end += 1
-        at = end
+        at, left, right = end, start, end
         while start < end and text[start] in _TRIM:
             start += 1
         while end > start and text[end - 1] in _TRIM:
             end -= 1
-        if start < end and reach[bisect_left(starts, end)] <= start:
-            out.append((start, end, shape_fits(text[start:end]), _instance(text[start:end]), _context(text, start)))
-    return out
+        k = bisect_left(inside, end)
+        if start < end and reach[bisect_left(starts, end)] <= start and not (k and written[k - 1][1] > start):
+            bits = shape_fits(text[start:end])
+            if not bits and _GROUP.fullmatch(text, left, right):
+                after = bisect_left(starts, end)
+                if stop := _groups(text, left, right, starts[after] if after < len(starts) else len(text)):
+                    start, end = left, stop
+                    bits = shape_fits(text[start:end])
+            out.append((start, end, bits, _instance(text[start:end]), _context(text, start)))
+    return sorted(out, key=lambda c: c[:2])
 
 
 _SCAN = "key {}, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base array<struct<start:int,kind:int,stop:int>>, base_sha256 string, seeds array<struct<kind:int,instance:bigint,contexts:array<bigint>>>, found array<struct<start:int,stop:int,fits:int,instance:bigint,contexts:array<bigint>>>"
@@ -161,28 +210,31 @@ def scan(df: DataFrame, text_col: str = "text", key: str = "doc_id") -> DataFram
     return df.select(df[key], df[text_col]).mapInArrow(run, _SCAN.format(df.schema[key].dataType.simpleString()))
 
 
-def score_patterns(scanned: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT) -> DataFrame:
+def score_patterns(scanned: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
     """Confidence of each pattern (context, kind) with at least ``support`` different seeds.
 
     In each round a pattern's confidence is the mean score of the tokens it stands before, seeds of its kind being 1, seeds
-    of another kind 0 and other tokens what their best pattern gave them; the seeds are then fixed and other tokens take the
-    highest confidence of their patterns. Everything is summed up by (context, instance) before it is joined.
+    of another kind 0 and other tokens what their best pattern of the round before gave them. Tokens that reach
+    ``confidence`` are seeds in the next round, wherever they stand, and induce new patterns there. Everything is summed up
+    by (context, instance) before it is joined.
     """
     seeds = scanned.select(F.explode("seeds").alias("s")).select("s.kind", "s.instance", F.explode("s.contexts").alias("context")).groupBy("context", "kind", "instance").agg(F.count(F.lit(1)).alias("n"))
-    patterns = seeds.groupBy("context", "kind").agg(F.count(F.lit(1)).alias("support"), F.sum("n").alias("own")).where(F.col("support") >= support)
-    total = seeds.groupBy("context").agg(F.sum("n").alias("seen"))
     others = scanned.select(F.explode("found").alias("f")).select("f.fits", "f.instance", F.explode("f.contexts").alias("context")).groupBy("context", "instance", "fits").agg(F.count(F.lit(1)).alias("n"))
-    patterns = cut_lineage(patterns.join(total, "context"))
-    others = cut_lineage(others.join(patterns.select("context").distinct(), "context", "left_semi"))
-    met = others.groupBy("context").agg(F.sum("n").alias("met"))
-    scored = patterns.join(met, "context", "left").withColumn("met", F.coalesce("met", F.lit(0))).withColumn("confidence", F.col("own") / (F.col("seen") + F.col("met")))
-    edges = others.join(patterns.select("context", "kind"), "context").where(F.expr("shiftright(fits, kind) & 1 = 1"))
-    for _ in range(rounds - 1):
-        scored = cut_lineage(scored.select("context", "kind", "support", "own", "seen", "met", "confidence"))
-        best = edges.join(scored.select("context", "kind", "confidence"), ["context", "kind"]).groupBy("instance", "kind").agg(F.max("confidence").alias("score"))
-        lent = edges.join(best, ["instance", "kind"]).groupBy("context", "kind").agg(F.sum(F.col("n") * F.col("score")).alias("lent"))
-        scored = scored.join(lent, ["context", "kind"], "left").withColumn("confidence", (F.col("own") + F.coalesce("lent", F.lit(0.0))) / (F.col("seen") + F.col("met")))
-    return scored.select("context", "kind", "support", "confidence")
+    seeds, others = cut_lineage(seeds), cut_lineage(others)
+    met = seeds.select("context", "n").union(others.select("context", "n")).groupBy("context").agg(F.sum("n").alias("met"))
+    known, best, scored = seeds, None, None
+    for k in range(rounds):
+        if k:
+            edges = others.where("fits > 0").join(scored.select("context", "kind", "confidence"), "context").where(F.expr("shiftright(fits, kind) & 1 = 1"))
+            best = cut_lineage(edges.groupBy("instance", "kind").agg(F.max("confidence").alias("score")))
+            sure = best.where(F.col("score") >= confidence).groupBy("instance").agg(F.max_by("kind", F.struct("score", -F.col("kind"))).alias("kind"))
+            known = seeds.union(others.join(sure, "instance").select("context", "kind", "instance", "n"))
+            lent = edges.join(best, ["instance", "kind"]).join(sure.select("instance"), "instance", "left_anti").groupBy("context", "kind").agg(F.sum(F.col("n") * F.col("score")).alias("lent"))
+        patterns = known.groupBy("context", "kind", "instance").agg(F.sum("n").alias("n")).groupBy("context", "kind").agg(F.count(F.lit(1)).alias("support"), F.sum("n").alias("own")).where(F.col("support") >= support)
+        patterns = patterns.join(met, "context")
+        patterns = patterns.join(lent, ["context", "kind"], "left") if k else patterns.withColumn("lent", F.lit(0.0))
+        scored = cut_lineage(patterns.select("context", "kind", "support", ((F.col("own") + F.coalesce("lent", F.lit(0.0))) / F.col("met")).alias("confidence")))
+    return scored
 
 
 def extract(df: DataFrame, text_col: str = "text", key: str = "doc_id", rounds: int = ROUNDS, support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
@@ -191,13 +243,15 @@ def extract(df: DataFrame, text_col: str = "text", key: str = "doc_id", rounds:
     Returns key, n_email, n_ip, n_card, n_phone and base_sha256 (of the base spans), and ``spans``: an array of
     (start, kind, stop, discovered) by start and then kind, ends exclusive, in code points. Discovered spans never replace
     base ones, overlap none of them, and must have a shape that their kind may have; of several patterns the most
-    confident names the kind. Null texts are empty. Repeated rows with the same key count each; where a key repeats, its
+    confident names the kind. Those within another discovered span are left out. Null texts are empty. Repeated rows with the same key count each; where a key repeats, its
     rows share the discovered spans of all of them that stand at the same places. An empty table gives an empty result.
     """
     scanned = cut_lineage(scan(df, text_col, key))
-    good = score_patterns(scanned, rounds, support).where(F.col("confidence") >= confidence)
+    good = score_patterns(scanned, rounds, support, confidence).where(F.col("confidence") >= confidence)
     tokens = scanned.select("key", F.explode("found").alias("f")).select("key", "f.start", "f.stop", "f.fits", F.explode("f.contexts").alias("context")).where("fits > 0")
     hits = tokens.join(good, "context").where(F.expr("shiftright(fits, kind) & 1 = 1")).groupBy("key", "start", "stop").agg(F.max_by("kind", F.struct("confidence", -F.col("kind"))).alias("kind"))
+    earlier = F.max("stop").over(Window.partitionBy("key").orderBy("start", F.col("stop").desc()).rowsBetween(Window.unboundedPreceding, -1))
+    hits = hits.withColumn("earlier", earlier).where("earlier is null or stop > earlier")
     new = hits.groupBy("key").agg(F.collect_list(F.struct("start", "kind", "stop", F.lit(True).alias("discovered"))).alias("new"))
     joined = scanned.join(new.withColumnRenamed("key", "_key"), F.col("key").eqNullSafe(F.col("_key")), "left")
     base = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["stop"].alias("stop"), F.lit(False).alias("discovered")))

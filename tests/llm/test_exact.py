@@ -220,6 +220,23 @@ def test_patterns_discover_unseen_identifiers(docs):
     assert clean[50] == "well then\nreach me at <email> soon" and clean[51] == "the total was 12 of 30 items" and "<email>" in clean[3]
 
 
+def test_patterns_discover_identifiers_with_spaces(docs):
+    seeds = [(i, f"reach me at user{i}@site{i}.org today\ncall my phone: +1 555 010 20{i} now\npaid by card: 4111 1111 1111 1111 ok") for i in range(10, 22)]
+    seeds += [(i + 100, f"paid by card: 5500 0000 0000 0{c} ok") for i, c in enumerate(("004",))] + [(200, "paid by card: 3400 0000 0000 009 ok")]
+    new = {50: ("call my phone: 555 123 4567 now", "555 123 4567", 3), 51: ("call my phone: (555) 123-4567.", "(555) 123-4567", 3), 52: ("reach me at jane (at) corp (dot) org soon", "jane (at) corp (dot) org", 0),
+           53: ("reach me at jane at corp dot org soon", "jane at corp dot org", 0), 54: ("paid by card: 4111 1111 1111 1112 ok", "4111 1111 1111 1112", 2)}
+    found = {r["doc_id"]: r["spans"] for r in pii.extract(docs([*seeds, *[(k, v[0]) for k, v in new.items()], (60, "we met at noon, 12 of 300 456 7890")])).collect()}
+    assert {k: [(new[k][0][s["start"] : s["stop"]], s["kind"]) for s in found[k]] for k in new} == {k: [v[1:]] for k, v in new.items()}
+    assert not found[60]
+
+
+def test_discoveries_are_seeds_of_new_patterns(docs):
+    seeds = [(i, f"reach me at user{i}@site{i}.org today") for i in range(40)]
+    hop = [(100 + i, f"reach me at p{x}(at)corp.org\nwrite unto p{x}(at)corp.org") for i, x in enumerate("abcd")]
+    found = {r["doc_id"]: r["spans"] for r in pii.extract(docs([*seeds, *hop, (200, "write unto new(at)other.org")])).collect()}
+    assert [(s["start"], s["stop"], s["kind"]) for s in found[200]] == [(11, 27, 0)] and len(found[100]) == 2
+
+
 # --- Matroska
 
 def test_matroska_round_trip(spark, docs, odd, sf_dir, table):
