@@ -14,13 +14,18 @@ def _ascii(x: Column) -> Column:
     return x.rlike(r"^[\x00-\x7F]*$")
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def nfc(x: Column) -> Column:
     """Unicode normalisation form C by the ICU library that Spark ships; ASCII texts skip it."""
-    return F.when(_ascii(x), x).otherwise(F.java_method(F.lit(_NORMALIZER), F.lit("compose"), x, F.lit(False)))
+    return _let(x, lambda v: F.when(_ascii(v), v).otherwise(F.java_method(F.lit(_NORMALIZER), F.lit("compose"), v, F.lit(False))))
 
 
 def casefold(x: Column) -> Column:
-    return F.when(_ascii(x), F.lower(x)).otherwise(F.java_method(F.lit(_CHARACTERS), F.lit("foldCase"), x, F.lit(True)))
+    return _let(x, lambda v: F.when(_ascii(v), F.lower(v)).otherwise(F.java_method(F.lit(_CHARACTERS), F.lit("foldCase"), v, F.lit(True))))
 
 
 def strip(x: Column) -> Column:
@@ -57,11 +62,6 @@ def sha256_mod(x: Column, modulus: int) -> Column:
     return _let(F.sha2(x, 256), fold)
 
 
-def _let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once, however often the body uses it."""
-    return F.transform(F.array(value), body)[0]
-
-
 def assign_split(fingerprint: Column, train: int = 80, validation: int = 10) -> Column:
     """train, validation or test by a hash of the fingerprint: the same one never meets itself in another split."""
     bucket = sha256_mod(F.concat(F.lit("split:"), fingerprint), 100)

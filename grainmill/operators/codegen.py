@@ -6,7 +6,7 @@ import json
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
@@ -104,9 +104,6 @@ def static_issues(files: DataFrame) -> DataFrame:
     return plain.unionByName(checked.select("path", F.lit("unbalanced brackets — the file is truncated or malformed").alias("problem")))
 
 
-_BULLET = r"(?:^|\n)\s*(?:[-*]|\d+\.)?\s*`?([\w./-]+\.(?:py|js|jsx|ts|tsx|go|rs|java|rb|php|html|css|json|sh|sql|md|ya?ml|toml))`?\s*[:—\-]\s*([^\n]*)"
-
-
 def file_plan(df: DataFrame, text: str = "text", key: str = "id", most: int = 8) -> DataFrame:
     """(key, place, path, purpose) of the files that a plan names, in order, first mention of a path only.
 
@@ -117,12 +114,48 @@ def file_plan(df: DataFrame, text: str = "text", key: str = "id", most: int = 8)
     field = lambda v, *names: F.coalesce(*[F.nullif(F.try_variant_get(v, f"$.{n}", "string"), F.lit("")) for n in names], F.lit(""))
     is_text = lambda v: F.schema_of_variant(v) == "STRING"
     listed = F.transform(items, lambda v: F.struct(F.when(is_text(v), F.try_variant_get(v, "$", "string")).otherwise(field(v, "path", "file")).alias("path"), F.when(is_text(v), F.lit("")).otherwise(field(v, "purpose", "description")).alias("purpose")))
-    lines = F.arrays_zip(F.regexp_extract_all(F.col(text), F.lit(_BULLET), F.lit(1)).alias("path"), F.transform(F.regexp_extract_all(F.col(text), F.lit(_BULLET), F.lit(2)), lambda p: strip(p)).alias("purpose"))
+    lines = F.arrays_zip(F.regexp_extract_all(F.col(text), F.lit(R.PLAN_LINE), F.lit(1)).alias("path"), F.transform(F.regexp_extract_all(F.col(text), F.lit(R.PLAN_LINE), F.lit(2)), lambda p: strip(p)).alias("purpose"))
     from_json = F.coalesce(F.size(items), F.lit(0)) > 0
     rows = plan.select(key, from_json.alias("_json"), F.posexplode(F.when(from_json, listed).otherwise(lines)).alias("at", "f"))
     good = rows.select(key, "_json", "at", normalize_path(F.col("f.path")).alias("path"), F.left("f.purpose", F.lit(300)).alias("purpose")).where("path is not null")
     first = good.groupBy(key, "path").agg(F.min(F.struct("at", "purpose", "_json")).alias("m"))
-    from pyspark.sql import Window
-
     placed = first.select(key, "path", "m.purpose", "m._json", F.row_number().over(Window.partitionBy(key).orderBy("m.at")).alias("place"))
     return placed.where(~F.col("_json") | (F.col("place") <= most)).select(key, F.col("place").cast("long").alias("place"), "path", "purpose")
+
+
+def plan_header(df: DataFrame, plan: DataFrame, text: str = "text", key: str = "id", fallback: str = "build") -> DataFrame:
+    """(key, project, language, entrypoint, test_command) of each plan that names a file; ``plan`` is what ``file_plan`` gave.
+
+    The entry point is the plan's own if it is one of its files, else the first; a command counts if it is a list of texts.
+    """
+    get = lambda name: F.coalesce(F.nullif(F.try_variant_get("_v", f"$.{name}", "string"), F.lit("")), F.lit(""))
+    slug = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(F.nullif(get("project"), F.lit("")), F.lit(fallback))), "[^a-z0-9-]+", "-"), "^-+|-+$", "")
+    words = F.try_variant_get("_v", "$.test_command", "array<variant>")
+    texts = F.forall(words, lambda v: F.schema_of_variant(v) == "STRING")
+    command = F.when(F.coalesce(texts, F.lit(False)), F.try_variant_get("_v", "$.test_command", "array<string>")).otherwise(F.array().cast("array<string>"))
+    files = plan.groupBy(F.col(key).alias("_key")).agg(F.min_by("path", "place").alias("_first"), F.collect_set("path").alias("_paths"))  # a plan's few files
+    v = df.select(key, F.try_parse_json(extract_json(text)).alias("_v"))
+    listed = F.coalesce(F.size(F.try_variant_get("_v", "$.files", "array<variant>")), F.lit(0)) > 0
+    v = v.select(key, F.when(listed, F.col("_v")).alias("_v"))
+    own = normalize_path(get("entrypoint"))
+    chosen = F.when(F.array_contains("_paths", own), own).otherwise(F.col("_first"))
+    return v.join(files, F.col(key) == F.col("_key")).select(key, F.coalesce(F.nullif(slug, F.lit("")), F.lit(fallback)).alias("project"), get("language").alias("language"), chosen.alias("entrypoint"), command.alias("test_command"))
+
+
+def review_body(files: Column, budget: int = 60000) -> Column:
+    """The files of a project for a reviewer, in order of their paths, each cut to its share of the budget."""
+    share = F.floor(F.lit(budget) / F.greatest(F.size(files), F.lit(1))).cast("int")
+    parts = F.transform(F.array_sort(F.map_entries(files)), lambda e: F.concat(F.lit("--- "), e["key"], F.lit(" ---\n"), F.left(e["value"], share)))
+    return F.array_join(parts, "\n\n")
+
+
+def review_targets(files: Column, rewrite: Column, issues: Column, most: int = 3) -> Column:
+    """The files to write anew: those a review lists, then those its issues (path, problem, fix) name, each once."""
+    named = F.concat(F.coalesce(rewrite, F.array().cast("array<string>")), F.coalesce(F.transform(issues, lambda i: i["path"]), F.array().cast("array<string>")))
+    return F.slice(F.array_distinct(F.filter(named, lambda p: F.array_contains(F.map_keys(files), p))), 1, most)
+
+
+def review_notes(issues: Column, path: Column) -> Column:
+    """What a review found in a file, a line for each issue."""
+    own = F.transform(F.filter(issues, lambda i: i["path"] == path), lambda i: F.concat(F.lit("- "), F.coalesce(i["problem"], F.lit("")), F.lit(" → "), F.coalesce(i["fix"], F.lit(""))))
+    return F.coalesce(F.nullif(F.array_join(own, "\n"), F.lit("")), F.lit("- the previous attempt was incomplete"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
+from ..functions.ranges import round_exact
 from ..functions.text import count_hints, strip
 
 
@@ -48,9 +49,19 @@ def attack_reason(text: Column) -> Column:
     return reduce(lambda a, p: a.when(low.rlike(p[0]), p[1]), R.ATTACKS[1:], F.when(low.rlike(R.ATTACKS[0][0]), R.ATTACKS[0][1]))
 
 
+_SECRET = "|".join(R.SECRETS)
+
+
 def scrub_secrets(text: Column) -> Column:
-    """Each secret as its first twelve characters in a note. Every pattern is at least that long, so a look-ahead sees them."""
-    return F.regexp_replace(text, r"(?=([\s\S]{1,12}))(?:" + "|".join(R.SECRETS) + ")", r"[REDACTED: $1]")
+    """Each secret as its first twelve characters in a note. Every pattern is at least that long, so a look-ahead sees them.
+
+    Texts without any, nearly all, are searched once and left as they are.
+    """
+    return F.when(text.rlike(_SECRET), F.regexp_replace(text, rf"(?=[spgAxeB-])(?=([\s\S]{{1,12}}))(?:{_SECRET})", r"[REDACTED: $1]")).otherwise(text)
+
+
+def count_secrets(text: Column) -> Column:
+    return F.when(text.rlike(_SECRET), F.regexp_count(text, F.lit(_SECRET))).when(text.isNotNull(), 0).cast("long")
 
 
 def tool_call(text: Column) -> Column:
@@ -104,15 +115,15 @@ def is_code_task(text: Column) -> Column:
 
 
 def default_score(text: Column) -> Column:
-    """A cheap proxy of quality from length and structure; blank texts have -100."""
+    """A cheap proxy of quality from length and structure, to two decimals; blank texts have -100."""
     plain = strip(text)
     low = F.lower(text)
     words = F.size(F.split(plain, r"[\t-\r\x1c-\x20\x85\xa0]+"))
     score = F.least(words / F.lit(120.0), F.lit(3.0))
-    for test, gain in ((text.contains("\n\n"), 0.5), *[(text.contains(m), 0.75) for m in ("1.", "2.", "- ", "##")], (text.contains("```"), 0.5), (text.rlike(r"\p{Nd}"), 0.25),
-                       *[(low.contains(b), -1.5) for b in ("todo", "placeholder", "i think maybe", "lorem ipsum")], (plain.endswith("?") | plain.endswith("..."), -1.0)):
+    signs = [(text.contains(m), gain) for m, gain in R.GOOD_SIGNS] + [(text.rlike(r"\p{Nd}"), 0.25)]
+    for test, gain in (*signs, *[(low.contains(b), -1.5) for b in R.BAD_WORDS], (plain.endswith("?") | plain.endswith("..."), -1.0)):
         score = score + F.when(test, gain).otherwise(0.0)
-    return F.when(F.coalesce(F.length(plain), F.lit(0)) == 0, -100.0).otherwise(score)
+    return F.when(F.coalesce(F.length(plain), F.lit(0)) == 0, -100.0).otherwise(round_exact(score))
 
 
 def large_code_block(text: Column, least: int = 3000) -> Column:
@@ -123,5 +134,39 @@ def large_code_block(text: Column, least: int = 3000) -> Column:
     return F.when(F.size(large) > 0, F.element_at(large, -1))
 
 
+def saved_extension(language: Column) -> Column:
+    """The extension under which a block of code is saved."""
+    return F.coalesce(F.get(F.map_values(F.map_filter(F.create_map(*[F.lit(x) for kv in R.SAVED_AS.items() for x in kv]), lambda k, v: k == language)), F.lit(0)), F.lit("txt"))
+
+
 def server_event(payload: Column) -> Column:
     return F.concat(F.lit("data: "), F.to_json(payload), F.lit("\n\n"))
+
+
+def server_delta(ident: Column, created: Column, model: Column, text: Column, role: Column, finish: Column) -> Column:
+    """An event with a piece of a streamed answer: its role and content where given, and whether the answer ends."""
+    filled = lambda c: F.nullif(c, F.lit(""))
+    reason = F.when(finish, F.lit('"stop"')).otherwise(F.lit("null"))  # an explicit null, which to_json would leave out
+    head = F.to_json(F.struct(ident.alias("id"), F.lit("chat.completion.chunk").alias("object"), created.alias("created"), model.alias("model")))
+    delta = F.to_json(F.struct(filled(role).alias("role"), filled(text).alias("content")))
+    return F.concat(F.lit("data: "), F.left(head, F.length(head) - 1), F.lit(',"choices":[{"index":0,"delta":'), delta, F.lit(',"finish_reason":'), reason, F.lit("}]}\n\n"))
+
+
+def trim_result(text: Column, limit: int = 20000) -> Column:
+    """The end of a long tool result, marked as trimmed."""
+    return F.when(F.length(text) > limit, F.concat(F.lit("[trimmed] ... "), F.right(text, F.lit(limit)))).otherwise(text)
+
+
+def call_flow(calls: DataFrame, key: str = "session", order: str = "step", budget: int = 6) -> DataFrame:
+    """Adds ``action`` to the calls of sessions: run, warn (the call that failed last is repeated, for the first time), stop
+    (for the second time), or null for what comes after a stop or beyond the budget of rounds."""
+    w = Window.partitionBy(key).orderBy(order)
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    other = ~(F.lag("name").over(w).eqNullSafe(F.col("name")) & F.lag("arguments").over(w).eqNullSafe(F.col("arguments")))
+    df = calls.withColumns({"_place": F.row_number().over(w), "_run": F.sum(other.cast("int")).over(so_far)})
+    last = F.last("ok", ignorenulls=True).over(Window.partitionBy(key, "_run").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    df = df.withColumn("_again", F.coalesce(~last, F.lit(False)) & F.col("name").isNotNull())
+    df = df.withColumn("_nth", F.sum(F.col("_again").cast("int")).over(so_far))
+    stopped = F.coalesce(F.max(F.when(F.col("_again") & (F.col("_nth") >= 2), 1)).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) == 1
+    action = F.when(stopped | (F.col("_place") > budget), None).when(~F.col("_again"), "run").when(F.col("_nth") == 1, "warn").otherwise("stop")
+    return df.withColumn("action", action).drop("_place", "_run", "_again", "_nth")

@@ -13,13 +13,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
-from ..functions.text import assign_split, is_blank, normalize_code, normalize_prose, strip
+from ..functions.text import assign_fold, assign_split, is_blank, normalize_code, normalize_prose, strip
+from ..lineage import cut_lineage
 
 CANDIDATE = {
     "ord": "bigint", "id": "string", "instruction": "string", "category": "string", "difficulty": "string", "language": "string", "context": "string",
-    "expected_answer": "string", "code": "string", "files": "map<string,string>", "test_command": "array<string>", "tests_json": "string", "bad_tests": "int",
-    "source_type": "string", "source_teacher": "string", "source_generated_at": "string", "timeout_seconds": "int", "nulls": "array<string>", "bad": "array<string>",
+    "expected_answer": "string", "solution": "string", "code": "string", "files": "map<string,string>", "test_command": "array<string>", "tests_json": "string", "bad_tests": "int",
+    "source_type": "string", "source_teacher": "string", "source_generated_at": "string", "source_json": "string", "metadata": "map<string,string>", "timeout_seconds": "int",
+    "nulls": "array<string>", "bad": "array<string>",
 }
+#: Columns of a candidate that may be long; decisions are taken without carrying them.
+LONG = ("instruction", "context", "expected_answer", "solution", "code", "files", "test_command", "tests_json", "source_json", "metadata")
 
 
 def typed(df: DataFrame) -> DataFrame:
@@ -123,7 +127,8 @@ def score_dimensions(status: Column | None = None, timed_out: Column | None = No
     executable = F.coalesce(F.col("category").isin(*R.EXECUTABLE), F.lit(False))
     given = reduce(lambda a, b: a + b, [_filled(c).cast("int") for c in ("instruction", "language", "category", "difficulty", "context", "expected_answer", "code", "tests_json")])
     text = F.coalesce("instruction", F.lit(""))
-    size, answer = F.length(strip(text)), F.length(strip(F.coalesce("expected_answer", F.lit(""))))
+    given_answer = F.coalesce(F.nullif(F.col("expected_answer"), F.lit("")), F.col("solution"), F.lit(""))
+    size, answer = F.length(strip(text)), F.length(strip(given_answer))
     low = F.lower(text)
     clarity = F.when(_any(*[low.contains(m) for m in ("lorem", "placeholder", "this is a test")]) | (size < 8), 20.0).when(size < 40, 60.0).when(size > 1200, 50.0).otherwise(90.0)
     verified = F.lit(0.0) if status is None else F.when(status == "passed", 100.0).when(status == "not_required", 80.0).when(F.coalesce(timed_out, F.lit(False)), 0.0).when(status.isNull(), 0.0).otherwise(20.0)
@@ -156,77 +161,104 @@ def score_total(dimensions: dict[str, Column]) -> Column:
 
 def _json_text(x: Column) -> Column:
     """Control characters as JSON writers with lower-case escapes have them."""
+    fixed = x
     for code in (0x0B, 0x0E, 0x0F, *range(0x1A, 0x20)):
-        x = F.replace(x, F.lit(f"\\u{code:04X}"), F.lit(f"\\u{code:04x}"))
-    return x
+        fixed = F.replace(fixed, F.lit(f"\\u{code:04X}"), F.lit(f"\\u{code:04x}"))
+    return F.when(x.contains("\\u00"), fixed).otherwise(x)
 
 
-def content_fingerprint() -> Column:
-    """SHA-256 of the canonical JSON of the ten fields that make up a candidate's content."""
-    text = lambda c, f, null: F.when(_listed("nulls", c), null).otherwise(f(F.coalesce(c, F.lit(""))))
+def _prose(c: str, normal: Column | None = None) -> Column:
+    """Normalised prose of a field; an explicit null is the text none."""
+    return F.when(_listed("nulls", c), "none").otherwise(normalize_prose(F.coalesce(c, F.lit(""))) if normal is None else normal)
+
+
+def content_fingerprint(instruction: Column | None = None) -> Column:
+    """SHA-256 of the canonical JSON of the ten fields that make up a candidate's content.
+
+    ``instruction`` is its normalised prose, where that is at hand.
+    """
     tidy = F.transform_values(F.coalesce("files", F.create_map().cast("map<string,string>")), lambda k, v: normalize_code(v))
+    code = F.when(_listed("nulls", "code"), "None").otherwise(normalize_code(F.coalesce("code", F.lit(""))))
     fields = F.struct(
-        *[(F.coalesce(F.col(c), F.lit("")) if c != "language" else F.when(~_listed("nulls", c), F.coalesce(F.col(c), F.lit("")))).alias(c) for c in ("category",)],
-        text("code", normalize_code, "None").alias("code"), text("context", normalize_prose, "none").alias("context"), F.coalesce("difficulty", F.lit("")).alias("difficulty"),
-        text("expected_answer", normalize_prose, "none").alias("expected_answer"), F.map_from_entries(F.array_sort(F.map_entries(tidy))).alias("files"),
-        text("instruction", normalize_prose, "none").alias("instruction"), F.when(~_listed("nulls", "language"), F.coalesce("language", F.lit(""))).alias("language"),
+        F.coalesce("category", F.lit("")).alias("category"), code.alias("code"), _prose("context").alias("context"), F.coalesce("difficulty", F.lit("")).alias("difficulty"),
+        _prose("expected_answer").alias("expected_answer"), F.map_from_entries(F.array_sort(F.map_entries(tidy))).alias("files"),
+        _prose("instruction", instruction).alias("instruction"), F.when(~_listed("nulls", "language"), F.coalesce("language", F.lit(""))).alias("language"),
         F.coalesce("test_command", F.array().cast("array<string>")).alias("test_command"))
     json = F.to_json(fields, {"ignoreNullFields": "false"})
     return F.sha2(F.concat(_json_text(F.left(json, F.length(json) - 1)), F.lit(',"tests":'), F.coalesce("tests_json", F.lit("[]")), F.lit("}")), 256)
 
 
-def instruction_fingerprint() -> Column:
-    fields = F.struct(F.coalesce("category", F.lit("")).alias("category"), F.coalesce("difficulty", F.lit("")).alias("difficulty"),
-                      F.when(_listed("nulls", "instruction"), "none").otherwise(normalize_prose(F.coalesce("instruction", F.lit("")))).alias("instruction"),
+def instruction_fingerprint(instruction: Column | None = None) -> Column:
+    fields = F.struct(F.coalesce("category", F.lit("")).alias("category"), F.coalesce("difficulty", F.lit("")).alias("difficulty"), _prose("instruction", instruction).alias("instruction"),
                       F.when(~_listed("nulls", "language"), F.coalesce("language", F.lit(""))).alias("language"))
     return F.sha2(_json_text(F.to_json(fields, {"ignoreNullFields": "false"})), 256)
 
 
 def with_fingerprints(df: DataFrame) -> DataFrame:
-    return df.withColumns({"content_hash": content_fingerprint(), "instruction_hash": instruction_fingerprint()})
+    """Adds both hashes; the instruction is normalised once for them."""
+    prose = df.withColumn("_prose", normalize_prose(F.coalesce("instruction", F.lit(""))))
+    return prose.withColumns({"content_hash": content_fingerprint(F.col("_prose")), "instruction_hash": instruction_fingerprint(F.col("_prose"))}).drop("_prose")
 
 
 def deduplicate(df: DataFrame, id_prefix: str = "record-", key: str = "instruction_hash") -> DataFrame:
-    """Adds duplicate_type (null for rows that are kept) and duplicate_of.
+    """Adds duplicate_type (null for rows that are kept) and duplicate_of. ``ord`` tells rows apart.
 
     The first row of each instruction is kept; a later one is an exact duplicate if its content is that of the kept row, else a
-    near one. Equal contents have equal instructions, so this is what a scan that keeps first occurrences decides. Only hashes,
-    ordinals and ids are aggregated for it. ``key`` may name another column that tells the groups apart.
+    near one. Equal contents have equal instructions, so this is what a scan that keeps first occurrences decides. ``key`` may
+    name another column that tells the groups apart. ``df`` is computed once and held in the checkpoint folder: give it the
+    columns that are needed, not whole texts. Groups are summed up before the shuffle; the join that flags later rows has plain
+    exchanges on both sides, so that a hot instruction is split at run time.
     """
+    df = cut_lineage(df)
     name = F.when(F.coalesce(F.length("id"), F.lit(0)) > 0, F.col("id")).otherwise(F.concat(F.lit(id_prefix), F.left("content_hash", F.lit(16))))
-    first = df.groupBy(key).agg(F.min(F.struct("ord", name.alias("id"), "content_hash")).alias("_first"))
-    joined = df.join(first, key)
-    later = F.col("ord") != F.col("_first.ord")
-    kind = F.when(later, F.when(F.col("content_hash") == F.col("_first.content_hash"), "exact").otherwise("near_instruction"))
-    return joined.withColumns({"duplicate_type": kind, "duplicate_of": F.when(later, F.col("_first.id"))}).drop("_first")
+    first = df.groupBy(F.col(key).alias("_key")).agg(F.min(F.struct("ord", name.alias("id"), "content_hash")).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    first = cut_lineage(first.select("_key", "_first"))
+    own = df.select(F.col("ord").alias("_ord"), F.col(key).alias("_key"), F.col("content_hash").alias("_hash"))
+    later = own.join(first, "_key").where(F.col("_ord") != F.col("_first.ord"))
+    flags = later.select("_ord", F.when(F.col("_hash") == F.col("_first.content_hash"), "exact").otherwise("near_instruction").alias("duplicate_type"), F.col("_first.id").alias("duplicate_of"))
+    return df.join(flags, df["ord"] == flags["_ord"], "left").drop("_ord")
 
 
-def curate(candidates: DataFrame, results: DataFrame | None = None, min_score: float = R.MIN_SCORE) -> DataFrame:
-    """Every candidate with the reason of its rejection, or its score, fingerprint and split.
+_NO_RESULT = {"success": "boolean", "timed_out": "boolean", "exit_code": "int", "stdout": "string", "stderr": "string", "error": "string"}
 
-    ``results`` has what an executor returned for candidates to be verified: id, success, exit_code, stdout, stderr,
-    timed_out, error. The engine runs no code itself: a candidate that needs a result and has none fails the query.
-    """
+
+def _judged(candidates: DataFrame, results: DataFrame | None) -> DataFrame:
+    """Candidates with errors, labels, indicators, decision and the results of an executor."""
     df = typed(candidates).withColumn("errors", validation_errors())
     df = df.withColumns({"labels": pattern_labels(safety_corpus(), R.UNSAFE), "indicators": pattern_labels(safety_corpus(), R.SUSPICIOUS), "decision": executable_decision()})
     if results is None:
-        df = df.withColumns({"success": F.lit(None).cast("boolean"), "timed_out": F.lit(None).cast("boolean"), "exit_code": F.lit(None).cast("int"), "stdout": F.lit(None).cast("string"), "stderr": F.lit(None).cast("string"), "error": F.lit(None).cast("string")})
-    else:
-        df = df.join(results, "id", "left")
+        return df.withColumns({c: F.lit(None).cast(t) for c, t in _NO_RESULT.items()})
+    return df.join(results.select("id", *_NO_RESULT), "id", "left")
+
+
+def _outcome(needs: Column) -> Column:
+    """The reason by which an executed candidate fails; one without a result fails the query."""
+    lost = F.raise_error(F.concat(F.lit("no executor result for "), F.coalesce("id", F.lit("a candidate without id")))).cast("string")
+    checked = F.when(F.col("success").isNull(), lost).otherwise(verification_reason(F.col("success"), F.col("timed_out"), F.col("stdout"), F.col("stderr"), F.col("error")))
+    return F.when(needs, checked)
+
+
+def decide(candidates: DataFrame, results: DataFrame | None = None, min_score: float = R.MIN_SCORE) -> DataFrame:
+    """Every candidate, without its long columns, with the reason of its rejection, or its score, fingerprint and split.
+
+    ``results`` has what an executor returned for candidates to be verified: id, success, exit_code, stdout, stderr,
+    timed_out, error. The engine runs no code itself: a candidate that needs a result and has none fails the query.
+    All rules and hashes are evaluated in one pass over the texts.
+    """
+    df = _judged(candidates, results)
     early = F.when(F.size("errors") > 0, "malformed_record").when(F.size("labels") > 0, "unsafe_candidate").when(F.col("decision") == "unsupported_language", "unsupported_language")
     df = df.withColumn("early", early)
     df = df.withColumn("needs", F.col("early").isNull() & (F.col("decision") == "verify"))
     needs = F.col("needs")
-    lost = F.raise_error(F.concat(F.lit("no executor result for "), F.coalesce("id", F.lit("a candidate without id")))).cast("string")
-    checked = F.when(F.col("success").isNull(), lost).otherwise(verification_reason(F.col("success"), F.col("timed_out"), F.col("stdout"), F.col("stderr"), F.col("error")))
-    df = df.withColumn("early", F.coalesce("early", F.when(needs, checked)))
+    df = df.withColumn("early", F.coalesce("early", _outcome(needs)))
     df = df.withColumn("status", F.when(needs, F.when(F.col("success"), "passed").otherwise("failed")).otherwise("not_required")).drop("needs")
     dims = score_dimensions(F.col("status"), F.col("timed_out"), F.size("labels") > 0, F.col("indicators"))
     df = df.withColumn("score", F.when(F.col("early").isNull(), score_total(dims)))
     df = with_fingerprints(df.withColumn("early", F.coalesce("early", F.when(F.col("score") < min_score, "low_quality"))))
     # what is rejected already is a group of its own: it shadows no later row
     own = F.coalesce(F.when(F.col("early").isNull(), F.col("instruction_hash")), F.concat(F.lit("rejected "), F.col("ord").cast("string")))
-    both = deduplicate(df.withColumn("_group", own), key="_group").drop("_group")
+    narrow = df.withColumn("_group", own).drop(*LONG, "stdout", "stderr", "raw")
+    both = deduplicate(narrow, key="_group").drop("_group")
     shown = lambda c: F.when(F.col(c), "True").otherwise("False")
     both = both.withColumn("reason", F.coalesce("early", F.when(F.col("duplicate_type").isNotNull(), "duplicate")))
     detail = (
@@ -239,16 +271,85 @@ def curate(candidates: DataFrame, results: DataFrame | None = None, min_score: f
     return both.withColumns({"detail": detail, "split": F.when(F.col("reason").isNull(), assign_split(F.col("content_hash")))}).drop("early")
 
 
+def curate(candidates: DataFrame, results: DataFrame | None = None, min_score: float = R.MIN_SCORE) -> DataFrame:
+    """``decide`` with the long columns of the candidates, for exports. ``ord`` tells the candidates apart."""
+    decided = decide(candidates, results, min_score)
+    texts = typed(candidates).select(F.col("ord").alias("_ord"), *LONG)
+    return decided.join(texts, decided["ord"] == texts["_ord"], "left").drop("_ord")
+
+
+def verify_stage(candidates: DataFrame, results: DataFrame | None = None) -> DataFrame:
+    """The verification stage on its own: reason, detail and status of each candidate.
+
+    Unlike the full run it scans for nothing unsafe and accepts languages that can't be run; failures have one fixed detail.
+    """
+    df = _judged(candidates, results)
+    valid = F.size("errors") == 0
+    needs = valid & (F.col("decision") == "verify")
+    reason = F.coalesce(F.when(~valid, "malformed_record"), _outcome(needs))
+    df = df.withColumns({"reason": reason, "status": F.when(needs, F.when(F.col("success"), "passed").otherwise("failed")).when(valid, "not_required")})
+    return df.withColumn("detail", F.when(~valid, F.array_join("errors", "; ")).when(F.col("reason").isNotNull(), "verification failed"))
+
+
+def score_stage(candidates: DataFrame, min_score: float = R.MIN_SCORE) -> DataFrame:
+    """The scoring stage on its own: dimensions, total and whether it reaches the threshold, without validation.
+
+    Nothing was verified; only candidates without code count as not in need of it, whatever files they have.
+    """
+    df = typed(candidates).withColumns({"labels": pattern_labels(safety_corpus(), R.UNSAFE), "indicators": pattern_labels(safety_corpus(), R.SUSPICIOUS)})
+    status = F.when(~_filled("code"), "not_required")
+    dims = score_dimensions(status, F.lit(False), F.size("labels") > 0, F.col("indicators"))
+    total = score_total(dims)
+    return df.withColumns({"dimensions": F.struct(*[d.cast("double").alias(k) for k, d in dims.items()]), "total": total}).withColumn("passes", F.col("total") >= min_score)
+
+
+def export_stage(candidates: DataFrame, created_at: str, id_prefix: str = "record-") -> DataFrame:
+    """The export stage on its own: a record for every candidate, without validation or deduplication, so leakage is possible."""
+    df = with_fingerprints(typed(candidates)).withColumns({"reason": F.lit(None).cast("string"), "status": F.lit("not_required")})
+    return export_records(df.withColumn("split", assign_split(F.col("content_hash"))), created_at, id_prefix)
+
+
+def dataset_counts(records: DataFrame) -> DataFrame:
+    """One row: records, different fingerprints, and the sizes of the three splits."""
+    fp = F.col("metadata.fingerprint")
+    return records.agg(F.count(F.lit(1)).alias("records"), F.count_distinct(fp).alias("unique_fingerprints"), *[F.count_if(F.col("split") == s).alias(s) for s in R.SPLITS])
+
+
+def candidate_rows(rows: DataFrame, unnamed: str = "seed-unknown", note: str | None = None) -> DataFrame:
+    """Candidates from rows that give some fields only: the others get the defaults of hand-written seeds.
+
+    A row with ``test_code`` is executable: its code and tests become files with the standard test command. ``language`` is
+    python unless given; give the empty text for prose.
+    """
+    have = set(rows.columns)
+    given = lambda c, default: F.coalesce(F.col(c), F.lit(default)) if c in have else F.lit(default)
+    df = rows.withColumns({"id": given("id", unnamed), "category": given("category", "coding"), "difficulty": given("difficulty", "medium"), "language": given("language", "python"), "source_type": given("source_type", "human"),
+                           "source_json": F.lit('{"type":"human","license":"MIT"}'), "metadata": F.map_filter(F.create_map(F.lit("license"), F.lit("MIT"), F.lit("notes"), given("notes", note)), lambda k, v: v.isNotNull())})
+    if "test_code" in have:
+        tested = F.col("test_code").isNotNull()
+        df = df.withColumns({"files": F.when(tested, F.create_map(F.lit("main.py"), F.col("code"), F.lit("test_main.py"), F.col("test_code"))),
+                             "tests_json": F.when(tested, '[{"input":"python -m pytest -q","expected":"all tests pass"}]'), "test_command": F.when(tested, F.array(*map(F.lit, ("python", "-m", "pytest", "-q"))))}).drop("test_code")
+    return typed(df)
+
+
 def export_records(curated: DataFrame, created_at: str, id_prefix: str = "record-") -> DataFrame:
-    """Training records of what was kept, one struct of JSON-ready fields a row; fields without a value are null."""
+    """Training records of what was kept, one struct of JSON-ready fields a row; fields without a value are null.
+
+    ``tests`` and the source of synthetic rows are variants, as nested as they came; metadata keeps its own date if it has one.
+    """
     text = lambda c: F.when(F.coalesce(F.length(c), F.lit(0)) > 0, F.col(c))
-    source = F.coalesce(text("source_type"), F.lit("human"))
-    metadata = F.struct(source.alias("source"), F.coalesce(text("source_generated_at"), F.lit(created_at)).alias("created_at"),
-                        F.when(text("source_teacher").isNotNull() | (F.col("source_type") == "synthetic"), F.struct(F.col("source_type").alias("type"), F.col("source_teacher").alias("teacher"))).alias("provenance"), F.col("content_hash").alias("fingerprint"))
+    meta = lambda k: F.nullif(F.get(F.map_values(F.map_filter(F.coalesce("metadata", F.create_map().cast("map<string,string>")), lambda a, b: a == k)), F.lit(0)), F.lit(""))
+    more = F.map_filter("metadata", lambda k, v: ~k.isin("license", "notes", "source", "created_at"))
+    made = text("source_teacher").isNotNull() | (F.col("source_type") == "synthetic") | F.coalesce(F.try_variant_get(F.try_parse_json("source_json"), "$.provenance", "variant").isNotNull(), F.lit(False))
+    origin = F.coalesce(F.try_parse_json("source_json"), F.try_parse_json(F.to_json(F.struct(F.col("source_type").alias("type"), F.col("source_teacher").alias("teacher")))))
+    metadata = F.struct(meta("license").alias("license"), meta("notes").alias("notes"), F.coalesce(text("source_type"), meta("source"), F.lit("human")).alias("source"),
+                        F.coalesce(meta("created_at"), text("source_generated_at"), meta("generated_at"), F.lit(created_at)).alias("created_at"),
+                        F.when(made, origin).alias("provenance"), F.col("content_hash").alias("fingerprint"), F.when(F.size(more) > 0, more).alias("other"))
     return curated.where("reason is null").select(
         F.coalesce(text("id"), F.concat(F.lit(id_prefix), F.left("content_hash", F.lit(16)))).alias("id"), "category", "difficulty", "language", F.col("instruction").alias("prompt"),
-        text("context").alias("context"), text("expected_answer").alias("solution"), text("code").alias("code"), F.when(F.size("files") > 0, F.col("files")).alias("files"),
-        F.when(F.size("test_command") > 0, F.col("test_command")).alias("test_command"), F.struct((F.col("status") != "not_required").alias("required"), F.col("status").alias("status")).alias("verification"), metadata.alias("metadata"), "split")
+        text("context").alias("context"), F.coalesce(text("solution"), text("expected_answer")).alias("solution"), text("code").alias("code"), F.when(F.size("files") > 0, F.col("files")).alias("files"),
+        F.when(_filled("tests_json"), F.try_parse_json("tests_json")).alias("tests"), F.when(F.size("test_command") > 0, F.col("test_command")).alias("test_command"),
+        F.struct((F.col("status") != "not_required").alias("required"), F.col("status").alias("status")).alias("verification"), metadata.alias("metadata"), "split")
 
 
 def manifest_counts(curated: DataFrame) -> DataFrame:
@@ -272,8 +373,6 @@ def manifest_totals(curated: DataFrame) -> DataFrame:
 
 def fold_rows(rows: DataFrame, salt: str = "fold-v1") -> DataFrame:
     """Distilled rows without empty or repeated (prompt, completion), first kept, with the fold of their task."""
-    from ..functions.text import assign_fold
-
     full = rows.where(F.coalesce(F.length("completion"), F.lit(0)) > 0)
     nth = F.row_number().over(Window.partitionBy(F.sha2(F.concat(F.coalesce("prompt", F.lit("")), F.lit("\x00"), "completion"), 256)).orderBy("ord"))
     return full.withColumn("_nth", nth).where("_nth = 1").drop("_nth").withColumn("fold", assign_fold(F.coalesce(F.col("id"), F.lit("")), salt))

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import rules as R
+from ..functions.ranges import range_index, round_exact
 from ..functions.text import casefold, strip
+from ..lineage import cut_lineage
 
 EPSILON = 1e-9
 _FENCE = r"(?s)```(?:[a-zA-Z]+)?\s*\n?(.*?)```"
@@ -25,22 +28,26 @@ def extract_code(output: Column) -> Column:
 
 def clean_completion(output: Column) -> Column:
     """The answer after the last closing marker of a thinking scaffold; outputs without a scaffold stay as they are."""
-    opened = output.rlike(r"<think(?:ing)?>|<\|start_of_thought\|>|\A\s+thinking\b")
+    opened = output.rlike("|".join(R.OPENERS))
     head = F.regexp_replace(output, r"\A\s*<\s*(?:think(?:ing)?|start_of_thought)/?\s*\n?", "")
-    marker = r"</think(?:ing)?>|<\|end_of_thought\|>|<response>|<\|answer\|>|\n\s*response\b|\n<\|im_start\|>response"
+    marker = "|".join(R.CLOSERS)
     # of all markers the one that ends last; none of them can hold another that ends later
     rest = F.regexp_extract(head, rf"(?s)\A.*(?:{marker})(.*)\z", 1)
     return F.when(~opened, output).when(head.rlike(marker), strip(rest)).otherwise("")
 
 
 def grade_freeform(output: Column, rubric: Column, needed: Column) -> Column:
-    """Struct of pass, hits, terms: how many terms of a rubric the case-folded output contains. No terms, no grade."""
+    """Struct of pass, score, required, hits, terms, hit and missed: which terms of a rubric the case-folded output contains.
+
+    Without terms there is no grade. ``score`` is the share of the terms that were hit, to two decimals.
+    """
     terms = F.filter(rubric, lambda t: F.length(strip(t)) > 0)
     low = casefold(output)
-    hits = F.size(F.filter(terms, lambda t: low.contains(t)))
-    required = F.when(F.coalesce(needed, F.lit(0)) > 0, needed).otherwise(F.size(terms))
+    hit, missed = F.filter(terms, lambda t: low.contains(t)), F.filter(terms, lambda t: ~low.contains(t))
+    required = F.when(F.coalesce(needed, F.lit(0)) != 0, needed).otherwise(F.size(terms))
     some = F.size(terms) > 0
-    return F.struct(F.when(some, hits >= required).alias("pass"), F.when(some, hits).alias("hits"), F.size(terms).alias("terms"))
+    return F.struct(F.when(some, F.size(hit) >= required).alias("pass"), F.when(some, round_exact(F.size(hit) / F.size(terms))).alias("score"), F.when(some, F.least(required, F.size(terms))).alias("required"),
+                    F.when(some, F.size(hit)).alias("hits"), F.size(terms).alias("terms"), hit.alias("hit"), missed.alias("missed"))
 
 
 def grade_executable(success: Column, stdout: Column, expected: Column) -> Column:
@@ -48,6 +55,15 @@ def grade_executable(success: Column, stdout: Column, expected: Column) -> Colum
     return F.coalesce(success, F.lit(False)) & (expected.isNull() | F.coalesce(stdout.contains(expected), F.lit(False)))
 
 
+def grade_run(success: Column, exit_code: Column, timed_out: Column, stdout: Column, stderr: Column, expected: Column, unavailable: Column | None = None) -> Column:
+    """The grade of an executed task with its evidence; a run that could not be made has failed unverified, with the error."""
+    lost = F.lit(None).cast("string") if unavailable is None else unavailable
+    ran, tail = lost.isNull(), lambda c: F.when(lost.isNull(), F.right(F.coalesce(c, F.lit("")), F.lit(R.GRADED_TAIL)))
+    matched = expected.isNull() | F.coalesce(stdout.contains(expected), F.lit(False))
+    return F.struct((ran & F.coalesce(success, F.lit(False)) & matched).alias("pass"), ran.alias("verified"), F.when(ran, exit_code).alias("exit_code"), F.when(ran, timed_out).alias("timed_out"), F.when(ran, expected).alias("expected_output"),
+                    F.when(ran, matched).alias("output_matched"), tail(stdout).alias("stdout_truncated"), tail(stderr).alias("stderr_truncated"), F.concat(F.lit("sandbox unavailable: "), lost).alias("error"))
+
+
 def summarize(results: DataFrame) -> DataFrame:
     """Counts over all results, by category and by source, in one pass of grouping sets. The rate counts unscored ones too."""
     total = F.count(F.lit(1))
@@ -73,13 +89,14 @@ def compare(baseline: DataFrame, candidate: DataFrame) -> DataFrame:
 
 def verdict(compared: DataFrame, min_overall_delta: float = 0.0, max_category_regression: float = 0.0) -> DataFrame:
     """One row: whether the candidate passes the gate, by how much it differs overall, and why it fails."""
-    percent = lambda c: F.concat(F.when(c >= 0, "+").otherwise("-"), F.format_string("%.0f%%", F.abs(F.bround(c * 100, 0))))
+    percent = lambda c, digits: F.format_string(f"%+.{digits}f%%", round_exact(c * 100, digits))
     why = (
         F.when(F.col("base_scored").isNotNull() & F.col("cand_scored").isNull(), F.concat(F.lit("category missing from candidate: "), "category"))
-        .when(F.col("delta") < -max_category_regression - EPSILON, F.concat(F.lit("category regressed: "), "category", F.lit(" "), percent(F.col("delta")))))
-    total = compared.agg(*[F.sum(c).alias(c) for c in ("base_passed", "base_scored", "cand_passed", "cand_scored")], F.array_sort(F.collect_list(F.when(why.isNotNull(), F.struct("category", why.alias("why"))))).alias("regressions"))
+        .when(F.col("delta") < -max_category_regression - EPSILON, F.concat(F.lit("category regressed: "), "category", F.lit(" "), percent(F.col("delta"), 0), F.lit(f" (allowed {max_category_regression:.0%} drop)"))))
+    told = compared.withColumn("why", why)  # a row for each category
+    total = told.agg(*[F.sum(c).alias(c) for c in ("base_passed", "base_scored", "cand_passed", "cand_scored")], F.array_sort(F.collect_list(F.when(F.col("why").isNotNull(), F.struct("category", "why")))).alias("regressions"))
     delta = F.col("cand_passed") / F.col("cand_scored") - F.col("base_passed") / F.col("base_scored")
-    overall = F.when(delta.isNull(), "no scored tasks in one of the reports").when(delta < min_overall_delta - EPSILON, "overall pass rate fell or missed the target")
+    overall = F.when(delta.isNull(), "no scored tasks in one of the reports").when(delta < min_overall_delta - EPSILON, F.concat(F.lit("overall pass rate fell or missed the target: "), percent(delta, 2), F.lit(f" (required {min_overall_delta:+.2%})")))
     out = total.select(delta.alias("overall_delta"), F.array_compact(F.concat(F.array(overall), F.transform("regressions", lambda r: r["why"]))).alias("reasons"))
     return out.select((F.size("reasons") == 0).alias("passed"), "overall_delta", F.array_join("reasons", "; ").alias("reasons"))
 
@@ -114,7 +131,27 @@ def container_error(exit_code: Column, stderr: Column, stdout: Column) -> Column
     return F.when(exit_code.isin(125, 126, 127), F.concat(F.lit("Sandbox could not start the container (docker exit "), exit_code.cast("string"), F.lit("). "), F.element_at(F.split(strip(said), "\n"), -1)))
 
 
-def windows_by_category(results: DataFrame) -> DataFrame:
-    """Running pass rate of each category in order of ``ord``: rows without a grade repeat the rate so far."""
-    w = Window.partitionBy("category").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-    return results.withColumn("rate_so_far", F.sum(F.when(F.col("pass"), 1).otherwise(0)).over(w) / F.nullif(F.count("pass").over(w), F.lit(0)))
+def run_summary(success: Column, exit_code: Column, stdout: Column, stderr: Column) -> Column:
+    """What a verification says of a run: that it passed, or its exit code and both streams."""
+    part = lambda c, default: F.coalesce(c.cast("string"), F.lit(default))
+    failed = F.concat(F.lit("Verification failed.\nExit code: "), part(exit_code, "-1"), F.lit("\nSTDOUT:\n"), part(stdout, ""), F.lit("\nSTDERR:\n"), part(stderr, ""))
+    return F.when(F.coalesce(success, F.lit(False)), "Verification passed.").otherwise(failed)
+
+
+def windows_by_category(results: DataFrame, blocks: int = 64) -> DataFrame:
+    """Running pass rate of each category in order of ``ord``: rows without a grade repeat the rate so far.
+
+    Rows are dealt to blocks between quantiles of ``ord``; counts of the blocks before are added to those within a block, so no
+    task holds more than one block of one category, however large that is.
+    """
+    cuts = sorted(set(results.agg(F.percentile_approx("ord", [i / blocks for i in range(1, blocks)]).alias("c")).first()["c"] or []))
+    dealt = results.withColumn("_block", range_index(F.col("ord"), cuts))
+    passed, graded = F.sum(F.when(F.col("pass"), 1).otherwise(0)), F.count("pass")
+    before = Window.partitionBy("category").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = dealt.groupBy("category", "_block").agg(passed.alias("_p"), graded.alias("_g"))
+    sums = sums.select(F.col("category").alias("_c"), F.col("_block").alias("_b"), F.coalesce(F.sum("_p").over(before), F.lit(0)).alias("_p"), F.coalesce(F.sum("_g").over(before), F.lit(0)).alias("_g"))
+    within = Window.partitionBy("category", "_block").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
+    rows = dealt.withColumns({"_own_p": passed.over(within), "_own_g": graded.over(within)})
+    both = rows.join(cut_lineage(sums), F.col("category").eqNullSafe(F.col("_c")) & (F.col("_block") == F.col("_b")), "left")  # blocks x categories rows
+    rate = (F.col("_p") + F.col("_own_p")) / F.nullif(F.col("_g") + F.col("_own_g"), F.lit(0))
+    return both.withColumn("rate_so_far", rate).drop("_block", "_p", "_g", "_own_p", "_own_g", "_c", "_b")

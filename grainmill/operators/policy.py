@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import shlex
 from functools import reduce
 
 from pyspark.sql import Column
@@ -54,19 +55,47 @@ def time_limit(requested: Column, default: int = 20, most: int = 120) -> Column:
     return F.when(asked >= 1, F.least(asked, F.lit(most)))
 
 
+def host_limit(seconds: Column, most: int = 120) -> Column:
+    """Seconds after which the host ends a run itself."""
+    return F.least(seconds + 5, F.lit(most))
+
+
+def command_words(command: Column | str) -> Column:
+    """The words of a shell line, quotes and escapes resolved; null if a quote or escape is left open."""
+
+    def split(line: str | None) -> list[str] | None:
+        try:
+            return shlex.split(line or "")
+        except ValueError:
+            return None
+
+    return F.pandas_udf(lambda lines: lines.map(split), "array<string>")(command)
+
+
 def inspect_command(command: Column) -> Column:
-    """Whether a shell line may run, as a struct (allowed, reason). Words are split at white space."""
-    plain = strip(command)
-    first = F.element_at(F.split(F.split(plain, r"\s+")[0], "/"), -1)
-    low = F.lower(command)
-    quotes = F.length(command) - F.length(F.replace(command, F.lit('"'), F.lit("")))
-    singles = F.length(command) - F.length(F.replace(command, F.lit("'"), F.lit("")))
-    reason = F.when(F.length(plain) == 0, "Empty command").when((quotes % 2 == 1) | (singles % 2 == 1), "Invalid shell syntax").when(first.isin(*R.BLOCKED_COMMANDS), F.concat(F.lit("Blocked command: "), first))
-    for p in R.BLOCKED_PATTERNS:
-        reason = reason.when(low.contains(p), f"Blocked sensitive path/pattern: {p}")
-    return F.struct(reason.otherwise(None).isNull().alias("allowed"), F.coalesce(reason.otherwise(None), F.lit("Allowed")).alias("reason"))
-
-
-def needs_confirmation(command: Column) -> Column:
-    """Every command that may run at all is to be confirmed."""
-    return inspect_command(command)["allowed"]
+    """Whether a shell line may run, as a struct (allowed, reason). Its first word decides, as a shell would read it."""
+
+    def decide(words: Column) -> Column:
+        first = F.element_at(F.split(words[0], "/"), -1)
+        low = F.lower(command)
+        reason = F.when(F.length(strip(command)) == 0, "Empty command").when(words.isNull(), "Invalid shell syntax").when(F.size(words) == 0, "Empty command").when(first.isin(*R.BLOCKED_COMMANDS), F.concat(F.lit("Blocked command: "), first))
+        for p in R.BLOCKED_PATTERNS:
+            reason = reason.when(low.contains(p), f"Blocked sensitive path/pattern: {p}")
+        return reason.otherwise(None)
+
+    reason = decide(command_words(command))
+    return F.struct(reason.isNull().alias("allowed"), F.coalesce(reason, F.lit("Allowed")).alias("reason"))
+
+
+def confirmation(command: Column) -> Column:
+    """Struct (allowed, requires_confirmation, reason): every command that may run at all is to be confirmed."""
+    seen = inspect_command(command)
+    return F.struct(seen["allowed"].alias("allowed"), seen["allowed"].alias("requires_confirmation"), F.when(seen["allowed"], "Command requires confirmation.").otherwise(seen["reason"]).alias("reason"))
+
+
+def tool_command(language: Column, command: Column) -> Column:
+    """The command of a test run: the one given, else the language's own; an unknown language without one fails the query."""
+    own = F.raise_error(F.concat(F.lit("Unsupported language: "), F.coalesce(language, F.lit("None")))).cast("array<string>")
+    for name, words in R.TOOL_COMMANDS.items():
+        own = F.when(language == name, F.array(*map(F.lit, words))).otherwise(own)
+    return F.coalesce(command, own)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions import rules as R
+
 _LINK = r'(?is)<a[^>]+href="([^"]+)"[^>]*>(.*?)</a>'
 
 
@@ -40,3 +42,18 @@ def paired_results(titles: Column, urls: Column) -> Column:
 def first_non_empty(*sources: Column) -> Column:
     """The result of the first source that has any."""
     return F.coalesce(*[F.when(F.size(s) > 0, s) for s in sources])
+
+
+def search_results(html: Column, most: int = 8) -> Column:
+    """Struct (source, results) of the first kind of result page that gives any link; null if none does."""
+    found = None
+    for name, pattern in reversed(R.RESULT_LINKS):
+        own = links(html, most, pattern)
+        found = F.when(F.size(own) > 0, F.struct(F.lit(name).alias("source"), own.alias("results"))).otherwise(found)
+    return found
+
+
+def result_list(found: Column) -> Column:
+    """Results as numbered lines under a heading; null without results."""
+    lines = F.transform(found["results"], lambda r, i: F.concat((i + 1).cast("string"), F.lit(". "), r["title"], F.lit(" — "), r["url"]))
+    return F.concat(F.lit("Web search results ("), found["source"], F.lit("):\n"), F.array_join(lines, "\n"))

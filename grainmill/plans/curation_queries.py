@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions import text as T
+from ..lineage import spread
 from ..operators import curation as C
 from . import sql as S
 
@@ -31,19 +32,19 @@ def query(name: str, oracle: str | None = None):
 def cand(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as candidates: category and difficulty come from their lengths, with one invalid value each."""
     pick = lambda m, names: reduce(lambda a, kv: a.when(F.col("n_chars") % m == kv[0], kv[1]), enumerate(names), F.when(F.lit(False), ""))
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     return C.typed(docs.select(F.col("doc_id").alias("ord"), F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("id"), F.col("text").alias("instruction"),
                                pick(8, (*R.CATEGORIES, "cooking")).alias("category"), pick(5, (*R.DIFFICULTIES, "extreme")).alias("difficulty"), F.col("lang").alias("language")))
 
 
 @query("normalize_prose", f"SELECT doc_id, sha256({S.prose('text')}) AS prose_sha FROM documents")
 def _(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.sha2(T.normalize_prose(F.col("text")), 256).alias("prose_sha"))
+    return spread(table(spark, d, "documents")).select("doc_id", F.sha2(T.normalize_prose(F.col("text")), 256).alias("prose_sha"))
 
 
 @query("normalize_code", f"SELECT doc_id, sha256({S.code('text')}) AS code_sha FROM documents")
 def _(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.sha2(T.normalize_code(F.col("text")), 256).alias("code_sha"))
+    return spread(table(spark, d, "documents")).select("doc_id", F.sha2(T.normalize_code(F.col("text")), 256).alias("code_sha"))
 
 
 @query("content_fingerprint", f"WITH {S.CAND}, {S.HASHED} SELECT id, content_hash FROM hashed")
@@ -71,23 +72,28 @@ def _(spark, d):
     return cand(spark, d).select("id", T.assign_fold(F.col("id")).alias("fold"))
 
 
+def _hashed(spark, d):
+    return C.with_fingerprints(cand(spark, d)).select("ord", "id", "content_hash", "instruction_hash")
+
+
 _FIRSTS = f"WITH {S.CAND}, {S.HASHED}, firsts AS (SELECT instruction_hash, min(ord) AS first_ord, arg_min(id, ord) AS first_id, arg_min(content_hash, ord) AS first_hash FROM hashed GROUP BY instruction_hash)"
 
 
 @query("dedup_kept", f"{_FIRSTS} SELECT ord, id, content_hash FROM hashed JOIN firsts USING (instruction_hash) WHERE ord = first_ord")
 def _(spark, d):
-    return C.deduplicate(C.with_fingerprints(cand(spark, d))).where("duplicate_type is null").select("ord", "id", "content_hash")
+    return C.deduplicate(_hashed(spark, d)).where("duplicate_type is null").select("ord", "id", "content_hash")
 
 
 @query("dedup_duplicates", f"{_FIRSTS} SELECT id, CASE WHEN content_hash = first_hash THEN 'exact' ELSE 'near_instruction' END AS duplicate_type, first_id AS duplicate_of FROM hashed JOIN firsts USING (instruction_hash) WHERE ord <> first_ord")
 def _(spark, d):
-    return C.deduplicate(C.with_fingerprints(cand(spark, d))).where("duplicate_type is not null").select("id", "duplicate_type", "duplicate_of")
+    return C.deduplicate(_hashed(spark, d)).where("duplicate_type is not null").select("id", "duplicate_type", "duplicate_of")
 
 
 @query("leakage_check", f"WITH {S.CAND}, {S.HASHED}, firsts AS (SELECT 'kept' AS part, min(content_hash) AS fp FROM hashed GROUP BY instruction_hash), everything AS (SELECT 'all' AS part, content_hash AS fp FROM hashed UNION ALL SELECT part, fp FROM firsts) SELECT part, count(fp) AS total_fingerprints, count(DISTINCT fp) AS distinct_fingerprints, count(fp) = count(DISTINCT fp) AS passed FROM everything GROUP BY part")
 def _(spark, d):
-    hashed = C.with_fingerprints(cand(spark, d))
-    every = hashed.select(F.lit("all").alias("part"), F.col("content_hash").alias("fp")).union(C.deduplicate(hashed).where("duplicate_type is null").select(F.lit("kept"), "content_hash"))
+    flagged = C.deduplicate(_hashed(spark, d))
+    parts = F.array_compact(F.array(F.lit("all"), F.when(F.col("duplicate_type").isNull(), "kept")))
+    every = flagged.select(F.explode(parts).alias("part"), F.col("content_hash").alias("fp"))
     total, different = F.count("fp"), F.count_distinct("fp")
     return every.groupBy("part").agg(total.alias("total_fingerprints"), different.alias("distinct_fingerprints"), (total == different).alias("passed"))
 
@@ -126,7 +132,7 @@ _SCANNED = f"WITH {S.values('snippet', _SNIP, _SNIP_ROWS)}, corpus AS (SELECT do
 
 
 def _corpus(spark, d):
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("sid"), F.lit("documents").alias("origin"), F.col("text").alias("code"))
+    docs = spread(table(spark, d, "documents")).select(F.col("doc_id").alias("sid"), F.lit("documents").alias("origin"), F.col("text").alias("code"))
     return C.typed(docs.unionByName(frame(spark, _SNIP, _SNIP_ROWS).withColumn("origin", F.lit("fixture"))))
 
 
@@ -196,7 +202,7 @@ _X_DIMS = S.score_dims("status", code_col="code", files=_FILES, answer="expected
  s AS (SELECT *, CASE WHEN early IS NULL THEN {S.score_total(_X_DIMS)} END AS score FROM e), z AS (SELECT *, coalesce(early, CASE WHEN score < 30 THEN 'low_quality' END) AS gone FROM s)
  SELECT id, status, score, coalesce(gone, CASE WHEN row_number() OVER (PARTITION BY gone IS NULL, category, difficulty, language, {S.prose('instruction')} ORDER BY id) > 1 THEN 'duplicate' END) AS reason FROM z""")
 def _(spark, d):
-    return C.curate(_exec(spark), frame(spark, _RES, _RES_ROWS)).select("id", "status", "score", "reason")
+    return C.decide(_exec(spark), frame(spark, _RES, _RES_ROWS)).select("id", "status", "score", "reason")
 
 
 _DIMS = S.score_dims("'not_required'")
@@ -232,12 +238,12 @@ def _(spark, d):
 
 @query("pipeline_routed", f"WITH {S.CURATED} SELECT ord, id, reason, detail, score, split FROM curated")
 def _(spark, d):
-    return C.curate(cand(spark, d)).select("ord", "id", "reason", "detail", "score", "split")
+    return C.decide(cand(spark, d)).select("ord", "id", "reason", "detail", "score", "split")
 
 
 @query("rejection_reasons", f"WITH {S.CURATED} SELECT reason, count(*) AS n FROM curated WHERE reason IS NOT NULL GROUP BY reason")
 def _(spark, d):
-    return C.curate(cand(spark, d)).where("reason is not null").groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+    return C.decide(cand(spark, d)).where("reason is not null").groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 _LANG = "CASE WHEN coalesce(length(language), 0) = 0 THEN '(none)' ELSE language END"
@@ -245,12 +251,12 @@ _LANG = "CASE WHEN coalesce(length(language), 0) = 0 THEN '(none)' ELSE language
 
 @query("manifest_counts", f"WITH {S.CURATED}, k AS (SELECT * FROM curated WHERE reason IS NULL) " + " UNION ALL ".join(f"SELECT '{n}' AS dimension, {e} AS key, count(*) AS n FROM {t} WHERE {e} IS NOT NULL GROUP BY ALL" for n, e, t in (("category", "category", "k"), ("language", _LANG, "k"), ("difficulty", "difficulty", "k"), ("status", "status", "k"), ("split", "split", "k"), ("reason", "reason", "curated"))))
 def _(spark, d):
-    return C.manifest_counts(C.curate(cand(spark, d)))
+    return C.manifest_counts(C.decide(cand(spark, d)))
 
 
 @query("manifest_totals", f"WITH {S.CURATED} SELECT count(*) AS total_candidates, count(*) FILTER (reason = 'malformed_record') AS malformed_count, count(*) FILTER (reason = 'unsafe_candidate') AS unsafe_count, count(*) FILTER (reason IS NULL) AS verified_count, count(reason) AS rejected_count, count(*) FILTER (reason = 'duplicate') AS duplicate_count, least(100.0, min(score)) AS lowest_score, count(content_hash) FILTER (reason IS NULL) AS total_fingerprints, count(DISTINCT content_hash) FILTER (reason IS NULL) AS distinct_fingerprints, count(content_hash) FILTER (reason IS NULL) = count(DISTINCT content_hash) FILTER (reason IS NULL) AS leakage_passed FROM curated")
 def _(spark, d):
-    return C.manifest_totals(C.curate(cand(spark, d)))
+    return C.manifest_totals(C.decide(cand(spark, d)))
 
 
 @query("export_record", f"WITH {S.CURATED} SELECT id, category, difficulty, language, sha256(instruction) AS prompt_sha, false AS required, 'not_required' AS status, 'human' AS source, '2000-01-01T00:00:00+00:00' AS created_at, content_hash AS fingerprint, split FROM curated WHERE reason IS NULL")
@@ -261,10 +267,50 @@ def _(spark, d):
 
 @query("pipeline_flagship", f"WITH {S.CURATED} SELECT coalesce(reason, 'kept') AS outcome, category, difficulty, split, count(*) AS n, avg(score) AS mean_score FROM curated GROUP BY ALL")
 def _(spark, d):
-    done = C.curate(cand(spark, d))
+    done = C.decide(cand(spark, d))
     return done.groupBy(F.coalesce("reason", F.lit("kept")).alias("outcome"), "category", "difficulty", "split").agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("mean_score"))
 
 
 @query("label_quality_gate", "SELECT lang, coalesce(l.quality, -1)::BIGINT AS quality, count(*) AS n, count(*) FILTER (toxic = 1) AS toxic FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY ALL")
 def _(spark, d):
     return table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left").groupBy("lang", F.coalesce("quality", F.lit(-1)).cast("long").alias("quality")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce("toxic", F.lit(0)) == 1).alias("toxic"))
+
+
+_RUN_REASON = "CASE WHEN success THEN NULL WHEN timed_out THEN 'timeout' WHEN contains(stderr || stdout, 'not allowed') THEN 'invalid_command' WHEN error IS NOT NULL THEN 'execution_failed' ELSE 'tests_failed' END"
+_STAGE_ROWS = [*_EXEC_ROWS, ("x10", "  ", "coding", "easy", "python", "x", None, None, None, None), ("x11", "a fine request", "cooking", "extreme", "python", None, None, None, None, None)]
+_STAGE_RES = [*_RES_ROWS, ("x8", True, 0, "", "", False, None)]
+
+
+@query("verify_stage", f"""WITH {S.values('x', _EXEC, _STAGE_ROWS)}, {S.values('r', _RES, _STAGE_RES)}, e AS (SELECT *, {S.ERRORS} AS errors, {_DECISION} AS decision FROM x),
+ j AS (SELECT e.id, errors, CASE WHEN len(errors) > 0 THEN 'malformed_record' WHEN decision = 'verify' THEN {_RUN_REASON} END AS reason, CASE WHEN len(errors) > 0 THEN NULL WHEN decision = 'verify' THEN CASE WHEN success THEN 'passed' ELSE 'failed' END ELSE 'not_required' END AS status FROM e LEFT JOIN r USING (id))
+ SELECT id, reason, status, CASE WHEN reason = 'malformed_record' THEN array_to_string(errors, '; ') WHEN reason IS NOT NULL THEN 'verification failed' END AS detail FROM j""")
+def _(spark, d):
+    rows = C.typed(frame(spark, _EXEC, _STAGE_ROWS).withColumn("ord", F.substring("id", 2, 9).cast("long")))
+    return C.verify_stage(rows, frame(spark, _RES, _STAGE_RES)).select("id", "reason", "status", "detail")
+
+
+_CODE_LESS = "CASE WHEN coalesce(length(code), 0) = 0 THEN 'not_required' END"
+_STAGE_DIMS = S.score_dims(_CODE_LESS, code_col="code", files=_FILES, answer="expected_answer", command="coalesce(len(test_command), 0) > 0", unsafe=_UNSAFE_X, indicators=f"len({S.labels("coalesce(code, '')", R.SUSPICIOUS)})")
+
+
+@query("score_stage", f"WITH {S.values('x', _EXEC, _STAGE_ROWS)}, s AS (SELECT id, {S.score_total(_STAGE_DIMS)} AS total FROM x) SELECT id, total, total >= 30 AS passes FROM s")
+def _(spark, d):
+    rows = C.typed(frame(spark, _EXEC, _STAGE_ROWS).withColumn("ord", F.substring("id", 2, 9).cast("long")))
+    return C.score_stage(rows).select("id", "total", "passes")
+
+
+@query("export_stage", f"WITH {S.CAND}, {S.HASHED}, s AS (SELECT content_hash, {S.split('content_hash')} AS split FROM hashed) SELECT count(*) AS records, count(DISTINCT content_hash) AS unique_fingerprints, count(*) FILTER (split = 'train') AS train, count(*) FILTER (split = 'validation') AS validation, count(*) FILTER (split = 'test') AS test FROM s")
+def _(spark, d):
+    return C.dataset_counts(C.export_stage(cand(spark, d), "2000-01-01T00:00:00+00:00"))
+
+
+_SEED = {"ord": "BIGINT", "id": "VARCHAR", "instruction": "VARCHAR", "category": "VARCHAR", "language": "VARCHAR", "code": "VARCHAR", "test_code": "VARCHAR", "expected_answer": "VARCHAR", "notes": "VARCHAR"}
+_SEED_ROWS = [(1, "s1", "add numbers", None, None, "def add(a, b): return a + b", "assert True", "a + b", "own note"), (2, None, "why is it so", "reasoning", "", None, None, "because", None)]
+
+
+@query("seed_rows", f"""WITH {S.values('s', _SEED, _SEED_ROWS)} SELECT ord, coalesce(id, 'seed-unknown') AS id, coalesce(category, 'coding') AS category, 'medium' AS difficulty, coalesce(language, 'python') AS language, 'human' AS source, coalesce(notes, 'a seed') AS notes,
+ CASE WHEN test_code IS NOT NULL THEN 'main.py,test_main.py' END AS files, CASE WHEN test_code IS NOT NULL THEN 'python -m pytest -q' END AS command, CASE WHEN test_code IS NOT NULL THEN 'all tests pass' END AS expected FROM s""")
+def _(spark, d):
+    made = C.candidate_rows(frame(spark, _SEED, _SEED_ROWS), note="a seed")
+    return made.select("ord", "id", "category", "difficulty", "language", F.col("source_type").alias("source"), F.col("metadata")["notes"].alias("notes"), F.array_join(F.array_sort(F.map_keys("files")), ",").alias("files"),
+                       F.array_join("test_command", " ").alias("command"), F.get_json_object("tests_json", "$[0].expected").alias("expected"))

@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import rules as R
 from ..functions import text as T
+from ..lineage import spread
+from ..operators import distill as D
 from ..operators import evaluation as E
+from ..operators import suite as U
 from ..operators.curation import fold_rows
 from . import sql as S
 from .curation_queries import frame, table
@@ -37,11 +41,12 @@ _RUBRIC_ROWS = [("en", ["the", "and", "license"], 2), ("fr", ["que", "le ", "él
 
 
 @query("freeform_grade", f"""WITH {S.values('rubrics', _RUBRIC, _RUBRIC_ROWS)}, g AS (SELECT doc_id, list_filter(rubric, lambda t: trim(t) <> '') AS terms, rubric_min, replace(lower(text), 'ß', 'ss') AS low FROM documents LEFT JOIN rubrics USING (lang)),
- h AS (SELECT doc_id, len(terms)::BIGINT AS terms, len(list_filter(terms, lambda t: contains(low, t)))::BIGINT AS hits, coalesce(nullif(rubric_min, 0), len(terms)) AS needed FROM g)
- SELECT doc_id, terms, CASE WHEN terms > 0 THEN hits END AS hits, CASE WHEN terms > 0 THEN hits >= needed END AS pass FROM h""")
+ h AS (SELECT doc_id, len(terms)::BIGINT AS terms, list_filter(terms, lambda t: contains(low, t)) AS hit, list_filter(terms, lambda t: NOT contains(low, t)) AS missed, coalesce(nullif(rubric_min, 0), len(terms)) AS needed FROM g)
+ SELECT doc_id, terms, CASE WHEN terms > 0 THEN len(hit) END AS hits, CASE WHEN terms > 0 THEN len(hit) >= needed END AS pass, CASE WHEN terms > 0 THEN printf('%.2f', len(hit) / terms)::DOUBLE END AS score, CASE WHEN terms > 0 THEN least(needed, terms)::BIGINT END AS required,
+ array_to_string(hit, '|') AS hit, array_to_string(missed, '|') AS missed FROM h""")
 def _(spark, d):
-    graded = table(spark, d, "documents").join(F.broadcast(frame(spark, _RUBRIC, _RUBRIC_ROWS)), "lang", "left")  # a fixed table
-    return graded.select("doc_id", E.grade_freeform(F.col("text"), F.col("rubric"), F.col("rubric_min")).alias("g")).select("doc_id", F.col("g.terms").cast("long").alias("terms"), F.col("g.hits").cast("long").alias("hits"), "g.pass")
+    graded = spread(table(spark, d, "documents")).join(F.broadcast(frame(spark, _RUBRIC, _RUBRIC_ROWS)), "lang", "left")  # a fixed table
+    return graded.select("doc_id", E.grade_freeform(F.col("text"), F.col("rubric"), F.col("rubric_min")).alias("g")).select("doc_id", F.col("g.terms").cast("long").alias("terms"), F.col("g.hits").cast("long").alias("hits"), "g.pass", "g.score", F.col("g.required").cast("long").alias("required"), F.array_join("g.hit", "|").alias("hit"), F.array_join("g.missed", "|").alias("missed"))
 
 
 _RUNS = {"id": "BIGINT", "success": "BOOLEAN", "stdout": "VARCHAR", "stderr": "VARCHAR", "expected": "VARCHAR", "timed_out": "BOOLEAN", "error": "VARCHAR", "exit_code": "INTEGER"}
@@ -82,13 +87,17 @@ def _(spark, d):
     return E.rates(results(spark, d).where("run = 'baseline'"))
 
 
-_COMPARED = f"""WITH {_RESULTS}, {_RATES}, compared AS (SELECT category, b.passed AS base_passed, b.scored AS base_scored, c.passed AS cand_passed, c.scored AS cand_scored, b.passed / b.scored AS base_rate, c.passed / c.scored AS cand_rate, c.passed / c.scored - b.passed / b.scored AS delta
- FROM (SELECT * FROM rates WHERE run = 'baseline' AND category <> 'click') b FULL OUTER JOIN (SELECT * FROM rates WHERE run = 'candidate' AND category <> 'view') c USING (category))"""
+#: Categories that only one of the runs has, and one without a grade.
+_LONE = {"ord": "BIGINT", "user_id": "BIGINT", "category": "VARCHAR", "run": "VARCHAR", "source": "VARCHAR", "pass": "BOOLEAN", "value": "DOUBLE"}
+_LONE_ROWS = [(-1, -1, "retired", "baseline", "verified", True, 9.0), (-2, -2, "brand_new", "candidate", "verified", False, 2.0), (-3, -3, "", "baseline", "verified", False, 2.0), (-4, -4, "", "candidate", "verified", None, 0.5)]
+_BOTH = _RESULTS.replace("results AS", "events_as AS", 1) + f", {S.values('lone', _LONE, _LONE_ROWS)}, results AS (SELECT * FROM events_as UNION ALL SELECT * FROM lone)"
+_COMPARED = f"""WITH {_BOTH}, {_RATES}, compared AS (SELECT category, b.passed AS base_passed, b.scored AS base_scored, c.passed AS cand_passed, c.scored AS cand_scored, b.passed / b.scored AS base_rate, c.passed / c.scored AS cand_rate, c.passed / c.scored - b.passed / b.scored AS delta
+ FROM (SELECT * FROM rates WHERE run = 'baseline') b FULL OUTER JOIN (SELECT * FROM rates WHERE run = 'candidate') c USING (category))"""
 
 
 def _compared(spark, d):
-    r = results(spark, d)
-    return E.compare(r.where("run = 'baseline' and category <> 'click'"), r.where("run = 'candidate' and category <> 'view'"))
+    r = results(spark, d).unionByName(frame(spark, _LONE, _LONE_ROWS))
+    return E.compare(r.where("run = 'baseline'"), r.where("run = 'candidate'"))
 
 
 @query("gate_compare", f"{_COMPARED} SELECT * FROM compared")
@@ -99,8 +108,8 @@ def _(spark, d):
 _DELTA = "sum(cand_passed) / sum(cand_scored) - sum(base_passed) / sum(base_scored)"
 
 
-@query("gate_verdict", f"""{_COMPARED}, why AS (SELECT *, CASE WHEN base_scored IS NOT NULL AND cand_scored IS NULL THEN 'category missing from candidate: ' || category WHEN delta < -1e-9 THEN 'category regressed: ' || category || ' ' || '-' || round_even(abs(delta) * 100, 0)::BIGINT || '%' END AS why FROM compared),
- t AS (SELECT {_DELTA} AS overall_delta, list(why ORDER BY category) FILTER (why IS NOT NULL) AS listed FROM why), f AS (SELECT overall_delta, list_concat(CASE WHEN overall_delta < -1e-9 THEN ['overall pass rate fell or missed the target'] ELSE [] END, coalesce(listed, [])) AS reasons FROM t)
+@query("gate_verdict", f"""{_COMPARED}, why AS (SELECT *, CASE WHEN base_scored IS NOT NULL AND cand_scored IS NULL THEN 'category missing from candidate: ' || category WHEN delta < -1e-9 THEN 'category regressed: ' || category || ' ' || printf('%+.0f%%', delta * 100) || ' (allowed 0% drop)' END AS why FROM compared),
+ t AS (SELECT {_DELTA} AS overall_delta, list(why ORDER BY category) FILTER (why IS NOT NULL) AS listed FROM why), f AS (SELECT overall_delta, list_concat(CASE WHEN overall_delta < -1e-9 THEN ['overall pass rate fell or missed the target: ' || printf('%+.2f%%', overall_delta * 100) || ' (required +0.00%)'] ELSE [] END, coalesce(listed, [])) AS reasons FROM t)
  SELECT len(reasons) = 0 AS passed, overall_delta, array_to_string(reasons, '; ') AS reasons FROM f""")
 def _(spark, d):
     return E.verdict(_compared(spark, d))
@@ -166,3 +175,75 @@ def _(spark, d):
 def _(spark, d):
     n, own = T.usage_tokens(F.col("text")), F.col("role") == "assistant"
     return table(spark, d, "conversations").groupBy("conv_id").agg(F.sum(F.when(~own, n).otherwise(0)).alias("prompt_tokens"), F.sum(F.when(own, n).otherwise(0)).alias("completion_tokens"))
+
+
+@query("graded_runs", f"""WITH {S.values('r', _RUNS, _RUN_ROWS)}, g AS (SELECT *, error IS NULL AS ran, expected IS NULL OR coalesce(contains(stdout, expected), false) AS ok FROM r)
+ SELECT id, ran AND coalesce(success, false) AND ok AS pass, ran AS verified, CASE WHEN ran THEN ok END AS output_matched, CASE WHEN ran THEN right(coalesce(stdout, ''), 300) END AS stdout_tail, CASE WHEN ran THEN right(coalesce(stderr, ''), 300) END AS stderr_tail, 'sandbox unavailable: ' || error AS error FROM g""")
+def _(spark, d):
+    c = F.col
+    g = frame(spark, _RUNS, _RUN_ROWS).select("id", E.grade_run(c("success"), c("exit_code"), c("timed_out"), c("stdout"), c("stderr"), c("expected"), c("error")).alias("g"))
+    return g.select("id", "g.pass", "g.verified", "g.output_matched", F.col("g.stdout_truncated").alias("stdout_tail"), F.col("g.stderr_truncated").alias("stderr_tail"), "g.error")
+
+
+@query("run_summary", f"""WITH {S.values('r', _RUNS, _RUN_ROWS)} SELECT id, CASE WHEN coalesce(success, false) THEN 'Verification passed.' ELSE 'Verification failed.' || chr(10) || 'Exit code: ' || coalesce(exit_code::VARCHAR, '-1') || chr(10) || 'STDOUT:' || chr(10) || coalesce(stdout, '') || chr(10) || 'STDERR:' || chr(10) || coalesce(stderr, '') END AS summary FROM r""")
+def _(spark, d):
+    c = F.col
+    return frame(spark, _RUNS, _RUN_ROWS).select("id", E.run_summary(c("success"), c("exit_code"), c("stdout"), c("stderr")).alias("summary"))
+
+
+_REC = {"ord": "BIGINT", "id": "VARCHAR", "category": "VARCHAR", "difficulty": "VARCHAR", "language": "VARCHAR", "prompt": "VARCHAR", "files": "MAP(VARCHAR, VARCHAR)", "command": "VARCHAR[]", "code": "VARCHAR"}
+_REC_ROWS = [(1, "r1", "coding", "easy", "python", "write add", {"main.py": "x", "test_main.py": "y"}, None, "x = 1"), (2, "r2", "coding", "hard", "typescript", "write add in ts", {"math.ts": "x", "run.ts": "y"}, ["tsx", "run.ts"], "let x"),
+             (3, "r3", "reasoning", "easy", "", "why", None, None, None), (4, "r4", "security", "easy", "node", "harden", {"index.js": "z"}, [], "z"), (5, "r5", "general_chat", "easy", None, "hello", {}, None, None)]
+_RUB = {"id": "VARCHAR", "rubric": "VARCHAR[]", "rubric_min": "INTEGER"}
+_RUB_ROWS = [("r3", ["cause", "effect"], 1), ("b1", ["a"], 1)]
+_EXP = {"id": "VARCHAR", "expected_output": "VARCHAR"}
+_EXP_ROWS = [("r2", "5"), ("zz", "6")]
+_BASE = {"ord": "BIGINT", "id": "VARCHAR", "category": "VARCHAR", "difficulty": "VARCHAR", "prompt": "VARCHAR", "rubric": "VARCHAR[]", "rubric_min": "INTEGER", "source": "VARCHAR"}
+_BASE_ROWS = [(1, "b1", "reasoning", "easy", "explain a", ["a"], 1, "baseline"), (2, "b2", "coding", "medium", "explain b", ["b", "c"], None, "baseline")]
+_SUITE = f"""WITH {S.values('rec', _REC, _REC_ROWS)}, {S.values('rub', _RUB, _RUB_ROWS)}, {S.values('exp', _EXP, _EXP_ROWS)}, {S.values('base', _BASE, _BASE_ROWS)},
+ v AS (SELECT 1 AS part, ord, id, category, nullif(language, '') AS language, 'verified' AS source, prompt, rubric, rubric_min, coalesce(cardinality(files), 0) > 0 AS run, CASE WHEN language = 'python' THEN 'main.py' ELSE 'math.ts' END AS main, files, command, expected_output, language AS raw FROM rec LEFT JOIN rub USING (id) LEFT JOIN exp USING (id)),
+ suite AS (SELECT 0 AS part, ord, id, category, NULL AS language, source, prompt, rubric, rubric_min, false AS run, NULL AS main, NULL::MAP(VARCHAR, VARCHAR) AS files, NULL::VARCHAR[] AS command, NULL AS expected_output, NULL AS raw FROM base UNION ALL SELECT * FROM v)"""
+
+
+def _suite(spark):
+    base = frame(spark, _BASE, _BASE_ROWS)
+    return U.assemble(base, U.verified_tasks(frame(spark, _REC, _REC_ROWS), frame(spark, _RUB, _RUB_ROWS), frame(spark, _EXP, _EXP_ROWS)))
+
+
+@query("suite_tasks", f"""{_SUITE} SELECT part, ord, id, category, language, source, array_to_string(rubric, ',') AS rubric, rubric_min::BIGINT AS rubric_min, CASE WHEN run THEN main END AS main_file, CASE WHEN run THEN array_to_string(list_sort(list_filter(map_keys(files), lambda k: k <> main)), ',') END AS other_files,
+ CASE WHEN run THEN array_to_string(CASE WHEN len(command) > 0 THEN command ELSE ['python', '-m', 'pytest', '-q'] END, ' ') END AS command, CASE WHEN run THEN expected_output END AS expected, CASE WHEN run THEN raw = 'typescript' END AS has_contract FROM suite""")
+def _(spark, d):
+    g = F.col("grading")
+    return _suite(spark).select(F.col("part").cast("long").alias("part"), "ord", "id", "category", "language", "source", F.array_join("rubric", ",").alias("rubric"), F.col("rubric_min").cast("long").alias("rubric_min"), g["main_file"].alias("main_file"),
+                                F.array_join(F.array_sort(F.map_keys(g["other_files"])), ",").alias("other_files"), F.array_join(g["command"], " ").alias("command"), g["expected_output"].alias("expected"), F.when(g.isNotNull(), g["contract"].isNotNull()).alias("has_contract"))
+
+
+@query("suite_filter", f"{_SUITE} SELECT id FROM (SELECT * FROM suite WHERE category IN ('coding', 'reasoning') ORDER BY part, ord LIMIT 3)")
+def _(spark, d):
+    return U.select_tasks(_suite(spark), categories="coding, reasoning,", limit=3).select("id")
+
+
+@query("suite_prompts", f"""{_SUITE} SELECT id, prompt || CASE WHEN run THEN CASE WHEN raw = 'typescript' THEN chr(10) || chr(10) || {S.q(R.CONTRACTS['typescript'])} ELSE '' END || {S.q(R.CODE_ONLY)} ELSE '' END AS prompt FROM suite""")
+def _(spark, d):
+    return _suite(spark).select("id", U.task_prompt(F.col("prompt"), F.col("grading")).alias("prompt"))
+
+
+#: Events as samples of tasks, with outputs that are sometimes nothing but thoughts.
+_SAMPLES = "samples AS (SELECT user_id::VARCHAR AS id, event_id AS sample, event_type AS category, 'easy' AS difficulty, 'task ' || user_id AS prompt, CASE WHEN value < 9 THEN '<think>x</think>' ELSE '<think>x</think> ' || event_type END AS output, floor(value)::BIGINT AS tokens, CASE WHEN value < 1 THEN NULL ELSE value > 8 END AS pass, 'freeform' AS type FROM events)"
+
+
+def _samples(spark, d):
+    return table(spark, d, "events").select(F.col("user_id").cast("string").alias("id"), F.col("event_id").alias("sample"), F.col("event_type").alias("category"), F.lit("easy").alias("difficulty"), F.concat(F.lit("task "), F.col("user_id").cast("string")).alias("prompt"),
+                                            F.when(F.col("value") < 9, "<think>x</think>").otherwise(F.concat(F.lit("<think>x</think> "), "event_type")).alias("output"), F.floor("value").alias("tokens"), F.when(F.col("value") >= 1, F.col("value") > 8).alias("pass"), F.lit("freeform").alias("type"))
+
+
+@query("distilled_rows", f"""WITH {_SAMPLES}, {S.values('rec', _REC, _REC_ROWS)}, rows AS (SELECT reason, category, tokens FROM (SELECT 'distilled' AS reason, category, tokens, trim(replace(output, '<think>x</think>', '')) AS answer FROM samples WHERE pass) WHERE answer <> '' UNION ALL SELECT 'gold', category, NULL FROM rec WHERE cardinality(files) > 0)
+ SELECT 'all' AS dimension, 'all' AS key, count(*) AS n FROM rows UNION ALL SELECT 'reason', reason, count(*) FROM rows GROUP BY reason UNION ALL SELECT 'category', category, count(*) FROM rows GROUP BY category""")
+def _(spark, d):
+    rows = D.distilled_rows(_samples(spark, d), thinking=True).unionByName(D.gold_rows(frame(spark, _REC, _REC_ROWS)))
+    return D.row_counts(rows)
+
+
+@query("distill_tasks", f"""WITH {_SAMPLES}, {S.values('rec', _REC, _REC_ROWS)}, u AS (SELECT id, category, type, coalesce(pass, false) AS good FROM samples UNION ALL SELECT id, category, 'sandbox', true FROM rec WHERE cardinality(files) > 0) SELECT id, any_value(type) AS type, count(*) AS samples, count(*) FILTER (good) AS passed FROM u GROUP BY id""")
+def _(spark, d):
+    return D.task_table(_samples(spark, d), frame(spark, _REC, _REC_ROWS).where("cardinality(files) > 0")).select("id", "type", "samples", "passed")

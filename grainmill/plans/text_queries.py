@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
+from ..lineage import spread
 from ..operators import codegen as G
 from ..operators import conversation as V
 from ..operators import policy as P
+from ..operators import prompts as N
 from ..operators import repository as Y
 from ..operators import web as W
 from . import sql as S
@@ -100,8 +102,8 @@ _ANY = "|".join(R.SECRETS)
 
 @query("scrub_secrets", f"WITH {S.values('k', _KEYS, _KEY_ROWS)}, t AS (SELECT doc_id AS kid, 'documents' AS origin, text FROM documents UNION ALL SELECT kid, 'fixture', text FROM k), f AS (SELECT origin, kid, text, regexp_extract_all(text, {S.q(_ANY)}) AS hits FROM t) SELECT origin, kid, len(hits)::BIGINT AS hits, sha256(list_reduce(list_prepend(text, hits), lambda a, h: replace(a, h, '[REDACTED: ' || left(h, 12) || ']'))) AS scrubbed_sha FROM f")
 def _(spark, d):
-    texts = table(spark, d, "documents").select(F.col("doc_id").alias("kid"), F.lit("documents").alias("origin"), "text").unionByName(frame(spark, _KEYS, _KEY_ROWS).withColumn("origin", F.lit("fixture")))
-    return texts.select("origin", "kid", F.regexp_count("text", F.lit(_ANY)).cast("long").alias("hits"), F.sha2(V.scrub_secrets(F.col("text")), 256).alias("scrubbed_sha"))
+    texts = spread(table(spark, d, "documents")).select(F.col("doc_id").alias("kid"), F.lit("documents").alias("origin"), "text").unionByName(frame(spark, _KEYS, _KEY_ROWS).withColumn("origin", F.lit("fixture")))
+    return texts.select("origin", "kid", V.count_secrets(F.col("text")).alias("hits"), F.sha2(V.scrub_secrets(F.col("text")), 256).alias("scrubbed_sha"))
 
 
 for _name, _table_, _other in (("detect_domain", R.DOMAIN_HINTS, "general"), ("detect_category", R.CATEGORY_HINTS, "general_chat")):
@@ -121,9 +123,9 @@ _SCORE = f"least(len(string_split_regex({_PLAIN}, '[\\t-\\r\\x1c-\\x20\\x{{85}}\
     *[(f"contains(lower(text), '{b}')", -1.5) for b in ("todo", "placeholder", "i think maybe", "lorem ipsum")], (f"({_PLAIN} LIKE '%?' OR {_PLAIN} LIKE '%...')", -1.0)))
 
 
-@query("default_score", f"{_WITH_ASK} SELECT origin, aid, round_even(CASE WHEN length({_PLAIN}) = 0 THEN -100 ELSE {_SCORE} END, 6) AS score FROM asked")
+@query("default_score", f"{_WITH_ASK} SELECT origin, aid, CASE WHEN length({_PLAIN}) = 0 THEN -100 ELSE printf('%.2f', {_SCORE})::DOUBLE END AS score FROM asked")
 def _(spark, d):
-    return _asked(spark, d).select("origin", "aid", F.bround(V.default_score(F.col("text")), 6).alias("score"))
+    return _asked(spark, d).select("origin", "aid", V.default_score(F.col("text")).alias("score"))
 
 
 _CALL = {"session": "VARCHAR", "step": "BIGINT", "text": "VARCHAR", "ok": "BOOLEAN"}
@@ -152,6 +154,40 @@ def _(spark, d):
     return V.repeated_failing_calls(_calls(spark)).select("session", "step", "repeated")
 
 
+_FLOW = {"session": "VARCHAR", "step": "BIGINT", "name": "VARCHAR", "arguments": "VARCHAR", "ok": "BOOLEAN"}
+_FLOW_ROWS = [("a", 1, "read", "{}", False), ("a", 2, "read", "{}", None), ("a", 3, "read", "{}", None), ("a", 4, "list", "{}", True), ("b", 1, "x", "1", True), ("b", 2, "x", "1", False), ("b", 3, "x", "1", None), ("b", 4, "y", "1", False), ("b", 5, "y", "1", None), ("b", 6, "z", "1", True),
+              *[("c", k, "n", str(k), True) for k in range(1, 9)]]
+_FLOW_WANT = [("a", 1, "run"), ("a", 2, "warn"), ("a", 3, "stop"), ("a", 4, None), ("b", 1, "run"), ("b", 2, "run"), ("b", 3, "warn"), ("b", 4, "run"), ("b", 5, "stop"), ("b", 6, None), *[("c", k, "run" if k <= 6 else None) for k in range(1, 9)]]
+
+
+@query("call_flow", f"WITH {S.values('w', {'session': 'VARCHAR', 'step': 'BIGINT', 'action': 'VARCHAR'}, _FLOW_WANT)} SELECT * FROM w")
+def _(spark, d):
+    return V.call_flow(frame(spark, _FLOW, _FLOW_ROWS)).select("session", "step", "action")
+
+
+_DELTA = {"eid": "BIGINT", "text": "VARCHAR", "role": "VARCHAR", "finish": "BOOLEAN"}
+_DELTA_ROWS = [(1, "", "assistant", False), (2, "hé\n", None, False), (3, "", None, True)]
+_DELTA_WANT = [(k, f'data: {{"id":"c{k}","object":"chat.completion.chunk","created":7,"model":"m","choices":[{{"index":0,"delta":{d},"finish_reason":{f}}}]}}\n\n') for k, d, f in ((1, '{"role":"assistant"}', "null"), (2, '{"content":"hé\\n"}', "null"), (3, "{}", '"stop"'))]
+
+
+@query("server_delta", f"WITH {S.values('w', {'eid': 'BIGINT', 'event': 'VARCHAR'}, _DELTA_WANT)} SELECT * FROM w")
+def _(spark, d):
+    c = F.col
+    return frame(spark, _DELTA, _DELTA_ROWS).select("eid", V.server_delta(F.concat(F.lit("c"), c("eid").cast("string")), F.lit(7), F.lit("m"), c("text"), c("role"), c("finish")).alias("event"))
+
+
+_NOTES = N.Notes(domains={"general": "any", "web": "web notes", "game": "game notes", "graphics3d": "3d notes"}, categories={"debugging": "find it", "security": "guard it", "agentic": "loop", "software_engineering": "structure", "reasoning": "prove", "general_chat": "chat"}, shapes={"game": "a loop"}, steps="Now write the code.", review="Review it.")
+_case = lambda key, table, other="NULL": f"CASE {key} " + " ".join(f"WHEN {S.q(k)} THEN {S.q(v)}" for k, v in table.items()) + f" ELSE {other} END"
+
+
+@query("prompt_assembly", f"""{_WITH_ASK}, r AS (SELECT origin, aid, text, {S.first_best("lower(coalesce(text, ''))", R.DOMAIN_HINTS, 'general')} AS domain, {S.first_best("lower(coalesce(text, ''))", R.CATEGORY_HINTS, 'general_chat')} AS category, length(text) >= 40 AND ({S.hints('lower(text)', R.CODE_MARKERS)} >= 2 OR regexp_matches(lower(text), {S.q(R.CODE_STRUCTURE)})) AS wrapped FROM asked),
+ p AS (SELECT *, concat_ws(chr(10) || chr(10), 'DOMAIN NOTES:' || chr(10) || {_case('domain', _NOTES.domains)}, CASE WHEN category <> 'general_chat' THEN 'CATEGORY NOTES:' || chr(10) || {_case('category', _NOTES.categories)} END, 'REFERENCE SHAPE (adapt the structure, never the wording):' || chr(10) || {_case('domain', _NOTES.shapes)}) AS notes FROM r)
+ SELECT origin, aid, sha256(CASE WHEN wrapped THEN concat_ws(chr(10) || chr(10), 'TASK: ' || text, notes, 'Now write the code.') ELSE text END) AS prompt_sha, sha256('ORIGINAL REQUEST:' || chr(10) || text || chr(10) || chr(10) || 'CODE UNDER REVIEW:' || chr(10) || 'x' || chr(10) || chr(10) || 'Review it.') AS review_sha FROM p""")
+def _(spark, d):
+    text = F.col("text")
+    return _asked(spark, d).select("origin", "aid", F.sha2(N.wrap_request(text, _NOTES), 256).alias("prompt_sha"), F.sha2(N.review_prompt(text, F.lit("x"), _NOTES), 256).alias("review_sha"))
+
+
 _ARG = {"tool": "VARCHAR", "given": "VARCHAR[]", "accepted": "VARCHAR[]", "required": "VARCHAR[]"}
 _ARG_ROWS = [("read", ["path", "mode"], ["path", "limit"], ["path"]), ("write", ["text"], ["path", "text"], ["path", "text"]), ("list", [], ["root"], [])]
 
@@ -181,44 +217,101 @@ def _(spark, d):
     return table(spark, d, "pages").select("page_id", F.posexplode(W.links(F.col("html"))).alias("i", "l")).select("page_id", (F.col("i") + 1).cast("long").alias("place"), "l.title", "l.url")
 
 
+_HTML = {"page_id": "BIGINT", "html": "VARCHAR"}
+_HTML_ROWS = [(-1, '<a class="result__a" href="/l?uddg=https%3A%2F%2Fa.example%2Fx&amp;r=1">One <b>two</b></a><a rel="nofollow" href="u">lite</a>'), (-2, '<a class="result__a" href="v">html</a>'), (-3, '<li class="b_algo"><h2><a href="w&amp;x">list</a></li>'), (-4, '<a class="a snippet b" href="s">snip</a>'), (-5, "none")]
+_CHAIN_WANT = [(-1, "lite", 1, "lite", "u"), (-2, "html", 1, "html", "v"), (-3, "list", 1, "list", "w&x"), (-4, "snippet", 1, "snip", "s")]
+
+
+@query("provider_chain", f"WITH {S.values('w', {'page_id': 'BIGINT', 'source': 'VARCHAR', 'n': 'BIGINT', 'title': 'VARCHAR', 'url': 'VARCHAR'}, _CHAIN_WANT)} SELECT page_id, 'Web search results (' || source || '):' || chr(10) || '1. ' || title || ' — ' || url AS listed FROM w")
+def _(spark, d):
+    pages = table(spark, d, "pages").select("page_id", "html").unionByName(frame(spark, _HTML, _HTML_ROWS))
+    return pages.select("page_id", W.result_list(W.search_results(F.col("html"))).alias("listed")).where("listed is not null")
+
+
+_PAIR = {"sid": "BIGINT", "titles": "VARCHAR[]", "urls": "VARCHAR[]"}
+_PAIR_ROWS = [(1, ["a", "b"], ["u"]), (2, ["c"], ["v", "w"]), (3, [], ["x"])]
+
+
+@query("paired_results", f"WITH {S.values('p', _PAIR, _PAIR_ROWS)} SELECT sid, unnest(titles[1:least(len(titles), len(urls))]) AS title, unnest(urls[1:least(len(titles), len(urls))]) AS url FROM p")
+def _(spark, d):
+    return frame(spark, _PAIR, _PAIR_ROWS).select("sid", F.explode(W.paired_results(F.col("titles"), F.col("urls"))).alias("r")).select("sid", "r.title", "r.url")
+
+
 _TERMS = sorted({"the", "license", "version"})
 _REL = " + ".join(f"(length(lower(text)) - length(replace(lower(text), '{t}', ''))) // {len(t)}" for t in _TERMS)
 
 
 @query("memory_search_top8", f"SELECT doc_id, ({_REL})::BIGINT AS score, sha256(left(text, 8000)) AS content_sha FROM documents WHERE {_REL} > 0 ORDER BY score DESC, doc_id LIMIT 8")
 def _(spark, d):
-    return Y.search_memory(table(spark, d, "documents"), "the License version of", "doc_id").select("doc_id", "score", F.sha2("content", 256).alias("content_sha"))
+    return Y.search_memory(spread(table(spark, d, "documents")), "the License version of", "doc_id").select("doc_id", "score", F.sha2("content", 256).alias("content_sha"))
 
 
 _FILE = {"path": "VARCHAR", "code": "VARCHAR"}
 _FILE_ROWS = [("a.py", "def f(x):\n    return (x + 1)\n"), ("b.py", "# TODO: later\nx = [1"), ("c.js", "  \n"), ("d.ts", "let s = \"(\"; // )\nf({a: [1]});"), ("e.md", "((("), ("f.go", "func main() { it's }"), ("g.py", "raise NotImplementedError"), ("h.c", "/* ( */ int a[3];"), ("i.rb", "x = 'unclosed ("), ("j.java", "class A { } }")]
 
 
-@query("static_checks")
+_STATIC = {"path": "VARCHAR", "problem": "VARCHAR"}
+_STATIC_WANT = [("b.py", "contains a TODO/placeholder instead of logic"), ("b.py", "unbalanced brackets — the file is truncated or malformed"), ("c.js", "file is empty"), ("g.py", "contains a TODO/placeholder instead of logic"), ("j.java", "unbalanced brackets — the file is truncated or malformed")]
+
+
+@query("static_checks", f"WITH {S.values('w', _STATIC, _STATIC_WANT)} SELECT * FROM w")
 def _(spark, d):
     return G.static_issues(frame(spark, _FILE, _FILE_ROWS))
 
 
-@query("bracket_balance")
+@query("bracket_balance", f"WITH {S.values('w', {'path': 'VARCHAR', 'balanced': 'BOOLEAN'}, [(p, p not in ('b.py', 'e.md', 'j.java')) for p, _ in _FILE_ROWS])} SELECT * FROM w")
 def _(spark, d):
     files = frame(spark, _FILE, _FILE_ROWS)
     return files.select("path", G.bracket_balance("code").alias("balanced"))
 
 
 _PLAN = {"id": "VARCHAR", "text": "VARCHAR"}
-_PLAN_ROWS = [("p1", 'Sure: {"files": [{"path": "./src/a.py", "purpose": "one"}, "b.js", {"file": "/c.md", "description": "three"}, {"path": "../x.py"}, "src/a.py", "run.exe"], "project": "X"} done'), ("p2", "plan {bad json} then {\"a\": {\"b\": 1}}"), ("p3", "- src/main.py: entry\n2. `lib/util.ts` - helpers\n* src/main.py: again\nnotes.doc: no"), ("p4", "")]
+_PLAN_ROWS = [("p1", 'Sure: {"files": [{"path": "./src/a.py", "purpose": "one"}, "b.js", {"file": "/c.md", "description": "three"}, {"path": "../x.py"}, "src/a.py", "run.exe"], "project": "X"} done'), ("p2", "plan {bad json} then {\"a\": {\"b\": 1}}"), ("p3", "- src/main.py: entry\n2. `lib/util.ts` - helpers\n* src/main.py: again\nnotes.doc: no"), ("p4", ""), ("p5", '{"project": "My App!2", "language": "Python", "entrypoint": "nope.py", "test_command": ["python", "app.py"], "files": ["app.py"]}')]
+
 
+_JSON_WANT = [("p1", '{"files":[{"path":"./src/a.py","purpose":"one"},"b.js",{"description":"three","file":"/c.md"},{"path":"../x.py"},"src/a.py","run.exe"],"project":"X"}'), ("p2", '{"a":{"b":1}}'), ("p3", None), ("p4", None), ("p5", '{"entrypoint":"nope.py","files":["app.py"],"language":"Python","project":"My App!2","test_command":["python","app.py"]}')]
 
-@query("extract_json")
+
+@query("extract_json", f"WITH {S.values('w', {'id': 'VARCHAR', 'json': 'VARCHAR'}, _JSON_WANT)} SELECT * FROM w")
 def _(spark, d):
     return frame(spark, _PLAN, _PLAN_ROWS).select("id", G.extract_json("text").alias("json"))
 
 
-@query("file_plan")
+_FILES_WANT = [("p1", 1, "src/a.py", "one"), ("p1", 2, "b.js", ""), ("p1", 3, "c.md", "three"), ("p3", 1, "src/main.py", "entry"), ("p3", 2, "lib/util.ts", "helpers"), ("p5", 1, "app.py", "")]
+
+
+@query("file_plan", f"WITH {S.values('w', {'id': 'VARCHAR', 'place': 'BIGINT', 'path': 'VARCHAR', 'purpose': 'VARCHAR'}, _FILES_WANT)} SELECT * FROM w")
 def _(spark, d):
     return G.file_plan(frame(spark, _PLAN, _PLAN_ROWS))
 
 
+_HEADER_WANT = [("p1", "x", "", "src/a.py", ""), ("p3", "build", "", "src/main.py", ""), ("p5", "my-app-2", "Python", "app.py", "python app.py")]
+
+
+@query("plan_header", f"WITH {S.values('w', {'id': 'VARCHAR', 'project': 'VARCHAR', 'language': 'VARCHAR', 'entrypoint': 'VARCHAR', 'test_command': 'VARCHAR'}, _HEADER_WANT)} SELECT * FROM w")
+def _(spark, d):
+    plans = frame(spark, _PLAN, _PLAN_ROWS)
+    return G.plan_header(plans, G.file_plan(plans)).withColumn("test_command", F.array_join("test_command", " "))
+
+
+_REV = {"rid": "BIGINT", "files": "MAP(VARCHAR, VARCHAR)", "rewrite": "VARCHAR[]", "named": "VARCHAR[]"}
+_REV_ROWS = [(1, {"b.py": "bbbb", "a.py": "aaaaaa"}, ["b.py", "zz.py"], ["a.py", "b.py"]), (2, {"a.py": "x", "b.py": "y", "c.py": "z", "d.py": "w"}, ["d.py"], ["c.py", "b.py", "a.py"]), (3, {"a.py": ""}, [], ["q"]), (4, {"a.py": "k"}, None, None)]
+
+
+@query("review_targets", f"""WITH {S.values('r', _REV, _REV_ROWS)}, n AS (SELECT rid, unnest(list_concat(coalesce(rewrite, []), coalesce(named, []))) AS path, unnest(range(len(list_concat(coalesce(rewrite, []), coalesce(named, []))))) AS i FROM r), f AS (SELECT rid, unnest(map_keys(files)) AS path FROM r),
+ o AS (SELECT rid, path, min(i) AS i FROM n SEMI JOIN f USING (rid, path) GROUP BY ALL) SELECT rid, row_number() OVER (PARTITION BY rid ORDER BY i) AS place, path, CASE WHEN path IN (SELECT unnest(named) FROM r WHERE r.rid = o.rid) THEN '- bad ' || path || ' → mend' ELSE '- the previous attempt was incomplete' END AS notes FROM o QUALIFY place <= 3""")
+def _(spark, d):
+    issues = F.transform("named", lambda p: F.struct(p.alias("path"), F.concat(F.lit("bad "), p).alias("problem"), F.lit("mend").alias("fix")))
+    r = frame(spark, _REV, _REV_ROWS).withColumn("issues", issues)
+    placed = r.select("rid", "issues", F.posexplode(G.review_targets(F.col("files"), F.col("rewrite"), F.col("issues"))).alias("at", "path"))
+    return placed.select("rid", (F.col("at") + 1).cast("long").alias("place"), "path", G.review_notes(F.col("issues"), F.col("path")).alias("notes"))
+
+
+@query("review_body", f"WITH {S.values('r', _REV, _REV_ROWS)}, e AS (SELECT rid, cardinality(files) AS n, unnest(map_keys(files)) AS path, unnest(map_values(files)) AS code FROM r) SELECT rid, string_agg('--- ' || path || ' ---' || chr(10) || left(code, (10 // n)::BIGINT), chr(10) || chr(10) ORDER BY path) AS body FROM e GROUP BY rid")
+def _(spark, d):
+    return frame(spark, _REV, _REV_ROWS).select("rid", G.review_body(F.col("files"), 10).alias("body"))
+
+
 _PATHS = {"pid": "BIGINT", "path": "VARCHAR"}
 _PATH_ROWS = [(i, p) for i, p in enumerate(("src/a.py", "./x/./y.ts", "/etc/passwd", "../up.py", "`q.md`", "a\\b.JSON", "Dockerfile", ".gitignore", "bin/run", "", "a//b.css", "x/../y.py"))]
 
@@ -241,23 +334,33 @@ def _(spark, d):
     return frame(spark, _GEN, _GEN_ROWS).select("gid", G.clean_file_output(F.col("text")).alias("content"))
 
 
-def _snapshot(spark, d, new: bool):
-    docs = table(spark, d, "documents").where("doc_id % 7 <> 3" if new else "doc_id % 11 <> 5")
-    text = F.concat("text", F.when(F.col("doc_id") % 13 == 0, "x").otherwise("")) if new else F.col("text")
-    return docs.select(F.concat_ws("/", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path"), text.cast("binary").alias("content"))
+def _snapshot(spark, d, new: bool = False):
+    """All documents as files; in the new snapshot some are edited and some have moved."""
+    docs = table(spark, d, "documents")
+    edited, moved = (F.when(F.col("doc_id") % 13 == 0, "x").otherwise(""), F.when(F.col("doc_id") % 7 == 3, "moved/").otherwise("")) if new else (F.lit(""), F.lit(""))
+    path = F.concat(moved, F.concat_ws("/", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))))
+    return docs.select(path.alias("path"), F.concat("text", edited).cast("binary").alias("content"))
+
 
+_PATH_SQL = "concat_ws('/', source, doc_id || '.txt')"
 
-_SNAP = "SELECT concat_ws('/', source, doc_id || '.txt') AS path, sha256({}) AS hash, octet_length(encode({}))::BIGINT AS size FROM documents WHERE doc_id % {}"
+
+@query("index_changed", f"""WITH o AS (SELECT {_PATH_SQL} AS path, sha256(text) AS hash FROM documents), n AS (SELECT CASE WHEN doc_id % 7 = 3 THEN 'moved/' ELSE '' END || {_PATH_SQL} AS path, sha256(text || CASE WHEN doc_id % 13 = 0 THEN 'x' ELSE '' END) AS hash FROM documents)
+ SELECT path, CASE WHEN o.hash IS NULL THEN 'added' WHEN n.hash IS NULL THEN 'removed' ELSE 'changed' END AS change FROM o FULL OUTER JOIN n USING (path) WHERE o.hash IS DISTINCT FROM n.hash""")
+def _(spark, d):
+    return Y.changed_files(Y.index_files(_snapshot(spark, d)), Y.index_files(_snapshot(spark, d, new=True)))
 
 
-@query("index_changed", f"WITH o AS ({_SNAP.format('text', 'text', '11 <> 5')}), n AS ({_SNAP.format("text || CASE WHEN doc_id % 13 = 0 THEN 'x' ELSE '' END", 'text', '7 <> 3')}) SELECT path, CASE WHEN o.hash IS NULL THEN 'added' WHEN n.hash IS NULL THEN 'removed' ELSE 'changed' END AS change FROM o FULL OUTER JOIN n USING (path) WHERE o.hash IS DISTINCT FROM n.hash")
+@query("index_files", f"SELECT {_PATH_SQL} AS path, octet_length(encode(text))::BIGINT AS size, '.txt' AS extension, sha256(text) AS hash, false AS important FROM documents")
 def _(spark, d):
-    return Y.changed_files(Y.index_files(_snapshot(spark, d, False)), Y.index_files(_snapshot(spark, d, True)))
+    return Y.index_files(_snapshot(spark, d))
 
 
-@query("index_files", f"SELECT path, size, '.txt' AS extension, hash, false AS important FROM ({_SNAP.format('text', 'text', '11 <> 5')})")
+@query("project_context", f"""WITH i AS (SELECT {_PATH_SQL} AS path, doc_id % 50 = 0 AS important FROM documents), top AS (SELECT * FROM (SELECT path, true AS own FROM i WHERE important ORDER BY path LIMIT 20) UNION ALL SELECT * FROM (SELECT path, false FROM i ORDER BY path LIMIT 20))
+ SELECT left('A PROJECT' || chr(10) || 'Files indexed: ' || (SELECT count(*) FROM i) || chr(10) || chr(10) || 'Important files:' || (SELECT string_agg(chr(10) || '- ' || path, '' ORDER BY path) FROM top WHERE own) || chr(10) || chr(10) || 'Repository files:' || (SELECT string_agg(chr(10) || '- ' || path, '' ORDER BY path) FROM top WHERE NOT own), 30000) AS context""")
 def _(spark, d):
-    return Y.index_files(_snapshot(spark, d, False))
+    index = table(spark, d, "documents").select(F.concat_ws("/", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path"), (F.col("doc_id") % 50 == 0).alias("important"))
+    return Y.project_context(index, "A PROJECT")
 
 
 @query("code_search", r"WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line_text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line FROM documents) SELECT 'doc/' || doc_id AS path, line, sha256(line_text) AS line_sha FROM l WHERE regexp_matches(line_text, '^(Licensed|Released) .*\b(MIT|Apache)\b')")
@@ -269,7 +372,25 @@ def _(spark, d):
 @query("code_search_definitions", rf"WITH {S.values('f', _FILE, _FILE_ROWS)}, l AS (SELECT path, unnest(string_split(code, chr(10))) AS text, unnest(range(1, len(string_split(code, chr(10))) + 1)) AS line FROM f) SELECT path, line, text FROM l WHERE regexp_matches(text, '^(class |def |async def )[A-Za-z_].*x') AND regexp_matches(path, '(\.py|\.pyi)$')")
 def _(spark, d):
     files = frame(spark, _FILE, _FILE_ROWS).withColumnRenamed("code", "text")
-    return Y.search_lines(files, "x", "python", definitions=True, extensions=(".py", ".pyi"))
+    return Y.search_lines(files, "x", "Python", definitions=True)
+
+
+_TREE = {"path": "VARCHAR", "text": "VARCHAR"}
+_TREE_ROWS = [("src/a.go", "x\nneedle one\n"), ("node_modules/b.go", "needle two"), ("src/c.py", "needle three"), ("dist/x/d.go", "needle"), ("build.go", "a needle\nneedle"), ("e.go", "no\0needle"), ("README.md", "hello needle")]
+_FOUND = f"""WITH {S.values('t', _TREE, _TREE_ROWS)}, l AS (SELECT path, unnest(string_split(text, chr(10))) AS text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line FROM t WHERE NOT contains(text, chr(0)) AND NOT regexp_matches(path, '(^|/)(node_modules|dist)/')),
+ m AS (SELECT * FROM l WHERE contains(text, 'needle'))"""
+
+
+@query("code_search_output", f"{_FOUND} SELECT string_agg('./' || path || ':' || line || ':' || text || chr(10), '' ORDER BY path, line) AS matches, 0::BIGINT AS exit_code FROM m WHERE path LIKE '%.go'")
+def _(spark, d):
+    return Y.search_output(Y.search_lines(frame(spark, _TREE, _TREE_ROWS), "needle", "go")).select("matches", F.col("exit_code").cast("long").alias("exit_code"))
+
+
+@query("project_files", f"WITH {S.values('t', _TREE, _TREE_ROWS)} SELECT 'list' AS what, path, NULL AS text FROM t WHERE path LIKE 'src/%' UNION ALL SELECT 'read', path, text FROM t WHERE path = 'src/c.py' UNION ALL SELECT 'readme', path, '# PROJECT README (' || path || ')' || chr(10) || text FROM t WHERE path = 'README.md'")
+def _(spark, d):
+    files = frame(spark, _TREE, _TREE_ROWS)
+    listed = Y.list_files(files, "./src").select(F.lit("list").alias("what"), "path", F.lit(None).cast("string").alias("text"))
+    return listed.union(Y.read_file(files, "src/./c.py").select(F.lit("read"), "path", "text")).union(Y.read_readme(files).select(F.lit("readme"), "path", "shown"))
 
 
 _CMD = {"cid": "BIGINT", "language": "VARCHAR", "command": "VARCHAR[]"}
@@ -300,18 +421,54 @@ def _(spark, d):
 
 
 _SH = {"sid": "BIGINT", "line": "VARCHAR"}
-_SH_ROWS = [(i, c) for i, c in enumerate(("ls -la", "  ", "rm -rf x", "sudo ls", "cat ./a", "echo 'x", "cat .env", "git status", "python ID_RSA", "chmod 1 a"))]
-_REASON = f"CASE WHEN length(trim(line)) = 0 THEN 'Empty command' WHEN (length(line) - length(replace(line, '\"', ''))) % 2 = 1 OR (length(line) - length(replace(line, '''', ''))) % 2 = 1 THEN 'Invalid shell syntax' WHEN list_extract(string_split(string_split_regex(trim(line), '\\s+')[1], '/'), -1) IN {S.listed(R.BLOCKED_COMMANDS)} THEN 'Blocked command: ' || list_extract(string_split(string_split_regex(trim(line), '\\s+')[1], '/'), -1) " + " ".join(f"WHEN contains(lower(line), {S.q(p)}) THEN {S.q('Blocked sensitive path/pattern: ' + p)}" for p in R.BLOCKED_PATTERNS) + " END"
+_SH_ROWS = [(i, c) for i, c in enumerate(("ls -la", "  ", "rm -rf x", "sudo ls", "cat ./a", "echo 'x", "cat .env", "git status", "python ID_RSA", "chmod 1 a", '"rm" x', "r'm' x", r"r\m x", "echo \"it's\"", "''", "x\\", "echo a'b'\"c\"", "tool\trm"))]
+#: What a shell-like reader of words makes of the lines, written out by hand.
+_SH_WANT = [(0, None), (1, "Empty command"), (2, "Blocked command: rm"), (3, "Blocked command: sudo"), (4, "Blocked sensitive path/pattern: /"), (5, "Invalid shell syntax"), (6, "Blocked sensitive path/pattern: .env"), (7, None), (8, "Blocked sensitive path/pattern: id_rsa"),
+            (9, "Blocked command: chmod"), (10, "Blocked command: rm"), (11, "Blocked command: rm"), (12, "Blocked command: rm"), (13, None), (14, None), (15, "Invalid shell syntax"), (16, None), (17, None)]
 
 
-@query("inspect_command", f"WITH {S.values('s', _SH, _SH_ROWS)} SELECT sid, {_REASON} IS NULL AS allowed, coalesce({_REASON}, 'Allowed') AS reason FROM s")
+@query("inspect_command", f"WITH {S.values('w', {'sid': 'BIGINT', 'reason': 'VARCHAR'}, _SH_WANT)} SELECT sid, reason IS NULL AS allowed, coalesce(reason, 'Allowed') AS reason FROM w")
 def _(spark, d):
     return frame(spark, _SH, _SH_ROWS).select("sid", P.inspect_command(F.col("line")).alias("r")).select("sid", "r.allowed", "r.reason")
 
 
+@query("confirm_command", f"WITH {S.values('w', {'sid': 'BIGINT', 'reason': 'VARCHAR'}, _SH_WANT)} SELECT sid, reason IS NULL AS allowed, reason IS NULL AS requires_confirmation, coalesce(reason, 'Command requires confirmation.') AS reason FROM w")
+def _(spark, d):
+    return frame(spark, _SH, _SH_ROWS).select("sid", P.confirmation(F.col("line")).alias("r")).select("sid", "r.*")
+
+
+_TOOL = {"tid": "BIGINT", "language": "VARCHAR", "command": "VARCHAR[]", "seconds": "INTEGER"}
+_TOOL_ROWS = [(1, "python", None, 5), (2, "node", None, 118), (3, "typescript", None, 20), (4, "python", ["pytest"], 120), (5, "ruby", ["ruby", "x"], 1)]
+
+
+@query("tool_command", f"WITH {S.values('t', _TOOL, _TOOL_ROWS)} SELECT tid, array_to_string(coalesce(command, CASE language WHEN 'python' THEN ['python', '-m', 'pytest', '-q'] WHEN 'node' THEN ['node', 'index.js'] WHEN 'typescript' THEN ['tsx', 'index.ts'] END), ' ') AS command, least(seconds + 5, 120)::BIGINT AS host_limit FROM t")
+def _(spark, d):
+    return frame(spark, _TOOL, _TOOL_ROWS).select("tid", F.array_join(P.tool_command(F.col("language"), F.col("command")), " ").alias("command"), P.host_limit(F.col("seconds")).cast("long").alias("host_limit"))
+
+
 _BLOCK = r"```([a-zA-Z0-9_]+)?\s*\n(.*?)```"
 
 
 @query("large_code_block", rf"WITH {S.values('g', _GEN, _GEN_ROWS)}, b AS (SELECT gid, unnest(regexp_extract_all(text, '(?s){_BLOCK}', 1)) AS lang, unnest(regexp_extract_all(text, '(?s){_BLOCK}', 2)) AS code, unnest(range(len(regexp_extract_all(text, '(?s){_BLOCK}', 1)))) AS i FROM g) SELECT gid, coalesce(lang, '') AS lang, code FROM b WHERE length(code) >= 2 QUALIFY row_number() OVER (PARTITION BY gid ORDER BY i DESC) = 1")
 def _(spark, d):
     return frame(spark, _GEN, _GEN_ROWS).select("gid", V.large_code_block(F.col("text"), 2).alias("b")).where("b is not null").select("gid", F.coalesce("b.lang", F.lit("")).alias("lang"), "b.code")
+
+
+_EXT = {"lang": "VARCHAR", "ext": "VARCHAR"}
+_EXT_ROWS = [("python", "py"), ("ts", "ts"), ("shell", "sh"), ("node", "js"), ("", "txt"), ("cobol", "txt"), (None, "txt")]
+
+
+@query("saved_extension", f"WITH {S.values('w', _EXT, _EXT_ROWS)} SELECT * FROM w")
+def _(spark, d):
+    return frame(spark, _EXT, _EXT_ROWS).select("lang", V.saved_extension(F.col("lang")).alias("ext"))
+
+
+_LONG = {"tid": "BIGINT", "text": "VARCHAR"}
+_LONG_ROWS = [(1, "x" * 12), (2, "y" * 4 + "z" * 10), (3, None)]
+
+
+@query("trimmed_result", f"WITH {S.values('t', _LONG, _LONG_ROWS)} SELECT tid, CASE WHEN length(text) > 12 THEN '[trimmed] ... ' || right(text, 12) ELSE text END AS text, CASE WHEN length(text) > 13 THEN left(text, 13) || chr(10) || '... [output truncated]' ELSE text END AS capped FROM t")
+def _(spark, d):
+    from ..functions.text import cap_output
+
+    return frame(spark, _LONG, _LONG_ROWS).select("tid", V.trim_result(F.col("text"), 12).alias("text"), cap_output(F.col("text"), 13).alias("capped"))

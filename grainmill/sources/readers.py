@@ -23,23 +23,27 @@ def _status(spark: SparkSession, path: str):
 def read_jsonl(spark: SparkSession, paths: str | list[str], quarantine: bool = False) -> DataFrame:
     """(ord, path, line, v) of JSON lines; blank ones are skipped. ``ord`` follows path and line.
 
-    A broken line fails the query with its path and line number; with ``quarantine`` its ``v`` is null and ``raw`` holds it. Each file
-    is read as a whole, so lines have numbers: a file of candidates must fit a task.
+    A broken line fails the query with its path and line number; with ``quarantine`` its ``v`` is null and ``raw`` holds it. Files are
+    read in blocks. Lines are numbered by the sizes of the blocks before theirs, which takes a row for each block in one task.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     files = None
     for i, p in enumerate(paths):
-        one = spark.read.text(p, wholetext=True, pathGlobFilter="*.jsonl" if _status(spark, p) is not None and _status(spark, p).isDirectory() else None).select(F.lit(i).alias("rank"), F.col("_metadata.file_path").alias("path"), "value")
+        status = _status(spark, p)
+        one = spark.read.text(p, pathGlobFilter="*.jsonl" if status is not None and status.isDirectory() else None)
+        one = one.select(F.lit(i).alias("rank"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value"))
         files = one if files is None else files.unionByName(one)
-    lines = files.select("rank", "path", F.posexplode(F.split("value", "\n")).alias("at", "raw")).select("rank", "path", (F.col("at") + 1).cast("long").alias("line"), strip(F.col("raw")).alias("raw")).where("raw <> ''")
+    keys = ["rank", "path", "block"]
+    blocks = files.groupBy(*keys).agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = lambda *by: Window.partitionBy(*by).orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    placed = blocks.select(*keys, "first", F.coalesce(F.sum("n").over(before(F.lit(0))), F.lit(0)).alias("base"), F.coalesce(F.sum("n").over(before("rank", "path")), F.lit(0)).alias("above"))
+    lines = files.join(placed, keys).select("path", (F.col("at") - F.col("first") + 1).alias("nth"), "base", "above", strip(F.col("value")).alias("raw")).where("raw <> ''")
+    lines = lines.select((F.col("base") + F.col("nth")).alias("ord"), "path", (F.col("above") + F.col("nth")).alias("line"), "raw")
     v = F.try_parse_json("raw")
     if not quarantine:
         fail = F.raise_error(F.concat(F.lit("bad JSON in "), "path", F.lit(":"), F.col("line").cast("string")))
         v = F.coalesce(v, F.parse_json(F.when(v.isNull(), fail.cast("string")).otherwise(F.col("raw"))))
-    size = lines.groupBy("rank", "path").agg(F.max("line").alias("n"))
-    before = size.withColumn("base", F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("rank", "path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    out = lines.withColumn("v", v).join(F.broadcast(before.select("rank", "path", "base")), ["rank", "path"])  # a row for each file
-    return out.select((F.col("base") + F.col("line")).alias("ord"), "path", "line", "v", *(["raw"] if quarantine else []))
+    return lines.select("ord", "path", "line", v.alias("v"), *(["raw"] if quarantine else []))
 
 
 def candidates(lines: DataFrame) -> DataFrame:
@@ -63,10 +67,10 @@ def candidates(lines: DataFrame) -> DataFrame:
     whole = lambda v: F.schema_of_variant(v).startswith("OBJECT") & F.try_variant_get(v, "$.input", "variant").isNotNull() & F.try_variant_get(v, "$.expected", "variant").isNotNull()
     nulls = F.array_compact(F.array(*[F.when(raw(f"$.{c}").isNotNull() & (kind(f"$.{c}") == "VOID"), c) for c in names]))
     return typed(lines.select(
-        "ord", get("$.id").alias("id"), *[text(f"$.{c}").alias(c) for c in ("instruction", "category", "difficulty", "language", "context", "expected_answer", "code")],
+        "ord", get("$.id").alias("id"), *[text(f"$.{c}").alias(c) for c in ("instruction", "category", "difficulty", "language", "context", "expected_answer", "solution", "code")],
         get("$.files", "map<string,string>").alias("files"), get("$.test_command", "array<string>").alias("test_command"), F.when(there("$.tests"), F.to_json(raw("$.tests"))).alias("tests_json"),
         F.size(F.filter(tests, lambda t: ~F.coalesce(whole(t), F.lit(False)))).alias("bad_tests"), text("$.source.type").alias("source_type"), text("$.source.teacher").alias("source_teacher"),
-        text("$.source.generated_at").alias("source_generated_at"), get("$.timeout_seconds", "int").alias("timeout_seconds"), nulls.alias("nulls"), bad.alias("bad"), F.col("v").alias("raw"))
+        text("$.source.generated_at").alias("source_generated_at"), F.when(there("$.source"), F.to_json(raw("$.source"))).alias("source_json"), get("$.metadata", "map<string,string>").alias("metadata"), get("$.timeout_seconds", "int").alias("timeout_seconds"), nulls.alias("nulls"), bad.alias("bad"), F.col("v").alias("raw"))
         .withColumn("bad_tests", F.greatest("bad_tests", F.lit(0))))
 
 
@@ -108,8 +112,11 @@ def read_repository(spark: SparkSession, root: str) -> DataFrame:
 
 
 def read_text_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
-    """(file, text) of whole text files under a directory."""
-    return spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
+    """(file, text) of whole text files under a directory; files that can't be read or aren't UTF-8 are passed over."""
+    if _status(spark, root) is None:
+        return spark.createDataFrame([], "file string, text string")
+    files = spark.read.format("binaryFile").options(recursiveFileLookup=True, pathGlobFilter=glob, ignoreCorruptFiles=True).load(root)
+    return files.where(F.is_valid_utf8(F.col("content").cast("string"))).select(F.col("path").alias("file"), F.col("content").cast("string").alias("text"))
 
 
 def stub_candidates(spark: SparkSession, tasks: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from grainmill.functions import text as T
 from grainmill.operators import codegen as G
 from grainmill.operators import curation as C
+from grainmill.operators import distill as D
 from grainmill.operators import evaluation as E
 from grainmill.operators import repository as Y
 from grainmill.sources import readers, sinks
@@ -25,7 +26,7 @@ def prose(x):
     return " ".join(unicodedata.normalize("NFC", x).split()).casefold()
 
 
-BASE = {"id": "a", "instruction": "Add  two NUMBERS", "category": "coding", "difficulty": "easy", "language": "python", "code": "x = 1  \n\n\n\ny = 2", "files": {"b.py": "1\r\n", "a.py": "é"}, "tests": [{"input": 1, "expected": "ß"}], "test_command": ["pytest"], "expected_answer": None}
+BASE = {"id": "a", "instruction": "Add  two NUMBERS", "category": "coding", "difficulty": "easy", "language": "python", "code": "x = 1  \n\n\n\ny = 2", "files": {"b.py": "1\r\n", "a.py": "é"}, "tests": [{"input": 1, "expected": "ß"}], "test_command": ["pytest"], "expected_answer": None, "metadata": {"license": "MIT", "notes": "n"}}
 
 
 def expected_hash(c):
@@ -74,14 +75,18 @@ def test_curation_end_to_end(spark, tmp_path):
         C.curate(cands).collect()
     records = C.export_records(done, "2000-01-01")
     sinks.write_splits(records, str(tmp_path / "out"))
-    assert spark.read.json(str(tmp_path / "out")).count() == 2
+    assert spark.read.json(str(tmp_path / "out/verified")).count() == 2
+    found = spark.read.json(str(tmp_path / "out/splits"))
+    assert found.count() == 2 and {p.name for p in (tmp_path / "out/splits").iterdir() if p.is_dir()} == {"part=train", "part=validation", "part=test"} and {r["part"] for r in found.collect()} == {r["split"] for r in found.collect()}
     sinks.write_rejected(done, str(tmp_path / "rejected"), "now")
     assert {r["reason"] for r in spark.read.json(str(tmp_path / "rejected")).collect()} == {"duplicate", "malformed_record", "unsafe_candidate"}
     m = sinks.manifest(C.manifest_totals(done), C.manifest_counts(done), "1", "now")
     assert (m["verified_count"], m["rejected_count"], m["split_leakage_check"]["passed"]) == (2, 3, True)
     assert sum(m["counts_by_split"].values()) == 2
-    sinks.write_manifest(spark, m, str(tmp_path / "manifest"))
-    assert json.loads(spark.read.text(str(tmp_path / "manifest")).first()[0])["total_candidates"] == 5
+    assert sinks.write_manifest(spark, m, str(tmp_path / "manifest")).endswith("manifest_v1_now.json")
+    assert all(json.loads((tmp_path / "manifest" / n).read_text())["total_candidates"] == 5 for n in ("manifest_v1_now.json", "manifest_latest.json"))
+    record = {r["id"]: r for r in records.select("id", F.to_json(F.col("tests")).alias("tests"), "metadata.license").collect()}["a"]
+    assert json.loads(record["tests"]) == BASE["tests"] and record["license"] == "MIT"
 
 
 def test_executor_exceptions_fail_the_query(spark):
@@ -111,7 +116,7 @@ def test_gate(spark):
     assert "missing" in check(base, base[:4], min_overall_delta=-1)["reasons"]
     assert "no scored" in check(base, [("coding", None)])["reasons"]
     assert sinks.exit_code(E.verdict(E.compare(run(base), run(base)))) == 0
-    assert sinks.gate_markdown(E.verdict(E.compare(run(base), run(base))), E.compare(run(base), run(base))).startswith("# Gate: PASS")
+    assert sinks.gate_markdown(E.verdict(E.compare(run(base), run(base))), E.compare(run(base), run(base))).startswith("# Evaluation gate\n\n- result: **PASS**")
 
 
 def test_reports_tasks_and_repository(spark, tmp_path):
@@ -167,3 +172,79 @@ def test_stream(spark, tmp_path):
     q = ingest.new_instructions(stream).writeStream.format("memory").queryName("fresh").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.table("fresh").count() == 2
+
+
+def test_lines_are_numbered_over_blocks(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    for name in "ba":
+        lines(tmp_path / f"d/{name}.jsonl", *[{"id": f"{name}{i}", "pad": "x" * 50} if i % 7 else "" for i in range(400)])
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1024")
+    try:
+        got = readers.read_jsonl(spark, str(tmp_path / "d")).select("ord", "line", "path", F.variant_get("v", "$.id", "string").alias("id")).orderBy("ord").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert [r["id"] for r in got] == [f"{n}{i}" for n in "ab" for i in range(400) if i % 7]
+    assert all(r["line"] == int(r["id"][1:]) + 1 for r in got)
+
+
+def test_report_and_gate_files(spark, tmp_path):
+    schema = "ord bigint, id string, category string, source string, type string, output string, pass boolean, missed array<string>, error string"
+    rows = [(1, "t1", "coding", "baseline", "freeform", "yes ü", True, [], None), (2, "t2", "coding", "verified", "sandbox_test", "no", False, None, "boom"), (3, "t3", "chat", "baseline", "freeform", None, None, ["a", "b"], None)]
+    found = sinks.write_report(spark.createDataFrame(rows, schema), str(tmp_path / "run"), {"model": "m"})
+    report = json.loads((tmp_path / "run/report.json").read_text())
+    assert report["summary"] == found and found["by_category"]["coding"] == {"total": 2, "passed": 1, "failed": 1, "pass_rate": 0.5} and [r["id"] for r in report["results"]] == ["t1", "t2", "t3"] and report["results"][2]["pass"] is None
+    text = (tmp_path / "run/summary.md").read_text()
+    assert "- [FAIL] `t2` (coding): sandbox_test\n    - error: boom" in text and "- [REVIEW] `t3` (chat): freeform\n    - missed rubric terms: a, b" in text and (tmp_path / "run/outputs/t1.txt").read_text() == "yes ü"
+    code, said = sinks.run_gate(spark, str(tmp_path / "run"), str(tmp_path / "run"), as_json=True, write=str(tmp_path / "gate.md"))
+    assert code == 0 and json.loads(said)["categories"]["coding"]["scored"] == 2 and "PASS" in (tmp_path / "gate.md").read_text()
+    worse = sinks.write_report(spark.createDataFrame([(1, "t1", "coding", "baseline", "freeform", "x", False, None, None)], schema), str(tmp_path / "worse"), {})
+    assert worse["failed"] == 1 and sinks.run_gate(spark, str(tmp_path / "run"), str(tmp_path / "worse"))[0] == 1
+    (tmp_path / "broken.json").write_text('{"meta": 1}')
+    assert sinks.run_gate(spark, str(tmp_path / "none.json"), str(tmp_path / "run"))[0] == 2 and sinks.run_gate(spark, str(tmp_path / "broken.json"), str(tmp_path / "run"))[0] == 2
+
+
+def test_stage_sinks_folds_and_teacher(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a", "x", "p", "c1", "distilled", "coding"), (2, "a", "x", "p", "", "distilled", "coding")], "ord bigint, id string, x string, prompt string, completion string, reason string, category string")
+    sinks.write_folds(C.fold_rows(rows), str(tmp_path / "folds"))
+    assert {p.name for p in (tmp_path / "folds").iterdir() if p.is_dir()} == {"fold=train", "fold=validation", "fold=test"} and spark.read.json(str(tmp_path / "folds")).count() == 1
+    samples = spark.createDataFrame([("t", 0, "coding", "easy", "p", "good", 3, True, "freeform"), ("t", 1, "coding", "easy", "p", "bad", 3, False, "freeform")], "id string, sample int, category string, difficulty string, prompt string, output string, tokens bigint, pass boolean, type string")
+    gold = spark.createDataFrame([("g", "debugging", "easy", "p", {"a": "b"}, "code"), ("h", "debugging", "easy", "p", None, "code")], "id string, category string, difficulty string, prompt string, files map<string,string>, code string")
+    made = D.distilled_rows(samples).unionByName(D.gold_rows(gold, F.length))
+    stats = sinks.write_teacher(made, D.task_table(samples, gold.where("files is not null")), str(tmp_path / "teacher"), {"model": "m"})
+    assert (stats["rows_total"], stats["rows_distilled"], stats["rows_gold"]) == (2, 1, 1) and stats["per_task"]["t"] == {"category": "coding", "type": "freeform", "samples": 2, "passed": 1} and stats["per_task"]["g"]["passed"] == 1
+    assert spark.read.json(str(tmp_path / "teacher/rows")).count() == 2 and json.loads((tmp_path / "teacher/stats.json").read_text()) == stats
+    cands = C.typed(spark.createDataFrame([(1, "a", "say hello to them", "coding", "easy"), (2, "b", "Say hello to  them", "coding", "easy")], "ord bigint, id string, instruction string, category string, difficulty string"))
+    sinks.write_deduplicated(C.deduplicate(C.with_fingerprints(cands)), str(tmp_path / "kept"), str(tmp_path / "dups"))
+    sinks.write_scored(C.score_stage(cands), str(tmp_path / "scored"))
+    sinks.write_stage_rejected(C.verify_stage(cands.withColumn("category", F.lit("x"))), str(tmp_path / "bad"), "now")
+    assert [spark.read.json(str(tmp_path / n)).count() for n in ("kept", "dups", "scored", "bad")] == [1, 1, 2, 2]
+    assert spark.read.json(str(tmp_path / "dups")).first()["duplicate_of"] == "a" and spark.read.json(str(tmp_path / "scored")).first()["score"]["dimensions"]["completeness"] > 0
+
+
+def test_project_paths_and_memory_files(spark, tmp_path):
+    files = spark.createDataFrame([("a/b.py", "x")], "path string, text string")
+    for bad in ("../up", "/etc/passwd", "a/../../x"):
+        with pytest.raises(PermissionError):
+            Y.read_file(files, bad)
+        with pytest.raises(PermissionError):
+            Y.list_files(files, bad)
+    assert Y.list_files(files).count() == 1 and Y.list_files(files, "a").count() == 1 and Y.list_files(files, "ab").count() == 0
+    (tmp_path / "good.json").write_text('{"k": "é"}')
+    (tmp_path / "bad.json").write_bytes(b"\xff\xfe\x00")
+    assert [r["text"] for r in readers.read_text_files(spark, str(tmp_path), "*.json").collect()] == ['{"k": "é"}'] and readers.read_text_files(spark, str(tmp_path / "no")).count() == 0
+    with pytest.raises(ValueError):
+        Y.search_lines(files, " ")
+
+
+def test_rounding_is_exact(spark):
+    from grainmill.functions.ranges import range_index, round_exact
+
+    xs = [k / 120 + q / 4 for k in range(0, 361) for q in range(-6, 8)] + [2.675, 1.005, 0.125, -0.125]
+    got = spark.createDataFrame([(x,) for x in xs], "x double").select("x", round_exact(F.col("x")).alias("r")).collect()
+    assert all(r["r"] == round(r["x"], 2) for r in got)
+    cuts = [1, 4, 4, 9, 20, 21, 50]
+    got = spark.createDataFrame([(k,) for k in [*range(60), None]], "x bigint").select("x", range_index(F.col("x"), cuts).alias("i")).collect()
+    assert all(r["i"] == (0 if r["x"] is None else sum(c <= r["x"] for c in cuts)) for r in got)
