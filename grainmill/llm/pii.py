@@ -1,8 +1,8 @@
 """Personal data by bootstrapped contextual extraction.
 
-Identifiers of fixed forms are the seeds. The words before them induce lexical patterns; Spark scores the graph of
-patterns and instances in rounds, and the patterns that are left with high confidence discover identifiers that have
-none of the fixed forms.
+Identifiers of fixed forms are the seeds. The words on either side of them and their own spelling induce lexical patterns;
+Spark scores the graph of patterns and instances in rounds, and the patterns that are left with high confidence discover
+identifiers that the fixed forms miss, which are seeds of the next round.
 """
 
 from __future__ import annotations
@@ -11,7 +11,6 @@ import hashlib
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import accumulate
 
 import numpy as np
@@ -19,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, lower_ascii, mix, word_hashes
+from .common import _C1, _C2, _powers, cut_lineage, mix
 
 #: Kinds in the order that breaks ties of start.
 KINDS = ("email", "ip", "card", "phone")
@@ -37,10 +36,10 @@ _DOT = r"(?:[ \t]{0,2}[(\[{<] ?dot ?[)\]}>][ \t]{0,2}|[ \t]{1,2}dot[ \t]{1,2})"
 _DOMAIN = re.compile(rf"(?i)[ \t]{{0,2}}[a-z0-9-]++(?:(?:\.|{_DOT})[a-z0-9-]++)+")
 _DOTTED = re.compile(rf"(?i)[ \t]{{1,2}}[a-z0-9-]++(?:\.[a-z0-9-]++)*{_DOT}[a-z0-9-]++(?:{_DOT}[a-z0-9-]++)*")
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
-_GROUP = re.compile(r"[(\[]?[0-9][0-9.()/-]*\]?")
+_GROUP = re.compile(r"[(\[]?\+?[0-9][0-9.()/-]*\]?")
 _NEXT_GROUP = re.compile(r"[ \t\xa0]{1,2}(?:[-/] )?[(\[]?[0-9](?:[.()/-]*[0-9)])*(?![^\s\"')\]}>.,;:!?])")
 _TRIM = "\"'()[]{}<>.,;:!?*#$%&="
-#: A pattern must have been seen before this many different seeds, and reach this confidence.
+#: A pattern must have been seen with this many different seeds, and reach this confidence.
 SUPPORT, CONFIDENCE, ROUNDS = 3, 0.8, 3
 
 
@@ -101,19 +100,71 @@ def shape_fits(token: str) -> int:
     return bits
 
 
-def _context(text: str, start: int) -> list[int]:
-    """Hashes of the last word and of the last two words before ``start``, on the same line."""
-    line = text.rfind("\n", max(0, start - 201), start) + 1  # further back makes no difference
-    words = text[max(line, start - 200) : start].lower().rsplit(None, 2)[-2:]
-    if start - 200 > line and len(words) < 2:
-        words = []
-    return [_pattern(" ".join(words[-k:]), k) for k in (1, 2) if len(words) >= k]
+_GAPS = np.zeros(0x3002, dtype=bool)
+_GAPS[[c for c in range(0x3002) if chr(c).isspace()]] = True
+_LETTERS, _DIGITS = re.compile(r"[^\W\d_]+"), re.compile(r"[0-9]")
+#: What a pattern is made of; the number keeps equal words in different roles apart. The last bit of a pattern's hash tells the
+#: two views: 0 for the words beside an identifier, 1 for its own spelling.
+BEFORE, BEFORE_TWO, AFTER, AFTER_TWO, AROUND, SPELLING, OUTLINE, TAIL = range(1, 9)
 
 
-@lru_cache(1 << 16)
-def _pattern(words: str, k: int) -> int:
-    h = word_hashes(lower_ascii(words))
-    return int(mix(np.array([np.bitwise_xor.reduce(h * np.arange(1, 2 * len(h), 2, dtype=np.uint64)) + np.uint64(k)]))[0].astype(np.int64))
+def _tagged(role: int, *parts: np.ndarray) -> np.ndarray:
+    h = np.full(len(parts[0]), role, dtype=np.uint64) * _C2
+    for p in parts:
+        h = mix(h * _C1 + p)
+    return (h & ~np.uint64(1)).view(np.int64)
+
+
+def _text_hash(role: int, text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(f"{role} {text}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True) | 1
+
+
+def spellings(token: str) -> list[int]:
+    """Patterns of an identifier's own spelling: digits and runs of letters as signs; the same with runs of digits as one, if
+    that says more than that it is a number; and the last two labels after an @."""
+    shape = _DIGITS.sub("9", _LETTERS.sub("a", token))
+    outline = re.sub("9+", "9", shape)
+    out = [_text_hash(SPELLING, shape)]
+    if len(outline) > 1:
+        out.append(_text_hash(OUTLINE, outline))
+    if "@" in token:
+        out.append(_text_hash(TAIL, ".".join(token.rpartition("@")[2].lower().rsplit(".", 2)[-2:])))
+    return out
+
+
+def contexts(text: str, spans: list[tuple[int, int]]) -> list[list[int]]:
+    """Patterns of the words beside each span, on the same line: one or two before, one or two after, one on either side.
+
+    Words are whole, however long, and end at a span that they touch. Prefix sums give the hash of any stretch of the text, so
+    the time grows with the text and the number of spans only. A-Z count as a-z.
+    """
+    if not spans:
+        return []
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    n = len(codes)
+    gap = _GAPS[np.minimum(codes, 0x3001)]
+    edge = np.diff(np.concatenate(([True], gap, [True])).view(np.int8))
+    starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    lines = np.flatnonzero(codes == 10)
+    low = codes.astype(np.uint64) + ((codes >= 65) & (codes <= 90)).astype(np.uint64) * np.uint64(32)
+    power, inverse = _powers(n + 1)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(mix(low * _C1 + np.uint64(1)) * power[:n], out=sums[1:])
+
+    def stretch(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return mix((sums[b] - sums[a]) * inverse[a] + (b - a).astype(np.uint64) * _C1)
+
+    a, b = (np.array(x, dtype=np.int64) for x in zip(*spans, strict=True))
+    line = lambda x: np.searchsorted(lines, x)
+    pick = lambda table, i: table[np.clip(i, 0, len(table) - 1)]
+    i, j = np.searchsorted(starts, a) - 1, np.searchsorted(ends, b, "right")
+    there = [(i - k >= 0) & (line(pick(starts, i - k)) == line(a)) for k in (0, 1)] + [(j + k < len(ends)) & (line(pick(starts, j + k)) == line(b)) for k in (0, 1)]
+    zero = np.zeros_like(a)
+    safe = lambda ok, x, y: stretch(np.where(ok, x, zero), np.where(ok, y, zero))
+    left, left2 = safe(there[0], pick(starts, i), np.minimum(pick(ends, i), a)), safe(there[1], pick(starts, i - 1), pick(ends, i - 1))
+    right, right2 = safe(there[2], np.maximum(pick(starts, j), b), pick(ends, j)), safe(there[3], pick(starts, j + 1), pick(ends, j + 1))
+    kinds = ((there[0], _tagged(BEFORE, left)), (there[1], _tagged(BEFORE_TWO, left2, left)), (there[2], _tagged(AFTER, right)), (there[3], _tagged(AFTER_TWO, right, right2)), (there[0] & there[2], _tagged(AROUND, left, right)))
+    return [[int(h[k]) for ok, h in kinds if ok[k]] for k in range(len(spans))]
 
 
 def _instance(token: str) -> int:
@@ -138,25 +189,23 @@ def _written(text: str) -> Iterator[tuple[int, int]]:
 
 def _groups(text: str, start: int, end: int, free: int) -> int:
     """The end of the longest run of digit groups from the token at ``start``, up to ``free``, that fits a kind; 0 if none."""
-    digits, stop, best = sum("0" <= c <= "9" for c in text[start:end]), end, 0
-    while digits <= 19 and (m := _NEXT_GROUP.match(text, stop)) and m.end() <= free:
-        stop = m.end()
+    digits, stops = sum("0" <= c <= "9" for c in text[start:end]), [end]
+    while digits <= 19 and (m := _NEXT_GROUP.match(text, stops[-1])) and m.end() <= free:
+        stops.append(m.end())
         digits += sum("0" <= c <= "9" for c in m.group())
-        if shape_fits(text[start:stop]):
-            best = stop
-    return best
+    return next((stop for stop in reversed(stops[1:]) if shape_fits(text[start:stop])), 0)
 
 
-def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, list[int]]]:
-    """(start, end, kinds as bits, instance, contexts) of tokens with digits or a written @ outside the base spans.
+def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """(start, end, kinds as bits) of tokens with digits or a written @ outside the base spans.
 
     A token of digits that fits no kind is taken with the digit groups that follow it, as many as fit a kind together;
-    written-out addresses are one candidate with their spaces. Contexts stand before the whole candidate.
+    written-out addresses are one candidate with their spaces.
     """
     out, at = [], 0
     starts, reach = [a for a, _, _ in spans], list(accumulate((b for *_, b in spans), max, initial=0))
     written = [(a, b) for a, b in _written(text) if reach[bisect_left(starts, b)] <= a]
-    out += [(a, b, 1, _instance(text[a:b]), _context(text, a)) for a, b in written]
+    out += [(a, b, 1) for a, b in written]
     inside = [a for a, _ in written]
     while m := _TOKEN_HINT.search(text, at):
         start, end = m.start(), m.end()
@@ -177,23 +226,28 @@ def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int,
                 if stop := _groups(text, left, right, starts[after] if after < len(starts) else len(text)):
                     start, end = left, stop
                     bits = shape_fits(text[start:end])
-            out.append((start, end, bits, _instance(text[start:end]), _context(text, start)))
-    return sorted(out, key=lambda c: c[:2])
+            out.append((start, end, bits))
+    return sorted(out)
 
 
-_SCAN = "key {}, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base array<struct<start:int,kind:int,stop:int>>, base_sha256 string, seeds array<struct<kind:int,instance:bigint,contexts:array<bigint>>>, found array<struct<start:int,stop:int,fits:int,instance:bigint,contexts:array<bigint>>>"
+_SCAN = ("key {}, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base array<struct<start:int,kind:int,stop:int>>, base_sha256 string, digest string, seeds array<struct<kind:int,instance:bigint,contexts:array<bigint>>>, "
+         "found array<struct<start:int,stop:int,fits:int,instance:bigint,contexts:array<bigint>>>")
 _BASE = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("stop", pa.int32())]))
 _SEEDS = pa.list_(pa.struct([("kind", pa.int32()), ("instance", pa.int64()), ("contexts", pa.list_(pa.int64()))]))
 _FOUND = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("fits", pa.int32()), ("instance", pa.int64()), ("contexts", pa.list_(pa.int64()))]))
 
 
-def scan(df: DataFrame, text_col: str = "text", key: str = "doc_id") -> DataFrame:
-    """One pass over the texts: base spans, the contexts of the seeds, and the tokens that patterns may discover."""
+def scan(df: DataFrame, text_col: str = "text", key: str = "doc_id", hide: int = 0) -> DataFrame:
+    """One pass over the texts: base spans, the patterns around the seeds, and the tokens that patterns may discover.
+
+    ``digest`` is the MD5 of texts with such a token. For measurements, base spans whose number as an instance ``hide`` divides
+    are no seeds but candidates, as if no fixed form had found them; what is returned as base is the same.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts: list[list[int]] = [[], [], [], []]
-            base, sha, seeds, found = [], [], [], []
+            base, sha, digest, seeds, found = [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 text = text or ""
                 spans = base_spans(text)
@@ -201,11 +255,15 @@ def scan(df: DataFrame, text_col: str = "text", key: str = "doc_id") -> DataFram
                     counts[k].append(sum(s[1] == k for s in spans))
                 base.append([{"start": a, "kind": k, "stop": b} for a, k, b in spans])
                 sha.append(hashlib.sha256(render(spans).encode()).hexdigest())
-                seeds.append([{"kind": k, "instance": _instance(text[a:b]), "contexts": _context(text, a)} for a, k, b in spans])
-                found.append([{"start": a, "stop": b, "fits": bits, "instance": i, "contexts": c} for a, b, bits, i, c in candidates(text, spans)])
+                shown = [s for s in spans if not hide or _instance(text[s[0] : s[2]]) % hide]
+                loose = candidates(text, shown)
+                near = contexts(text, [(a, b) for a, _, b in shown] + [(a, b) for a, b, _ in loose])
+                seeds.append([{"kind": k, "instance": _instance(text[a:b]), "contexts": near[i] + spellings(text[a:b])} for i, (a, k, b) in enumerate(shown)])
+                found.append([{"start": a, "stop": b, "fits": bits, "instance": _instance(text[a:b]), "contexts": near[len(shown) + i] + spellings(text[a:b])} for i, (a, b, bits) in enumerate(loose)])
+                digest.append(hashlib.md5(text.encode("utf-8", "surrogatepass")).hexdigest() if any(bits for *_, bits in loose) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *[pa.array(c, pa.int64()) for c in counts], pa.array(base, _BASE), pa.array(sha, pa.string()), pa.array(seeds, _SEEDS), pa.array(found, _FOUND)],
-                names=["key", "n_email", "n_ip", "n_card", "n_phone", "base", "base_sha256", "seeds", "found"])
+                [batch.column(0), *[pa.array(c, pa.int64()) for c in counts], pa.array(base, _BASE), pa.array(sha, pa.string()), pa.array(digest, pa.string()), pa.array(seeds, _SEEDS), pa.array(found, _FOUND)],
+                names=["key", "n_email", "n_ip", "n_card", "n_phone", "base", "base_sha256", "digest", "seeds", "found"])
 
     return df.select(df[key], df[text_col]).mapInArrow(run, _SCAN.format(df.schema[key].dataType.simpleString()))
 
@@ -213,23 +271,26 @@ def scan(df: DataFrame, text_col: str = "text", key: str = "doc_id") -> DataFram
 def score_patterns(scanned: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
     """Confidence of each pattern (context, kind) with at least ``support`` different seeds.
 
-    In each round a pattern's confidence is the mean score of the tokens it stands before, seeds of its kind being 1, seeds
-    of another kind 0 and other tokens what their best pattern of the round before gave them. Tokens that reach
-    ``confidence`` are seeds in the next round, wherever they stand, and induce new patterns there. Everything is summed up
-    by (context, instance) before it is joined.
+    In each round a pattern's confidence is the mean score of the tokens it goes with, seeds of its kind being 1, seeds
+    of another kind 0 and other tokens what the best pattern of the other view gave them in the round before: spellings are
+    judged by the words beside them and words by spellings, so that no pattern confirms itself. Tokens that reach
+    ``confidence`` by either view are seeds in the next round, wherever they stand, and induce new patterns there. Everything is
+    summed up by (context, instance) before it is joined.
     """
     seeds = scanned.select(F.explode("seeds").alias("s")).select("s.kind", "s.instance", F.explode("s.contexts").alias("context")).groupBy("context", "kind", "instance").agg(F.count(F.lit(1)).alias("n"))
     others = scanned.select(F.explode("found").alias("f")).select("f.fits", "f.instance", F.explode("f.contexts").alias("context")).groupBy("context", "instance", "fits").agg(F.count(F.lit(1)).alias("n"))
     seeds, others = cut_lineage(seeds), cut_lineage(others)
-    met = seeds.select("context", "n").union(others.select("context", "n")).groupBy("context").agg(F.sum("n").alias("met"))
-    known, best, scored = seeds, None, None
+    met = cut_lineage(seeds.select("context", "n").union(others.select("context", "n")).groupBy("context").agg(F.sum("n").alias("met")))
+    view = F.col("context").bitwiseAND(F.lit(1)).alias("view")
+    known, scored = seeds, None
     for k in range(rounds):
         if k:
             edges = others.where("fits > 0").join(scored.select("context", "kind", "confidence"), "context").where(F.expr("shiftright(fits, kind) & 1 = 1"))
-            best = cut_lineage(edges.groupBy("instance", "kind").agg(F.max("confidence").alias("score")))
-            sure = best.where(F.col("score") >= confidence).groupBy("instance").agg(F.max_by("kind", F.struct("score", -F.col("kind"))).alias("kind"))
+            best = cut_lineage(edges.groupBy("instance", "kind", view).agg(F.max("confidence").alias("score")))
+            sure = cut_lineage(best.where(F.col("score") >= confidence).groupBy("instance").agg(F.max_by("kind", F.struct("score", -F.col("kind"))).alias("kind")))
             known = seeds.union(others.join(sure, "instance").select("context", "kind", "instance", "n"))
-            lent = edges.join(best, ["instance", "kind"]).join(sure.select("instance"), "instance", "left_anti").groupBy("context", "kind").agg(F.sum(F.col("n") * F.col("score")).alias("lent"))
+            other_view = best.select("instance", "kind", (1 - F.col("view")).alias("view"), "score")
+            lent = edges.withColumn("view", view).join(other_view, ["instance", "kind", "view"]).join(sure.select("instance"), "instance", "left_anti").groupBy("context", "kind").agg(F.sum(F.col("n") * F.col("score")).alias("lent"))
         patterns = known.groupBy("context", "kind", "instance").agg(F.sum("n").alias("n")).groupBy("context", "kind").agg(F.count(F.lit(1)).alias("support"), F.sum("n").alias("own")).where(F.col("support") >= support)
         patterns = patterns.join(met, "context")
         patterns = patterns.join(lent, ["context", "kind"], "left") if k else patterns.withColumn("lent", F.lit(0.0))
@@ -237,26 +298,33 @@ def score_patterns(scanned: DataFrame, rounds: int = ROUNDS, support: int = SUPP
     return scored
 
 
-def extract(df: DataFrame, text_col: str = "text", key: str = "doc_id", rounds: int = ROUNDS, support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
+def extract(df: DataFrame, text_col: str = "text", key: str = "doc_id", rounds: int = ROUNDS, support: int = SUPPORT, confidence: float = CONFIDENCE, hide: int = 0) -> DataFrame:
     """Personal data in every whole text.
 
-    Returns key, n_email, n_ip, n_card, n_phone and base_sha256 (of the base spans), and ``spans``: an array of
-    (start, kind, stop, discovered) by start and then kind, ends exclusive, in code points. Discovered spans never replace
-    base ones, overlap none of them, and must have a shape that their kind may have; of several patterns the most
-    confident names the kind. Those within another discovered span are left out. Null texts are empty. Repeated rows with the same key count each; where a key repeats, its
-    rows share the discovered spans of all of them that stand at the same places. An empty table gives an empty result.
+    Returns key, n_email, n_ip, n_card, n_phone and base_sha256 (of the base spans), ``spans``: an array of
+    (start, kind, stop, discovered) by start and then kind, ends exclusive, in code points; and ``digest``, the MD5 of texts in
+    which something may have been discovered. Discovered spans never replace base ones, overlap none of them, and must have a
+    shape that their kind may have; of several patterns the most confident names the kind, of equally confident ones the kind
+    listed first. Of overlapping discoveries those that begin first stay, of these the longest.
+
+    Null texts are empty. What is discovered in a text depends on the text and on all patterns, so equal texts have equal spans,
+    whatever their keys: repeated rows, repeated and null keys need no care. Long texts and words are taken as a whole. An empty
+    table gives an empty result; further columns are not passed on, whatever their names.
     """
-    scanned = cut_lineage(scan(df, text_col, key))
+    scanned = cut_lineage(scan(df, text_col, key, hide))
     good = score_patterns(scanned, rounds, support, confidence).where(F.col("confidence") >= confidence)
-    tokens = scanned.select("key", F.explode("found").alias("f")).select("key", "f.start", "f.stop", "f.fits", F.explode("f.contexts").alias("context")).where("fits > 0")
-    hits = tokens.join(good, "context").where(F.expr("shiftright(fits, kind) & 1 = 1")).groupBy("key", "start", "stop").agg(F.max_by("kind", F.struct("confidence", -F.col("kind"))).alias("kind"))
-    earlier = F.max("stop").over(Window.partitionBy("key").orderBy("start", F.col("stop").desc()).rowsBetween(Window.unboundedPreceding, -1))
+    held = scanned.where("digest is not null")
+    tokens = held.select("digest", F.explode("found").alias("f")).select("digest", "f.start", "f.stop", "f.fits", F.explode("f.contexts").alias("context")).where("fits > 0").distinct()  # copies are summed up here
+    hits = tokens.join(good, "context").where(F.expr("shiftright(fits, kind) & 1 = 1")).groupBy("digest", "start", "stop").agg(F.max_by("kind", F.struct("confidence", -F.col("kind"))).alias("kind"))
+    earlier = F.max("stop").over(Window.partitionBy("digest").orderBy("start", F.col("stop").desc()).rowsBetween(Window.unboundedPreceding, -1))
     hits = hits.withColumn("earlier", earlier).where("earlier is null or stop > earlier")
-    new = hits.groupBy("key").agg(F.collect_list(F.struct("start", "kind", "stop", F.lit(True).alias("discovered"))).alias("new"))
-    joined = scanned.join(new.withColumnRenamed("key", "_key"), F.col("key").eqNullSafe(F.col("_key")), "left")
+    new = cut_lineage(hits.groupBy("digest").agg(F.collect_list(F.struct("start", "kind", "stop", F.lit(True).alias("discovered"))).alias("new")))
+    kind = "array<struct<start:int,kind:int,stop:int,discovered:boolean>>"
+    joined = held.join(new.withColumnRenamed("digest", "_digest"), F.col("digest") == F.col("_digest"), "left").drop("_digest")
+    both = joined.unionByName(scanned.where("digest is null").withColumn("new", F.lit(None).cast(kind)))
     base = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["stop"].alias("stop"), F.lit(False).alias("discovered")))
-    spans = F.array_sort(F.concat(base, F.coalesce("new", F.array().cast("array<struct<start:int,kind:int,stop:int,discovered:boolean>>"))))
-    return joined.select(F.col("key").alias(key), "n_email", "n_ip", "n_card", "n_phone", "base_sha256", spans.alias("spans"))
+    spans = F.array_sort(F.concat(base, F.coalesce("new", F.array().cast(kind))))
+    return both.select(F.col("key").alias(key), "n_email", "n_ip", "n_card", "n_phone", "base_sha256", spans.alias("spans"), "digest")
 
 
 def spans_string(spans: str = "spans"):
@@ -265,14 +333,15 @@ def spans_string(spans: str = "spans"):
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"], s["stop"])), ",")
 
 
-def redact(df: DataFrame, found: DataFrame, text_col: str = "text", key: str = "doc_id") -> DataFrame:
+def redact(df: DataFrame, found: DataFrame, text_col: str = "text") -> DataFrame:
     """All columns of ``df`` with each span of ``found`` replaced by its kind in angle brackets; overlaps become one.
 
-    Base spans are found again in the text itself; only rows with discovered spans need theirs from ``found``.
+    Base spans are found again in the text itself; only texts with discovered spans need theirs from ``found``, by digest.
     """
-    new = found.where(F.exists("spans", lambda s: s["discovered"])).select(F.col(key).alias("_key"), F.transform(F.filter("spans", lambda s: s["discovered"]), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["stop"].alias("stop"))).alias("_new")).dropDuplicates(["_key"])
+    own = F.transform(F.filter("spans", lambda s: s["discovered"]), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["stop"].alias("stop")))
+    new = found.where(F.exists("spans", lambda s: s["discovered"])).select(F.col("digest").alias("_digest"), own.alias("_new")).dropDuplicates(["_digest"])
     names = df.columns
-    joined = df.join(new, df[key].eqNullSafe(new["_key"]), "left").select(*[df[c] for c in names], "_new")
+    joined = df.join(cut_lineage(new), F.md5(df[text_col]) == F.col("_digest"), "left").select(*[df[c] for c in names], "_new")
     place = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
