@@ -1,8 +1,9 @@
-"""Byte-level BPE encoding and decoding by corpus-level merge replay.
+"""Byte-level BPE encoding and decoding by merge replay.
 
 The distinct pre-tokens of a block of texts are laid out as one array of symbols. An inverted index maps each merge
-rank (the token a pair makes) to the positions of that pair; merges are applied in rank order to all their positions
-at once, and only the neighbours touched by a merge are looked up again and enter the index anew.
+rank (the token that a pair makes, so that all pairs which make it are together) to the positions of the pair; merges are
+applied in rank order to all their positions at once, and only the neighbours touched by a merge are looked up again and enter
+the index anew. Merges never leave a word, so a replay of blocks gives what one over the whole corpus gives.
 """
 
 from __future__ import annotations
@@ -21,8 +22,6 @@ from pyspark.sql import DataFrame
 
 #: Characters of text that one replay takes together; bounds a worker's memory and nothing else.
 BLOCK_CHARS = 12_000_000
-#: Words of at least so many bytes are replayed one by one; either way gives the same ids.
-LONG_WORD = 512
 
 
 class MergeTable:
@@ -60,58 +59,22 @@ class MergeTable:
         at = np.searchsorted(self.keys, key)
         return np.where(self.keys[at] == key, self.merged[at], -1)
 
-    def replay_long(self, word: bytes) -> list[int]:
-        """The ids of one long word: its index is a heap of (rank, place), so each merge costs a logarithm of its length."""
-        if (whole := self.ranks.get(word)) is not None:
-            return [whole]
-        n = len(word)
-        token: list[bytes] = [word[i : i + 1] for i in range(n)]
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        find = self.ranks.get
-        pair = [find(word[i : i + 2], -1) for i in range(n - 1)] + [-1]
-        heap = [r * n + i for i, r in enumerate(pair) if r >= 0]
-        heapify(heap)
-        while heap:
-            rank, at = divmod(heappop(heap), n)
-            if pair[at] != rank:
-                continue
-            gone = after[at]
-            then = after[at] = after[gone]
-            token[at] += token[gone]
-            token[gone], pair[gone] = b"", -1
-            if then < n:
-                before[then] = at
-                pair[at] = find(token[at] + token[then], -1)
-                if pair[at] >= 0:
-                    heappush(heap, pair[at] * n + at)
-            else:
-                pair[at] = -1
-            left = before[at]
-            if left >= 0:
-                pair[left] = find(token[left] + token[at], -1)
-                if pair[left] >= 0:
-                    heappush(heap, pair[left] * n + left)
-        return [self.ranks[t] for t in token if t]
+    def _makes_earlier(self, rank: int, at: np.ndarray, symbol: np.ndarray, after: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """Of places merged from left to right: whether the merge makes a pair of a lower rank with its left or right neighbour."""
+        left, right = before[at], after[after[at]]
+        merged = np.concatenate(([False], after[after[at[:-1]]] == at[1:]))  # the left neighbour has just become this token
+        a = np.where(merged, rank, np.where(left >= 0, symbol[left], 0))
+        made_left = np.where(left >= 0, self.lookup(a, np.full(len(at), rank)), -1)
+        made_right = np.where(right >= 0, self.lookup(np.full(len(at), rank), symbol[right]), -1)
+        return ((made_left >= 0) & (made_left < rank)) | ((made_right >= 0) & (made_right < rank))
 
     def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all words, one after another, and the number of ids of each."""
-        long = [i for i, w in enumerate(words) if len(w) >= LONG_WORD]
-        if not long:
-            return self.replay(words)
-        count = np.zeros(len(words), np.int64)
-        ids, count_short = self.replay([w for w in words if len(w) < LONG_WORD])
-        is_long = np.zeros(len(words), bool)
-        is_long[long] = True
-        count[~is_long] = count_short
-        own = [np.array(self.replay_long(words[i]), np.int64) for i in long]
-        count[long] = [len(x) for x in own]
-        out = np.empty(int(count.sum()), np.int64)
-        of_long = np.repeat(is_long, count)
-        out[of_long], out[~of_long] = np.concatenate(own), ids
-        return out, count
+        """The ids of all words, one after another, and the number of ids of each.
 
-    def replay(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """As ``encode_words``, of words that are not long."""
+        All places of a pair are merged at once, from left to right, up to the first in each word whose merge makes a pair of a
+        lower rank: that pair comes next, and the places after it wait. Few merges do, so that long words, too, take a number of
+        steps that grows with the ranks that occur in them and not with their length.
+        """
         if not words:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         lens = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
@@ -153,18 +116,22 @@ class MergeTable:
             at = at[pair[at] == rank]
             if not len(at):
                 continue
-            if self.plain[rank]:
-                chained = np.concatenate(([False], at[1:] == after[at[:-1]]))
-                if chained.any():  # overlapping pairs: every second one of a chain, from its left end
-                    spot = np.arange(len(at))
-                    start = np.maximum.accumulate(np.where(chained, 0, spot))
-                    at = at[(spot - start) % 2 == 0]
-            else:
-                leftmost = np.concatenate(([True], word[at[1:]] != word[at[:-1]]))
-                if not leftmost.all():
-                    index[rank] = [at[~leftmost]]
-                    heappush(heap, rank)
-                    at = at[leftmost]
+            chained = np.concatenate(([False], at[1:] == after[at[:-1]]))
+            if chained.any():  # overlapping pairs: every second one of a chain, from its left end
+                spot = np.arange(len(at))
+                start = np.maximum.accumulate(np.where(chained, 0, spot))
+                at = at[(spot - start) % 2 == 0]
+            if not self.plain[rank]:
+                early = self._makes_earlier(rank, at, symbol, after, before)
+                if early.any():
+                    passed = np.cumsum(early) - early  # hits before each place, of all words
+                    head_at = np.concatenate(([True], word[at[1:]] != word[at[:-1]]))
+                    at_head = np.maximum.accumulate(np.where(head_at, np.arange(len(at)), 0))
+                    wait = passed > passed[at_head]
+                    if wait.any():
+                        index[rank] = [at[wait]]
+                        heappush(heap, rank)
+                        at = at[~wait]
             gone = after[at]
             then = after[gone]
             symbol[at], symbol[gone], pair[gone] = rank, -1, -1
