@@ -100,6 +100,8 @@ def _frames(data: bytes, at: int, end: int, lacing: int) -> list[tuple[int, int]
     """Byte ranges of the frames of a block whose lacing header begins at ``at``."""
     if not lacing:
         return [(at, end)]
+    if at >= end:
+        raise ValueError("a lacing header beyond its block")
     n, at = data[at] + 1, at + 1
     sizes: list[int] = []
     if lacing == 2:  # fixed
@@ -110,8 +112,10 @@ def _frames(data: bytes, at: int, end: int, lacing: int) -> list[tuple[int, int]
     elif lacing == 1:  # Xiph
         for _ in range(n - 1):
             size = 0
-            while data[at] == 255:
+            while at < end and data[at] == 255:
                 size, at = size + 255, at + 1
+            if at >= end:
+                raise ValueError("a lacing header beyond its block")
             sizes.append(size + data[at])
             at += 1
     else:  # EBML: the first size, then signed differences
@@ -155,50 +159,55 @@ def parse(data: bytes) -> dict:
             out["packets"].append((out["clusters"] - 1, out["blocks"], k, track, when + k * default.get(track, 0), x, y - x, bool(flags & 0x80) if simple else None))
         out["blocks"] += 1
 
-    def walk(at: int, end: int, parent: int, holder: dict | None) -> int:
-        while at < end:
+    def leaf(ident: int, body: int, stop: int, holder: dict | None) -> None:
+        if ident == EBML:
+            inner = body
+            while inner < stop:
+                kind, inner, _ = _vint(data, inner, stop, keep_marker=True)
+                length, inner, _ = _vint(data, inner, stop)
+                if kind == 0x4282:
+                    out["doctype"] = data[inner : inner + length].decode("ascii", "replace")
+                inner += length
+        elif ident == TIMESTAMP:
+            state["cluster"] = uint(body, stop)
+        elif ident == SCALE:
+            state["scale"] = uint(body, stop)
+        elif ident in (SIMPLE_BLOCK, BLOCK):
+            block(body, stop, ident == SIMPLE_BLOCK)
+        elif holder is not None:
+            if ident == CODEC:
+                holder["codec"] = data[body:stop].decode("ascii", "replace")
+            elif key := {TRACK_NUMBER: "number", TRACK_TYPE: "type", DEFAULT_DURATION: "duration", CUE_TIME: "time", CUE_TRACK: "track", CUE_CLUSTER: "cluster"}.get(ident):
+                holder[key] = uint(body, stop)
+
+    at, open_ = 0, [(0, len(data), None)]  # the elements that are open: identifier, end, what they describe; as deep as the file says
+    while open_:
+        parent, end, holder = open_[-1]
+        ident = 0
+        if at < end:
             ident, body, _ = _vint(data, at, end, keep_marker=True)
-            if parent == CLUSTER and ident in _TOP:
-                return at  # a cluster of unknown size ends here
-            size, body, unknown = _vint(data, body, end)
-            stop = end if unknown else body + size
-            if stop > end:
-                raise ValueError(f"an element at byte {at} leaves its parent")
-            if ident in _MASTERS:
-                own = holder
-                if ident == CLUSTER:
-                    out["clusters"] += 1
-                    state["cluster"] = 0
-                elif ident == TRACK_ENTRY:
-                    out["tracks"].append(own := {"number": None, "type": None, "codec": None})
-                elif ident == CUE_POINT:
-                    out["cues"].append(own := {"time": None, "track": None, "cluster": None})
-                stop = walk(body, stop, ident, own)
-                if ident == TRACK_ENTRY and own and "duration" in own:
-                    default[own["number"]] = own.pop("duration")
-            elif ident == EBML:
-                inner = body
-                while inner < stop:
-                    kind, inner, _ = _vint(data, inner, stop, keep_marker=True)
-                    length, inner, _ = _vint(data, inner, stop)
-                    if kind == 0x4282:
-                        out["doctype"] = data[inner : inner + length].decode("ascii", "replace")
-                    inner += length
-            elif ident == TIMESTAMP:
-                state["cluster"] = uint(body, stop)
-            elif ident == SCALE:
-                state["scale"] = uint(body, stop)
-            elif ident in (SIMPLE_BLOCK, BLOCK):
-                block(body, stop, ident == SIMPLE_BLOCK)
-            elif holder is not None:
-                if ident == CODEC:
-                    holder["codec"] = data[body:stop].decode("ascii", "replace")
-                elif key := {TRACK_NUMBER: "number", TRACK_TYPE: "type", DEFAULT_DURATION: "duration", CUE_TIME: "time", CUE_TRACK: "track", CUE_CLUSTER: "cluster"}.get(ident):
-                    holder[key] = uint(body, stop)
-            at = stop
-        return at
-
-    walk(0, len(data), 0, None)
+        if at >= end or (parent == CLUSTER and ident in _TOP):  # a cluster of unknown size ends where the next element of its level begins
+            open_.pop()
+            if parent == TRACK_ENTRY and "duration" in holder:
+                default[holder["number"]] = holder.pop("duration")
+            continue
+        size, body, unknown = _vint(data, body, end)
+        stop = end if unknown else body + size
+        if stop > end:
+            raise ValueError(f"an element at byte {at} leaves its parent")
+        at = stop
+        if ident not in _MASTERS:
+            leaf(ident, body, stop, holder)
+            continue
+        if ident == CLUSTER:
+            out["clusters"] += 1
+            state["cluster"] = 0
+        elif ident == TRACK_ENTRY:
+            out["tracks"].append(holder := {"number": None, "type": None, "codec": None})
+        elif ident == CUE_POINT:
+            out["cues"].append(holder := {"time": None, "track": None, "cluster": None})
+        open_.append((ident, stop, holder))
+        at = body
     return out
 
 
@@ -210,8 +219,9 @@ def pad64(data: bytes) -> bytes:
 def packets(df: DataFrame, media_col: str = "media", key: str = "doc_id") -> DataFrame:
     """The packet table of a column of Matroska files: one row for each frame.
 
-    A null, empty or broken file gives one row with a null packet and the error. Repeated keys stay apart by their rows'
-    order only; further columns are not passed on.
+    A null, empty or broken file gives one row with a null packet and the error; a file is read as a whole, however long and
+    however deeply its elements are nested. A file without packets gives no row. Files with equal or null keys each give their
+    own rows, told apart by order only; an empty table gives an empty result; further columns are not passed on, whatever their names.
     """
     schema = f"`{key}` {df.schema[key].dataType.simpleString()}, cluster int, block int, frame int, track int, timestamp_ns bigint, first_byte bigint, n_bytes bigint, keyframe boolean, error string"
     names = ["cluster", "block", "frame", "track", "timestamp_ns", "first_byte", "n_bytes", "keyframe", "error"]
@@ -225,8 +235,8 @@ def packets(df: DataFrame, media_col: str = "media", key: str = "doc_id") -> Dat
                     if not data:
                         raise ValueError("no data")
                     rows = [(*p, None) for p in parse(data)["packets"]]
-                except (ValueError, IndexError, struct.error) as e:
-                    rows = [(None,) * 8 + (str(e),)]
+                except (ValueError, IndexError, struct.error, KeyError, OverflowError) as e:
+                    rows = [(None,) * 8 + (str(e) or type(e).__name__,)]
                 if rows:
                     columns = [pa.array(c, type=t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
                     own = pa.array([batch.column(0)[i].as_py()] * len(rows), type=batch.schema.field(0).type)
@@ -240,8 +250,9 @@ def store_texts(df: DataFrame, text_col: str = "text", key: str = "doc_id", with
 
     Returns the key, ``n_bytes`` of the unpadded text, the payload's length, digest and tail checksum as read back from the
     stored bytes, the stored form's length and digest, and a feature string (tracks, clusters, blocks, packets, lacings,
-    last timestamp, cues, mean sample). ``with_media`` adds the file itself. A null text is the empty one: 64 zero bytes.
-    Equal texts have equal values; further columns are not passed on.
+    last timestamp, cues, mean sample). ``with_media`` adds the file itself. A null text is the empty one: 64 zero bytes. Long
+    texts are stored whole. Equal texts have equal values, whatever their keys; repeated rows and null keys each give a row; an
+    empty table gives an empty result; further columns are not passed on, whatever their names.
     """
     schema = f"`{key}` {df.schema[key].dataType.simpleString()}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()] + [pa.binary()] * with_media
