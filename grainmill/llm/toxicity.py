@@ -94,12 +94,14 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, text_col: str = "t
     """Fit on the ``rows`` labelled documents with the smallest seeded hashes among those that ``usable`` allows.
 
     ``usable`` is an expression over the labels. Rows without key or label are passed over; of repeated labels the highest
-    holds; labels without documents add nothing. Without any label every score is the bias of 0, that is 0.5.
+    holds; of different texts with one key the least; labels without documents add nothing. Texts count whole, null as the empty
+    one. Without any label every score is the bias of 0, that is 0.5.
     """
     known = labels.where(usable & F.col(key).isNotNull() & F.col(label_col).isNotNull()).groupBy(key).agg(F.max(label_col).alias("_label_"))
     few = known.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(rows)
-    chosen = docs.select(docs[key], docs[text_col]).join(F.broadcast(few), key).dropDuplicates([key])  # at most ``rows`` labels
-    return train(chosen.withColumnRenamed("_label_", "label"), text_col, "label", key, rows, how)
+    chosen = docs.select(docs[key].alias("_key_"), docs[text_col].alias("_text_")).join(F.broadcast(few.withColumnRenamed(key, "_key_")), "_key_")  # at most ``rows`` labels
+    chosen = chosen.groupBy("_key_").agg(F.min("_text_").alias("text"), F.max("_label_").alias("label"))
+    return train(chosen.withColumnRenamed("_key_", "key"), "text", "label", "key", rows, how)
 
 
 def score(df: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text_col: str = "text", name: str = "score", buckets: int = BUCKETS) -> DataFrame:
