@@ -12,12 +12,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import _C1, mix
 
-#: Bound on the documents that the probabilities are learned from, of all languages together.
+#: Bound on the documents that the probabilities are learned from, shared out evenly among the languages.
 TRAIN_ROWS = 3000
 #: Words at most so long are scored with others of the same length only; longer ones are padded to a common length.
 SAME = 32
@@ -31,7 +31,12 @@ BLOCK_CHARS = 12_000_000
 FLOOR, PSEUDO = 1e-7, 0.05
 _MARK = "▁"
 _BREAKS = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER, _ALPHANUMERIC = re.compile(r"[A-Za-z]"), re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """Whether any character is a letter by its Unicode category; numbers such as one half or superscripts are none."""
+    return bool(_LETTER.search(text)) or any(m.group().isalpha() for m in _ALPHANUMERIC.finditer(text))
 
 
 def split_words(text: str) -> list[str]:
@@ -184,16 +189,24 @@ def vocabulary(model_path: str) -> list[str]:
 
 def learn(docs: DataFrame, usable: Column, model_path: str, text_col: str = "text", lang_col: str = "lang", key: str = "doc_id",
           rows: int = TRAIN_ROWS, seed: int = 7) -> tuple[list[str], list[str], np.ndarray]:
-    """Languages, pieces and probabilities (pieces x languages) from ``rows`` documents with the smallest seeded hashes.
+    """Languages, pieces and probabilities (pieces x languages) from at most ``rows`` documents, the same number of each language.
 
-    Rows without text or language teach nothing. The sample is drawn by key first, so only its texts are moved; repeated
-    rows count each. One task learns; the driver gets pieces x languages numbers.
+    Of each language those with the smallest seeded hashes are taken, so that rare languages are learned as well; where there are
+    more languages than ``rows``, the first in alphabetical order. The sample is drawn by key first, so only its texts are moved.
+    Rows without text or language teach nothing; repeated rows count each. One task learns; the driver gets pieces x languages
+    numbers.
     """
-    few = docs.where(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.xxhash64(F.lit(seed), F.col(key)).alias("h")).orderBy("h").limit(rows)
-    edge = few.agg(F.max("h")).first()[0]
-    if edge is None:
-        return [], [], np.zeros((1, 0))
-    chosen = docs.where(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.xxhash64(F.lit(seed), F.col(key)) <= edge)).select(lang_col, text_col)
+    known = docs.where(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    number = F.xxhash64(F.lit(seed), F.col(key))
+    sizes = known.groupBy(F.col(lang_col).alias("_lang")).agg(F.count(F.lit(1)).alias("_n")).orderBy("_lang").limit(rows)  # at most ``rows`` languages
+    each = max(1, rows // max(1, sizes.count()))
+    # hashes are uniform: half as many again fall below this share, of which the smallest are taken
+    share = F.least(F.lit(1.0), (1.5 * each + 20) / F.col("_n"))
+    edge = F.when(share >= 1, F.lit((1 << 63) - 1)).otherwise(((2 * share - 1) * float(1 << 63)).cast("long"))
+    few = known.select(F.col(lang_col).alias("_lang"), number.alias("_h")).join(F.broadcast(sizes.select("_lang", edge.alias("_edge"))), "_lang").where("_h <= _edge")
+    nth = F.row_number().over(Window.partitionBy("_lang").orderBy("_h"))
+    ends = few.withColumn("_nth", nth).where(F.col("_nth") <= each).groupBy("_lang").agg(F.max("_h").alias("_end"))
+    chosen = known.select(F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text"), number.alias("_h")).join(F.broadcast(ends), "_lang").where("_h <= _end").select("_lang", "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, Counter] = defaultdict(Counter)
@@ -215,10 +228,14 @@ def learn(docs: DataFrame, usable: Column, model_path: str, text_col: str = "tex
 def predict(df: DataFrame, model: tuple[list[str], list[str], np.ndarray], text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The likeliest language of each whole text and its probability among those learned.
 
-    ``und`` with score 0 for texts that are null or have no letter, and for all if no language was learned. Rows are
-    independent of each other; ``keep`` names the columns passed on.
+    ``und`` with score 0 for texts that are null or have no letter, and for all if no language was learned. Of equally likely
+    languages the first in alphabetical order holds. Rows are independent of each other: repeated rows and null keys change
+    nothing, texts count whole, an empty table gives an empty result. ``keep`` names the columns passed on; those with the name of
+    a result are an error.
     """
     langs, names, p = model
+    if clash := set(keep) & {"lang_pred", "score"}:
+        raise ValueError(f"kept columns clash with results: {sorted(clash)}")
     schema = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep] + ["lang_pred string", "score double"])
     shared = df.sparkSession.sparkContext.broadcast((names, p))  # at most pieces x languages numbers
 
@@ -231,7 +248,7 @@ def predict(df: DataFrame, model: tuple[list[str], list[str], np.ndarray], text_
             seen.default_factory = seen.__len__
             spots = []
             for t in texts:
-                words = split_words(t) if t is not None and langs and _LETTER.search(t) else None
+                words = split_words(t) if t is not None and langs and has_letter(t) else None
                 spots.append(None if words is None else np.fromiter(map(seen.__getitem__, words), dtype=np.int32, count=len(words)))
             logs = log_probabilities(list(seen), pieces, p)
             best, scores = [], []
