@@ -364,6 +364,30 @@ def test_matroska_parser_reads_other_files():
             media.parse(broken)
 
 
+def test_matroska_parser_survives_crafted_files(spark):
+    e = media._element
+    deep = b"x"
+    for _ in range(3000):
+        deep = e(media.BLOCK_GROUP, deep)
+    nested = media.SEGMENT.to_bytes(4, "big") + b"\xff" + e(media.CLUSTER, deep)
+    block = lambda flags, body: media._HEADER + media.SEGMENT.to_bytes(4, "big") + b"\xff" + e(media.CLUSTER, e(media.SIMPLE_BLOCK, b"\x81\0\0" + bytes([flags]) + body))
+    short = [block(0x82, b"\x05\xff\xff"), block(0x82, b""), block(0x86, b"\x03"), block(0x84, b"\x02ab")]
+    for data in (nested, *short):
+        with pytest.raises(ValueError):
+            media.parse(data)
+    rng = np.random.default_rng(6)
+    good = media.mux(bytes(range(256)) * 40)
+    files = [nested, *short]
+    for _ in range(300):
+        data = bytearray(good)
+        for k in rng.integers(0, len(data), 12):
+            data[k] = int(rng.integers(0, 256))
+        files.append(bytes(data[: int(rng.integers(1, len(data)))]))
+    rows = [(i % 7 if i else None, bytearray(f)) for i, f in enumerate(files)]
+    got = media.packets(spark.createDataFrame(rows, "doc_id bigint, media binary")).collect()
+    assert sum(r["error"] is not None for r in got) > 100 and all(r["error"] or r["n_bytes"] >= 0 for r in got)
+
+
 def test_packet_table(spark):
     rows = [(1, bytearray(media.mux(b"q" * 64 * 700))), (2, None), (3, bytearray(b"\x1a\x45"))]
     got = media.packets(spark.createDataFrame(rows, "doc_id bigint, media binary")).collect()
@@ -415,6 +439,19 @@ def test_repeats_on_odd_rows(docs, odd):
 
 # --- byte-level BPE
 
+def test_bpe_of_random_words():
+    table = bpe.merge_table(VOCAB)
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table.ranks, special_tokens={})
+    rng = np.random.default_rng(4)
+    pieces = [t.decode("utf-8", "ignore").strip() or "a" for t in table.token_bytes[300:20000:7]]
+    words = ["".join(c for c in "".join(rng.choice(pieces, int(rng.integers(1, n)))) if c.isalpha()) or "b" for n in [4] * 3000 + [60] * 200 + [900] * 6]
+    words += ["".join(rng.choice(list("aeintsh"), int(n))) for n in rng.integers(1, 3000, 60)]
+    ids, count = table.encode_words([w.encode() for w in words])
+    ends = np.cumsum(count)
+    for w, a, b in zip(words, ends - count, ends, strict=True):
+        assert ids[a:b].tolist() == enc.encode_ordinary(w) or len(bpe.regex.findall(public_tokenizers.PATTERN, w)) > 1
+
+
 @pytest.mark.parametrize("text", ["a" * 300_001, "1" * 50_000, " " * 50_001, "\n" * 7_001, "é" * 5_000, "中" * 3_000, "!" * 6_000, "abcdefghijkl" * 5_000, "ab" * 300 + " hi " + "thing" * 110])
 def test_bpe_of_long_words(text):
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")

@@ -34,6 +34,36 @@ def test_toxicity_on_odd_rows(spark, docs, odd):
     assert toxicity.score(docs(odd), toxicity.learn(docs(odd), labels, F.lit(False))).first()["score"] == 0.5
 
 
+def test_ftrl_against_the_plain_formulas():
+    rng = np.random.default_rng(9)
+    how = toxicity.Ftrl(alpha=0.7, beta=0.5, l1=0.8, l2=0.3, epochs=3)
+    rows = [rng.integers(0, 32, int(rng.integers(0, 12))) for _ in range(120)]
+    labels = [int(3 in r or (5 in r and 7 in r)) for r in rows]
+    z, n, zb, nb = [0.0] * 32, [0.0] * 32, 0.0, 0.0
+    weight = lambda i: 0.0 if abs(z[i]) <= how.l1 else -(z[i] - (1 if z[i] > 0 else -1) * how.l1) / ((how.beta + n[i] ** 0.5) / how.alpha + how.l2)
+    bias = lambda: -zb / ((how.beta + nb**0.5) / how.alpha)
+    for _ in range(how.epochs):
+        for r, y in zip(rows, labels, strict=True):
+            own = {int(i): weight(i) for i in set(r.tolist())}
+            b = bias()
+            g = 1 / (1 + np.exp(-(sum(own.values()) + b))) - y
+            for i, w in own.items():
+                z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / how.alpha * w
+                n[i] += g * g
+            zb += g - ((nb + g * g) ** 0.5 - nb**0.5) / how.alpha * b
+            nb += g * g
+    at, w, got = toxicity.fit(rows, labels, how, 32)
+    want = {i: weight(i) for i in range(32) if weight(i)}
+    assert at.tolist() == sorted(want) and np.allclose(w, [want[i] for i in at]) and abs(got - bias()) < 1e-9 and 0 < len(want) < 32
+
+
+def test_toxicity_of_repeated_ids_is_repeatable(spark, docs):
+    rows = [(1, "bad words here"), (1, "good words here"), (2, "fine day"), (3, None)]
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id bigint, toxic int")
+    models = [toxicity.learn(docs(r).repartition(n), labels, F.lit(True)) for r, n in ((rows, 1), (rows[::-1], 3))]
+    assert all((a == b).all() if hasattr(a, "all") else a == b for a, b in zip(*models, strict=True))
+
+
 def test_languages_on_held_out_rows(spark):
     got = queries.op7_language_id(spark, SF).join(read_table(spark, SF, "documents").select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert np.mean([r["lang_pred"] == r["lang"] for r in got]) > 0.95
@@ -48,6 +78,53 @@ def test_languages_on_odd_rows(spark, docs, odd):
     assert langid.predict(docs([]), langid.learn(df, F.lit(True), path)).count() == 0
 
 
+def test_letters_are_those_of_unicode():
+    assert [langid.has_letter(t) for t in ("½", "² 12 _", "", "a", "1 ñ", "日", "!!", "ª")] == [False, False, False, True, True, True, False, True]
+
+
+def test_rare_languages_are_learned_and_the_sample_is_bounded(spark, docs):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    rows = [(i, "the house and the garden are here" if i % 50 else "das haus und der garten sind hier") for i in range(400)]
+    df = docs(rows, langs={i: "en" if i % 50 else "de" for i, _ in rows})
+    langs, pieces, p = langid.learn(df, F.lit(True), path, rows=10)
+    assert langs == ["de", "en"] and p.shape == (len(pieces) + 1, 2)
+    assert {r["doc_id"] % 50 == 0: r["lang_pred"] for r in langid.predict(df, (langs, pieces, p)).collect()} == {True: "de", False: "en"}
+    assert langid.learn(df, F.lit(True), path, rows=1)[0] == ["de"]
+    with pytest.raises(ValueError):
+        langid.predict(df.withColumnRenamed("key", "score"), (langs, pieces, p), keep=("score",))
+
+
+def test_expectation_and_prediction_by_brute_force(spark, docs):
+    """EM and the likeliest language against sums over all segmentations, on words that allow few."""
+    pieces = langid.Pieces(["a", "b", "ab", "ba", "▁", "▁a", "bab"])
+    size = len(pieces.pieces)
+
+    def cuts(s):
+        return [[]] if not s else [[s[:k], *rest] for k in range(1, len(s) + 1) if s[:k] in pieces.pieces for rest in cuts(s[k:])]
+
+    def em(counts):
+        p = np.full(size, 1 / size)
+        for _ in range(3):
+            want = np.full(size, langid.PSEUDO)
+            for w, n in counts.items():
+                ways = [[pieces.pieces.index(x) for x in c] for c in cuts("▁" + w)]
+                odds = np.array([np.prod(p[c]) for c in ways])
+                for c, x in zip(ways, odds / odds.sum(), strict=True):
+                    np.add.at(want, c, n * x)
+            p = want / want.sum()
+        return p
+
+    words = {"x": {"ab": 5, "abab": 2, "bab": 1}, "y": {"ba": 4, "bba": 3, "b": 2}}
+    learned = {k: langid.learn_pieces(v, pieces) for k, v in words.items()}
+    assert all(np.allclose(learned[k][:-1], em(v)) for k, v in words.items())
+    model = (["x", "y"], pieces.pieces, np.stack([learned["x"], learned["y"]], axis=1))
+    texts = ["ab bab", "bba b ba", "abab b", "a", "bb ab"]
+    got = {r["doc_id"]: r for r in langid.predict(docs(list(enumerate(texts))), model).collect()}
+    for i, t in enumerate(texts):
+        logs = [sum(np.log(sum(np.prod([learned[k][pieces.pieces.index(x)] for x in c]) for c in cuts("▁" + w))) for w in t.split()) for k in "xy"]
+        assert got[i]["lang_pred"] == "xy"[int(np.argmax(logs))] and abs(got[i]["score"] - 1 / (1 + np.exp(min(logs) - max(logs)))) < 1e-9
+
+
 def test_forward_sums_all_segmentations():
     pieces = langid.Pieces(["a", "b", "ab", "ba", "aba", "▁"])
     p = np.append(np.linspace(0.05, 0.3, len(pieces.pieces)), langid.FLOOR)[:, None]
