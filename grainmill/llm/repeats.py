@@ -1,10 +1,10 @@
 """Suffix-array deduplication: maximal repeats of byte strings, by stack scans of common-prefix interval trees.
 
 Two equal stretches of ``width`` bytes choose the same anchor, the least of their ``GRAM``-byte hashes at the same place in
-them. Only anchors that occur more than once can be in a repeat, and where all bytes that an anchor speaks for are equal
-elsewhere as well, nothing more is to be compared. What is left, the anchors at the edges of repeats, is brought together
-by anchor: the suffixes of their surroundings are sorted, and the tree of common-prefix intervals is scanned with a stack.
-Intervals whose occurrences have different bytes before them are maximal repeats; each marks all its occurrences.
+them. Only anchors that occur more than once can be in a repeat. Anchors whose whole surroundings are equal (128 bits of
+BLAKE2) are one; where there are different surroundings, the suffixes from the anchor are sorted, and so are the reversed
+prefixes before it. A scan with a stack over the common prefixes of neighbours gives the tree of common-prefix intervals;
+an interval whose occurrences have different bytes before them is a maximal repeat with all its occurrences.
 """
 
 from __future__ import annotations
@@ -17,21 +17,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BYTE, _C1, _C2, _powers, cut_lineage, mix, shuffle_partitions
+from .common import _BYTE, _powers, cut_lineage, mix, shuffle_partitions
 
 WIDTH, GRAM = 200, 100
 _SEGMENT = 1 << 19
+#: All windows of an anchor are repeated; an edge; a model of equal surroundings, which edges are compared with.
 _FULL, _EDGE, _MODEL = 0, 1, 2
+#: Edges and models of an anchor with more than CROWD different surroundings: their windows are counted one by one instead, which
+#: gives the same and needs no task to hold them.
+_CROWDED_EDGE, _CROWDED_MODEL = 3, 4
+CROWD = 256
 #: Anchors that a scanning task holds before it hands them on; bounds its memory and nothing else.
-_HELD = 1_500_000
+_HELD = 1_000_000
+_ENTRY = np.dtype([("number", "<i4"), ("state", "i1"), ("hash", "<i8")])
 
 
-def anchors(data: bytes, width: int = WIDTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each anchor: its place, the first and last start of the windows that chose it, its hash, and a hash of all their bytes."""
+def anchors(data: bytes, width: int = WIDTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each anchor: its place, the first and last start of the windows that chose it, and its hash."""
     n = len(data)
     if n < width:
         none = np.zeros(0, np.int64)
-        return none, none, none, none.view(np.uint64), none.view(np.uint64)
+        return none, none, none, none.view(np.uint64)
     buf = np.frombuffer(data, np.uint8)
     power, inverse = _powers(n + 1)
     sums = np.zeros(n + 1, np.uint64)
@@ -54,18 +60,22 @@ def anchors(data: bytes, width: int = WIDTH, gram: int = GRAM) -> tuple[np.ndarr
     low = np.concatenate(([0], cut))
     high = np.concatenate((cut - 1, [windows - 1]))
     place = chosen[low]
-    whole = (sums[high + width] - sums[low]) * inverse[low]
-    return place, low, high, h[place], mix(whole + (place - low).astype(np.uint64) * _C1 + (high - low).astype(np.uint64) * _C2)
+    return place, low, high, h[place]
 
 
-def common_prefix(a: bytes, b: bytes, least: int) -> int:
-    """Length of the common prefix if it is ``least`` or more, else 0."""
+def surroundings(data: bytes, low: np.ndarray, high: np.ndarray, width: int = WIDTH) -> np.ndarray:
+    """128-bit digests of all bytes that each anchor speaks for, as two columns."""
+    digest = hashlib.blake2b
+    out = b"".join([digest(data[a:b], digest_size=16).digest() for a, b in zip(low.tolist(), (high + width).tolist(), strict=True)])
+    return np.frombuffer(out, "<u8").reshape(-1, 2)
+
+
+def common_prefix(a: bytes, b: bytes) -> int:
+    """Length of the common prefix."""
     m = min(len(a), len(b))
-    if a[:least] != b[:least] or m < least:
-        return 0
     if a[:m] == b[:m]:
         return m
-    low, high = least, m
+    low, high = 0, m
     while low < high - 1:
         mid = (low + high) // 2
         if a[low:mid] == b[low:mid]:
@@ -75,72 +85,58 @@ def common_prefix(a: bytes, b: bytes, least: int) -> int:
     return low
 
 
-def maximal_repeats(suffixes: list[tuple[bytes, int, int]], least: int) -> Iterator[tuple[int, list[int]]]:
-    """Of sorted (suffix, byte before it or a negative number of its own, any) the maximal repeats of ``least`` bytes or more.
+def intervals(prefixes: list[int]) -> Iterator[tuple[int, int, int]]:
+    """The interval tree of the common prefixes of neighbours in a sorted list, by one scan with a stack, children before parents.
 
-    Yields the length and the places, in the list, of the occurrences that no longer repeat of the scan holds: every
-    occurrence is in exactly one of the groups that are yielded for the path from it to the root, the deepest. One pass with
-    a stack over the common prefixes of neighbours; an interval is given out if its occurrences differ in the byte before.
+    Each is (length, first, last): the largest stretches of the list whose members have so much in common, and no more.
+    """
+    stack: list[tuple[int, int]] = []
+    for i, length in enumerate([*prefixes, 0]):
+        first = i
+        while stack and stack[-1][0] > length:
+            depth, first = stack.pop()
+            yield depth, first, i
+        if length and (not stack or stack[-1][0] < length):
+            stack.append((length, first))
+
+
+def maximal_groups(contexts: list[tuple[bytes, int]], width: int = WIDTH) -> Iterator[tuple[int, int, list[int]]]:
+    """For different surroundings (bytes, place of the anchor) of one anchor: the maximal repeats of ``width`` bytes or more that
+    hold the anchor's first byte, as (bytes before the anchor, length, members).
+
+    The suffixes from the anchor make one interval tree, the reversed prefixes before it another. Members of a node of the
+    second have a left context in common that no other string has; of them, an interval of the first is a maximal repeat if they
+    are not all in the same child, for then their next bytes to the left differ.
     """
-    stack: list[list] = []  # length, own leaves, byte before all (None if they differ)
-
-    def put(top: list, leaf: int) -> None:
-        top[1].append(leaf)
-        if top[2] != suffixes[leaf][1]:
-            top[2] = None
-
-    previous = 0  # common prefix of the last leaf with the one before
-    for i in range(len(suffixes)):
-        following = common_prefix(suffixes[i][0], suffixes[i + 1][0], least) if i + 1 < len(suffixes) else 0
-        if following > previous:
-            stack.append([following, [i], suffixes[i][1]])
-        elif previous:
-            put(stack[-1], i)
-        while stack and stack[-1][0] > following:
-            length, leaves, before = stack.pop()
-            if before is None:
-                yield length, leaves
-            if stack and stack[-1][0] >= following and stack[-1][0] > 0:
-                parent = stack[-1]
-            elif following:
-                stack.append(parent := [following, [], before])
-            else:
-                continue
-            if before is None or parent[2] != before:
-                parent[2] = None
-            if before is not None:  # what it holds is longer to the left; the parent's repeat may still be maximal there
-                parent[1].extend(leaves)
-        previous = following
+    if len(contexts) < 2:
+        return
+    right, left = [c[a:] for c, a in contexts], [c[:a][::-1] for c, a in contexts]
+    by_right = sorted(range(len(contexts)), key=right.__getitem__)
+    common = [common_prefix(right[x], right[y]) for x, y in zip(by_right, by_right[1:], strict=False)]
+    rank = np.empty(len(contexts), dtype=np.int64)
+    rank[by_right] = np.arange(len(contexts))
+    by_left = sorted(range(len(contexts)), key=left.__getitem__)
+    before = [common_prefix(left[x], left[y]) for x, y in zip(by_left, by_left[1:], strict=False)]
+    nodes = list(intervals(before))
+    if not nodes or nodes[-1][1:] != (0, len(contexts) - 1):
+        nodes.append((0, 0, len(contexts) - 1))
+    for back, first, last in nodes:
+        child = np.cumsum([0] + [before[k] == back for k in range(first, last)])  # a child ends where no more is in common
+        order = sorted(zip(by_left[first : last + 1], child.tolist(), strict=True), key=lambda m: rank[m[0]])
+        shared = [min(common[rank[x] : rank[y]]) for (x, _), (y, _) in zip(order, order[1:], strict=False)]
+        for ahead, i, j in intervals(shared):
+            if back + ahead >= width and len({c for _, c in order[i : j + 1]}) > 1:
+                yield back, back + ahead, [m for m, _ in order[i : j + 1]]
 
 
 def repeated_ranges(contexts: list[tuple[bytes, int]], width: int = WIDTH) -> list[list[tuple[int, int]]]:
     """For surroundings (bytes, place of the anchor) of one anchor: the ranges of each that are repeated in another."""
     out: list[list[tuple[int, int]]] = [[] for _ in contexts]
-    if len(contexts) < 2:
-        return out
-    left = min(a for _, a in contexts)
-    first, at = contexts[0]
-    for c, a in contexts[1:]:  # the bytes before the anchor that all have in common
-        while left and c[a - left : a] != first[at - left : at]:
-            left = left // 2 if c[a - left // 2 : a] != first[at - left // 2 : at] else left - 1
-    if len(contexts) == 2:
-        (x, a), (y, b) = contexts
-        length = common_prefix(x[a - left :], y[b - left :], width)
-        if length:
-            out = [[(a - left, a - left + length)], [(b - left, b - left + length)]]
-        return out
-    for r in range(left, max(a for _, a in contexts) + 1):  # starts nearer to the anchor have equal bytes before them
-        suffixes = []
-        for j, (c, a) in enumerate(contexts):
-            if a >= r and len(c) - a + r >= width:
-                suffixes.append((c[a - r :], c[a - r - 1] if a > r else -1 - j, j))
-        suffixes.sort(key=lambda s: s[0])
-        for length, leaves in maximal_repeats(suffixes, width):
-            for i in leaves:
-                j = suffixes[i][2]
-                start = contexts[j][1] - r
-                out[j].append((start, start + length))
-    return out
+    for back, length, members in maximal_groups(contexts, width):
+        for m in members:
+            start = contexts[m][1] - back
+            out[m].append((start, start + length))
+    return [_merge(ranges) for ranges in out]
 
 
 def _merge(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -157,40 +153,68 @@ def _bytes(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "surrogatepass")
 
 
+def _runs(*columns: np.ndarray) -> np.ndarray:
+    """Where a row of sorted columns differs from the one before."""
+    out = np.zeros(len(columns[0]), dtype=bool)
+    out[:1] = True
+    for c in columns:
+        out[1:] |= c[1:] != c[:-1]
+    return out
+
+
 def shared_anchors(rows: DataFrame, width: int, gram: int) -> DataFrame:
-    """(row, anchor number, state, hash) of the anchors that occur more than once.
+    """(row, part, open): the anchors of each text that occur more than once, packed as number, state and hash; ``open`` if any of
+    them is not ``_FULL``.
 
-    A scanning task packs the anchors of many rows into a few binary rows by hash range, which is all that is shuffled.
-    State: all windows are repeated; an edge; an edge's model, whose windows are repeated and are compared with edges.
+    A scanning task packs the anchors of many texts into a few binary rows by hash range, which is all that is shuffled. Equal
+    surroundings within a pack go on as one, so that a hot passage comes once from each task; the others are known to be
+    repeated already and are sent to where their texts are put together.
     """
     buckets = 16 * shuffle_partitions(rows.sparkSession)
 
     def pack(held: list) -> Iterator[pa.RecordBatch]:
-        keys = np.array([k for k, *_ in held], dtype=np.int64)
         counts = [len(h) for _, h, _ in held]
+        texts = np.frombuffer(b"".join([k for k, *_ in held]), "<u8").reshape(-1, 2)
         h, u = np.concatenate([x for _, x, _ in held]), np.concatenate([x for *_, x in held])
-        row = np.repeat(np.arange(len(held), dtype=np.uint32), counts)
+        text = np.repeat(np.arange(len(held), dtype=np.uint32), counts)
         number = np.concatenate([np.arange(c, dtype=np.uint32) for c in counts])
-        bucket = ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((u[:, 1], u[:, 0], h))
+        h, u, text, number = h[order], u[order], text[order], number[order]
+        head = _runs(h, u[:, 0], u[:, 1])
+        start = np.flatnonzero(head)
+        twice = (np.diff(np.append(start, len(h))) > 1).astype(np.uint8)
+        numbers, blobs = [], []
+        bucket = ((h[start] >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        numbers, blobs = [], []
         for b in range(buckets):
             own = order[edges[b] : edges[b + 1]]
             if len(own):
-                used, at = np.unique(row[own], return_inverse=True)
-                head = np.array([len(used), len(own)], dtype=np.int64)
-                blobs.append(b"".join(x.tobytes() for x in (head, keys[used], h[own], u[own], at.astype(np.uint32), number[own])))
+                at = start[own]
+                used, of = np.unique(text[at], return_inverse=True)
+                sizes = np.array([len(used), len(own)], dtype=np.int64)
+                blobs.append(b"".join(np.ascontiguousarray(x).tobytes() for x in (sizes, texts[used], h[at], u[at], of.astype(np.uint32), number[at], twice[own])))
                 numbers.append(b)
+        text, number = text[~head], number[~head]  # known to be repeated
+        bucket = (texts[text, 0] % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((text, bucket))
+        edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        for b in range(buckets):
+            own = order[edges[b] : edges[b + 1]]
+            if len(own):
+                used, of = np.unique(text[own], return_inverse=True)
+                blobs.append(b"".join(np.ascontiguousarray(x).tobytes() for x in (np.array([len(used), len(own)], dtype=np.int64), texts[used], of.astype(np.uint32), number[own])))
+                numbers.append(buckets + b)
         yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = [], 0
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                *_, h, u = anchors(_bytes(text), width, gram)
+            for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                data = _bytes(text)
+                _, low, high, h = anchors(data, width, gram)
                 if len(h):
-                    held.append((key, h, u))
+                    held.append((bytes.fromhex(row), h, surroundings(data, low, high, width)))
                     count += len(h)
                 if count >= _HELD:
                     yield from pack(held)
@@ -198,123 +222,192 @@ def shared_anchors(rows: DataFrame, width: int, gram: int) -> DataFrame:
         if held:
             yield from pack(held)
 
-    def settle(blobs: list[bytes]) -> pa.RecordBatch | None:
-        keys, hashes, wholes, ats, numbers = [], [], [], [], []
+    def give(texts: np.ndarray, number: np.ndarray, state: np.ndarray, h: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Entries, each place of a text once, as one part for each text."""
+        order = np.lexsort((state != _MODEL, number, texts[:, 1], texts[:, 0]))
+        texts, number, state, h = texts[order], number[order], state[order], h[order]
+        once = _runs(texts[:, 0], texts[:, 1], number)
+        texts, number, state, h = texts[once], number[once], state[once], h[once]
+        entry = np.empty(len(number), dtype=_ENTRY)
+        entry["number"], entry["state"], entry["hash"] = number, state, h.view(np.int64)
+        start = np.flatnonzero(_runs(texts[:, 0], texts[:, 1]))
+        stop = np.append(start[1:], len(entry))
+        open_ = np.add.reduceat(state != _FULL, start) > 0
+        for k in range(0, len(start), 5000):
+            names = [texts[i].tobytes().hex() for i in start[k : k + 5000]]
+            parts = [entry[a:b].tobytes() for a, b in zip(start[k : k + 5000], stop[k : k + 5000], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(parts, pa.binary()), pa.array(open_[k : k + 5000])], names=["row", "part", "open"])
+
+    def settle(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+        found: list[list[np.ndarray]] = [[] for _ in range(5)]
         for blob in blobs:
-            rows_, n = np.frombuffer(blob, np.int64, 2).tolist()
-            at = 16
-            own = np.frombuffer(blob, np.int64, rows_, at)
-            at += 8 * rows_
-            hashes.append(np.frombuffer(blob, np.uint64, n, at))
-            wholes.append(np.frombuffer(blob, np.uint64, n, at + 8 * n))
-            keys.append(own[np.frombuffer(blob, np.uint32, n, at + 16 * n)])
-            numbers.append(np.frombuffer(blob, np.uint32, n, at + 20 * n))
-        h, u, k, no = map(np.concatenate, (hashes, wholes, keys, numbers))
-        order = np.lexsort((k, u, h))
-        h, u, k, no = h[order], u[order], k[order], no[order]
-        new_h = np.concatenate(([True], h[1:] != h[:-1]))
-        new_u = new_h | np.concatenate(([True], u[1:] != u[:-1]))
+            m, n = np.frombuffer(blob, np.int64, 2).tolist()
+            texts, at = np.frombuffer(blob, "<u8", 2 * m, 16).reshape(-1, 2), 16 + 16 * m
+            of = np.frombuffer(blob, np.uint32, n, at + 24 * n)
+            for into, x in zip(found, (texts[of], np.frombuffer(blob, "<u8", n, at), np.frombuffer(blob, "<u8", 2 * n, at + 8 * n).reshape(-1, 2), np.frombuffer(blob, np.uint32, n, at + 28 * n), np.frombuffer(blob, np.uint8, n, at + 32 * n)), strict=True):
+                into.append(x)
+        texts, h, u, number, twice = map(np.concatenate, found)
+        order = np.lexsort((number, texts[:, 1], texts[:, 0], u[:, 1], u[:, 0], h))
+        texts, h, u, number, twice = texts[order], h[order], u[order], number[order], twice[order]
+        new_h = _runs(h)
+        new_u = new_h | _runs(u[:, 0], u[:, 1])
         of_h, of_u = np.cumsum(new_h) - 1, np.cumsum(new_u) - 1
-        size_h, size_u = np.bincount(of_h), np.bincount(of_u)
-        kinds = np.bincount(of_h[new_u])  # different surroundings of each anchor
-        shared = size_h[of_h] > 1
-        state = np.where(size_u[of_u] == 1, _EDGE, np.where(new_u & (kinds[of_h] > 1), _MODEL, _FULL))
-        if not shared.any():
-            return None
-        return pa.RecordBatch.from_arrays([pa.array(k[shared]), pa.array(no[shared].astype(np.int32)), pa.array(state[shared].astype(np.int8)), pa.array(h[shared].view(np.int64))], names=["row", "number", "state", "hash"])
+        often = np.bincount(of_u, weights=1 + twice)[of_u] > 1
+        kinds = np.bincount(of_h[new_u])[of_h]  # different surroundings of each anchor
+        state = np.where(~often, _EDGE, np.where(new_u & (kinds > 1), _MODEL, _FULL))
+        state = np.where((kinds > CROWD) & (state != _FULL), state + (_CROWDED_EDGE - _EDGE), state)
+        shared = often | (kinds > 1)
+        if shared.any():
+            yield from give(texts[shared], number[shared], state[shared], h[shared])
+
+    def known(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+        texts, numbers = [], []
+        for blob in blobs:
+            m, n = np.frombuffer(blob, np.int64, 2).tolist()
+            texts.append(np.frombuffer(blob, "<u8", 2 * m, 16).reshape(-1, 2)[np.frombuffer(blob, np.uint32, n, 16 + 16 * m)])
+            numbers.append(np.frombuffer(blob, np.uint32, n, 16 + 16 * m + 4 * n))
+        number = np.concatenate(numbers)
+        yield from give(np.concatenate(texts), number, np.full(len(number), _FULL), np.zeros(len(number), np.uint64))
 
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, blobs = None, []
         for batch in batches:
             for b, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if b != now and blobs:
-                    if (got := settle(blobs)) is not None:
-                        yield got
+                    yield from (settle if now < buckets else known)(blobs)
                     blobs = []
                 now = b
                 blobs.append(blob.as_py())
-        if blobs and (got := settle(blobs)) is not None:
-            yield got
+        if blobs:
+            yield from (settle if now < buckets else known)(blobs)
 
     packed = rows.select("row", "text").mapInArrow(scan, "bucket int, blob binary")
-    return packed.repartition(shuffle_partitions(rows.sparkSession), "bucket").sortWithinPartitions("bucket").mapInArrow(group, "row bigint, number int, state tinyint, hash bigint")
+    return packed.repartition(shuffle_partitions(rows.sparkSession), "bucket").sortWithinPartitions("bucket").mapInArrow(group, "row string, part binary, open boolean")
 
 
-def find_repeats(df: DataFrame, text_col: str = "text", key: str = "doc_id", width: int = WIDTH, gram: int = GRAM) -> DataFrame:
-    """Spans of bytes of each whole text that are covered by a string of ``width`` bytes which also starts anywhere else.
+def _entries(parts: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(parts), dtype=_ENTRY)
 
-    Returns key, text and ``spans``: an array of (start, stop) in bytes of UTF-8, ascending, apart from each other. Other
-    places are those in any document, the same one included, overlaps too; matches never cross documents, and strings are
-    judged on the input. A null text is empty. Rows that are repeated as a whole are each other's copies. An empty
-    table gives an empty result; further columns are not passed on. Equality is that of 64-bit hashes where whole surroundings
-    agree, and of the bytes themselves at the edges. A task holds the surroundings of one anchor at a time (300 bytes for each
-    different one).
-    """
-    rows = df.select(F.xxhash64(df[key], df[text_col]).alias("row"), df[key].alias("key"), df[text_col].alias("text"))
-    states = shared_anchors(rows, width, gram)
-    listed = cut_lineage(states.groupBy("row").agg(F.collect_list(F.struct("number", "state", "hash")).alias("found")))
-    listed = listed.withColumnRenamed("row", "_row")
 
-    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _rows(df: DataFrame, text_col: str, key: str) -> DataFrame:
+    """Rows by the digest of their text: equal texts have equal repeats, whatever their keys."""
+    return df.select(F.md5(F.coalesce(df[text_col], F.lit("")).cast("binary")).alias("row"), df[key].alias("key"), df[text_col].alias("text"))
+
+
+def _around(rows: DataFrame, listed: DataFrame, width: int, gram: int, everything: bool = False) -> DataFrame:
+    """(hash, row, number, at, low, state, bytes) of anchors that are to be compared: their surroundings; of crowded anchors a row
+    for each window, by its digest. With ``everything`` the surroundings of all shared anchors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int8(), pa.binary())
         for batch in batches:
-            done: set[int] = set()
+            done: set[str] = set()
             out: list[tuple] = []
-            for row, text, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for row, text, parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if row in done:
                     continue
                 done.add(row)
                 data = _bytes(text)
-                place, low, high, *_ = anchors(data, width, gram)
-                for f in found:
-                    i = f["number"]
-                    out.append((f["hash"], row, i, int(place[i] - low[i]), f["state"], data[low[i] : high[i] + width]))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int8(), pa.binary()), strict=True)], names=["hash", "row", "number", "at", "state", "bytes"])
-
-    def ranges(group: list[tuple]) -> list[tuple]:
-        one = {}
-        for g in group:  # a repeated row gives its surroundings once
-            one[g[1], g[2]] = g
-        group = sorted(one.values(), key=lambda g: g[1:3])
-        found = repeated_ranges([(g[5], g[3]) for g in group], width)
-        return [(g[1], g[2], a, b) for g, own in zip(group, found, strict=True) if g[4] == _EDGE for a, b in _merge(own)]
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                place, low, high, hashes = anchors(data, width, gram)
+                for number, state, h in _entries(parts).tolist():
+                    if state == _FULL and not everything:
+                        continue
+                    a, b, at = int(low[number]), int(high[number]), int(place[number] - low[number])
+                    if state < _CROWDED_EDGE or everything:
+                        out.append((int(hashes[number].view(np.int64)), row, number, at, a, min(state, _MODEL), data[a : b + width]))
+                        continue
+                    for s in range(a, b + 1):
+                        d = hashlib.blake2b(data[s : s + width], digest_size=16).digest()
+                        out.append((int.from_bytes(d[:8], "little", signed=True), row, number, s - a, a, state, d[8:]))
+            for k in range(0, len(out), 20_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[k : k + 20_000], strict=True), kinds, strict=True)], names=["hash", "row", "number", "at", "low", "state", "bytes"])
+
+    ask = listed.where("open or " + str(everything).lower()).select(_fresh("row").alias("_row"), "parts")
+    return rows.join(ask, rows["row"] == F.col("_row")).select("row", "text", "parts").mapInArrow(run, "hash bigint, row string, number int, at int, low int, state tinyint, bytes binary")
+
+
+def _fresh(name: str):
+    """A column whose partitioning is not known, so that a join by it has exchanges on both sides and can be split where it is hot."""
+    return F.concat(F.col(name), F.lit(""))
+
+
+def _repeated_windows(around: DataFrame) -> DataFrame:
+    """Windows of crowded anchors that stand at more than one place. Places are summed up before the shuffle."""
+    windows = around.where(f"state >= {_CROWDED_EDGE}")
+    place = F.struct("row", "number", "at")
+    often = windows.groupBy("hash", "bytes").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a != b").select("hash", "bytes")
+    often = often.select(F.col("hash").alias("_hash"), F.concat("bytes", F.lit(b"")).alias("_bytes"))
+    return windows.join(often, (F.col("hash") == F.col("_hash")) & (F.col("bytes") == F.col("_bytes")), "left_semi")
+
+
+def _by_anchor(around: DataFrame, work, schema: str) -> DataFrame:
+    """``work`` on the different surroundings of each anchor that is not crowded: (row, number, at, low, state, bytes) of each."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    kinds = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
+    types = [kinds[c.split()[1]] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def give(out: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)], names=["row", "number", "a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
-        now, group, out = None, [], []
+        now, group, out = None, {}, []
         for batch in batches:
             for g in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if g[0] != now and group:
-                    out += ranges(group)
-                    group = []
+                    out += work(now, sorted(group.values()))
+                    group = {}
                     if len(out) > 20_000:
                         yield give(out)
                         out = []
                 now = g[0]
-                group.append(g)
-        out += ranges(group) if group else []
+                group[g[1], g[2]] = g[1:]  # a text that is repeated gives its surroundings once
+        out += work(now, sorted(group.values())) if group else []
         if out:
             yield give(out)
 
-    ask = listed.select("_row", F.filter("found", lambda f: f["state"] != _FULL).alias("found")).where(F.size("found") > 0)
-    around = rows.join(ask, rows["row"] == ask["_row"]).select("row", "text", "found").mapInArrow(contexts, "hash bigint, row bigint, number int, at int, state tinyint, bytes binary")
-    edges = around.repartition(shuffle_partitions(df.sparkSession), "hash").sortWithinPartitions("hash").mapInArrow(compare, "row bigint, number int, a int, b int")
-    edges = cut_lineage(edges.groupBy("row").agg(F.collect_list(F.struct("number", "a", "b")).alias("edges"))).withColumnRenamed("row", "_edge_row")
-    full = listed.select("_row", F.transform(F.filter("found", lambda f: f["state"] != _EDGE), lambda f: f["number"]).alias("full"))
-    joined = rows.join(full, rows["row"] == full["_row"], "left").join(edges, rows["row"] == edges["_edge_row"], "left").select("key", "text", "full", "edges")
+    few = around.where(f"state < {_CROWDED_EDGE}").select("hash", "row", "number", "at", "low", "state", "bytes")
+    return few.repartition(shuffle_partitions(around.sparkSession), "hash").sortWithinPartitions("hash").mapInArrow(run, schema)
+
+
+def find_repeats(df: DataFrame, text_col: str = "text", key: str = "doc_id", width: int = WIDTH, gram: int = GRAM) -> DataFrame:
+    """Spans of bytes of each whole text that are covered by a string of ``width`` bytes which also starts anywhere else.
+
+    Returns key, text and ``spans``: an array of (start, stop) in bytes of UTF-8, ascending, apart from each other. Other
+    places are those in any document, the same one included, overlaps too; matches never cross documents, and strings are
+    judged on the input. A null text is empty. Equal texts are each other's copies and have equal spans, whatever their keys, so
+    that repeated rows and null keys need no care; texts are taken whole, however long. An empty table gives an empty result;
+    further columns are not passed on, whatever their names. Surroundings count as equal if 128 bits of BLAKE2 are; those that
+    differ are compared byte by byte. A task holds the surroundings of one anchor at a time, at most ``CROWD`` of 300 bytes;
+    beyond that windows are counted one by one.
+    """
+    rows = _rows(df, text_col, key)
+    states = shared_anchors(rows, width, gram)
+    listed = cut_lineage(states.groupBy("row").agg(F.collect_list("part").alias("parts"), F.max("open").alias("open")))
+    around = cut_lineage(_around(rows, listed, width, gram))
+
+    def ranges(_: int, group: list[tuple]) -> list[tuple]:
+        found = repeated_ranges([(g[5], g[2]) for g in group], width)
+        return [(g[0], g[3] + a, g[3] + b) for g, own in zip(group, found, strict=True) if g[4] == _EDGE for a, b in own]
+
+    edges = _by_anchor(around, ranges, "row string, a int, b int")
+    crowd = _repeated_windows(around).where(f"state = {_CROWDED_EDGE}").select("row", (F.col("low") + F.col("at")).alias("a"), (F.col("low") + F.col("at") + width).alias("b"))
+    edges = edges.union(crowd).groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("edges"))
+    info = listed.select(F.col("row").alias("_row"), "parts").join(edges.withColumnRenamed("row", "_edge"), F.col("_row") == F.col("_edge"), "left").select(_fresh("_row").alias("_row"), "parts", "edges")
+    joined = rows.join(info, rows["row"] == F.col("_row"), "left").select("key", "text", "parts", "edges")
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
         for batch in batches:
             out = []
-            for text, whole, some in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+            for text, parts, some in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
                 spans: list[tuple[int, int]] = []
-                if whole or some:
-                    _, low, high, *_ = anchors(_bytes(text), width, gram)
-                    spans += [(int(low[i]), int(high[i]) + width) for i in whole or []]
-                    spans += [(int(low[e["number"]]) + e["a"], int(low[e["number"]]) + e["b"]) for e in some or []]
+                if parts:
+                    found = _entries(parts)
+                    full = found["number"][np.isin(found["state"], (_FULL, _MODEL, _CROWDED_MODEL))]
+                    if len(full):
+                        _, low, high, _ = anchors(_bytes(text), width, gram)
+                        spans += zip(low[full].tolist(), (high[full] + width).tolist(), strict=True)
+                    spans += [(e["a"], e["b"]) for e in some or []]
                 out.append([{"start": a, "stop": b} for a, b in _merge(spans)])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, kind)], names=["key", "text", "spans"])
 
@@ -322,8 +415,35 @@ def find_repeats(df: DataFrame, text_col: str = "text", key: str = "doc_id", wid
     return marked.select(F.col("key").alias(key), F.col("text").alias(text_col), "spans")
 
 
+def repeat_groups(df: DataFrame, text_col: str = "text", key: str = "doc_id", width: int = WIDTH, gram: int = GRAM) -> DataFrame:
+    """The maximal repeats at each anchor with all their occurrences: (group, n_bytes, key, start), a row for each occurrence.
+
+    A repeat is maximal within what its anchor speaks for, at most 2 * width - gram bytes; a longer one shows as a chain of
+    groups, one at each of its anchors. Equal texts each have their occurrences. This is the listing of groups for tables where
+    they are wanted; ``find_repeats`` needs less: here all surroundings of shared anchors move, and a task holds those of one
+    anchor, once for each text. Nulls and empty tables are as there.
+    """
+    rows = _rows(df, text_col, key)
+    listed = cut_lineage(shared_anchors(rows, width, gram).groupBy("row").agg(F.collect_list("part").alias("parts"), F.max("open").alias("open")))
+    around = cut_lineage(_around(rows, listed, width, gram, everything=True))
+
+    def groups(h: int, group: list[tuple]) -> list[tuple]:
+        places: dict[tuple[bytes, int], list[tuple]] = {}
+        for row, _, at, low, _, data in group:
+            places.setdefault((data, at), []).append((row, low))
+        kinds = list(places)
+        found = [(back, n, members) for back, n, members in maximal_groups(kinds, width)]
+        found += [(at, len(data), [i]) for i, (data, at) in enumerate(kinds)]  # equal surroundings
+        return [(f"{h}:{n}:{k}", n, row, low + kinds[m][1] - back) for k, (back, n, members) in enumerate(found) for m in members for row, low in places[kinds[m]]]
+
+    found = _by_anchor(around, groups, "group string, n_bytes int, row string, start int")
+    placed = found.join(rows.select(F.col("row").alias("_row"), "key"), F.col("row") == F.col("_row"))
+    several = placed.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(_fresh("group").alias("_group"))
+    return placed.join(several, F.col("group") == F.col("_group"), "left_semi").select("group", F.col("n_bytes").cast("long").alias("n_bytes"), F.col("key").alias(key), F.col("start").cast("long").alias("start"))
+
+
 def remove_repeats(found: DataFrame, text_col: str = "text", key: str = "doc_id") -> DataFrame:
-    """What is left of each text without its spans: key, n_bytes, n_removed, n_spans, kept (binary) and its SHA-256."""
+    """What is left of each text without its spans: key, n_bytes, n_removed, n_spans, kept (binary) and its SHA-256. Null is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

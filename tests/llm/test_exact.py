@@ -431,10 +431,67 @@ def test_repeats_on_random_texts(docs):
             assert got[i]["n_removed"] == int(m.sum()), (i, texts[i])
 
 
+def test_maximal_groups_against_brute_force():
+    rng = np.random.default_rng(11)
+    pick = lambda n: bytes(rng.choice(list(b"ab"), int(n)).tolist())
+    for _ in range(150):
+        core, width = pick(6), 8
+        contexts = sorted({(left + core + right, len(left)) for left, right in ((pick(rng.integers(0, 7)), pick(rng.integers(0, 7))) for _ in range(int(rng.integers(2, 9))))})
+        want = set()
+        for back in range(7):
+            for length in range(width, 22):
+                same = defaultdict(list)
+                for i, (c, a) in enumerate(contexts):
+                    if a >= back and len(c) >= a - back + length and length > back:
+                        same[c[a - back : a - back + length]].append(i)
+                for members in same.values():
+                    lefts = {contexts[i][0][contexts[i][1] - back - 1] if contexts[i][1] > back else -1 - i for i in members}
+                    ends = [contexts[i][1] - back + length for i in members]
+                    rights = {contexts[i][0][e] if e < len(contexts[i][0]) else -1 - i for i, e in zip(members, ends, strict=True)}
+                    if len(members) > 1 and len(lefts) > 1 and len(rights) > 1:
+                        want.add((back, length, tuple(sorted(members))))
+        got = [(back, length, tuple(sorted(members))) for back, length, members in repeats.maximal_groups(contexts, width)]
+        assert len(got) == len(set(got)) and set(got) == want, contexts
+
+
+def test_intervals_of_common_prefixes():
+    assert list(repeats.intervals([3, 3, 1, 2])) == [(3, 0, 2), (2, 3, 4), (1, 0, 4)] and list(repeats.intervals([])) == [] and list(repeats.intervals([0, 4])) == [(4, 1, 2)]
+
+
+@pytest.mark.parametrize("crowd", [256, 3])
+def test_repeat_groups_cover_the_spans(docs, monkeypatch, crowd):
+    monkeypatch.setattr(repeats, "CROWD", crowd)
+    rng = np.random.default_rng(13)
+    pick = lambda n: "".join(rng.choice(list("abcd"), int(n)))
+    shared = pick(60)
+    texts = [pick(rng.integers(0, 30)) + shared[int(rng.integers(0, 10)) : 40 + int(rng.integers(0, 20))] + pick(rng.integers(0, 30)) for _ in range(25)] + [shared, shared, None, "", "a" * 50]
+    df = docs(list(enumerate(texts)))
+    spans = {r["doc_id"]: r["spans"] for r in repeats.find_repeats(df, width=20, gram=10).collect()}
+    groups = defaultdict(list)
+    for r in repeats.repeat_groups(df, width=20, gram=10).collect():
+        groups[r["group"]].append((r["doc_id"], r["start"], r["n_bytes"]))
+    mask = [np.zeros(len(t or ""), bool) for t in texts]
+    for members in groups.values():
+        assert len(members) > 1 and len({(texts[i][a : a + n]) for i, a, n in members}) == 1 and len(set(members)) == len(members)
+        string = texts[members[0][0]][members[0][1] :][: members[0][2]]
+        if string:
+            at = {(i, k) for i, t in enumerate(texts) for k in range(len(t or "") - len(string) + 1) if t[k : k + len(string)] == string}
+            assert {(i, a) for i, a, _ in members} <= at
+        for i, a, n in members:
+            mask[i][a : a + n] = True
+    for i, want in enumerate(covered([(t or "").encode() for t in texts], 20)):
+        own = np.zeros(len(want), bool)
+        for s in spans[i]:
+            own[s["start"] : s["stop"]] = True
+        assert (own == want).all() and (mask[i] == want).all(), (i, texts[i])
+
+
 def test_repeats_on_odd_rows(docs, odd):
-    got = repeats.remove_repeats(repeats.find_repeats(docs(odd)))
-    assert got.count() == len(odd) and repeats.find_repeats(docs([])).count() == 0
-    assert got.where("n_bytes > 1000").first()["n_removed"] == 150_000
+    rows = [*odd, (None, "no id " * 60), (None, "no id " * 60), (5, "another text under a repeated id")]
+    got = Counter((r["doc_id"], r["n_bytes"], r["n_removed"]) for r in repeats.remove_repeats(repeats.find_repeats(docs(rows))).collect())
+    want = Counter((i, len((t or "").encode()), len((t or "").encode()) if t and len(t) > 250 else 0) for i, t in rows)
+    assert got == want
+    assert repeats.find_repeats(docs([])).count() == 0 and repeats.repeat_groups(docs([])).count() == 0
 
 
 # --- byte-level BPE
