@@ -163,21 +163,48 @@ def _runs(*columns: np.ndarray) -> np.ndarray:
 
 
 def shared_anchors(rows: DataFrame, width: int, gram: int) -> DataFrame:
-    """(row, part, open): the anchors of each text that occur more than once, packed as number, state and hash; ``open`` if any of
-    them is not ``_FULL``.
+    """``_shared`` of the anchors of all texts, by their hashes and the digests of their surroundings."""
 
-    A scanning task packs the anchors of many texts into a few binary rows by hash range, which is all that is shuffled. Equal
-    surroundings within a pack go on as one, so that a hot passage comes once from each task; the others are known to be
+    def items(batch: pa.RecordBatch) -> Iterator[tuple]:
+        for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            data = _bytes(text)
+            _, low, high, h = anchors(data, width, gram)
+            if len(h):
+                yield bytes.fromhex(row), np.arange(len(h), dtype=np.uint32), h, surroundings(data, low, high, width)
+
+    return _shared(rows.select("row", "text"), items)
+
+
+def shared_windows(around: DataFrame, width: int) -> DataFrame:
+    """``_shared`` of the windows of crowded anchors, numbered by their starts in their texts; those that stand at more than one
+    place are ``_FULL``."""
+
+    def items(batch: pa.RecordBatch) -> Iterator[tuple]:
+        for row, low, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            starts = np.arange(len(data) - width + 1)
+            u = surroundings(data, starts, starts, width)
+            yield bytes.fromhex(row), (starts + low).astype(np.uint32), u[:, 0], u
+
+    return _shared(around.where(f"state >= {_CROWDED_EDGE}").select("row", "low", "bytes"), items)
+
+
+def _shared(df: DataFrame, items) -> DataFrame:
+    """(row, part, open): the items of each text that occur more than once, packed as number, state and hash; ``open`` if any of
+    them is not ``_FULL``. ``items`` gives those of a batch as (text, numbers, hashes, digests).
+
+    A scanning task packs the items of many texts into a few binary rows by hash range, which is all that is shuffled. Equal
+    digests within a pack go on as one, so that a hot passage comes once from each task; the others are known to be
     repeated already and are sent to where their texts are put together.
     """
+    rows = df
     buckets = 16 * shuffle_partitions(rows.sparkSession)
 
     def pack(held: list) -> Iterator[pa.RecordBatch]:
-        counts = [len(h) for _, h, _ in held]
+        counts = [len(h) for _, _, h, _ in held]
         texts = np.frombuffer(b"".join([k for k, *_ in held]), "<u8").reshape(-1, 2)
-        h, u = np.concatenate([x for _, x, _ in held]), np.concatenate([x for *_, x in held])
+        h, u = np.concatenate([x for _, _, x, _ in held]), np.concatenate([x for *_, x in held])
         text = np.repeat(np.arange(len(held), dtype=np.uint32), counts)
-        number = np.concatenate([np.arange(c, dtype=np.uint32) for c in counts])
+        number = np.concatenate([x for _, x, _, _ in held])
         order = np.lexsort((u[:, 1], u[:, 0], h))
         h, u, text, number = h[order], u[order], text[order], number[order]
         head = _runs(h, u[:, 0], u[:, 1])
@@ -210,12 +237,9 @@ def shared_anchors(rows: DataFrame, width: int, gram: int) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = [], 0
         for batch in batches:
-            for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                data = _bytes(text)
-                _, low, high, h = anchors(data, width, gram)
-                if len(h):
-                    held.append((bytes.fromhex(row), h, surroundings(data, low, high, width)))
-                    count += len(h)
+            for item in items(batch):
+                held.append(item)
+                count += len(item[2])
                 if count >= _HELD:
                     yield from pack(held)
                     held, count = [], 0
@@ -281,7 +305,7 @@ def shared_anchors(rows: DataFrame, width: int, gram: int) -> DataFrame:
         if blobs:
             yield from (settle if now < buckets else known)(blobs)
 
-    packed = rows.select("row", "text").mapInArrow(scan, "bucket int, blob binary")
+    packed = rows.mapInArrow(scan, "bucket int, blob binary")
     return packed.repartition(shuffle_partitions(rows.sparkSession), "bucket").sortWithinPartitions("bucket").mapInArrow(group, "row string, part binary, open boolean")
 
 
@@ -295,8 +319,8 @@ def _rows(df: DataFrame, text_col: str, key: str) -> DataFrame:
 
 
 def _around(rows: DataFrame, listed: DataFrame, width: int, gram: int, everything: bool = False) -> DataFrame:
-    """(hash, row, number, at, low, state, bytes) of anchors that are to be compared: their surroundings; of crowded anchors a row
-    for each window, by its digest. With ``everything`` the surroundings of all shared anchors."""
+    """(hash, row, number, at, low, state, bytes) of anchors that are to be compared, with their surroundings. With ``everything``
+    those of all shared anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int8(), pa.binary())
@@ -313,12 +337,7 @@ def _around(rows: DataFrame, listed: DataFrame, width: int, gram: int, everythin
                     if state == _FULL and not everything:
                         continue
                     a, b, at = int(low[number]), int(high[number]), int(place[number] - low[number])
-                    if state < _CROWDED_EDGE or everything:
-                        out.append((int(hashes[number].view(np.int64)), row, number, at, a, min(state, _MODEL), data[a : b + width]))
-                        continue
-                    for s in range(a, b + 1):
-                        d = hashlib.blake2b(data[s : s + width], digest_size=16).digest()
-                        out.append((int.from_bytes(d[:8], "little", signed=True), row, number, s - a, a, state, d[8:]))
+                    out.append((int(hashes[number].view(np.int64)), row, number, at, a, min(state, _MODEL) if everything else state, data[a : b + width]))
             for k in range(0, len(out), 20_000):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[k : k + 20_000], strict=True), kinds, strict=True)], names=["hash", "row", "number", "at", "low", "state", "bytes"])
 
@@ -331,15 +350,6 @@ def _fresh(name: str):
     return F.concat(F.col(name), F.lit(""))
 
 
-def _repeated_windows(around: DataFrame) -> DataFrame:
-    """Windows of crowded anchors that stand at more than one place. Places are summed up before the shuffle."""
-    windows = around.where(f"state >= {_CROWDED_EDGE}")
-    place = F.struct("row", "number", "at")
-    often = windows.groupBy("hash", "bytes").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a != b").select("hash", "bytes")
-    often = often.select(F.col("hash").alias("_hash"), F.concat("bytes", F.lit(b"")).alias("_bytes"))
-    return windows.join(often, (F.col("hash") == F.col("_hash")) & (F.col("bytes") == F.col("_bytes")), "left_semi")
-
-
 def _by_anchor(around: DataFrame, work, schema: str) -> DataFrame:
     """``work`` on the different surroundings of each anchor that is not crowded: (row, number, at, low, state, bytes) of each."""
     names = [c.split()[0] for c in schema.split(", ")]
@@ -390,24 +400,27 @@ def find_repeats(df: DataFrame, text_col: str = "text", key: str = "doc_id", wid
         return [(g[0], g[3] + a, g[3] + b) for g, own in zip(group, found, strict=True) if g[4] == _EDGE for a, b in own]
 
     edges = _by_anchor(around, ranges, "row string, a int, b int")
-    crowd = _repeated_windows(around).where(f"state = {_CROWDED_EDGE}").select("row", (F.col("low") + F.col("at")).alias("a"), (F.col("low") + F.col("at") + width).alias("b"))
-    edges = edges.union(crowd).groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("edges"))
-    info = listed.select(F.col("row").alias("_row"), "parts").join(edges.withColumnRenamed("row", "_edge"), F.col("_row") == F.col("_edge"), "left").select(_fresh("_row").alias("_row"), "parts", "edges")
-    joined = rows.join(info, rows["row"] == F.col("_row"), "left").select("key", "text", "parts", "edges")
+    edges = edges.groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("edges"))
+    windows = shared_windows(around, width).groupBy("row").agg(F.collect_list("part").alias("windows"))
+    beside = edges.withColumnRenamed("row", "_edge").join(windows.withColumnRenamed("row", "_window"), F.col("_edge") == F.col("_window"), "full").select(F.coalesce("_edge", "_window").alias("_beside"), "edges", "windows")
+    info = listed.select(F.col("row").alias("_row"), "parts").join(beside, F.col("_row") == F.col("_beside"), "left").select(_fresh("_row").alias("_row"), "parts", "edges", "windows")
+    joined = rows.join(info, rows["row"] == F.col("_row"), "left").select("key", "text", "parts", "edges", "windows")
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
         for batch in batches:
             out = []
-            for text, parts, some in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+            for text, parts, some, windows in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 4)), strict=True):
                 spans: list[tuple[int, int]] = []
                 if parts:
                     found = _entries(parts)
-                    full = found["number"][np.isin(found["state"], (_FULL, _MODEL, _CROWDED_MODEL))]
+                    full = found["number"][~np.isin(found["state"], (_EDGE, _CROWDED_EDGE))]
                     if len(full):
                         _, low, high, _ = anchors(_bytes(text), width, gram)
                         spans += zip(low[full].tolist(), (high[full] + width).tolist(), strict=True)
                     spans += [(e["a"], e["b"]) for e in some or []]
+                    more = _entries(windows or [])
+                    spans += [(w, w + width) for w in more["number"][more["state"] != _EDGE].tolist()]
                 out.append([{"start": a, "stop": b} for a, b in _merge(spans)])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, kind)], names=["key", "text", "spans"])
 
