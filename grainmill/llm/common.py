@@ -82,8 +82,8 @@ def lower_ascii(text: str | None) -> bytes:
 _PLACE = mix(np.arange(101, 165, dtype=np.uint64) * _C1) | np.uint64(1)
 
 
-def shingle_set(data: bytes, width: int = 5) -> np.ndarray:
-    """Sorted distinct hashes of the shingles of ``width`` words; a shorter text is one shingle, no words make none."""
+def shingle_hashes(data: bytes, width: int = 5) -> np.ndarray:
+    """Hashes of the shingles of ``width`` words, in order; a shorter text is one shingle, no words make none."""
     words = word_hashes(data)
     if not len(words):
         return words
@@ -94,4 +94,9 @@ def shingle_set(data: bytes, width: int = 5) -> np.ndarray:
     total = words[:n] * _PLACE[0]
     for k in range(1, width):
         total += words[k : n + k] * _PLACE[k]
-    return np.unique(mix(total))
+    return mix(total)
+
+
+def shingle_set(data: bytes, width: int = 5) -> np.ndarray:
+    """Sorted distinct hashes of the shingles."""
+    return np.unique(shingle_hashes(data, width))

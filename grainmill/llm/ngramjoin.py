@@ -10,6 +10,7 @@ schemes to each band. Sets meet through the segments they share; the pairs are t
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 from math import exp
 
@@ -18,16 +19,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _C1, _C2, cut_lineage, cut_small, lower_ascii, mix, release, shingle_set, shuffle_partitions
+from .common import _C1, _C2, _C3, cut_lineage, cut_small, lower_ascii, mix, release, shingle_hashes, shingle_set, shuffle_partitions
 from .components import connected_components
 
 WIDTH, SIMILARITY = 5, 80
 #: Ratio of the ends of a band of sizes.
 RATIO = 1.4
-#: A shared signature of more sets than this is hot: its pairs are not listed but found by pivots.
+#: A shared signature of more sets than this is hot: not all its pairs are listed, but each of its sets with the first one.
+#: Results do not depend on it: what may be hidden by that is counted for each set (see ``similar_sets``).
 HOT = 12
-#: Sets whose tokens are counted to order those of prefixes; a bound on what is broadcast that changes no result.
-COMMON_ROWS = 10_000
+#: Sets, and bytes of their texts, whose tokens are counted to order those of prefixes; bounds what is broadcast, changes no result.
+COMMON_ROWS, COMMON_BYTES = 10_000, 1 << 24
+#: Sets of one prefix token that meet in one task; longer lists are cut into cells of two stretches each.
+CELL = 512
 #: Members of a hot signature in a row; more make more rows.
 BLOCK = 4096
 #: Signatures that a scanning task holds before it hands them on; bounds its memory and nothing else.
@@ -106,39 +110,107 @@ def signatures(tokens: np.ndarray, i: int, similarity: int) -> tuple[np.ndarray,
     return keys, weak
 
 
-def node_id(tokens: np.ndarray) -> int:
-    """A 64-bit identity of a set."""
-    return int(mix(mix(tokens).sum(keepdims=True) + mix(np.array([len(tokens)], np.uint64))).view(np.int64)[0])
+def digest(tokens: np.ndarray) -> tuple[int, int]:
+    """Two 64-bit digests of a set. The first names it as a node of the graph, unless two sets share it."""
+    size = np.array([len(tokens)], np.uint64)
+    first, second = mix(mix(tokens).sum(keepdims=True) + mix(size)), mix(mix(tokens * _C3 + _C1).sum(keepdims=True) + size)
+    return int(first.view(np.int64)[0]), int(second.view(np.int64)[0])
 
 
-def sets_of(df: DataFrame, text_col: str, key: str, width: int) -> DataFrame:
-    """(key, n, node) of each row; the node is the identity of the set, null where that is empty."""
+@dataclass(frozen=True)
+class Names:
+    """Nodes of sets: the first digest, its low ``bits`` (fewer than 64 in tests only), and another number for the few sets that
+    would share theirs with another one."""
+
+    others: dict[tuple[int, int], int]
+    bits: int = 64
+
+    def plain(self, tokens: np.ndarray) -> tuple[int, int]:
+        first, second = digest(tokens)
+        return first if self.bits == 64 else first & (1 << self.bits) - 1, second
+
+    def __call__(self, tokens: np.ndarray) -> int:
+        pair = self.plain(tokens)
+        return self.others.get(pair, pair[0])
+
+
+def sets_of(df: DataFrame, text_col: str, key: str, width: int, names: Names) -> DataFrame:
+    """(key, n, node, first, second, md5) of each row; the node is the identity of the set, null where that is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, node = [], []
+            rows = []
             for text in batch.column(1).to_pylist():
                 s = shingle_set(lower_ascii(text), width)
-                n.append(len(s))
-                node.append(node_id(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64())], names=["key", "n", "node"])
+                rows.append((len(s), names(s), *names.plain(s)) if len(s) else (0, None, None, None))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([r[k] for r in rows], pa.int64()) for k in range(4)], batch.column(2)], names=["key", "n", "node", "first", "second", "md5"])
+
+    return df.select(df[key], df[text_col], F.md5(df[text_col].cast("binary")).alias("md5")).mapInArrow(run, f"key {df.schema[key].dataType.simpleString()}, n bigint, node bigint, first bigint, second bigint, md5 string")
 
-    return df.select(df[key], df[text_col]).mapInArrow(run, f"key {df.schema[key].dataType.simpleString()}, n bigint, node bigint")
+
+def named_sets(df: DataFrame, text_col: str, key: str, width: int, bits: int = 64) -> tuple[DataFrame, Names]:
+    """``sets_of`` under names that no two different sets share, as far as 128 bits tell them apart.
+
+    Sets that share the first digest are looked for and get other names, until there are none; at 25 billion documents about
+    seventeen are expected, which are all that the driver gets.
+    """
+    names = Names({}, bits)
+    while True:
+        docs = cut_lineage(sets_of(df, text_col, key, width, names))
+        shared = docs.where("node is not null").groupBy("node").agg(F.min(F.struct("first", "second")).alias("a"), F.max(F.struct("first", "second")).alias("b")).where("a != b")
+        clashes = docs.join(shared.select(F.col("node").alias("_node"), "a"), F.col("node") == F.col("_node")).select("first", "second", "a").distinct().where("struct(first, second) != a").collect()
+        if not clashes:
+            return docs, names
+        others = dict(names.others)
+        for r in clashes:
+            before = others.get((r["first"], r["second"]), r["first"])
+            others[r["first"], r["second"]] = int(mix(np.array([r["second"] ^ before], np.int64).view(np.uint64)).view(np.int64)[0])
+        names = Names(others, bits)
 
 
 _LISTS = "id bigint, block int, hot boolean, times bigint, band int, nodes array<bigint>, sizes array<bigint>, weak array<int>"
 
 
-def shared_signatures(df: DataFrame, text_col: str, width: int, similarity: int) -> DataFrame:
+def shared_signatures(df: DataFrame, text_col: str, width: int, similarity: int, names: Names) -> DataFrame:
     """The different lists of sets that share a signature: id, block, hot, times (signatures with that list), members.
 
-    A scanning task packs its signatures by hash range into a few binary rows, which is all that is shuffled.
+    A scanning task packs its signatures by hash range into a few binary rows, which is all that is shuffled. A signature that
+    is hot within a pack is settled there, as lists of block -1: only HOT + 1 of its sets go on with it, enough to make it hot for
+    the sets of other packs. So no task gets more than that of a signature from each pack, however many sets have it.
     """
     buckets = 16 * shuffle_partitions(df.sparkSession)
 
+    def settled(key: np.ndarray, of: np.ndarray, entry: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+        """Which signatures go on, and packed lists of the others: pivot, and the sets that have as many hot signatures with it."""
+        order = np.lexsort((of, key))
+        start = np.flatnonzero(np.concatenate(([True], key[order][1:] != key[order][:-1])))
+        size = np.diff(np.append(start, len(order)))
+        place = np.arange(len(order)) - np.repeat(start, size)
+        late = (place > HOT) & np.repeat(size > HOT + 1, size)
+        if not late.any():
+            return np.ones(len(key), dtype=bool), []
+        pivot = of[order][np.repeat(start, size)][late].astype(np.int64)
+        pair, times = np.unique(pivot << 32 | of[order][late].astype(np.int64), return_counts=True)
+        go = np.ones(len(key), dtype=bool)
+        go[order[late]] = False
+        pivot, member = pair >> 32, pair & 0xFFFFFFFF
+        order = np.lexsort((member, times, pivot))
+        pivot, member, times = pivot[order], member[order], times[order]
+        cuts = np.flatnonzero((pivot[1:] != pivot[:-1]) | (times[1:] != times[:-1])) + 1
+        out = []
+        for m, p, t in zip(np.split(member, cuts), pivot[np.append(0, cuts)].tolist(), times[np.append(0, cuts)].tolist(), strict=True):
+            for k in range(0, len(m), BLOCK):
+                out.append(np.array([t], np.int64).tobytes() + entry[np.append(p, m[k : k + BLOCK])].tobytes())
+        return go, out
+
     def pack(entries: list[tuple[int, int]], keys: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         of = np.repeat(np.arange(len(keys), dtype=np.uint32), [len(k) for k in keys])
         key, entry = np.concatenate(keys), np.array(entries, dtype=np.int64).reshape(-1, 2)
+        go, own_lists = settled(key, of, entry)
+        if own_lists:
+            spread = [buckets + k % buckets for k in range(len(own_lists))]
+            yield pa.RecordBatch.from_arrays([pa.array(spread, pa.int32()), pa.array(own_lists, pa.binary())], names=["bucket", "blob"])
+            key, of = key[go], of[go]
         bucket = ((key >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -158,7 +230,7 @@ def shared_signatures(df: DataFrame, text_col: str, width: int, similarity: int)
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 s = shingle_set(lower_ascii(text), width)
-                if not len(s) or (node := node_id(s)) in seen:
+                if not len(s) or (node := names(s)) in seen:
                     continue
                 seen.add(node)
                 for i in bands_of(len(s), similarity):
@@ -212,14 +284,28 @@ def shared_signatures(df: DataFrame, text_col: str, width: int, similarity: int)
                 if n > HOT:
                     at = np.append(a, at)  # the pivot stands first in every block
                 rows.append((int(ident[f].view(np.int64)), k // BLOCK, n > HOT, t, int(meta[a] >> 20 & 0xFFF), node[at], meta[at] >> 32, (meta[at] & (1 << 20) - 1).astype(np.int32)))
+        yield from listed(rows)
+
+    def listed(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         for k in range(0, len(rows), 5000):
             kinds = (pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows[k : k + 5000], strict=True), kinds, strict=True)], names=["id", "block", "hot", "times", "band", "nodes", "sizes", "weak"])
 
+    def ready(blob: bytes) -> tuple:
+        """A list that was settled in a pack; its number is that of its contents."""
+        times, entry = int(np.frombuffer(blob, np.int64, 1)[0]), np.frombuffer(blob, np.int64, offset=8).reshape(-1, 2)
+        node, meta = entry[:, 0], entry[:, 1]
+        place = mix(np.arange(1, len(node) + 1, dtype=np.uint64) * _C3)
+        ident = mix((mix(node.view(np.uint64) + place) + mix(meta.view(np.uint64) ^ place)).sum(keepdims=True)).view(np.int64)[0]
+        return int(ident), -1, True, times, int(meta[0] >> 20 & 0xFFF), node, meta >> 32, (meta & (1 << 20) - 1).astype(np.int32)
+
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, blobs = None, []
         for batch in batches:
             for b, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if b >= buckets:
+                    yield from listed([ready(blob.as_py())])
+                    continue
                 if b != now and blobs:
                     yield from settle(blobs)
                     blobs = []
@@ -234,48 +320,91 @@ def shared_signatures(df: DataFrame, text_col: str, width: int, similarity: int)
     return lists.groupBy("id", "block").agg(F.sum("times").alias("times"), one).select("id", "block", "times", "one.*")
 
 
+class Shingles:
+    """The shingles of a text: their hashes, each once, where each stands first, and the words themselves."""
+
+    def __init__(self, data: bytes, width: int):
+        words = data.split()
+        self.data, self.width, self.count = b" ".join(words), width, len(words)
+        lens = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        self.stop = np.cumsum(lens + 1) - 1
+        self.start = self.stop - lens
+        self.hashes, self.at = np.unique(shingle_hashes(self.data, width), return_index=True)
+
+    def tuples(self) -> set[bytes]:
+        last = max(1, self.count - self.width + 1) if self.count else 0
+        return {self.data[self.start[i] : self.stop[min(i + self.width, self.count) - 1]] for i in range(last)}
+
+
+def shared_shingles(s: Shingles, t: Shingles) -> tuple[int, int, int]:
+    """Sizes of two sets of shingles and of their intersection. Shingles with equal hashes are compared word by word, in stretches
+    that run on in both texts; if any differ, all are counted anew as strings."""
+    common, i, j = np.intersect1d(s.hashes, t.hashes, assume_unique=True, return_indices=True)
+    if len(common):
+        a, b = s.at[i], t.at[j]
+        order = np.argsort(a)
+        a, b = a[order], b[order]
+        cut = np.flatnonzero((a[1:] != a[:-1] + 1) | (b[1:] != b[:-1] + 1)) + 1
+        first, last = np.append(0, cut), np.append(cut, len(a)) - 1
+        ends = [x.stop[np.minimum(y[last] + s.width, x.count) - 1].tolist() for x, y in ((s, a), (t, b))]
+        for x, x_end, y, y_end in zip(s.start[a[first]].tolist(), ends[0], t.start[b[first]].tolist(), ends[1], strict=True):
+            if s.data[x:x_end] != t.data[y:y_end]:
+                p, q = s.tuples(), t.tuples()
+                return len(p), len(q), len(p & q)
+    return len(s.hashes), len(t.hashes), len(common)
+
+
 def verify(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     """(a, b, n_a, n_b, shared) of pairs of nodes, counted on whole sets. ``a``, the commoner end, is joined last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, np.ndarray] = {}
+        known: dict[int, Shingles] = {}
 
-        def tokens(node: int, text: str) -> np.ndarray:
+        def tokens(node: int, text: pa.StringScalar) -> Shingles:
             if node not in known:
                 if len(known) > 64:
                     known.clear()
-                known[node] = shingle_set(lower_ascii(text), width)
+                known[node] = Shingles(lower_ascii(text.as_py()), width)
             return known[node]
 
         for batch in batches:
             out = []
             for a, b, x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
-                s, t = tokens(a, x.as_py()), shingle_set(lower_ascii(y.as_py()), width)
-                out.append((a, b, len(s), len(t), len(np.intersect1d(s, t, assume_unique=True))))
+                out.append((a, b, *shared_shingles(tokens(a, x), Shingles(lower_ascii(y.as_py()), width))))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b", "n_a", "n_b", "shared"])
 
-    x, y = texts.select(F.col("node").alias("a"), F.col("text").alias("x")), texts.select(F.col("node").alias("b"), F.col("text").alias("y"))
+    # the names of nodes pass through an expression, so that both joins have exchanges on both sides and a common end can be split
+    own = F.col("node").bitwiseXOR(F.lit(0))
+    x, y = texts.select(own.alias("a"), F.col("text").alias("x")), texts.select(own.alias("b"), F.col("text").alias("y"))
     return pairs.select("a", "b").join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint, n_a bigint, n_b bigint, shared bigint")
 
 
-def common_tokens(texts: DataFrame, width: int, rows: int = COMMON_ROWS) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens of several of ``rows`` sets, and in how many they are. They only order the tokens of prefixes."""
+def common_tokens(texts: DataFrame, width: int, rows: int = COMMON_ROWS, most: int = COMMON_BYTES) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of several of about ``rows`` sets, and in how many they are. They only order the tokens of prefixes.
+
+    The sets are those with the least names, which are as good as random; at most ``most`` bytes of their texts are counted.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets = [shingle_set(lower_ascii(t), width) for batch in batches for t in batch.column(0).to_pylist()]
+        sets, size = [], 0
+        for batch in batches:
+            for t in batch.column(0):
+                data = lower_ascii(t.as_py()) if size < most else b""
+                size += len(data)
+                if data and size <= most:
+                    sets.append(shingle_set(data, width))
         token, count = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.uint64), return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array([token[count > 2].tobytes()], pa.binary()), pa.array([count[count > 2].astype(np.int32).tobytes()], pa.binary())], names=["token", "count"])
 
-    one = texts.orderBy("node").limit(rows).select("text").repartition(1).mapInArrow(run, "token binary, count binary").collect()
+    share = min(1.0, rows / max(1, texts.count()))
+    few = texts if share == 1 else texts.where(F.col("node") < int((2 * share - 1) * (1 << 63)))
+    one = few.select("text").repartition(1).mapInArrow(run, "token binary, count binary").collect()
     return (np.frombuffer(one[0]["token"], np.uint64), np.frombuffer(one[0]["count"], np.int32)) if one else (np.zeros(0, np.uint64), np.zeros(0, np.int32))
 
 
 def prefixes(texts: DataFrame, width: int, similarity: int) -> DataFrame:
-    """(token, node, n, place) of the first tokens of each set, common ones last: similar sets share one of them.
-
-    Tokens of one set only are left out.
-    """
+    """(token, node, n, place) of the first tokens of each set, common ones last: similar sets share one of them."""
     shared = texts.sparkSession.sparkContext.broadcast(common_tokens(texts, width))  # COMMON_ROWS sets' tokens at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,60 +421,50 @@ def prefixes(texts: DataFrame, width: int, similarity: int) -> DataFrame:
                 k = len(first)
                 yield pa.RecordBatch.from_arrays([pa.array(first.view(np.int64)), pa.array(np.full(k, node)), pa.array(np.full(k, n)), pa.array(np.arange(k))], names=["token", "node", "n", "place"])
 
-    def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for batch in batches:
-            rest = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
-            token = rest.column("token").to_numpy()
-            stop = int(np.searchsorted(token, token[-1])) if len(token) else 0  # the last token may go on
-            yield from keep(rest.slice(0, stop), token[:stop])
-            rest = rest.slice(stop)
-        if rest is not None:
-            yield from keep(rest, rest.column("token").to_numpy())
+    return texts.select("node", "text").mapInArrow(run, "token bigint, node bigint, n bigint, place bigint")
 
-    def keep(table: pa.Table, token: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if len(token) > 1:
-            same = token[1:] == token[:-1]
-            mask = np.concatenate(([False], same)) | np.concatenate((same, [False]))
-            yield from table.filter(pa.array(mask)).combine_chunks().to_batches()
 
-    kinds = "token bigint, node bigint, n bigint, place bigint"
-    rows = texts.select("node", "text").mapInArrow(run, kinds)
-    return rows.repartition(shuffle_partitions(texts.sparkSession), "token").sortWithinPartitions("token").mapInArrow(several, kinds)
+def _may(similarity: int, left: str, right: str):
+    """Whether two sets with a common prefix token may be similar: their sizes, and what both have left after it, allow it."""
+    num, den = similarity, 100 + similarity
+    a, b = (lambda c, of=of: F.col(f"{of}{c}") for of in (left, right))
+    rest = F.least(a("n") - a("place"), b("n") - b("place"))
+    return (a("label") != b("label")) & (rest * den >= (a("n") + b("n")) * num) & (F.least(a("n"), b("n")) * 100 >= F.greatest(a("n"), b("n")) * similarity)
+
+
+def star_pairs(members: DataFrame, similarity: int) -> DataFrame:
+    """Pairs of the smallest set of each prefix token with all that may be similar to it and are in another component.
+
+    The smallest set is found by an aggregation, so that no task gathers a list.
+    """
+    least = members.groupBy(F.col("token").alias("_token")).agg(F.min(F.struct("n", "node", "place", "label")).alias("p"))
+    least = cut_lineage(least.select("_token", *[F.col(f"p.{c}").alias(f"p_{c}") for c in ("n", "node", "place", "label")])).withColumn("_token", F.col("_token").bitwiseXOR(F.lit(0)))
+    own = members.select("token", *[F.col(c).alias(f"m_{c}") for c in ("n", "node", "place", "label")])
+    met = own.join(least, F.col("token") == F.col("_token")).where(_may(similarity, "p_", "m_"))
+    return met.select(F.least("p_node", "m_node").alias("a"), F.greatest("p_node", "m_node").alias("b")).distinct()
 
 
 def open_pairs(members: DataFrame, similarity: int, most: int) -> DataFrame:
     """Pairs of sets with a common prefix token that are in different components so far and may be similar.
 
-    Up to ``most`` for each set and token, smaller partners first. What two sets have after the token bounds their
-    intersection. A row with ``a`` null says that some pairs were left for a later round.
+    Of each token, the sets outside the component that has most of its sets meet all its sets, up to ``most`` for each of them
+    and cell, smaller partners first. Long lists are cut into stretches of about ``CELL`` sets, and each pair of stretches
+    meets in a cell of its own. A row with ``a`` null says that some pairs were left for a later round.
     """
     num, den = similarity, 100 + similarity
 
-    def pairs(group: list[tuple]) -> tuple[set[tuple[int, int]], bool]:
-        node, n, place, label = (np.array(c, dtype=np.int64) for c in list(zip(*group, strict=True))[1:5])
-        order = np.lexsort((node, n))
-        node, n, rest, label = node[order], n[order], (n - place)[order], label[order]
-        names, counts = np.unique(label, return_counts=True)
+    def pairs(cell: list[tuple]) -> tuple[set[tuple[int, int]], bool]:
+        cell.sort(key=lambda g: (g[4], g[5]))  # smaller sets first
+        open_ = [g for g in cell if g[3]]
+        node, n, place, label = (np.array(c, dtype=np.int64) for c in zip(*[(g[5], g[4], g[6], g[7]) for g in cell if not g[3]], strict=True)) if any(not g[3] for g in cell) else (np.zeros(0, np.int64),) * 4
         out: set[tuple[int, int]] = set()
         left = False
-        if len(names) < 2:
-            return out, left
-
-        def may(i: int) -> np.ndarray:
+        for *_, own_n, own, own_place, own_label in open_:
             # a shared token at these places leaves so many that both may have: enough for the union's share?
-            return (label != label[i]) & (np.minimum(rest, rest[i]) * den >= (n + n[i]) * num) & (np.minimum(n, n[i]) * 100 >= np.maximum(n, n[i]) * similarity)
-
-        open_ = np.flatnonzero(label != names[counts.argmax()]) if counts.max() > 1 else np.arange(len(node))
-        if most == 1:  # at first, all that can go with the smallest set
-            at = np.flatnonzero(may(0))
-            out.update((min(int(node[0]), int(node[k])), max(int(node[0]), int(node[k]))) for k in at)
-            open_ = np.setdiff1d(open_, np.append(at, 0))
-            left = True
-        for i in open_:
-            at = np.flatnonzero(may(i))
+            may = (label != own_label) & (np.minimum(n - place, own_n - own_place) * den >= (n + own_n) * num) & (np.minimum(n, own_n) * 100 >= np.maximum(n, own_n) * similarity)
+            at = np.flatnonzero(may)
             left |= len(at) > most
-            out.update((min(int(node[i]), int(node[k])), max(int(node[i]), int(node[k]))) for k in at[:most])
+            out.update((min(own, k), max(own, k)) for k in node[at[:most]].tolist())
         return out, left
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -353,28 +472,37 @@ def open_pairs(members: DataFrame, similarity: int, most: int) -> DataFrame:
             rows = [*out, *[(None, None)] * left]
             return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-        now, group, out, left = None, [], set(), False
+        now, cell, out, left = None, [], set(), False
         for batch in batches:
             for g in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if g[0] != now and group:
-                    more, rest = pairs(group)
+                if g[:3] != now and cell:
+                    more, rest = pairs(cell)
                     out |= more
                     left |= rest
-                    group = []
+                    cell = []
                     if len(out) > 50_000:
                         yield give(out, False)
                         out = set()
-                now = g[0]
-                group.append(g)
-        if group:
-            more, rest = pairs(group)
+                now = g[:3]
+                cell.append(g)
+        if cell:
+            more, rest = pairs(cell)
             out |= more
             left |= rest
         if out or left:
             yield give(out, left)
 
-    rows = members.select("token", "node", "n", "place", "label")
-    return rows.repartition(shuffle_partitions(members.sparkSession), "token").sortWithinPartitions("token", "node").mapInArrow(run, "a bigint, b bigint").distinct()
+    counts = cut_lineage(members.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c")))
+    main = counts.groupBy(F.col("token").alias("_token")).agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.sum("c").alias("all"), F.max("c").alias("c"))
+    parts = lambda c: F.ceil(c / CELL).cast("int")
+    main = cut_lineage(main.select("_token", "main", parts(F.col("all")).alias("across"), F.greatest(F.lit(1), parts(F.col("all") - F.col("c"))).alias("down"))).withColumn("_token", F.col("_token").bitwiseXOR(F.lit(0)))
+    rows = members.join(main, F.col("token") == F.col("_token")).withColumn("spot", F.pmod(F.xxhash64("node"), F.lit(1 << 30)))
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    shown = ["n", "node", "place", "label"]
+    listed = rows.select("token", every("down").alias("i"), (F.col("spot") % F.col("across")).cast("int").alias("j"), F.lit(False).alias("open"), *shown)
+    opened = rows.where("label != main").select("token", (F.col("spot") % F.col("down")).cast("int").alias("i"), every("across").alias("j"), F.lit(True).alias("open"), *shown)
+    cells = listed.union(opened)
+    return cells.repartition(shuffle_partitions(members.sparkSession), "token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def _labelled(df: DataFrame, labels: DataFrame) -> DataFrame:
@@ -382,25 +510,29 @@ def _labelled(df: DataFrame, labels: DataFrame) -> DataFrame:
     return df.join(own, df["node"] == own["_node"], "left").withColumn("label", F.coalesce("_label", "node")).drop("_node", "_label")
 
 
-def similar_sets(df: DataFrame, text_col: str = "text", key: str = "doc_id", width: int = WIDTH, similarity: int = SIMILARITY) -> DataFrame:
+def similar_sets(df: DataFrame, text_col: str = "text", key: str = "doc_id", width: int = WIDTH, similarity: int = SIMILARITY, bits: int = 64) -> DataFrame:
     """Components of documents whose sets of shingles have a Jaccard similarity of ``similarity`` per cent or more.
 
     Returns key, n_shingles and component_id, the least key that links reach. Equal sets are one node of the graph from the
     start, so groups of copies are no pairs. Similar sets share more than the slack of segments: a pair of a short list counts only
-    if the lists with both, and the segments where either may meet others unlisted, make up that many. Hot signatures list no
-    pairs. Only sets with more hot and weak segments than the slack may be similar without a listed pair; these few meet once more
-    by the first tokens of their sets in an order that puts common ones last, each with the smallest partner at first and
-    then only with other components. Rounds go on until no pair of different components is open, so no link between
-    components is lost.
+    if the lists with both, and the segments where either may meet others unlisted, make up that many. Of hot signatures each set
+    is paired with the first one only. Why nothing is lost: for each set the hot and the weak segments are counted. A similar pair
+    shares more than the slack of segments; those that are in no short list are hot or weak, for both sets. So unless both sets
+    have more hot and weak segments than the slack, a short list has the pair, as often as the rule above asks for. The sets with
+    more, which are the members of large groups of near copies and a few small sets, meet once more by the first tokens of their
+    sets in an order that puts common ones last (similar sets share one of these), and only with other components. Rounds go on
+    until no pair of different components is open, so no link between components is lost.
 
     Null and empty texts have no shingles and are linked with nothing. Rows without a key count as members but name no
-    component. Repeated rows are copies. An empty table gives an empty result; further columns are not passed on.
+    component. Repeated rows are copies; rows with one key and different texts are different members. Texts count whole, however
+    long. An empty table gives an empty result; further columns are not passed on, whatever their names. ``bits`` is for tests.
     """
-    docs = cut_lineage(sets_of(df, text_col, key, width))
-    lists = cut_lineage(shared_signatures(df, text_col, width, similarity))
+    docs, names = named_sets(df, text_col, key, width, bits)
+    lists = cut_lineage(shared_signatures(df, text_col, width, similarity, names))
     member = F.col("m")
-    named = lists.where("hot").select("id", "block", "band", "times", F.posexplode(F.arrays_zip("nodes", "sizes", "weak")).alias("place", "m")).where("place > 0 or block = 0")
-    named = named.select("id", "band", "times", member["nodes"].alias("node"), member["sizes"].alias("n"), member["weak"].alias("weak"))
+    hot = lists.where("hot").select("block", "band", "times", F.element_at("nodes", 1).alias("pivot"), F.element_at("sizes", 1).alias("p_n"), F.posexplode(F.arrays_zip("nodes", "sizes", "weak")).alias("place", "m"))
+    hot = hot.select("block", "band", "times", "pivot", "p_n", "place", member["nodes"].alias("node"), member["sizes"].alias("n"), member["weak"].alias("weak"))
+    named = hot.where("place > 0 or block = 0")
     every = named.select("node", "band", "weak", "times").union(lists.where("not hot").select("band", F.explode(F.arrays_zip("nodes", "weak")).alias("m")).select(member["nodes"], "band", member["weak"], F.lit(0)))
     # segments of a set in which it may meet a similar one without a listed pair
     spare = cut_lineage(every.groupBy("node", "band").agg((F.max("weak") + F.sum("times")).alias("h")))
@@ -416,16 +548,20 @@ def similar_sets(df: DataFrame, text_col: str = "text", key: str = "doc_id", wid
     ends = [spare.select(F.col("node").alias(c), "band", F.col("h").alias(f"h_{c}")) for c in ("a", "b")]
     near = listed.join(ends[0], ["a", "band"]).join(ends[1], ["b", "band"]).where(F.col("met") > slack - F.least("h_a", "h_b"))
     near = cut_lineage(near.select("a", "b").distinct())
-    # long lists: only sets with more such segments than the slack can be similar without being in a short one together
+    # sets with more hot and weak segments than the slack; of hot signatures each goes with the set that it shares most of them with
     heavy = cut_lineage(spare.where(F.col("h") > slack).select("node").distinct())
-
-    met = near.select(F.explode(F.array("a", "b")).alias("node")).union(heavy).distinct()
-    pick = docs.where("node is not null and key is not null").groupBy("node").agg(F.min("key").alias("_key")).join(met, "node", "left_semi")
-    source = df.select(df[key].alias("_key"), df[text_col].alias("text"))
-    texts = cut_lineage(source.join(pick, "_key").dropDuplicates(["node"]).select("node", "text"))
-
-    # first a tree's worth of pairs: each set with the least one that it may be similar to
-    known = cut_lineage(verify(near.groupBy("b").agg(F.min("a").alias("a")), texts, width))
+    stars = hot.where(f"place > 0 and node != pivot and least(n, p_n) * 100 >= greatest(n, p_n) * {similarity}").groupBy("pivot", "node").agg(F.sum("times").alias("met"))
+    stars = stars.groupBy("node").agg(F.max_by("pivot", F.struct("met", "pivot")).alias("pivot")).join(heavy, "node", "left_semi")
+    stars = cut_lineage(stars.select(F.col("pivot").alias("a"), F.col("node").alias("b")))
+
+    met = near.union(stars).select(F.explode(F.array("a", "b")).alias("node")).union(heavy).distinct()
+    pick = docs.where("node is not null").groupBy("node").agg(F.min("md5").alias("_md5")).join(met, "node", "left_semi")
+    source = df.select(F.md5(df[text_col].cast("binary")).alias("md5"), df[text_col].alias("text")).groupBy("md5").agg(F.first("text").alias("text"))  # copies are one from each task
+    texts = cut_lineage(source.join(pick, F.col("md5") == F.col("_md5")).select("node", "text"))
+
+    # first a tree's worth of pairs: each set with the least one that it may be similar to, and with its pivot
+    first = near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").union(stars)
+    known = cut_lineage(verify(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), texts, width))
     linked = F.expr(f"shared * 100 >= (n_a + n_b - shared) * {similarity}")
     labels = connected_components(known.where(linked))
     members = cut_lineage(prefixes(texts.join(heavy, "node", "left_semi"), width, similarity))
@@ -433,14 +569,16 @@ def similar_sets(df: DataFrame, text_col: str = "text", key: str = "doc_id", wid
     total = known.count()
     while True:
         open_ = _labelled(members, labels)
-        mixed = open_.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("token")
-        more = cut_lineage(open_pairs(open_.join(mixed, "token", "left_semi"), similarity, most))
+        mixed = cut_lineage(open_.groupBy(F.col("token").alias("_token")).agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("_token"))
+        mixed = mixed.withColumn("_token", F.col("_token").bitwiseXOR(F.lit(0)))
+        open_ = cut_lineage(open_.join(mixed, F.col("token") == F.col("_token"), "left_semi"))
+        more = cut_lineage(star_pairs(open_, similarity) if most == 1 else open_pairs(open_, similarity, most))
         tried = known.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         rest = near.join(tried, ["a", "b"], "left_anti")
         of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"l_{c}"))  # noqa: E731, B023
         rest = rest.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("l_a", "a") != F.coalesce("l_b", "b"))
         new = cut_lineage(more.where("a is not null").join(tried, ["a", "b"], "left_anti").union(rest.select("a", "b")).distinct())
-        left, count = not more.where("a is null").isEmpty(), new.count()
+        left, count = not open_.isEmpty() if most == 1 else not more.where("a is null").isEmpty(), new.count()
         if not count and not left:
             break
         if count:
