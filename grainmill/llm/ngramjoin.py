@@ -31,7 +31,7 @@ HOT = 12
 #: Sets, and bytes of their texts, whose tokens are counted to order those of prefixes; bounds what is broadcast, changes no result.
 COMMON_ROWS, COMMON_BYTES = 10_000, 1 << 24
 #: Sets of one prefix token that meet in one task; longer lists are cut into cells of two stretches each.
-CELL = 512
+CELL = 128
 #: Members of a hot signature in a row; more make more rows.
 BLOCK = 4096
 #: Signatures that a scanning task holds before it hands them on; bounds its memory and nothing else.
@@ -130,6 +130,8 @@ class Names:
         return first if self.bits == 64 else first & (1 << self.bits) - 1, second
 
     def __call__(self, tokens: np.ndarray) -> int:
+        if not self.others and self.bits == 64:
+            return int((mix(mix(tokens).sum(keepdims=True) + mix(np.array([len(tokens)], np.uint64)))).view(np.int64)[0])
         pair = self.plain(tokens)
         return self.others.get(pair, pair[0])
 
@@ -142,7 +144,8 @@ def sets_of(df: DataFrame, text_col: str, key: str, width: int, names: Names) ->
             rows = []
             for text in batch.column(1).to_pylist():
                 s = shingle_set(lower_ascii(text), width)
-                rows.append((len(s), names(s), *names.plain(s)) if len(s) else (0, None, None, None))
+                pair = names.plain(s)
+                rows.append((len(s), names.others.get(pair, pair[0]), *pair) if len(s) else (0, None, None, None))
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([r[k] for r in rows], pa.int64()) for k in range(4)], batch.column(2)], names=["key", "n", "node", "first", "second", "md5"])
 
     return df.select(df[key], df[text_col], F.md5(df[text_col].cast("binary")).alias("md5")).mapInArrow(run, f"key {df.schema[key].dataType.simpleString()}, n bigint, node bigint, first bigint, second bigint, md5 string")
@@ -447,14 +450,14 @@ def star_pairs(members: DataFrame, similarity: int) -> DataFrame:
 def open_pairs(members: DataFrame, similarity: int, most: int) -> DataFrame:
     """Pairs of sets with a common prefix token that are in different components so far and may be similar.
 
-    Of each token, the sets outside the component that has most of its sets meet all its sets, up to ``most`` for each of them
-    and cell, smaller partners first. Long lists are cut into stretches of about ``CELL`` sets, and each pair of stretches
-    meets in a cell of its own. A row with ``a`` null says that some pairs were left for a later round.
+    Of each token, the sets outside the component that has most of its sets meet its sets. Long lists are cut into stretches of
+    about ``CELL`` sets, and each pair of stretches meets in a cell of its own; a set goes to ``most`` cells of a token and finds
+    ``most`` partners in each, the same ones in the cells of different tokens as far as possible. A row with ``a`` null says that
+    some pairs were left for a later round.
     """
     num, den = similarity, 100 + similarity
 
     def pairs(cell: list[tuple]) -> tuple[set[tuple[int, int]], bool]:
-        cell.sort(key=lambda g: (g[4], g[5]))  # smaller sets first
         open_ = [g for g in cell if g[3]]
         node, n, place, label = (np.array(c, dtype=np.int64) for c in zip(*[(g[5], g[4], g[6], g[7]) for g in cell if not g[3]], strict=True)) if any(not g[3] for g in cell) else (np.zeros(0, np.int64),) * 4
         out: set[tuple[int, int]] = set()
@@ -463,8 +466,10 @@ def open_pairs(members: DataFrame, similarity: int, most: int) -> DataFrame:
             # a shared token at these places leaves so many that both may have: enough for the union's share?
             may = (label != own_label) & (np.minimum(n - place, own_n - own_place) * den >= (n + own_n) * num) & (np.minimum(n, own_n) * 100 >= np.maximum(n, own_n) * similarity)
             at = np.flatnonzero(may)
-            left |= len(at) > most
-            out.update((min(own, k), max(own, k)) for k in node[at[:most]].tolist())
+            if len(at) > most:
+                left = True
+                at = at[np.argsort(mix(node[at].view(np.uint64) ^ np.uint64(own & (1 << 64) - 1)), kind="stable")[:most]]
+            out.update((min(own, k), max(own, k)) for k in node[at].tolist())
         return out, left
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -500,9 +505,13 @@ def open_pairs(members: DataFrame, similarity: int, most: int) -> DataFrame:
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     shown = ["n", "node", "place", "label"]
     listed = rows.select("token", every("down").alias("i"), (F.col("spot") % F.col("across")).cast("int").alias("j"), F.lit(False).alias("open"), *shown)
-    opened = rows.where("label != main").select("token", (F.col("spot") % F.col("down")).cast("int").alias("i"), every("across").alias("j"), F.lit(True).alias("open"), *shown)
-    cells = listed.union(opened)
-    return cells.repartition(shuffle_partitions(members.sparkSession), "token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(run, "a bigint, b bigint").distinct()
+    reach = F.explode(F.sequence(F.lit(0), F.least(F.col("across"), F.lit(most)) - 1))
+    opened = rows.where("label != main").select("token", (F.col("spot") % F.col("down")).cast("int").alias("i"), "spot", "across", reach.alias("t"), F.lit(True).alias("open"), *shown)
+    later = opened.where(F.col("across") > most).limit(1).select(F.lit(None).cast("bigint").alias("a"), F.lit(None).cast("bigint").alias("b"))
+    turn = F.pmod(F.xxhash64("node", F.lit(1)), F.col("across"))
+    cells = listed.union(opened.select("token", "i", ((turn + F.col("t")) % F.col("across")).cast("int").alias("j"), "open", *shown))
+    found = cells.repartition(shuffle_partitions(members.sparkSession), "token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(run, "a bigint, b bigint").distinct()
+    return found.union(later)
 
 
 def _labelled(df: DataFrame, labels: DataFrame) -> DataFrame:
@@ -565,20 +574,20 @@ def similar_sets(df: DataFrame, text_col: str = "text", key: str = "doc_id", wid
     linked = F.expr(f"shared * 100 >= (n_a + n_b - shared) * {similarity}")
     labels = connected_components(known.where(linked))
     members = cut_lineage(prefixes(texts.join(heavy, "node", "left_semi"), width, similarity))
-    most = 1
+    most = 0
     total = known.count()
     while True:
         open_ = _labelled(members, labels)
         mixed = cut_lineage(open_.groupBy(F.col("token").alias("_token")).agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("_token"))
         mixed = mixed.withColumn("_token", F.col("_token").bitwiseXOR(F.lit(0)))
         open_ = cut_lineage(open_.join(mixed, F.col("token") == F.col("_token"), "left_semi"))
-        more = cut_lineage(star_pairs(open_, similarity) if most == 1 else open_pairs(open_, similarity, most))
+        more = cut_lineage(star_pairs(open_, similarity) if not most else open_pairs(open_, similarity, most))
         tried = known.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         rest = near.join(tried, ["a", "b"], "left_anti")
         of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"l_{c}"))  # noqa: E731, B023
         rest = rest.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("l_a", "a") != F.coalesce("l_b", "b"))
         new = cut_lineage(more.where("a is not null").join(tried, ["a", "b"], "left_anti").union(rest.select("a", "b")).distinct())
-        left, count = not open_.isEmpty() if most == 1 else not more.where("a is null").isEmpty(), new.count()
+        left, count = not open_.isEmpty() if not most else not more.where("a is null").isEmpty(), new.count()
         if not count and not left:
             break
         if count:
@@ -586,7 +595,7 @@ def similar_sets(df: DataFrame, text_col: str = "text", key: str = "doc_id", wid
             known = cut_small(known.union(cut_lineage(verify(new, texts, width))), total)
             labels = connected_components(known.where(linked))
         release(df.sparkSession)
-        most *= 16
+        most = most * 8 or 1
 
     whole = _labelled(docs, labels)
     first = whole.where("node is not null").groupBy("label").agg(F.min("key").alias("component_id"))

@@ -106,7 +106,7 @@ def test_shared_shingles_are_counted_on_words(monkeypatch):
                 assert ngramjoin.shared_shingles(s, t) == (len(p), len(q), len(p & q))
 
 
-@pytest.mark.parametrize("cell", [512, 7])
+@pytest.mark.parametrize("cell", [128, 7])
 def test_join_of_large_groups_of_near_copies(docs, monkeypatch, cell):
     monkeypatch.setattr(ngramjoin, "CELL", cell)
     monkeypatch.setattr(ngramjoin, "_HELD", 4000)
