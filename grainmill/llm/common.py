@@ -5,7 +5,8 @@ from __future__ import annotations
 import gc
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..lineage import cut_lineage
 
@@ -31,6 +32,11 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def fresh(name: str) -> Column:
+    """A text column whose partitioning is not known, so that a join by it has exchanges on both sides and is split where it is hot."""
+    return F.concat(F.col(name), F.lit(""))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BYTE, _powers, cut_lineage, mix, shuffle_partitions
+from .common import _BYTE, _powers, cut_lineage, fresh, mix, shuffle_partitions
 
 WIDTH, GRAM = 200, 100
 _SEGMENT = 1 << 19
@@ -341,15 +341,10 @@ def _around(rows: DataFrame, listed: DataFrame, width: int, gram: int, everythin
             for k in range(0, len(out), 20_000):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[k : k + 20_000], strict=True), kinds, strict=True)], names=["hash", "row", "number", "at", "low", "state", "bytes"])
 
-    ask = listed.where("open or " + str(everything).lower()).select(_fresh("row").alias("_row"), "parts")
+    ask = listed.where("open or " + str(everything).lower()).select(fresh("row").alias("_row"), "parts")
     return rows.join(ask, rows["row"] == F.col("_row")).select("row", "text", "parts").mapInArrow(run, "hash bigint, row string, number int, at int, low int, state tinyint, bytes binary")
 
 
-def _fresh(name: str):
-    """A column whose partitioning is not known, so that a join by it has exchanges on both sides and can be split where it is hot."""
-    return F.concat(F.col(name), F.lit(""))
-
-
 def _by_anchor(around: DataFrame, work, schema: str) -> DataFrame:
     """``work`` on the different surroundings of each anchor that is not crowded: (row, number, at, low, state, bytes) of each."""
     names = [c.split()[0] for c in schema.split(", ")]
@@ -403,7 +398,7 @@ def find_repeats(df: DataFrame, text_col: str = "text", key: str = "doc_id", wid
     edges = edges.groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("edges"))
     windows = shared_windows(around, width).groupBy("row").agg(F.collect_list("part").alias("windows"))
     beside = edges.withColumnRenamed("row", "_edge").join(windows.withColumnRenamed("row", "_window"), F.col("_edge") == F.col("_window"), "full").select(F.coalesce("_edge", "_window").alias("_beside"), "edges", "windows")
-    info = listed.select(F.col("row").alias("_row"), "parts").join(beside, F.col("_row") == F.col("_beside"), "left").select(_fresh("_row").alias("_row"), "parts", "edges", "windows")
+    info = listed.select(F.col("row").alias("_row"), "parts").join(beside, F.col("_row") == F.col("_beside"), "left").select(fresh("_row").alias("_row"), "parts", "edges", "windows")
     joined = rows.join(info, rows["row"] == F.col("_row"), "left").select("key", "text", "parts", "edges", "windows")
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -451,7 +446,7 @@ def repeat_groups(df: DataFrame, text_col: str = "text", key: str = "doc_id", wi
 
     found = _by_anchor(around, groups, "group string, n_bytes int, row string, start int")
     placed = found.join(rows.select(F.col("row").alias("_row"), "key"), F.col("row") == F.col("_row"))
-    several = placed.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(_fresh("group").alias("_group"))
+    several = placed.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(fresh("group").alias("_group"))
     return placed.join(several, F.col("group") == F.col("_group"), "left_semi").select("group", F.col("n_bytes").cast("long").alias("n_bytes"), F.col("key").alias(key), F.col("start").cast("long").alias("start"))
 
 
