@@ -7,9 +7,11 @@ import re
 from collections import Counter
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut_lineage, fresh
+
 # Short forms by which works name their licence, as identifier and sentence.
 TEMPLATES = (
     ("MIT", "Released under the MIT License"),
@@ -89,38 +91,55 @@ def tokens(text: Column) -> Column:
     return F.filter(terms, lambda t: (t != "") & ~t.isin(*STOP_WORDS))
 
 
-def detect(files: DataFrame, path_col: str = "path", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """(path, licence, score) of each file with a sentence whose cosine to a template reaches ``threshold``.
+def _known() -> list[str]:
+    """The terms of the short forms."""
+    return sorted({t for _, sentence in TEMPLATES for t in _terms(sentence)})
+
+
+def read_terms(files: DataFrame, path_col: str = "path", text_col: str = "text") -> DataFrame:
+    """(row, path, sentences, spots): one pass over the texts that keeps only what can name a licence.
+
+    ``sentences`` holds the terms of those sentences that have a term of the short forms, ``spots`` the terms around the places
+    where a standard text may lie. Rows are numbered, so that repeated paths stay apart; the result is in the checkpoint folder.
+    """
+    known = _known()
+    any_term = "|".join(t.replace(".", r"\.") for t in known)
+    text = F.col("text")
+    likely = text.rlike(rf"(?i)(?<![a-z0-9])({any_term})(?![a-z0-9])")
+    each = F.transform(F.split(text, _SENTENCE), lambda s, i: F.struct(i.alias("at"), tokens(s).alias("terms")))
+    sentences = F.when(likely, F.filter(each, lambda s: F.arrays_overlap(s["terms"], F.array(*map(F.lit, known)))))
+    placed = text.rlike("(?i)" + "|".join(rf"{a}[^a-z0-9]+(?:and[^a-z0-9]+)?{b}" for a, b in ANCHORS))
+    source = files.select(F.monotonically_increasing_id().alias("row"), files[path_col].alias("path"), files[text_col].alias("text"))
+    return cut_lineage(source.select("row", "path", sentences.alias("sentences"), F.when(placed, _spots(tokens(text))).alias("spots")))
+
+
+def detect(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(row, licence, score) of each file of ``read_terms`` with a sentence whose cosine to a template reaches ``threshold``.
 
     Sentences end at newlines and at full stops and the like before white space. Terms of templates weigh by their inverse
     frequency over all files; other terms weigh as ones in no file. Sentences without a template's term have cosine 0 and
     take no further part. Of equal cosines the licence first in alphabetical order holds. Null and empty texts name none.
     """
-    spark = files.sparkSession
-    listed = spark.createDataFrame([(i, *t) for i, t in enumerate(TEMPLATES)], "template int, licence string, sentence string")
-    template = listed.select("template", "licence", F.explode(tokens(F.col("sentence"))).alias("term")).groupBy("template", "licence", "term").agg(F.count(F.lit(1)).alias("tf"))
-    terms = sorted({r["term"] for r in template.select("term").distinct().collect()})  # of a fixed table
-    known = F.array(*map(F.lit, terms))
-    texts = files.select(files[path_col].alias("path"), files[text_col].alias("text"))
-    total = texts.agg(F.count(F.lit(1)).alias("files"))
-    any_term = "|".join(t.replace(".", r"\.") for t in terms)
-    likely = F.col("text").rlike(rf"(?i)(?<![a-z0-9])({any_term})(?![a-z0-9])")
-    sentences = texts.where(likely).select("path", F.posexplode(F.split("text", _SENTENCE)).alias("at", "sentence")).withColumn("terms", tokens(F.col("sentence"))).where(F.arrays_overlap("terms", known)).select("path", "at", "terms")
-    seen = sentences.select("path", F.explode(F.array_intersect("terms", known)).alias("term")).distinct().groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    base = spark.createDataFrame([(t,) for t in terms], "term string")
-    idf = base.join(seen, "term", "left").crossJoin(F.broadcast(total))  # a row for each term of the templates, times one
-    idf = idf.select("term", (F.log((F.col("files") + 1) / (F.coalesce("df", F.lit(0)) + 1)) + 1).alias("idf"))
-    unseen = total.select((F.log(F.col("files") + 1) + 1).alias("unseen"))
-    weighed = template.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
-    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("template")))
-    vectors = weighed.select("template", "licence", "term", (F.col("w") / length).alias("share"))
-    counted = sentences.select("path", "at", F.explode("terms").alias("term")).groupBy("path", "at", "term").agg(F.count(F.lit(1)).alias("tf"))
-    counted = counted.join(F.broadcast(idf), "term", "left").crossJoin(F.broadcast(unseen)).withColumn("w", F.col("tf") * F.coalesce("idf", "unseen"))
-    counted = counted.withColumn("square", F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("path", "at")))
-    dots = counted.join(F.broadcast(vectors), "term").groupBy("path", "at", "template", "licence", "square").agg(F.sum(F.col("w") * F.col("share")).alias("dot"))
-    scored = dots.select("path", "licence", F.round(F.col("dot") / F.sqrt("square"), 6).alias("score")).where(F.col("score") >= threshold)
-    best = scored.groupBy("path", "licence").agg(F.max("score").alias("score")).groupBy("path").agg(F.min(F.struct((-F.col("score")).alias("low"), "licence")).alias("b"))
-    return best.select("path", F.col("b.licence").alias("licence"), (-F.col("b.low")).alias("score"))
+    spark, known = files.sparkSession, _known()
+    total = files.count()
+    own = F.array_intersect(F.array_distinct(F.flatten(F.transform("sentences", lambda s: s["terms"]))), F.array(*map(F.lit, known)))
+    seen = {r["term"]: r["n"] for r in files.select(F.explode(own).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect()}  # terms of a fixed table
+    idf = {t: math.log((total + 1) / (seen.get(t, 0) + 1)) + 1 for t in known}
+    unseen = math.log(total + 1) + 1
+    vectors = []
+    for i, (licence, sentence) in enumerate(TEMPLATES):
+        weights = {t: n * idf[t] for t, n in Counter(_terms(sentence)).items()}
+        size = math.sqrt(sum(w * w for w in weights.values()))
+        vectors += [(i, licence, t, w / size) for t, w in sorted(weights.items())]
+    shares = F.broadcast(spark.createDataFrame(vectors, "template int, licence string, term string, share double"))
+    scale = F.broadcast(spark.createDataFrame(sorted(idf.items()), "term string, idf double"))
+    counted = files.select("row", F.explode("sentences").alias("s")).select("row", "s.at", F.explode("s.terms").alias("term")).groupBy("row", "at", "term").agg(F.count(F.lit(1)).alias("tf"))
+    counted = counted.join(scale, "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(unseen)))
+    whole = counted.groupBy("row", "at").agg(F.sum(F.col("w") * F.col("w")).alias("square"), F.collect_list(F.when(F.col("idf").isNotNull(), F.struct("term", "w"))).alias("terms"))  # each known term once
+    dots = whole.select("row", "at", "square", F.explode("terms").alias("t")).select("row", "at", "square", "t.term", "t.w").join(shares, "term").groupBy("row", "at", "square", "template", "licence").agg(F.sum(F.col("w") * F.col("share")).alias("dot"))
+    scored = dots.select("row", "licence", F.round(F.col("dot") / F.sqrt("square"), 6).alias("score")).where(F.col("score") >= threshold)
+    best = scored.groupBy("row").agg(F.min(F.struct((-F.col("score")).alias("low"), "licence")).alias("b"))
+    return best.select("row", F.col("b.licence").alias("licence"), (-F.col("b.low")).alias("score"))
 
 
 def _terms(text: str) -> list[str]:
@@ -129,45 +148,59 @@ def _terms(text: str) -> list[str]:
     return [t for t in terms if t and t not in STOP_WORDS]
 
 
-def detect_standard(files: DataFrame, path_col: str = "path", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """(path, licence, score) of each file that holds a standard header or licence head, over line breaks and comment signs.
-
-    A window as long as the standard text is laid over the file wherever the two have the same anchor, anywhere in the
-    file; both weigh their terms by inverse frequency over the standard texts. Only windows with a third of the text's
-    different terms are weighed. Of equal cosines the longer text holds, then the licence first in alphabetical order.
-    """
-    spark = files.sparkSession
+def _standard() -> tuple[list[tuple], list[tuple], dict[str, float], int, int]:
+    """Of the standard texts: rows, weighed terms, inverse frequencies, the most terms before an anchor, and in a text."""
     texts = [(licence, _terms(text), title) for licence, text, title in STANDARD]
     often = Counter(t for _, terms, _ in texts for t in set(terms))
     idf = {t: math.log((len(texts) + 1) / (n + 1)) + 1 for t, n in often.items()}
     rows, vectors = [], []
     for i, (licence, terms, title) in enumerate(texts):
-        spots = [(k, ANCHORS.index(a)) for k, a in enumerate(zip(terms, terms[1:])) if a in ANCHORS]
+        spots = [(k, ANCHORS.index(a)) for k, a in enumerate(zip(terms, terms[1:], strict=False)) if a in ANCHORS]
         rows.append((i, licence, spots[0][1], spots[0][0], len(terms), title, sorted(set(terms))))
         weights = {t: n * idf[t] for t, n in Counter(terms).items()}
         size = math.sqrt(sum(w * w for w in weights.values()))
         vectors += [(i, t, w / size) for t, w in weights.items()]
-    before, longest = max(r[3] for r in rows), max(r[4] for r in rows)
-    standard = spark.createDataFrame(rows, "template int, licence string, anchor int, ahead int, n int, title boolean, own array<string>")
-    likely = F.col("text").rlike("(?i)" + "|".join(rf"{a}[^a-z0-9]+(?:and[^a-z0-9]+)?{b}" for a, b in ANCHORS))
-    held = files.select(files[path_col].alias("path"), files[text_col].alias("text")).where(likely).select("path", tokens(F.col("text")).alias("terms"))
+    return rows, vectors, idf, max(r[3] for r in rows), max(r[4] for r in rows)
+
+
+def _spots(terms: Column) -> Column:
+    """Where two terms are an anchor: which, where, where the terms near it begin, and these."""
+    *_, before, longest = _standard()
     pair = lambda x, y: reduce(lambda rest, a: F.when((x == a[1][0]) & (y == a[1][1]), F.lit(a[0])).otherwise(rest), enumerate(ANCHORS), F.lit(-1))
-    kinds = F.zip_with("terms", F.slice("terms", 2, F.greatest(F.size("terms") - 1, F.lit(0))), pair)
-    spots = F.filter(F.transform(kinds, lambda a, i: F.struct(a.alias("anchor"), i.alias("i"))), lambda x: x["anchor"] >= 0)
     first = lambda i: F.greatest(i - before, F.lit(0))
-    around = F.transform(spots, lambda x: F.struct(x["anchor"].alias("anchor"), x["i"].alias("i"), first(x["i"]).alias("from"), F.slice("terms", first(x["i"]) + 1, before + longest).alias("near")))
-    placed = held.select("path", F.explode(around).alias("a")).select("path", "a.*").join(F.broadcast(standard), "anchor")
+
+    def found(terms: Column) -> Column:
+        kinds = F.zip_with(terms, F.slice(terms, F.lit(2), F.greatest(F.size(terms) - 1, F.lit(0))), pair)
+        spots = F.filter(F.transform(kinds, lambda a, i: F.struct(a.alias("anchor"), i.alias("i"))), lambda x: x["anchor"] >= 0)
+        return F.transform(spots, lambda x: F.struct(x["anchor"].alias("anchor"), x["i"].alias("i"), first(x["i"]).alias("from"), F.slice(terms, first(x["i"]) + 1, F.lit(before + longest)).alias("near")))
+
+    return F.transform(F.array(terms), found)[0]  # the terms are computed once
+
+
+def detect_standard(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(row, licence, score) of each file of ``read_terms`` that holds a standard header or licence head, over line breaks and
+    comment signs.
+
+    A window as long as the standard text is laid over the file wherever the two have the same anchor, anywhere in the
+    file; both weigh their terms by inverse frequency over the standard texts. Only windows with a third of the text's
+    different terms are weighed. Of equal cosines the longer text holds, then the licence first in alphabetical order.
+    """
+    spark = files.sparkSession
+    rows, vectors, idf, before, longest = _standard()
+    unseen = F.lit(math.log(len(rows) + 1) + 1)
+    standard = spark.createDataFrame(rows, "template int, licence string, anchor int, ahead int, n int, title boolean, own array<string>")
+    placed = files.select("row", F.explode("spots").alias("a")).select("row", "a.*").join(F.broadcast(standard), "anchor")
     start = F.greatest(F.col("i") - F.col("ahead"), F.lit(0))
     placed = placed.where(~F.col("title") | (start <= HEAD_TERMS))
-    windows = placed.select("path", F.col("i").alias("at"), "template", "licence", "n", "own", F.slice("near", start - F.col("from") + 1, F.col("n")).alias("window"))
-    windows = windows.where(3 * F.size(F.array_intersect("window", "own")) >= F.size("own")).distinct()
+    windows = placed.select("row", F.col("i").alias("at"), "template", "licence", "n", "own", F.slice("near", start - F.col("from") + 1, F.col("n")).alias("window"))
+    windows = windows.where(3 * F.size(F.array_intersect("window", "own")) >= F.size("own"))
     weights = F.broadcast(spark.createDataFrame(sorted(idf.items()), "term string, idf double"))
     shares = F.broadcast(spark.createDataFrame(vectors, "template int, term string, share double"))
-    counted = windows.select("path", "at", "template", "licence", "n", F.explode("window").alias("term")).groupBy("path", "at", "template", "licence", "n", "term").agg(F.count(F.lit(1)).alias("tf"))
-    counted = counted.join(weights, "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(math.log(len(texts) + 1) + 1))).join(shares, ["template", "term"], "left")
-    scored = counted.groupBy("path", "at", "template", "licence", "n").agg(F.round(F.sum(F.col("w") * F.coalesce("share", F.lit(0.0))) / F.sqrt(F.sum(F.col("w") * F.col("w"))), 6).alias("score")).where(F.col("score") >= threshold)
-    best = scored.groupBy("path").agg(F.min(F.struct((-F.col("score")).alias("low"), (-F.col("n")).alias("short"), "licence")).alias("b"))
-    return best.select("path", F.col("b.licence").alias("licence"), (-F.col("b.low")).alias("score"))
+    counted = windows.select("row", "at", "template", "licence", "n", F.explode("window").alias("term")).groupBy("row", "at", "template", "licence", "n", "term").agg(F.count(F.lit(1)).alias("tf"))
+    counted = counted.join(weights, "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", unseen)).join(shares, ["template", "term"], "left")
+    scored = counted.groupBy("row", "at", "template", "licence", "n").agg(F.round(F.sum(F.col("w") * F.coalesce("share", F.lit(0.0))) / F.sqrt(F.sum(F.col("w") * F.col("w"))), 6).alias("score")).where(F.col("score") >= threshold)
+    best = scored.groupBy("row").agg(F.min(F.struct((-F.col("score")).alias("low"), (-F.col("n")).alias("short"), "licence")).alias("b"))
+    return best.select("row", F.col("b.licence").alias("licence"), (-F.col("b.low")).alias("score"))
 
 
 def parent(path: Column) -> Column:
@@ -180,21 +213,25 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", thres
 
     A standard header or licence text names a file's own licence before any sentence of it does.
     Returns path, own_licence, own_score, licence and licence_dir (null unless inherited). Ancestors are looked up once for
-    each directory, not for each file. Of several licence files of a directory the least path holds. Files without path are
-    left out; of repeated paths each row counts. An empty table gives an empty result; further columns are not passed on.
+    each directory, not for each file. Of several licence files of a directory the least path holds, of equal paths the licence
+    first in alphabetical order. Files without path are left out; each row is judged by its own text, also where paths repeat; null
+    and empty texts name nothing; texts count whole, however long. An empty table gives an empty result; further columns are not
+    passed on, whatever their names.
     """
-    paths = files.select(files[path_col].alias("path"), files[text_col].alias("text")).where("path is not null")
-    short = detect(paths, "path", "text", threshold)
-    standard = detect_standard(paths, "path", "text", threshold).select("path", F.col("licence").alias("_licence"), F.col("score").alias("_score"))
+    held = read_terms(files.where(files[path_col].isNotNull()), path_col, text_col)
+    short = detect(held, threshold)
+    standard = detect_standard(held, threshold).select("row", F.col("licence").alias("_licence"), F.col("score").alias("_score"))
     agree = F.col("_licence").isNull() | F.col("licence").eqNullSafe(F.col("_licence"))  # then the short form's score holds
-    found = short.join(standard, "path", "full").select("path", F.when(agree, F.col("licence")).otherwise(F.col("_licence")).alias("licence"), F.when(agree, F.col("score")).otherwise(F.col("_score")).alias("score"))
-    own = paths.select("path").join(found, "path", "left").withColumn("dir", parent(F.col("path")))
+    found = short.join(standard, "row", "full").select("row", F.when(agree, F.col("licence")).otherwise(F.col("_licence")).alias("licence"), F.when(agree, F.col("score")).otherwise(F.col("_score")).alias("score"))
+    own = cut_lineage(held.select("row", "path").join(found, "row", "left").withColumn("dir", parent(F.col("path"))))
     licensed = own.where(F.col("path").rlike(LICENCE_FILE) & F.col("licence").isNotNull()).groupBy("dir").agg(F.min(F.struct("path", "licence"))["licence"].alias("dir_licence"))
+    licensed = cut_lineage(licensed).select(fresh("dir").alias("ancestor"), "dir_licence")
     parts = F.split("dir", "/")
     ancestors = F.when(F.col("dir") == "", F.array(F.lit(""))).otherwise(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/")))
     climbed = own.select("dir").distinct().select("dir", F.posexplode(ancestors).alias("depth", "ancestor"))
-    near = climbed.join(licensed.withColumnRenamed("dir", "ancestor"), "ancestor").groupBy("dir").agg(F.max(F.struct("depth", "ancestor", "dir_licence")).alias("n")).select("dir", "n.ancestor", "n.dir_licence")
-    joined = own.join(near, "dir", "left")
+    near = climbed.join(licensed, "ancestor").groupBy("dir").agg(F.max(F.struct("depth", "ancestor", "dir_licence")).alias("n"))
+    near = cut_lineage(near).select(fresh("dir").alias("_dir"), "n.ancestor", "n.dir_licence")
+    joined = own.join(near, F.col("dir") == F.col("_dir"), "left")
     inherits = F.col("licence").isNull()
     return joined.select("path", F.col("licence").alias("own_licence"), F.col("score").alias("own_score"), F.coalesce("licence", "dir_licence").alias("licence"), F.when(inherits, F.col("ancestor")).alias("licence_dir"))
 
