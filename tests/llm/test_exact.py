@@ -3,6 +3,7 @@
 import hashlib
 import re
 import time
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -606,6 +607,44 @@ def test_fingerprints(spark, docs, odd, sf_dir, table):
     assert one["near_next"] == 1.0 and one["edited_sha256"] == sha(b"AbcA")
 
 
+def canonical(t):
+    fold = lambda x: unicodedata.normalize("NFC", unicodedata.normalize("NFC", x).casefold())
+    return " ".join(fold(t or "").split())
+
+
+def test_fingerprints_against_unicodedata(docs):
+    texts = ["Cafe\u0301  STRASSE", "CAFÉ straße ", None, "", " \n", "ab cd", "AB\tCD", "ab ce", "a", "\u212b ngström", "å NGSTRÖM", "x" * 50_000, "X" * 50_000, "日本 語" * 20, "ABCDabcd", "abcdABCD", "abcd"]
+    rows = [*enumerate(texts), (3, "a repeated id"), (3, "a repeated id"), (None, "no id"), (None, "no id")]
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    got = Counter()
+    fingers = {}
+    for r in fingerprint.fingerprint_edits(docs(rows)).collect():
+        got[r["doc_id"], r["n_chars"], r["edited_sha256"], r["near_edited"], r["near_next"]] += 1
+        fingers.setdefault((r["doc_id"], r["n_chars"], r["edited_sha256"]), r)
+    want = Counter()
+    names = {}
+    for k, (i, t) in enumerate(order):
+        a, b = t or "", order[(k + 1) % len(order)][1] or ""
+        n = len(a) // 4
+        edited = a[: len(a) - n] + b[:n]
+        want[i, len(a), sha(edited.encode()), float(canonical(edited) == canonical(a)), float(canonical(b) == canonical(a))] += 1
+        r = fingers[i, len(a), sha(edited.encode())]
+        for text, name in ((a, r["fingerprint"]), (edited, r["edited_fingerprint"])):
+            assert names.setdefault(canonical(text), name) == name
+    assert got == want and len(set(names.values())) == len(names)
+    with pytest.raises(TypeError):
+        fingerprint.fingerprint_edits(docs(rows), key="key")
+
+
+def test_digests_that_collide_stay_apart(docs, monkeypatch):
+    monkeypatch.setattr(fingerprint, "digest", lambda canon: fingerprint.F.format_string("%032d", fingerprint.F.length(canon) % 3))
+    texts = ["aa", "AA", "bb", "ccccc", "dd dd", "e", "E", "hh"]
+    got = {r["doc_id"]: r for r in fingerprint.fingerprints(docs(list(enumerate(texts)))).collect()}
+    assert {i: r["class_id"] for i, r in got.items()} == {i: min(k for k, x in enumerate(texts) if x.lower() == t.lower()) for i, t in enumerate(texts)}
+    edits = {r["doc_id"]: r["fingerprint"] for r in fingerprint.fingerprint_edits(docs(list(enumerate(texts)))).collect()}
+    assert len(set(edits.values())) == len({t.lower() for t in texts}) and edits[0] == edits[1] and edits[5] == edits[6]
+
+
 def test_fingerprints_fold_case_space_and_form(docs):
     rows = [(1, "Café  STRASSE"), (2, "CAFÉ straße "), (3, "cafe strasse"), (4, None), (5, " \n")]
     got = {r["doc_id"]: (r["class_id"], r["copies"]) for r in fingerprint.fingerprints(docs(rows)).collect()}
@@ -622,6 +661,15 @@ def test_licences_inherit_from_the_nearest_directory(spark):
     assert licences.scan(spark.createDataFrame([], "path string, text string")).count() == 0
 
 
+def test_licences_of_odd_files(spark, odd):
+    files = [("a/x", "Released under"), ("a/x", "the MIT License"), ("a/LICENSE", "Released under the MIT License."), ("a/LICENSE", None), (None, "Released under the MIT License"), ("b/long", "plain words " * 40_000 + "\nReleased under the MIT License\n" + "more words " * 40_000), *[(f"c/{i}", t) for i, t in odd]]
+    df = spark.createDataFrame([(p, t, 1, "q", 2.0) for p, t in files], "path string, text string, row int, licence string, score double")
+    rows = licences.scan(df).collect()
+    assert all(r["own_score"] < 0.9 for r in rows if r["path"] == "a/x")  # together they would be a whole sentence
+    got = Counter((r["path"], r["own_licence"], r["licence"]) for r in rows)
+    assert got == Counter([("a/x", "MIT", "MIT"), ("a/x", "MIT", "MIT"), ("a/LICENSE", "MIT", "MIT"), ("a/LICENSE", None, "MIT"), ("b/long", "MIT", "MIT"), *[(f"c/{i}", None, None) for i, _ in odd]])
+
+
 def test_standard_licence_texts_and_wrapped_headers(spark):
     bsd = "Copyright (c) 2020, Someone\nAll rights reserved.\n\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.\n2. Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions and the following disclaimer in the documentation\n   and/or other materials provided with the distribution.\n"
     third = "3. Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission.\n"
