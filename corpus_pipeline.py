@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from grainmill.lineage import shared_folder
 from grainmill.llm import bpe, mixing, ngramjoin, pii, toxicity
-from grainmill.llm.common import read_table
+from grainmill.llm.common import fresh, read_table
 
-#: Some stages have no counterpart in SQL; tests/llm compare the pipeline with a brute-force version.
+#: Some stages have no counterpart in SQL; tests/llm compare run() with a plain version of all five on a small table.
 ORACLE_SQL = None
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """Adds ``_key``, which names a row by its id and all its contents: ids in numerical order, null last."""
+    number = F.coalesce(F.format_string("%020d", F.col("doc_id").cast("decimal(20,0)") + F.lit(1 << 63).cast("decimal(20,0)")), F.lit("~"))
+    return docs.withColumn("_key", F.concat(number, F.lit(" "), F.md5(F.to_json(F.struct(*docs.columns), {"ignoreNullFields": "false"}))))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on labelled ones that are not held out, scores below its threshold."""
     usable = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1
@@ -24,11 +30,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies: the one with the least id. Rows without id stay."""
-    groups = ngramjoin.similar_sets(docs)
-    gone = groups.where("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
-    return kept.dropDuplicates(["doc_id", "text"])
+    """One document of each component of near copies: the one with the least id, rows without id last. Rows count one by one, so
+    different texts under one id are different documents; documents without words are nobody's copies."""
+    rows = _numbered(docs)
+    groups = ngramjoin.similar_sets(rows, key="_key").where("n_shingles > 0")
+    gone = groups.where("component_id < _key").select(fresh("_key").alias("_gone")).distinct()
+    kept = rows.join(gone, F.col("_key") == F.col("_gone"), "left_anti")
+    worded = kept.where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    blank = kept.where(~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
+    return worded.dropDuplicates(["_key"]).union(blank).select(*docs.columns)  # rows that are equal as a whole are copies, too
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,9 +47,11 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: not at all, once, or up to three times."""
-    times = mixing.mix_sources(docs).groupBy("doc_id").agg(F.max("times").alias("_times")).where("_times > 0").withColumnRenamed("doc_id", "_id")
-    taken = docs.join(times, docs["doc_id"].eqNullSafe(times["_id"]))
+    """Documents as often as the mix takes them: not at all, once, or up to three times. Rows that are equal as a whole are put
+    together, and given as often as the mix takes them all."""
+    rows = _numbered(docs)
+    times = mixing.mix_sources(rows, key="_key").groupBy("_key").agg(F.sum("times").cast("int").alias("_times")).where("_times > 0").withColumnRenamed("_key", "_id")
+    taken = rows.join(times, F.col("_key") == F.col("_id")).dropDuplicates(["_key"])
     return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
 
 
@@ -59,11 +71,15 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``. The tables between them are in the shared checkpoint folder of the cluster."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="pipeline")
-    folder = f"{shared}/pipeline-{uuid.uuid4()}"
-    docs = read_table(spark, sf_dir, "documents")
+    """All stages over ``documents``. The tables between them are in the shared checkpoint folder of the cluster; each is deleted
+    once the next is written, the last one stays, as the result."""
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4()}"
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}_{name}")
-        docs = spark.read.parquet(f"{folder}/{k}_{name}")
+        own = f"{folder}/{k}_{name}"
+        stage(spark, docs, sf_dir).write.parquet(own)
+        if before:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(before)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        docs, before = spark.read.parquet(own), own
     return docs
