@@ -113,7 +113,9 @@ def fingerprint_edits(df: DataFrame, text_col: str = "text", key: str = "doc_id"
     pairs = pairs.withColumn("fe", digest(F.col("ce")))
     # equal digests, and only they, have their canonical texts compared
     alike = lambda d, c: F.when(F.col("fp") == F.col(d), canonical(F.col("text")) == c()).otherwise(F.lit(False)).cast("double")
-    narrow = cut_lineage(pairs.select("key", "n_chars", "edited_sha256", "fp", "tp", "fe", _tie("ce").alias("te"), alike("fe", lambda: F.col("ce")).alias("near_edited"), alike("next_fp", lambda: canonical(F.col("next_text"))).alias("near_next")))
+    narrow = pairs.select("key", "n_chars", "edited_sha256", "fp", "tp", "fe", _tie("ce").alias("te"), alike("fe", lambda: F.col("ce")).alias("near_edited"), alike("next_fp", lambda: canonical(F.col("next_text"))).alias("near_next"))
     forms = _forms(_rows(df, text_col, key))
-    named = _named(_named(narrow, forms, "fp", "tp", "fingerprint"), forms, "fe", "te", "edited_fingerprint")
+    several = forms.where("forms > 1")  # hardly ever any
+    named = narrow.withColumn("fingerprint", F.col("fp")) if several.isEmpty() else _named(narrow, several, "fp", "tp", "fingerprint")
+    named = _named(named, forms, "fe", "te", "edited_fingerprint")
     return named.select(F.col("key").alias(key), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
