@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BYTE, _powers, cut_lineage, fresh, mix, shuffle_partitions
+from .common import _BYTE, _powers, cut_lineage, fresh, mix, release, shuffle_partitions
 
 WIDTH, GRAM = 200, 100
 _SEGMENT = 1 << 19
@@ -172,7 +172,7 @@ def shared_anchors(rows: DataFrame, width: int, gram: int) -> DataFrame:
             if len(h):
                 yield bytes.fromhex(row), np.arange(len(h), dtype=np.uint32), h, surroundings(data, low, high, width)
 
-    return _shared(rows.select("row", "text"), items)
+    return _shared(rows.select("row", "text"), items, 16 * shuffle_partitions(rows.sparkSession))
 
 
 def shared_windows(around: DataFrame, width: int) -> DataFrame:
@@ -185,19 +185,17 @@ def shared_windows(around: DataFrame, width: int) -> DataFrame:
             u = surroundings(data, starts, starts, width)
             yield bytes.fromhex(row), (starts + low).astype(np.uint32), u[:, 0], u
 
-    return _shared(around.where(f"state >= {_CROWDED_EDGE}").select("row", "low", "bytes"), items)
+    return _shared(around.where(f"state >= {_CROWDED_EDGE}").select("row", "low", "bytes"), items, shuffle_partitions(around.sparkSession))
 
 
-def _shared(df: DataFrame, items) -> DataFrame:
+def _shared(rows: DataFrame, items, buckets: int) -> DataFrame:
     """(row, part, open): the items of each text that occur more than once, packed as number, state and hash; ``open`` if any of
     them is not ``_FULL``. ``items`` gives those of a batch as (text, numbers, hashes, digests).
 
     A scanning task packs the items of many texts into a few binary rows by hash range, which is all that is shuffled. Equal
     digests within a pack go on as one, so that a hot passage comes once from each task; the others are known to be
-    repeated already and are sent to where their texts are put together.
+    repeated already and are sent to where their texts are put together. ``buckets`` is the number of hash ranges.
     """
-    rows = df
-    buckets = 16 * shuffle_partitions(rows.sparkSession)
 
     def pack(held: list) -> Iterator[pa.RecordBatch]:
         counts = [len(h) for _, _, h, _ in held]
@@ -386,9 +384,10 @@ def find_repeats(df: DataFrame, text_col: str = "text", key: str = "doc_id", wid
     beyond that windows are counted one by one.
     """
     rows = _rows(df, text_col, key)
-    states = shared_anchors(rows, width, gram)
-    listed = cut_lineage(states.groupBy("row").agg(F.collect_list("part").alias("parts"), F.max("open").alias("open")))
+    listed = cut_lineage(shared_anchors(rows, width, gram).groupBy("row").agg(F.collect_list("part").alias("parts"), F.max("open").alias("open")))
+    release(df.sparkSession)
     around = cut_lineage(_around(rows, listed, width, gram))
+    release(df.sparkSession)
 
     def ranges(_: int, group: list[tuple]) -> list[tuple]:
         found = repeated_ranges([(g[5], g[2]) for g in group], width)
