@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ranges import range_index
-from .common import cut_lineage, fresh, shuffle_partitions
+from .common import cut_lineage, fresh, release, shuffle_partitions
 
 #: White space of Unicode, as a class of Java patterns.
 _WS = r"[\x09-\x0D\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]+"
@@ -107,6 +107,8 @@ def fingerprint_edits(df: DataFrame, text_col: str = "text", key: str = "doc_id"
     the canonical texts. A single row is its own next document; an empty table gives an empty result. Nulls, ties and
     repeated rows are as in ``with_next`` and ``fingerprints``.
     """
+    forms = _forms(_rows(df, text_col, key))
+    release(df.sparkSession)
     pairs = with_next(df, key, text_col).withColumn("n_chars", F.length("text").cast("long"))
     pairs = pairs.withColumn("edited", F.concat(F.expr("substring(text, 1, length(text) - cast(length(text) div 4 as int))"), F.expr("substring(next_text, 1, cast(length(text) div 4 as int))")))
     pairs = pairs.select("key", "text", "next_text", "n_chars", "fp", "tp", "next_fp", F.sha2("edited", 256).alias("edited_sha256"), canonical(F.col("edited")).alias("ce"))
@@ -114,7 +116,6 @@ def fingerprint_edits(df: DataFrame, text_col: str = "text", key: str = "doc_id"
     # equal digests, and only they, have their canonical texts compared
     alike = lambda d, c: F.when(F.col("fp") == F.col(d), canonical(F.col("text")) == c()).otherwise(F.lit(False)).cast("double")
     narrow = pairs.select("key", "n_chars", "edited_sha256", "fp", "tp", "fe", _tie("ce").alias("te"), alike("fe", lambda: F.col("ce")).alias("near_edited"), alike("next_fp", lambda: canonical(F.col("next_text"))).alias("near_next"))
-    forms = _forms(_rows(df, text_col, key))
     several = forms.where("forms > 1")  # hardly ever any
     named = narrow.withColumn("fingerprint", F.col("fp")) if several.isEmpty() else _named(narrow, several, "fp", "tp", "fingerprint")
     named = _named(named, forms, "fe", "te", "edited_fingerprint")
