@@ -9,6 +9,7 @@ schemes to each band. Sets meet through the segments they share; the pairs are t
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -16,7 +17,7 @@ from math import exp
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import _C1, _C2, _C3, cut_lineage, cut_small, lower_ascii, mix, release, shingle_hashes, shingle_set, shuffle_partitions
@@ -160,10 +161,10 @@ def named_sets(df: DataFrame, text_col: str, key: str, width: int, bits: int = 6
     names = Names({}, bits)
     while True:
         docs = cut_lineage(sets_of(df, text_col, key, width, names))
-        shared = docs.where("node is not null").groupBy("node").agg(F.min(F.struct("first", "second")).alias("a"), F.max(F.struct("first", "second")).alias("b")).where("a != b")
-        clashes = docs.join(shared.select(F.col("node").alias("_node"), "a"), F.col("node") == F.col("_node")).select("first", "second", "a").distinct().where("struct(first, second) != a").collect()
-        if not clashes:
+        shared = cut_lineage(docs.where("node is not null").groupBy("node").agg(F.min(F.struct("first", "second")).alias("a"), F.max(F.struct("first", "second")).alias("b")).where("a != b"))
+        if shared.isEmpty():
             return docs, names
+        clashes = docs.join(shared.select(F.col("node").alias("_node"), "a"), F.col("node") == F.col("_node")).select("first", "second", "a").distinct().where("struct(first, second) != a").collect()
         others = dict(names.others)
         for r in clashes:
             before = others.get((r["first"], r["second"]), r["first"])
@@ -436,15 +437,17 @@ def _may(similarity: int, left: str, right: str):
 
 
 def star_pairs(members: DataFrame, similarity: int) -> DataFrame:
-    """Pairs of the smallest set of each prefix token with all that may be similar to it and are in another component.
+    """Of each set, the pair with the set that is the smallest of most of its prefix tokens, among those that may be similar to it
+    and are in another component.
 
-    The smallest set is found by an aggregation, so that no task gathers a list.
+    The smallest set of a token is found by an aggregation, so that no task gathers a list.
     """
     least = members.groupBy(F.col("token").alias("_token")).agg(F.min(F.struct("n", "node", "place", "label")).alias("p"))
     least = cut_lineage(least.select("_token", *[F.col(f"p.{c}").alias(f"p_{c}") for c in ("n", "node", "place", "label")])).withColumn("_token", F.col("_token").bitwiseXOR(F.lit(0)))
     own = members.select("token", *[F.col(c).alias(f"m_{c}") for c in ("n", "node", "place", "label")])
     met = own.join(least, F.col("token") == F.col("_token")).where(_may(similarity, "p_", "m_"))
-    return met.select(F.least("p_node", "m_node").alias("a"), F.greatest("p_node", "m_node").alias("b")).distinct()
+    best = met.groupBy("m_node", "p_node").agg(F.count(F.lit(1)).alias("c")).groupBy(F.col("m_node").alias("a")).agg(F.max_by("p_node", F.struct("c", "p_node")).alias("b"))
+    return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def open_pairs(members: DataFrame, similarity: int, most: int) -> DataFrame:
@@ -452,15 +455,15 @@ def open_pairs(members: DataFrame, similarity: int, most: int) -> DataFrame:
 
     Of each token, the sets outside the component that has most of its sets meet its sets. Long lists are cut into stretches of
     about ``CELL`` sets, and each pair of stretches meets in a cell of its own; a set goes to ``most`` cells of a token and finds
-    ``most`` partners in each, the same ones in the cells of different tokens as far as possible. A row with ``a`` null says that
-    some pairs were left for a later round.
+    ``most`` partners in each, the same ones in the cells of different tokens as far as possible. Returns (a, b, c): the set, the
+    partner, and in how many cells they met. A row with ``a`` null says that some pairs were left for a later round.
     """
     num, den = similarity, 100 + similarity
 
-    def pairs(cell: list[tuple]) -> tuple[set[tuple[int, int]], bool]:
+    def pairs(cell: list[tuple]) -> tuple[list[tuple[int, int]], bool]:
         open_ = [g for g in cell if g[3]]
         node, n, place, label = (np.array(c, dtype=np.int64) for c in zip(*[(g[5], g[4], g[6], g[7]) for g in cell if not g[3]], strict=True)) if any(not g[3] for g in cell) else (np.zeros(0, np.int64),) * 4
-        out: set[tuple[int, int]] = set()
+        out: list[tuple[int, int]] = []
         left = False
         for *_, own_n, own, own_place, own_label in open_:
             # a shared token at these places leaves so many that both may have: enough for the union's share?
@@ -469,30 +472,30 @@ def open_pairs(members: DataFrame, similarity: int, most: int) -> DataFrame:
             if len(at) > most:
                 left = True
                 at = at[np.argsort(mix(node[at].view(np.uint64) ^ np.uint64(own & (1 << 64) - 1)), kind="stable")[:most]]
-            out.update((min(own, k), max(own, k)) for k in node[at].tolist())
+            out += [(own, k) for k in node[at].tolist()]
         return out, left
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def give(out: set[tuple[int, int]], left: bool) -> pa.RecordBatch:
-            rows = [*out, *[(None, None)] * left]
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], names=["a", "b"])
+        def give(out: Counter, left: bool) -> pa.RecordBatch:
+            rows = [*((a, b, c) for (a, b), c in out.items()), *[(None, None, None)] * left]
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], names=["a", "b", "c"])
 
-        now, cell, out, left = None, [], set(), False
+        now, cell, out, left = None, [], Counter(), False
         for batch in batches:
             for g in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if g[:3] != now and cell:
                     more, rest = pairs(cell)
-                    out |= more
+                    out.update(more)
                     left |= rest
                     cell = []
                     if len(out) > 50_000:
                         yield give(out, False)
-                        out = set()
+                        out = Counter()
                 now = g[:3]
                 cell.append(g)
         if cell:
             more, rest = pairs(cell)
-            out |= more
+            out.update(more)
             left |= rest
         if out or left:
             yield give(out, left)
@@ -507,11 +510,11 @@ def open_pairs(members: DataFrame, similarity: int, most: int) -> DataFrame:
     listed = rows.select("token", every("down").alias("i"), (F.col("spot") % F.col("across")).cast("int").alias("j"), F.lit(False).alias("open"), *shown)
     reach = F.explode(F.sequence(F.lit(0), F.least(F.col("across"), F.lit(most)) - 1))
     opened = rows.where("label != main").select("token", (F.col("spot") % F.col("down")).cast("int").alias("i"), "spot", "across", reach.alias("t"), F.lit(True).alias("open"), *shown)
-    later = opened.where(F.col("across") > most).limit(1).select(F.lit(None).cast("bigint").alias("a"), F.lit(None).cast("bigint").alias("b"))
+    later = opened.where(F.col("across") > most).limit(1).select(F.lit(None).cast("bigint").alias("a"), F.lit(None).cast("bigint").alias("b"), F.lit(None).cast("bigint").alias("c"))
     turn = F.pmod(F.xxhash64("node", F.lit(1)), F.col("across"))
     cells = listed.union(opened.select("token", "i", ((turn + F.col("t")) % F.col("across")).cast("int").alias("j"), "open", *shown))
-    found = cells.repartition(shuffle_partitions(members.sparkSession), "token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(run, "a bigint, b bigint").distinct()
-    return found.union(later)
+    found = cells.repartition(shuffle_partitions(members.sparkSession), "token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(run, "a bigint, b bigint, c bigint")
+    return found.union(later).groupBy("a", "b").agg(F.sum("c").alias("c"))
 
 
 def _labelled(df: DataFrame, labels: DataFrame) -> DataFrame:
@@ -581,13 +584,22 @@ def similar_sets(df: DataFrame, text_col: str = "text", key: str = "doc_id", wid
         mixed = cut_lineage(open_.groupBy(F.col("token").alias("_token")).agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("_token"))
         mixed = mixed.withColumn("_token", F.col("_token").bitwiseXOR(F.lit(0)))
         open_ = cut_lineage(open_.join(mixed, F.col("token") == F.col("_token"), "left_semi"))
-        more = cut_lineage(star_pairs(open_, similarity) if not most else open_pairs(open_, similarity, most))
         tried = known.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        if not most:
+            more, left = star_pairs(open_, similarity), not open_.isEmpty()
+        else:
+            # of each set, ``most`` partners that it has not been compared with, those met in most cells first
+            met = cut_lineage(open_pairs(open_, similarity, most))
+            both = tried.union(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            nth = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("c"), F.xxhash64("a", "b")))
+            ranked = cut_lineage(met.where("a is not null").join(both, ["a", "b"], "left_anti").withColumn("nth", nth))
+            more = ranked.where(F.col("nth") <= most).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            left = not met.where("a is null").isEmpty() or not ranked.where(F.col("nth") > most).isEmpty()
         rest = near.join(tried, ["a", "b"], "left_anti")
         of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"l_{c}"))  # noqa: E731, B023
         rest = rest.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("l_a", "a") != F.coalesce("l_b", "b"))
-        new = cut_lineage(more.where("a is not null").join(tried, ["a", "b"], "left_anti").union(rest.select("a", "b")).distinct())
-        left, count = not open_.isEmpty() if not most else not more.where("a is null").isEmpty(), new.count()
+        new = cut_lineage(more.join(tried, ["a", "b"], "left_anti").union(rest.select("a", "b")).distinct())
+        count = new.count()
         if not count and not left:
             break
         if count:
