@@ -18,7 +18,8 @@ ORACLE_SQL = None
 
 def _numbered(docs: DataFrame) -> DataFrame:
     """Adds ``_key``, which names a row by its id and all its contents: ids in numerical order, null last."""
-    number = F.coalesce(F.format_string("%020d", F.col("doc_id").cast("decimal(20,0)") + F.lit(1 << 63).cast("decimal(20,0)")), F.lit("~"))
+    shifted = F.col("doc_id").cast("decimal(21,0)") + F.lit(str(1 << 63)).cast("decimal(21,0)")  # no sign, so that texts are in the order of numbers
+    number = F.coalesce(F.lpad(shifted.cast("string"), 22, "0"), F.lit("~"))
     return docs.withColumn("_key", F.concat(number, F.lit(" "), F.md5(F.to_json(F.struct(*docs.columns), {"ignoreNullFields": "false"}))))
 
 
