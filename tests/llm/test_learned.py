@@ -10,7 +10,7 @@ import public_tokenizers
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
-from grainmill.llm import langid, queries, toxicity  # noqa: E402
+from grainmill.llm import bpe, langid, queries, toxicity  # noqa: E402
 from grainmill.llm.common import read_table  # noqa: E402
 
 SF = "/root/testdata/sf0.01"
@@ -200,6 +200,98 @@ def test_pipeline_stages(spark):
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
 
 
+def plain_pipeline(rows, labels):
+    """The five stages in plain Python: rows (doc_id, text, lang, source, n_chars), labels {doc_id: toxic}."""
+    import hashlib
+    import re
+
+    import tiktoken
+    from test_exact import base, components
+
+    words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t or "")
+    # toxicity: the rows to learn from are in the order of a hash of their ids
+    order = lambda k: int(toxicity.mix(np.array([k], np.int64).view(np.uint64))[0])
+    text = {}
+    for i, t, *_ in rows:
+        if i in labels and zlib.crc32(str(i).encode()) % 3 != 1:
+            text[i] = t if i not in text or text[i] is None or (t is not None and t < text[i]) else text[i]
+    own = sorted((order(i), i, labels[i], np.unique(toxicity.features(t)).astype(np.int32)) for i, t in text.items())
+    at, w, bias = toxicity.fit([f for *_, f in own], [y for _, _, y, _ in own])
+    weight = dict(zip(at.tolist(), w.tolist(), strict=True))
+    score = lambda t: 1 / (1 + np.exp(-(sum(weight.get(f, 0.0) for f in set(toxicity.features(t).tolist())) + bias)))
+    rows = [r for r in rows if score(r[1]) < toxicity.THRESHOLD]
+    # near copies: of each component the row with the least id, null last
+    rank = {k: (r[0] is None, r[0] or 0, k) for k, r in enumerate(rows)}
+    found = components([(k, r[1]) for k, r in enumerate(rows)])
+    component = {k: c for k, _, c in found}
+    least = {}
+    for k, c in component.items():
+        least[c] = min(least.get(c, rank[k]), rank[k])
+    rows = [r for k, r in enumerate(rows) if not words(r[1]) or least[component[k]] == rank[k]]
+    # personal data: base spans, overlapping ones as one
+    names = ("email", "ip", "card", "phone")
+    clean = []
+    for i, t, lang, source, n in rows:
+        if t is not None:
+            parts, end = [], 0
+            for a, k, b in base(t):
+                if a >= end:
+                    parts += [t[end:a], f"<{names[k]}>"]
+                end = max(end, b)
+            t = "".join(parts) + t[end:]
+        clean.append((i, t, lang, source, None if t is None else len(t)))
+    # the last two stages are compared by totals of sources and by rows
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.merge_table(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")).ranks, special_tokens={})
+    ids = lambda t: np.array(enc.encode_ordinary(t or ""), "<u4")
+    digest = lambda t: (len(ids(t)), hashlib.sha256(ids(t).tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest())
+    return clean, {r[:2]: digest(r[1]) for r in clean}, words
+
+
+def test_pipeline_against_a_plain_version(spark, tmp_path):
+    from collections import Counter
+
+    rng = np.random.default_rng(21)
+    word = lambda n: " ".join(f"w{k}" for k in rng.integers(0, 4000, n))
+    rows = []
+    for i in range(60):
+        bad = i % 4 == 0
+        t = word(25) + (" vile hateful filth vile slur" * 3 if bad else " kind")
+        rows.append((i, t, "en", f"s{i % 3}", len(t)))
+    for i in range(60, 75):
+        t = rows[i - 59][1] + " tail"
+        rows.append((i, t, "en", "s1", len(t)))
+    rows += [(80, word(12) + " call +1 (555) 010-2030 or a.b@c.example", "en", "s0", 1), (81, word(9) + " 10.0.0.1 4111 1111 1111 1111", None, None, 1), (82, None, None, None, None), (83, "", "en", "s2", 0), (84, " \n", "en", "s2", 2),
+             (85, rows[5][1], "de", "s0", 1), (85, word(30), "de", "s0", 1), (None, word(14), None, "s1", 1), (86, word(700), "en", "s1", 1)]
+    labels = {i: int(i % 4 == 0) for i in range(60)}
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(list(labels.items()), "doc_id bigint, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    clean, digests, words = plain_pipeline(rows, labels)
+    docs = read_table(spark, str(tmp_path), "documents")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:3]):
+        stage(spark, docs, str(tmp_path)).write.parquet(str(tmp_path / f"stage{k}"))
+        docs = spark.read.parquet(str(tmp_path / f"stage{k}"))
+    assert Counter(tuple(r) for r in docs.collect()) == Counter(clean) and 0 < len(clean) < len(rows)
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    size = Counter()
+    for i, t, _, source, _ in clean:
+        size[source] += len(words(t))
+    weight = {s: (1, 2, 3)[k % 3] for k, s in enumerate(sorted(size, key=lambda s: (s is None, s or "")))}
+    target, open_ = {}, set(size)
+    while open_:  # shares by weight, none above three times its source
+        rest = (sum(size.values()) - sum(v for s, v in target.items() if s not in open_)) / sum(weight[s] for s in open_)
+        over = {s for s in open_ if weight[s] * rest > 3 * size[s]}
+        target |= {s: 3.0 * size[s] if s in over else weight[s] * rest for s in (over or open_)}
+        open_ = open_ - over if over else set()
+    by = {digests[r[:2]]: r for r in clean}
+    taken, often = Counter(), Counter()
+    for r in got:
+        d = (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"])
+        assert d in by and len(r["ids"]) == r["n_tokens"]
+        often[r["doc_id"], d] += 1
+        taken[r["source"]] += len(words(by[d][1]))
+    assert all(n <= 3 for n in often.values()) and all(abs(taken[s] - target[s]) <= 30 + max(len(words(r[1])) for r in clean if r[3] == s) for s in target if size[s])
+
+
 def test_pipeline_on_odd_rows(spark, docs, odd, tmp_path):
     labels = spark.createDataFrame([(4, 0), (6, 0)], "doc_id bigint, toxic int")
     labels.write.parquet(str(tmp_path / "labels.parquet"))
