@@ -36,7 +36,7 @@ CELL = 128
 #: Members of a hot signature in a row; more make more rows.
 BLOCK = 4096
 #: Signatures that a scanning task holds before it hands them on; bounds its memory and nothing else.
-_HELD = 1_500_000
+_HELD = 600_000
 #: Weight of an unrelated meeting against a signature, in the cost model.
 _MEETING = 50.0
 
