@@ -33,6 +33,8 @@ HOT = 12
 COMMON_ROWS, COMMON_BYTES = 10_000, 1 << 24
 #: Sets of one prefix token that meet in one task; longer lists are cut into cells of two stretches each.
 CELL = 128
+#: Bits of the outline of a set; more tell larger sets apart, results do not depend on it.
+OUTLINE = 1024
 #: Members of a hot signature in a row; more make more rows.
 BLOCK = 4096
 #: Signatures that a scanning task holds before it hands them on; bounds its memory and nothing else.
@@ -384,6 +386,48 @@ def verify(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     return pairs.select("a", "b").join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint, n_a bigint, n_b bigint, shared bigint")
 
 
+def outline(tokens: np.ndarray) -> bytes:
+    """Bits of a set: of each, whether an odd number of tokens falls on it. Two outlines differ in no more bits than their sets in
+    tokens."""
+    return np.packbits(np.bincount((mix(tokens ^ _C3) % np.uint64(OUTLINE)).astype(np.int64), minlength=OUTLINE) & 1).tobytes()
+
+
+def _differ(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+
+
+def _rows_of(outlines: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(outlines), np.uint64).reshape(-1, OUTLINE // 64)
+
+
+def outlines_of(texts: DataFrame, width: int) -> DataFrame:
+    """(node, n, outline) of each node."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = (shingle_set(lower_ascii(t.as_py()), width) for t in batch.column(1))
+            sizes, bits = zip(*[(len(s), outline(s)) for s in sets], strict=True) if batch.num_rows else ((), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary())], names=["node", "n", "outline"])
+
+    return texts.select("node", "text").mapInArrow(run, "node bigint, n bigint, outline binary")
+
+
+def plausible(pairs: DataFrame, outlines: DataFrame, similarity: int) -> DataFrame:
+    """The pairs (a, b, star) whose outlines differ in no more bits than those of similar sets may; the others need no texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                total = batch.column(3).to_numpy() + batch.column(5).to_numpy()
+                differ = _differ(_rows_of(batch.column(4).to_pylist()), _rows_of(batch.column(6).to_pylist()))
+                yield batch.select([0, 1, 2]).filter(pa.array(differ * (100 + similarity) <= total * (100 - similarity)))
+
+    own = F.col("node").bitwiseXOR(F.lit(0))  # as in ``verify``
+    x, y = outlines.select(own.alias("a"), F.col("n").alias("n_a"), F.col("outline").alias("x")), outlines.select(own.alias("b"), F.col("n").alias("n_b"), F.col("outline").alias("y"))
+    both = pairs.select("a", "b", "star").join(y, "b").join(x, "a").select("a", "b", "star", "n_a", "x", "n_b", "y")
+    return both.mapInArrow(run, "a bigint, b bigint, star boolean")
+
+
 def common_tokens(texts: DataFrame, width: int, rows: int = COMMON_ROWS, most: int = COMMON_BYTES) -> tuple[np.ndarray, np.ndarray]:
     """Tokens of several of about ``rows`` sets, and in how many they are. They only order the tokens of prefixes.
 
@@ -456,19 +500,21 @@ def open_pairs(members: DataFrame, similarity: int, most: int) -> DataFrame:
     Of each token, the sets outside the component that has most of its sets meet its sets. Long lists are cut into stretches of
     about ``CELL`` sets, and each pair of stretches meets in a cell of its own; a set goes to ``most`` cells of a token and finds
     ``most`` partners in each, the same ones in the cells of different tokens as far as possible. Returns (a, b, c): the set, the
-    partner, and in how many cells they met. A row with ``a`` null says that some pairs were left for a later round.
+    partner, and in how many cells they met; pairs whose outlines differ too much are none. A row with ``a`` null says that some pairs were left for a later round.
     """
     num, den = similarity, 100 + similarity
 
     def pairs(cell: list[tuple]) -> tuple[list[tuple[int, int]], bool]:
         open_ = [g for g in cell if g[3]]
         node, n, place, label = (np.array(c, dtype=np.int64) for c in zip(*[(g[5], g[4], g[6], g[7]) for g in cell if not g[3]], strict=True)) if any(not g[3] for g in cell) else (np.zeros(0, np.int64),) * 4
+        bits = _rows_of([g[8] for g in cell if not g[3]])
         out: list[tuple[int, int]] = []
         left = False
-        for *_, own_n, own, own_place, own_label in open_:
+        for *_, own_n, own, own_place, own_label, own_outline in open_:
             # a shared token at these places leaves so many that both may have: enough for the union's share?
             may = (label != own_label) & (np.minimum(n - place, own_n - own_place) * den >= (n + own_n) * num) & (np.minimum(n, own_n) * 100 >= np.maximum(n, own_n) * similarity)
             at = np.flatnonzero(may)
+            at = at[_differ(bits[at], np.frombuffer(own_outline, np.uint64)) * den <= (n[at] + own_n) * (100 - num)]
             if len(at) > most:
                 left = True
                 at = at[np.argsort(mix(node[at].view(np.uint64) ^ np.uint64(own & (1 << 64) - 1)), kind="stable")[:most]]
@@ -506,7 +552,7 @@ def open_pairs(members: DataFrame, similarity: int, most: int) -> DataFrame:
     main = cut_lineage(main.select("_token", "main", parts(F.col("all")).alias("across"), F.greatest(F.lit(1), parts(F.col("all") - F.col("c"))).alias("down"))).withColumn("_token", F.col("_token").bitwiseXOR(F.lit(0)))
     rows = members.join(main, F.col("token") == F.col("_token")).withColumn("spot", F.pmod(F.xxhash64("node"), F.lit(1 << 30)))
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    shown = ["n", "node", "place", "label"]
+    shown = ["n", "node", "place", "label", "outline"]
     listed = rows.select("token", every("down").alias("i"), (F.col("spot") % F.col("across")).cast("int").alias("j"), F.lit(False).alias("open"), *shown)
     reach = F.explode(F.sequence(F.lit(0), F.least(F.col("across"), F.lit(most)) - 1))
     opened = rows.where("label != main").select("token", (F.col("spot") % F.col("down")).cast("int").alias("i"), "spot", "across", reach.alias("t"), F.lit(True).alias("open"), *shown)
@@ -530,7 +576,8 @@ def similar_sets(df: DataFrame, text_col: str = "text", key: str = "doc_id", wid
     if the lists with both, and the segments where either may meet others unlisted, make up that many. Of hot signatures each set
     is paired with the first one only. Why nothing is lost: for each set the hot and the weak segments are counted. A similar pair
     shares more than the slack of segments; those that are in no short list are hot or weak, for both sets. So unless both sets
-    have more hot and weak segments than the slack, a short list has the pair, as often as the rule above asks for. The sets with
+    have more hot and weak segments than the slack, a short list has the pair, as often as the rule above asks for. Pairs whose
+    outlines differ in more bits than similar sets may in tokens are left out before texts are joined. The sets with
     more, which are the members of large groups of near copies and a few small sets, meet once more by the first tokens of their
     sets in an order that puts common ones last (similar sets share one of these), and only with other components. Rounds go on
     until no pair of different components is open, so no link between components is lost.
@@ -571,6 +618,11 @@ def similar_sets(df: DataFrame, text_col: str = "text", key: str = "doc_id", wid
     source = df.select(F.md5(df[text_col].cast("binary")).alias("md5"), df[text_col].alias("text")).groupBy("md5").agg(F.first("text").alias("text"))  # copies are one from each task
     texts = cut_lineage(source.join(pick, F.col("md5") == F.col("_md5")).select("node", "text"))
 
+    # of both, those that their outlines do not exclude
+    outlines = cut_lineage(outlines_of(texts, width))
+    pairs = cut_lineage(plausible(near.withColumn("star", F.lit(False)).union(stars.withColumn("star", F.lit(True))), outlines, similarity))
+    near, stars = pairs.where("not star").select("a", "b"), pairs.where("star").select("a", "b")
+
     # first a tree's worth of pairs: each set with the least one that it may be similar to, and with its pivot
     first = near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").union(stars)
     known = cut_lineage(verify(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), texts, width))
@@ -586,10 +638,12 @@ def similar_sets(df: DataFrame, text_col: str = "text", key: str = "doc_id", wid
         open_ = cut_lineage(open_.join(mixed, F.col("token") == F.col("_token"), "left_semi"))
         tried = known.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         if not most:
-            more, left = star_pairs(open_, similarity), not open_.isEmpty()
+            stars = star_pairs(open_, similarity).withColumn("star", F.lit(True))
+            more, left = plausible(stars, outlines, similarity).select("a", "b"), not open_.isEmpty()
         else:
             # of each set, ``most`` partners that it has not been compared with, those met in most cells first
-            met = cut_lineage(open_pairs(open_, similarity, most))
+            drawn = open_.join(outlines.select(F.col("node").alias("_node"), "outline"), F.col("node") == F.col("_node"))
+            met = cut_lineage(open_pairs(drawn, similarity, most))
             both = tried.union(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
             nth = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("c"), F.xxhash64("a", "b")))
             ranked = cut_lineage(met.where("a is not null").join(both, ["a", "b"], "left_anti").withColumn("nth", nth))

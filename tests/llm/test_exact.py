@@ -141,6 +141,17 @@ def test_join_on_groups_of_copies_and_common_passages(docs):
     assert joined(docs(rows)) == components(rows)
 
 
+def test_outlines_never_exclude_similar_sets():
+    rng = np.random.default_rng(7)
+    for n in (1, 2, 9, 60, 300, 5000):
+        for k in (0, 1, n // 9, n // 5, n // 2):
+            a = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+            b = np.unique(np.concatenate((a[k:], rng.integers(0, 1 << 63, k, dtype=np.uint64))))
+            a = np.unique(a)
+            x, y = (ngramjoin._rows_of([ngramjoin.outline(t)]) for t in (a, b))
+            assert ngramjoin._differ(x, y)[0] <= len(np.setxor1d(a, b)), (n, k)
+
+
 def test_signatures_never_miss():
     rng = np.random.default_rng(1)
     for n in [1, 2, 4, 5, 6, 8, 9, 10, 12, 15, 18, 23, 30, 40, 60, 100, 250]:
