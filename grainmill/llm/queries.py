@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, langid, licences, media, mixing, ngramjoin, pii, repeats, toxicity, trie
+from . import bpe, fingerprint, langid, licences, media, mixing, ngramjoin, pii, repeats, toxicity, treaps, trie
 from .common import read_table
 
 
@@ -70,6 +70,10 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.prefix_trie(trie.graft(trie.turn_arrays(read_table(spark, sf_dir, "conversations"))))
 
 
+def op12_treap_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return treaps.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_mix_sources": op2_mix_sources,
@@ -82,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_byte_bpe": op9_byte_bpe,
     "op10_fingerprints": op10_fingerprints,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_treap_search": op12_treap_search,
 }
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -100,4 +105,5 @@ SELECT d.doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(other) AS
 FROM documents d LEFT JOIN size USING (doc_id) JOIN reach ON reach.doc_id = d.doc_id GROUP BY d.doc_id""",
     "op6_licence_scan": licences.ORACLE,
     "op11_prefix_trie": trie.ORACLE,
+    "op12_treap_search": treaps.ORACLE,
 }
