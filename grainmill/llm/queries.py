@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, langid, licences, media, mixing, ngramjoin, pii, repeats, toxicity, treaps, trie
+from . import bpe, fingerprint, langid, licences, media, mixing, ngramjoin, pii, quality, repeats, toxicity, treaps, trie
 from .common import read_table
 
 
@@ -74,6 +74,12 @@ def op12_treap_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return treaps.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op13_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    scored = quality.score(docs.select("doc_id", "text"), quality.learn(docs, labels, ~_held_out(4, 2)))
+    return scored.select("doc_id", _held_out(4, 2).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_mix_sources": op2_mix_sources,
@@ -87,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_fingerprints": op10_fingerprints,
     "op11_prefix_trie": op11_prefix_trie,
     "op12_treap_search": op12_treap_search,
+    "op13_attention_quality": op13_attention_quality,
 }
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
