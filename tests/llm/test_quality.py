@@ -70,18 +70,31 @@ def test_a_document_counts_by_its_weighted_passages():
     assert np.array_equal(again.forward(np.concatenate(bags), np.array([0, 1, 5]))[0], p)
 
 
-def test_attention_points_at_the_passage_that_spoils_a_document(spark):
+def test_attention_finds_the_passage_that_decides(spark):
+    """Labels belong to documents, but one passage in five alone makes the difference."""
+    texts = [r["text"].split() for r in read_table(spark, SF, "documents").where("n_chars between 2500 and 9000").orderBy("doc_id").collect()]
+    texts = [t[:320] for t in texts if len(t) >= 320]
+    rng = np.random.default_rng(8)
+    bags, labels, places = [], [], []
+    for k, t in enumerate(texts):
+        at = int(rng.integers(5))
+        if k % 2:
+            t[64 * at : 64 * at + 64 : 4] = ["%%%"] * 16
+        bags.append(quality.encode_text(" ".join(t)))
+        labels.append(1 - k % 2)
+        places.append(at)
+    half = len(bags) * 3 // 4
+    assert half > 80
+    model = quality.fit(bags[:half], labels[:half])
+    scores = [model.forward(b, np.array([0])) for b in bags]
+    assert np.mean([(p[0] >= 0.5) == y for (p, _, _), y in zip(scores[half:], labels[half:], strict=True)]) > 0.9
+    assert np.mean([int(np.argmax(a)) == at for (_, a, _), y, at in zip(scores, labels, places, strict=True) if not y]) > 0.8
+
+
+def test_attention_is_returned(spark):
     docs, labels = read_table(spark, SF, "documents"), read_table(spark, SF, "labels")
-    model = quality.learn(docs, labels, F.lit(True))
-    good = [r["text"] for r in docs.join(labels.where("quality = 1 and toxic = 0"), "doc_id").where("n_chars between 3000 and 6000").orderBy("doc_id").limit(12).collect()]
-    mixed = []
-    for t in good:
-        words = t.split()[:320]
-        words[128:192] = ["%%%", "$$$", "###", "&&&"] * 16
-        mixed.append(" ".join(words))
-    got = quality.score(spark.createDataFrame([(i, t) for i, t in enumerate(mixed)], "doc_id bigint, text string"), model, attention="weights").collect()
-    assert np.mean([int(np.argmax(r["weights"])) == 2 for r in got]) > 0.8
-    assert all(abs(sum(r["weights"]) - 1) < 1e-9 and len(r["weights"]) == 5 for r in got)
+    got = quality.score(docs.limit(40), quality.learn(docs, labels, F.lit(True), rows=60), attention="weights").collect()
+    assert all(abs(sum(r["weights"]) - 1) < 1e-9 and len(r["weights"]) == len(quality.encode_text(r["text"])) for r in got)
 
 
 def test_odd_rows(spark, docs, odd):
