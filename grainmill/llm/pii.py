@@ -40,7 +40,9 @@ _GROUP = re.compile(r"[(\[]?\+?[0-9][0-9.()/-]*\]?")
 _NEXT_GROUP = re.compile(r"[ \t\xa0]{1,2}(?:[-/] )?[(\[]?[0-9](?:[.()/-]*[0-9)])*(?![^\s\"')\]}>.,;:!?])")
 _TRIM = "\"'()[]{}<>.,;:!?*#$%&="
 #: A pattern must have been seen with this many different seeds, and reach this confidence.
-SUPPORT, CONFIDENCE, ROUNDS = 3, 0.8, 3
+SUPPORT, CONFIDENCE = 3, 0.8
+#: Rounds of the bootstrap at most; it ends as soon as a round has the same sure tokens as the one before.
+ROUNDS = 10
 
 
 def _luhn(digits: str) -> bool:
@@ -121,9 +123,12 @@ def _text_hash(role: int, text: str) -> int:
 
 def spellings(token: str) -> list[int]:
     """Patterns of an identifier's own spelling: digits and runs of letters as signs; the same with runs of digits as one, if
-    that says more than that it is a number; and the last two labels after an @."""
+    that says more than that it is a number; and the last two labels after an @. As many digits as a card has count as another
+    spelling where their check digit is right."""
     shape = _DIGITS.sub("9", _LETTERS.sub("a", token))
     outline = re.sub("9+", "9", shape)
+    if shape_fits(token) & 4 and _luhn("".join(_DIGITS.findall(token))):
+        shape, outline = shape + " checked", outline + " checked"
     out = [_text_hash(SPELLING, shape)]
     if len(outline) > 1:
         out.append(_text_hash(OUTLINE, outline))
@@ -179,7 +184,7 @@ def _written(text: str) -> Iterator[tuple[int, int]]:
         while start > 0 and m.start() - start < 2 and text[start - 1] in " \t":
             start -= 1
         first = start
-        while first > 0 and start - first < 64 and text[first - 1] in _LOCAL:  # no address has a longer local part
+        while first > 0 and text[first - 1] in _LOCAL:  # the token before, whole: no two written ats share one
             first -= 1
         if d := (_DOMAIN if m.group()[0] not in "Aa" else _DOTTED).match(text, m.end()):
             if first < start and any(c in " \t" for c in text[first : d.end()]):
@@ -224,7 +229,7 @@ def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int,
             if not bits and _GROUP.fullmatch(text, left, right):
                 after = bisect_left(starts, end)
                 if stop := _groups(text, left, right, starts[after] if after < len(starts) else len(text)):
-                    start, end = left, stop
+                    start, end, at = left, stop, stop  # the groups are one identifier
                     bits = shape_fits(text[start:end])
             out.append((start, end, bits))
     return sorted(out)
@@ -274,20 +279,23 @@ def score_patterns(scanned: DataFrame, rounds: int = ROUNDS, support: int = SUPP
     In each round a pattern's confidence is the mean score of the tokens it goes with, seeds of its kind being 1, seeds
     of another kind 0 and other tokens what the best pattern of the other view gave them in the round before: spellings are
     judged by the words beside them and words by spellings, so that no pattern confirms itself. Tokens that reach
-    ``confidence`` by either view are seeds in the next round, wherever they stand, and induce new patterns there. Everything is
-    summed up by (context, instance) before it is joined.
+    ``confidence`` by either view are seeds in the next round, wherever they stand, and induce new patterns there. The rounds end
+    when these tokens stay the same. Everything is summed up by (context, instance) before it is joined.
     """
     seeds = scanned.select(F.explode("seeds").alias("s")).select("s.kind", "s.instance", F.explode("s.contexts").alias("context")).groupBy("context", "kind", "instance").agg(F.count(F.lit(1)).alias("n"))
     others = scanned.select(F.explode("found").alias("f")).select("f.fits", "f.instance", F.explode("f.contexts").alias("context")).groupBy("context", "instance", "fits").agg(F.count(F.lit(1)).alias("n"))
     seeds, others = cut_lineage(seeds), cut_lineage(others)
     met = cut_lineage(seeds.select("context", "n").union(others.select("context", "n")).groupBy("context").agg(F.sum("n").alias("met")))
     view = F.col("context").bitwiseAND(F.lit(1)).alias("view")
-    known, scored = seeds, None
+    known, scored, mark = seeds, None, (0, None)
     for k in range(rounds):
         if k:
             edges = others.where("fits > 0").join(scored.select("context", "kind", "confidence"), "context").where(F.expr("shiftright(fits, kind) & 1 = 1"))
             best = cut_lineage(edges.groupBy("instance", "kind", view).agg(F.max("confidence").alias("score")))
             sure = cut_lineage(best.where(F.col("score") >= confidence).groupBy("instance").agg(F.max_by("kind", F.struct("score", -F.col("kind"))).alias("kind")))
+            before, mark = mark, tuple(sure.agg(F.count(F.lit(1)), F.sum(F.xxhash64("instance", "kind").cast("decimal(38,0)"))).first())
+            if k > 1 and mark == before:
+                break
             known = seeds.union(others.join(sure, "instance").select("context", "kind", "instance", "n"))
             other_view = best.select("instance", "kind", (1 - F.col("view")).alias("view"), "score")
             lent = edges.withColumn("view", view).join(other_view, ["instance", "kind", "view"]).join(sure.select("instance"), "instance", "left_anti").groupBy("context", "kind").agg(F.sum(F.col("n") * F.col("score")).alias("lent"))

@@ -361,12 +361,26 @@ def test_hidden_seeds_come_back(spark):
         hidden.update(k for _, k, _ in gone)
         back.update(k for _, k, _ in gone & found)
         extra += [text[r["doc_id"]][a:b] for a, k, b in found - own]
-    # a card is told from other numbers of 16 digits by its check digit alone, which no pattern sees
-    assert sum(back[k] for k in (0, 1, 3)) >= 0.9 * sum(hidden[k] for k in (0, 1, 3)) and min(hidden[k] for k in (0, 1, 3)) > 5
-    assert len(extra) <= 0.1 * sum(back.values()) and all(re.search(r"[0-9]{3}[) .-]|@", x) for x in extra)
+    assert min(hidden[k] for k in range(4)) > 5 and all(back[k] >= 0.8 * hidden[k] for k in range(4)) and sum(back.values()) >= 0.9 * sum(hidden.values())
+    assert len(extra) <= 0.1 * sum(back.values()) and all(re.search(r"[0-9]{3}|@", x) for x in extra)
     assert extra  # identifiers that no fixed form finds
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_candidates_never_overlap(seed):
+    rng = np.random.default_rng(seed)
+    parts = ["555", "123 4567", "(555)", "4111 1111 1111 1112", "jane (at) corp (dot) org", "x" * 100 + " (at) corp.org", "a@b.c", "+1 555 0100 200", "12", " ", "\n", "1.2.3.4", "word,"]
+    for _ in range(200):
+        text = " ".join(rng.choice(parts, int(rng.integers(1, 12))))
+        spans = pii.base_spans(text)
+        found = pii.candidates(text, spans)
+        assert all(b <= c for (_, b, _), (c, _, _) in zip(found, found[1:], strict=False))
+        assert all(b <= c or d <= a for a, b, _ in found for c, _, d in spans)
+    assert [text[a:b] for text in ("call 555 123 4567 now",) for a, b, _ in pii.candidates(text, [])] == ["555 123 4567"]
+    long = "a" * 100 + " (at) corp.org"
+    assert [long[a:b] for a, b, _ in pii.candidates(long, [])] == [long]
+
+
 def test_patterns_discover_unseen_identifiers(docs):
     seeds = [(i, f"some words here\nreach me at user{i}@site{i}.org today") for i in range(12)]
     df = docs([*seeds, (50, "well then\nreach me at jane(at)corp.org soon"), (51, "the total was 12 of 30 items"), (52, "see jane(at)corp.org")])
