@@ -89,7 +89,8 @@ def compare(baseline: DataFrame, candidate: DataFrame) -> DataFrame:
 
 def verdict(compared: DataFrame, min_overall_delta: float = 0.0, max_category_regression: float = 0.0) -> DataFrame:
     """One row: whether the candidate passes the gate, by how much it differs overall, and why it fails."""
-    percent = lambda c, digits: F.format_string(f"%+.{digits}f%%", round_exact(c * 100, digits))
+    sign = lambda c: F.when(c < 0, "-").otherwise("+")  # noqa: E731  a drop that rounds to zero is still a drop
+    percent = lambda c, digits: F.concat(sign(c), F.format_string(f"%.{digits}f%%", F.abs(round_exact(c * 100, digits))))
     why = (
         F.when(F.col("base_scored").isNotNull() & F.col("cand_scored").isNull(), F.concat(F.lit("category missing from candidate: "), "category"))
         .when(F.col("delta") < -max_category_regression - EPSILON, F.concat(F.lit("category regressed: "), "category", F.lit(" "), percent(F.col("delta"), 0), F.lit(f" (allowed {max_category_regression:.0%} drop)"))))
