@@ -225,6 +225,7 @@ def run_gate(spark: SparkSession, baseline: str, candidate: str, min_delta: floa
 
 
 def upsert(store: DataFrame, changes: DataFrame) -> DataFrame:
-    """A key-value table (namespace, key, updated_at, value) after changes: the newest value of each key."""
-    newest = F.max_by(F.struct("updated_at", "value"), F.col("updated_at"))
+    """A key-value table (namespace, key, updated_at, value) after changes: the newest value of each key, of equally new ones the
+    greatest. ``store.save_values`` writes such a table back."""
+    newest = F.max(F.struct("updated_at", "value"))
     return store.unionByName(changes).groupBy("namespace", "key").agg(newest.alias("n")).select("namespace", "key", "n.updated_at", "n.value")
