@@ -27,9 +27,9 @@ def gram_code(text: str) -> int:
     return a << 42 | b << 21 | c
 
 
-def postings(files: DataFrame, key: str = "file", text: str = "text") -> DataFrame:
+def postings(files: DataFrame, key: str = "file", text: str = "text", with_places: bool = True) -> DataFrame:
     """(file, gram, places): where each three characters of each whole text, in lower case, begin. Null texts and those of fewer
-    characters have one row without a gram, which says that the file is known."""
+    characters have one row without a gram, which says that the file is known. Without places the lists are empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names: list[pa.Array] = []
@@ -56,8 +56,8 @@ def postings(files: DataFrame, key: str = "file", text: str = "text") -> DataFra
                 names.append(pa.array([file.as_py()] * max(1, len(found)), pa.string()))
                 grams.append(found if some else np.zeros(1, np.int64))
                 known.append(np.full(max(1, len(found)), some))
-                sizes.append(count if some else np.zeros(1, np.int64))
-                places.append(order.astype(np.int32))
+                sizes.append(count if some and with_places else np.zeros(max(1, len(found)), np.int64))
+                places.append(order.astype(np.int32) if with_places else order[:0].astype(np.int32))
                 held += len(order)
                 if held > 1_000_000:
                     yield packed()
@@ -71,22 +71,24 @@ def postings(files: DataFrame, key: str = "file", text: str = "text") -> DataFra
 def index_store(spark: SparkSession, folder: str, buckets: int = 32) -> BucketStore:
     """Postings in buckets of files, so that a changed file touches one bucket; each is sorted by gram, so that a search reads the
     row groups of its grams."""
-    return BucketStore(spark, folder, ("file",), buckets, ("gram", "file"))
+    return BucketStore(spark, folder, ("file",), buckets, ("gram", "file"), {"parquet.writer.version": "v2", "parquet.enable.dictionary#places.list.element": "false", "compression": "zstd"})
 
 
-def update_index(store: BucketStore, files: DataFrame, batch: int, removed: DataFrame | None = None, key: str = "file", text: str = "text") -> bool:
-    """Indexes new and changed files again, in place of what the store has of them, and forgets ``removed`` ones (key), also where
-    a file is in both. File names are unique in a batch."""
-    new = postings(files, key, text).withColumn("batch", F.lit(batch).cast("bigint"))
-    if removed is not None:
-        new = new.unionByName(removed.select(F.col(key).cast("string").alias("file"), F.lit(None).cast("bigint").alias("gram"), F.lit(None).cast("array<int>").alias("places"), F.lit(batch).cast("bigint").alias("batch")))
+def update_index(store: BucketStore, files: DataFrame, batch: int, removed: DataFrame | None = None, key: str = "file", text: str = "text", with_places: bool = True) -> bool:
+    """Indexes new and changed files again, in place of what the store has of them, and forgets ``removed`` ones (key) that are not
+    among them. File names are unique in a batch. Texts are dealt to the tasks of their buckets, not the postings, which are
+    several times as large. Searches for lines need no places, and their index is a fraction of the texts without them."""
+    named = files.select(F.col(key).cast("string").alias("file"))
+    names = named if removed is None else named.union(removed.select(F.col(key).cast("string").alias("file")))
+    dealt = files.select(F.col(key).cast("string").alias("file"), F.col(text).alias("text")).withColumn("_bucket", store.bucket()).hint("rebalance", "_bucket")
 
-    def combine(both: DataFrame) -> DataFrame:
-        last = both.groupBy("file").agg(F.max("batch").alias("_last"), F.bool_or((F.col("batch") == batch) & F.col("places").isNull()).alias("_gone"))
-        kept = both.join(last, "file").where((F.col("batch") == F.col("_last")) & ~F.coalesce("_gone", F.lit(False))).drop("_last", "_gone")
-        return kept
+    def combine(before: DataFrame | None, changes: DataFrame) -> DataFrame:
+        if before is None:
+            return changes
+        kept = before.join(names.distinct(), "file", "left_anti")
+        return changes.unionByName(kept)
 
-    return store.merge(new, combine, batch).applied
+    return store.merge(postings(dealt, with_places=with_places), combine, batch, keys=names, placed=True).applied
 
 
 def _grams(term: str) -> list[str]:

@@ -112,11 +112,11 @@ def _(spark, d):
     return store.read().select("ord", "id", "duplicate_type", "duplicate_of")
 
 
-def _indexed(spark: SparkSession, files: DataFrame, key: str) -> K.BucketStore:
-    """An index that was built in two updates: half of the files first with other texts, then all of them as they are."""
-    store = T.index_store(spark, _folder(spark, "grams"), 8)
-    T.update_index(store, files.where(_part(key, 2) == 0).withColumn("text", F.reverse("text")), 1, key=key)
-    T.update_index(store, files, 2, key=key)
+def _indexed(spark: SparkSession, files: DataFrame, key: str, with_places: bool) -> K.BucketStore:
+    """An index of all files, one in nine of them first with an older text that the update replaces."""
+    store = T.index_store(spark, _folder(spark, "grams"), 64)
+    T.update_index(store, files.where(_part(key, 9) == 0).withColumn("text", F.lit("the older license version")), 1, key=key, with_places=with_places)
+    T.update_index(store, files, 2, key=key, with_places=with_places)
     return store
 
 
@@ -127,7 +127,7 @@ _REL = " + ".join(f"(length(lower(text)) - length(replace(lower(text), '{t}', ''
 @query("memory_index_top8", f"SELECT doc_id, ({_REL})::BIGINT AS score, sha256(left(text, 8000)) AS content_sha FROM documents WHERE {_REL} > 0 ORDER BY score DESC, doc_id LIMIT 8")
 def _(spark, d):
     docs = spread(table(spark, d, "documents"))
-    return T.search_indexed(_indexed(spark, docs, "doc_id"), docs, "the License version of", key="doc_id").select("doc_id", "score", F.sha2("content", 256).alias("content_sha"))
+    return T.search_indexed(_indexed(spark, docs, "doc_id", True), docs, "the License version of", key="doc_id").select("doc_id", "score", F.sha2("content", 256).alias("content_sha"))
 
 
 _PATTERN = r"^(Licensed|Released) .*\b(MIT|Apache)\b"
@@ -136,4 +136,4 @@ _PATTERN = r"^(Licensed|Released) .*\b(MIT|Apache)\b"
 @query("code_index_search", rf"WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line_text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line FROM documents) SELECT 'doc/' || doc_id AS path, line, sha256(line_text) AS line_sha FROM l WHERE regexp_matches(line_text, '{_PATTERN}')")
 def _(spark, d):
     files = spread(table(spark, d, "documents")).select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("path"), "text")
-    return T.search_indexed_lines(_indexed(spark, files, "path"), files, _PATTERN).select("path", "line", F.sha2("text", 256).alias("line_sha"))
+    return T.search_indexed_lines(_indexed(spark, files, "path", False), files, _PATTERN).select("path", "line", F.sha2("text", 256).alias("line_sha"))

@@ -6,7 +6,7 @@ import json
 from collections.abc import Callable
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -31,8 +31,12 @@ class BucketStore:
     time. Files are sorted by ``sort``. Choose ``buckets`` so that one of them fits a few tasks. ``folder`` must be shared by the driver and all executors.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, key: tuple[str, ...], buckets: int = 32, sort: tuple[str, ...] = ()):
-        self.spark, self.folder, self.key, self.buckets, self.sort = spark, folder, key, buckets, sort
+    def __init__(self, spark: SparkSession, folder: str, key: tuple[str, ...], buckets: int = 32, sort: tuple[str, ...] = (), options: dict[str, str] | None = None):
+        self.spark, self.folder, self.key, self.buckets, self.sort, self.options = spark, folder, key, buckets, sort, options or {}
+
+    def bucket(self) -> Column:
+        """The bucket of a row with the key's columns."""
+        return F.pmod(F.xxhash64(*self.key), F.lit(self.buckets)).cast("int")
 
     def _names(self, path: str) -> list[str]:
         fs, p = _path(self.spark, path)
@@ -57,21 +61,28 @@ class BucketStore:
         schema, paths = StructType.fromJson(now["schema"]), self.paths(now, only)
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
-    def merge(self, changes: DataFrame, combine: Callable[[DataFrame], DataFrame], batch: int) -> Merged:
-        """Puts ``changes`` in: ``combine`` gets the rows of the touched buckets, old and new together, and returns what they become,
-        with the same columns and keys. Changes with a null key are in a bucket like all others. No changes make no version."""
+    def merge(self, changes: DataFrame, combine: Callable[[DataFrame | None, DataFrame], DataFrame], batch: int, keys: DataFrame | None = None, placed: bool = False) -> Merged:
+        """Puts ``changes`` in: ``combine`` gets the old rows of the touched buckets (None: there are none) and the new ones, and returns
+        what they become, with the same columns and keys. Changes with a null key are in a bucket like all others; no changes
+        write no bucket.
+
+        Changes are computed once and held in the checkpoint folder, unless ``keys`` has their keys more cheaply. ``placed`` says
+        that the rows lie in partitions by bucket already; else they are dealt out, large buckets to several tasks.
+        """
         now = self.snapshot()
         if now["batch"] is not None and batch <= now["batch"]:
             return Merged(False)
-        bucket = F.pmod(F.xxhash64(*self.key), F.lit(self.buckets)).cast("int")
-        changes = cut_lineage(changes)
-        touched = sorted(r[0] for r in changes.select(bucket.alias("b")).distinct().collect())  # ``buckets`` rows at most
+        if keys is None:
+            keys = changes = cut_lineage(changes)
+        touched = sorted(r[0] for r in keys.select(self.bucket().alias("b")).distinct().collect())  # ``buckets`` rows at most
         before = self.read(now, touched)
-        combined = combine(changes if before is None else before.unionByName(changes))
+        combined = combine(before, changes)
         version = now["version"] + 1
         target, held = f"{self.folder}/data/v{version}", {b: v for b, v in now["held"].items() if int(b) not in touched}
         if touched:
-            combined.withColumn("_bucket", bucket).hint("rebalance", "_bucket").sortWithinPartitions("_bucket", *self.sort).write.mode("overwrite").partitionBy("_bucket").parquet(target)
+            dealt = combined.withColumn("_bucket", self.bucket())
+            dealt = dealt if placed else dealt.hint("rebalance", "_bucket")
+            dealt.sortWithinPartitions("_bucket", *self.sort).write.mode("overwrite").options(**self.options).partitionBy("_bucket").parquet(target)
             held |= {n.removeprefix("_bucket="): version for n in self._names(target) if n.startswith("_bucket=")}
         now = {"version": version, "batch": batch, "schema": now["schema"] or combined.schema.jsonValue(), "held": held}
         self._commit(now)
@@ -95,13 +106,17 @@ class BucketStore:
         return len(gone)
 
 
-def newest(key: tuple[str, ...], by: str) -> Callable[[DataFrame], DataFrame]:
+def both(before: DataFrame | None, changes: DataFrame) -> DataFrame:
+    return changes if before is None else before.unionByName(changes)
+
+
+def newest(key: tuple[str, ...], by: str) -> Callable[[DataFrame | None, DataFrame], DataFrame]:
     """A rule for ``merge``: of the rows of a key the one with the greatest ``by``, of equal ones the greatest in all other columns."""
 
-    def combine(both: DataFrame) -> DataFrame:
-        rest = [by, *[c for c in both.columns if c not in key and c != by]]
+    def combine(before: DataFrame | None, changes: DataFrame) -> DataFrame:
+        rest = [by, *[c for c in changes.columns if c not in key and c != by]]
         row = F.max(F.struct(*rest)).alias("_row")
-        return both.groupBy(*key).agg(row).select(*[F.col(c) if c in key else F.col(f"_row.{c}") for c in both.columns])
+        return both(before, changes).groupBy(*key).agg(row).select(*[F.col(c) if c in key else F.col(f"_row.{c}") for c in changes.columns])
 
     return combine
 

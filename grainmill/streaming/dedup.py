@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.curation import deduplicate
-from ..sources.store import BucketStore
+from ..sources.store import BucketStore, both
 
 _LABELS = ("duplicate_type", "duplicate_of")
 
@@ -26,8 +26,8 @@ def add_batch(store: BucketStore, rows: DataFrame, batch: int, id_prefix: str =
     than before (was_type, was_of); None if the batch had been put in already.
     """
 
-    def combine(both: DataFrame) -> DataFrame:
-        one = both.groupBy("instruction_hash", "ord").agg(F.min(F.struct("content_hash", "id")).alias("r")).select("instruction_hash", "ord", "r.id", "r.content_hash")
+    def combine(before: DataFrame | None, changes: DataFrame) -> DataFrame:
+        one = both(before, changes).groupBy("instruction_hash", "ord").agg(F.min(F.struct("content_hash", "id")).alias("r")).select("instruction_hash", "ord", "r.id", "r.content_hash")
         return deduplicate(one, id_prefix).select("instruction_hash", "ord", "id", "content_hash", *_LABELS)
 
     given = rows.select("instruction_hash", "ord", "id", "content_hash", *[F.lit(None).cast("string").alias(c) for c in _LABELS])
@@ -37,9 +37,9 @@ def add_batch(store: BucketStore, rows: DataFrame, batch: int, id_prefix: str =
     if done.before is None:
         return done.after.select("*", *[F.lit(None).cast("string").alias(c) for c in ("was_type", "was_of")], F.lit(True).alias("arrived"))
     was = done.before.select(F.col("instruction_hash").alias("_i"), F.col("ord").alias("_o"), F.col("duplicate_type").alias("was_type"), F.col("duplicate_of").alias("was_of"))
-    both = done.after.join(was, (F.col("instruction_hash") == F.col("_i")) & (F.col("ord") == F.col("_o")), "left").withColumn("arrived", F.col("_o").isNull())
+    now = done.after.join(was, (F.col("instruction_hash") == F.col("_i")) & (F.col("ord") == F.col("_o")), "left").withColumn("arrived", F.col("_o").isNull())
     same = F.col("duplicate_type").eqNullSafe(F.col("was_type")) & F.col("duplicate_of").eqNullSafe(F.col("was_of"))
-    return both.where(F.col("arrived") | ~same).drop("_i", "_o")
+    return now.where(F.col("arrived") | ~same).drop("_i", "_o")
 
 
 def follow(stream: DataFrame, store: BucketStore, checkpoint: str, changes: str | None = None, **how) -> StreamingQuery:

@@ -139,8 +139,8 @@ def test_store_after_a_failed_merge(spark, tmp_path):
     K.save_values(store, spark.createDataFrame([("n", "a", 1, "x")], VALUES), 1)
     rows = held(store)
 
-    def fails(both):
-        return both.withColumn("value", F.raise_error(F.lit("broken")).cast("string"))
+    def fails(before, changes):
+        return K.both(before, changes).withColumn("value", F.raise_error(F.lit("broken")).cast("string"))
 
     with pytest.raises(Exception, match="broken"):
         store.merge(spark.createDataFrame([("n", "a", 2, "y")], VALUES), fails, 2)
@@ -193,7 +193,7 @@ PATTERNS = [r"^(Licensed|Released) .*\b(MIT|Apache)\b", r"thandon|reinthe", r"(?
 def indexed(spark, sf_dir, tmp_path_factory):
     files = table(spark, sf_dir, "documents").select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("path"), "text").cache()
     store = text_index.index_store(spark, str(tmp_path_factory.mktemp("index")), 4)
-    text_index.update_index(store, files, 1, key="path")
+    text_index.update_index(store, files, 1, key="path", with_places=True)
     return files, store
 
 
