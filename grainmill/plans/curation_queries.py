@@ -11,6 +11,7 @@ from ..functions import rules as R
 from ..functions import text as T
 from ..lineage import spread
 from ..operators import curation as C
+from . import dealt as X
 from . import sql as S
 
 QUERIES, ORACLES = {}, {}
@@ -116,12 +117,12 @@ def frame(spark: SparkSession, columns: dict[str, str], rows: list[tuple]) -> Da
     return spark.createDataFrame(rows, ", ".join(f"{c} {kinds[t]}" for c, t in columns.items()))
 
 
-@query("validate_record_errors", f"""WITH {S.values('r', _RECORDS, _RECORD_ROWS)} SELECT rid, array_to_string(list_filter([
+@query("validate_record_errors", f"""WITH {X.values('r', _RECORDS, _RECORD_ROWS, 'rid', {'prompt': 'after'})} SELECT rid, array_to_string(list_filter([
  {', '.join(f"CASE WHEN coalesce(length({c}), 0) = 0 THEN 'record field ''{c}'' is required' END" for c in ("id", "prompt", "category", "difficulty"))},
  {', '.join(f"CASE WHEN {c} IS NULL OR {c} NOT IN {S.listed(v)} THEN '{t}' || {_REPR(c)} END" for c, v, t in (("category", R.CATEGORIES, "record category invalid: "), ("difficulty", R.DIFFICULTIES, "record difficulty invalid: "), ("status", R.STATUSES, "verification.status invalid: "), ("source", R.SOURCES, "metadata.source invalid: ")))}
  ], lambda e: e IS NOT NULL), '; ') AS errors FROM r""")
 def _(spark, d):
-    return frame(spark, _RECORDS, _RECORD_ROWS).select("rid", F.array_join(C.record_errors(), "; ").alias("errors"))
+    return X.rows(spark, d, _RECORDS, _RECORD_ROWS, "rid", {'prompt': 'after'}).select("rid", F.array_join(C.record_errors(), "; ").alias("errors"))
 
 
 #: One row for each pattern, and clean ones.
@@ -165,8 +166,13 @@ _RES = {"id": "VARCHAR", "success": "BOOLEAN", "exit_code": "INTEGER", "stdout":
 _RES_ROWS = [("x1", True, 0, "3", "", False, None), ("x2", False, 1, "", "assertion", False, None), ("x3", False, -1, "", "", True, None), ("x7", False, 2, "", "tool not allowed here", False, None), ("x9", True, 0, "", "", False, None), ("y1", False, 125, "", "a\nno daemon", False, "container"), ("y2", False, 3, "boom", "", False, None)]
 
 
-def _exec(spark):
-    return C.typed(frame(spark, _EXEC, _EXEC_ROWS).withColumn("ord", F.substring("id", 2, 9).cast("long")))
+def _ord():
+    """The order of candidates: those of documents first, in the order of their ids."""
+    return F.when(F.col("id").startswith("doc-"), F.substring("id", 5, 12).cast("long") - 1_000_000_000_000).otherwise(F.expr("try_cast(substring(id, 2, 9) AS bigint)"))
+
+
+def _exec(spark, d):
+    return C.typed(X.rows(spark, d, _EXEC, _EXEC_ROWS, "id", {'instruction': 'after', 'code': 'after'}).withColumn("ord", _ord()))
 
 
 _FULL = lambda c: f"coalesce(length({c}), 0) > 0"
@@ -174,35 +180,35 @@ _FILES = "coalesce(cardinality(files), 0) > 0"
 _DECISION = f"CASE WHEN category NOT IN {S.listed(R.EXECUTABLE)} THEN 'not_required' WHEN NOT ({_FILES} OR {_FULL('code')}) THEN 'no_code' WHEN language IS NULL OR language NOT IN {S.listed(R.LANGUAGES)} THEN 'unsupported_language' ELSE 'verify' END"
 
 
-@query("exec_decision", f"WITH {S.values('x', _EXEC, _EXEC_ROWS)} SELECT id, {_DECISION} AS decision FROM x")
+@query("exec_decision", f"WITH {X.values('x', _EXEC, _EXEC_ROWS, 'id', {'instruction': 'after', 'code': 'after'})} SELECT id, {_DECISION} AS decision FROM x")
 def _(spark, d):
-    return _exec(spark).select("id", C.executable_decision().alias("decision"))
+    return _exec(spark, d).select("id", C.executable_decision().alias("decision"))
 
 
-@query("verify_payload", f"""WITH {S.values('x', _EXEC, _EXEC_ROWS)}, f AS (SELECT id, language, CASE WHEN {_FILES} THEN array_to_string(list_sort(map_keys(files)), ',') ELSE CASE language WHEN 'python' THEN 'main.py' WHEN 'node' THEN 'main.js' ELSE 'main.ts' END END AS files, test_command, CASE WHEN timeout_seconds >= 1 THEN timeout_seconds END::BIGINT AS timeout_seconds FROM x WHERE {_DECISION} = 'verify')
+@query("verify_payload", f"""WITH {X.values('x', _EXEC, _EXEC_ROWS, 'id', {'instruction': 'after', 'code': 'after'})}, f AS (SELECT id, language, CASE WHEN {_FILES} THEN array_to_string(list_sort(map_keys(files)), ',') ELSE CASE language WHEN 'python' THEN 'main.py' WHEN 'node' THEN 'main.js' ELSE 'main.ts' END END AS files, test_command, CASE WHEN timeout_seconds >= 1 THEN timeout_seconds END::BIGINT AS timeout_seconds FROM x WHERE {_DECISION} = 'verify')
  SELECT id, language, files, timeout_seconds, CASE WHEN len(test_command) > 0 THEN array_to_string(test_command, ' ') WHEN language = 'python' THEN CASE WHEN contains(files, 'test') THEN 'python -m pytest -q' ELSE 'python -m py_compile main.py' END
  WHEN contains(files, 'test') THEN 'node --test' WHEN language = 'node' THEN 'node --check main.js' ELSE 'tsc --noEmit --skipLibCheck main.ts' END AS command FROM f""")
 def _(spark, d):
-    p = _exec(spark).where(C.executable_decision() == "verify").select("id", C.verify_payload().alias("p"))
+    p = _exec(spark, d).where(C.executable_decision() == "verify").select("id", C.verify_payload().alias("p"))
     return p.select("id", "p.language", F.array_join(F.array_sort(F.map_keys("p.files")), ",").alias("files"), F.array_join("p.command", " ").alias("command"), F.col("p.timeout_seconds").cast("long").alias("timeout_seconds"))
 
 
-@query("verify_reason", f"WITH {S.values('r', _RES, _RES_ROWS)} SELECT id, CASE WHEN success THEN NULL WHEN timed_out THEN 'timeout' WHEN contains(stderr || stdout, 'not allowed') THEN 'invalid_command' WHEN error IS NOT NULL THEN 'execution_failed' ELSE 'tests_failed' END AS reason FROM r")
+@query("verify_reason", f"WITH {X.values('r', _RES, _RES_ROWS, 'id', {'stdout': 'after'})} SELECT id, CASE WHEN success THEN NULL WHEN timed_out THEN 'timeout' WHEN contains(stderr || stdout, 'not allowed') THEN 'invalid_command' WHEN error IS NOT NULL THEN 'execution_failed' ELSE 'tests_failed' END AS reason FROM r")
 def _(spark, d):
-    return frame(spark, _RES, _RES_ROWS).select("id", C.verification_reason(*map(F.col, ("success", "timed_out", "stdout", "stderr", "error"))).alias("reason"))
+    return X.rows(spark, d, _RES, _RES_ROWS, "id", {'stdout': 'after'}).select("id", C.verification_reason(*map(F.col, ("success", "timed_out", "stdout", "stderr", "error"))).alias("reason"))
 
 
 _UNSAFE_X = f"len({S.labels("coalesce(code, '')", R.UNSAFE)}) > 0"
 _X_DIMS = S.score_dims("status", code_col="code", files=_FILES, answer="expected_answer", command="coalesce(len(test_command), 0) > 0")
 
 
-@query("curate_executables", f"""WITH {S.values('x', _EXEC, _EXEC_ROWS)}, {S.values('r', _RES, _RES_ROWS)}, j AS (SELECT x.*, r.success, r.timed_out, r.exit_code, {_DECISION} AS decision, {_UNSAFE_X} AS bad,
+@query("curate_executables", f"""WITH {X.values('x', _EXEC, _EXEC_ROWS, 'id', {'instruction': 'after', 'code': 'after'})}, {X.values('r', _RES, _RES_ROWS, 'id', {'stdout': 'after'}, [e[0] for e in _EXEC_ROWS])}, j AS (SELECT x.*, r.success, r.timed_out, r.exit_code, {_DECISION} AS decision, {_UNSAFE_X} AS bad,
  CASE WHEN success THEN NULL WHEN timed_out THEN 'timeout' WHEN contains(stderr || stdout, 'not allowed') THEN 'invalid_command' WHEN error IS NOT NULL THEN 'execution_failed' ELSE 'tests_failed' END AS run FROM x LEFT JOIN r USING (id)),
  e AS (SELECT *, CASE WHEN bad THEN 'unsafe_candidate' WHEN decision = 'unsupported_language' THEN decision WHEN decision = 'verify' THEN run END AS early, CASE WHEN decision = 'verify' AND NOT bad THEN CASE WHEN success THEN 'passed' ELSE 'failed' END ELSE 'not_required' END AS status FROM j),
  s AS (SELECT *, CASE WHEN early IS NULL THEN {S.score_total(_X_DIMS)} END AS score FROM e), z AS (SELECT *, coalesce(early, CASE WHEN score < 30 THEN 'low_quality' END) AS gone FROM s)
  SELECT id, status, score, coalesce(gone, CASE WHEN row_number() OVER (PARTITION BY gone IS NULL, category, difficulty, language, {S.prose('instruction')} ORDER BY id) > 1 THEN 'duplicate' END) AS reason FROM z""")
 def _(spark, d):
-    return C.decide(_exec(spark), frame(spark, _RES, _RES_ROWS)).select("id", "status", "score", "reason")
+    return C.decide(_exec(spark, d), X.rows(spark, d, _RES, _RES_ROWS, "id", {'stdout': 'after'}, [e[0] for e in _EXEC_ROWS])).select("id", "status", "score", "reason")
 
 
 _DIMS = S.score_dims("'not_required'")
@@ -278,24 +284,24 @@ def _(spark, d):
 
 _RUN_REASON = "CASE WHEN success THEN NULL WHEN timed_out THEN 'timeout' WHEN contains(stderr || stdout, 'not allowed') THEN 'invalid_command' WHEN error IS NOT NULL THEN 'execution_failed' ELSE 'tests_failed' END"
 _STAGE_ROWS = [*_EXEC_ROWS, ("x10", "  ", "coding", "easy", "python", "x", None, None, None, None), ("x11", "a fine request", "cooking", "extreme", "python", None, None, None, None, None)]
-_STAGE_RES = [*_RES_ROWS, ("x8", True, 0, "", "", False, None)]
+_STAGE_RES = [*_RES_ROWS, ("x8", True, 0, "", "", False, None), ("x10", False, 1, "", "", False, None)]
 
 
-@query("verify_stage", f"""WITH {S.values('x', _EXEC, _STAGE_ROWS)}, {S.values('r', _RES, _STAGE_RES)}, e AS (SELECT *, {S.ERRORS} AS errors, {_DECISION} AS decision FROM x),
+@query("verify_stage", f"""WITH {X.values('x', _EXEC, _STAGE_ROWS, 'id', {'instruction': 'after', 'code': 'after'})}, {X.values('r', _RES, _STAGE_RES, 'id', {'stdout': 'after'}, [e[0] for e in _STAGE_ROWS])}, e AS (SELECT *, {S.ERRORS} AS errors, {_DECISION} AS decision FROM x),
  j AS (SELECT e.id, errors, CASE WHEN len(errors) > 0 THEN 'malformed_record' WHEN decision = 'verify' THEN {_RUN_REASON} END AS reason, CASE WHEN len(errors) > 0 THEN NULL WHEN decision = 'verify' THEN CASE WHEN success THEN 'passed' ELSE 'failed' END ELSE 'not_required' END AS status FROM e LEFT JOIN r USING (id))
  SELECT id, reason, status, CASE WHEN reason = 'malformed_record' THEN array_to_string(errors, '; ') WHEN reason IS NOT NULL THEN 'verification failed' END AS detail FROM j""")
 def _(spark, d):
-    rows = C.typed(frame(spark, _EXEC, _STAGE_ROWS).withColumn("ord", F.substring("id", 2, 9).cast("long")))
-    return C.verify_stage(rows, frame(spark, _RES, _STAGE_RES)).select("id", "reason", "status", "detail")
+    rows = C.typed(X.rows(spark, d, _EXEC, _STAGE_ROWS, "id", {'instruction': 'after', 'code': 'after'}).withColumn("ord", _ord()))
+    return C.verify_stage(rows, X.rows(spark, d, _RES, _STAGE_RES, "id", {'stdout': 'after'}, [e[0] for e in _STAGE_ROWS])).select("id", "reason", "status", "detail")
 
 
 _CODE_LESS = "CASE WHEN coalesce(length(code), 0) = 0 THEN 'not_required' END"
 _STAGE_DIMS = S.score_dims(_CODE_LESS, code_col="code", files=_FILES, answer="expected_answer", command="coalesce(len(test_command), 0) > 0", unsafe=_UNSAFE_X, indicators=f"len({S.labels("coalesce(code, '')", R.SUSPICIOUS)})")
 
 
-@query("score_stage", f"WITH {S.values('x', _EXEC, _STAGE_ROWS)}, s AS (SELECT id, {S.score_total(_STAGE_DIMS)} AS total FROM x) SELECT id, total, total >= 30 AS passes FROM s")
+@query("score_stage", f"WITH {X.values('x', _EXEC, _STAGE_ROWS, 'id', {'instruction': 'after', 'code': 'after'})}, s AS (SELECT id, {S.score_total(_STAGE_DIMS)} AS total FROM x) SELECT id, total, total >= 30 AS passes FROM s")
 def _(spark, d):
-    rows = C.typed(frame(spark, _EXEC, _STAGE_ROWS).withColumn("ord", F.substring("id", 2, 9).cast("long")))
+    rows = C.typed(X.rows(spark, d, _EXEC, _STAGE_ROWS, "id", {'instruction': 'after', 'code': 'after'}).withColumn("ord", _ord()))
     return C.score_stage(rows).select("id", "total", "passes")
 
 
@@ -308,9 +314,9 @@ _SEED = {"ord": "BIGINT", "id": "VARCHAR", "instruction": "VARCHAR", "category":
 _SEED_ROWS = [(1, "s1", "add numbers", None, None, "def add(a, b): return a + b", "assert True", "a + b", "own note"), (2, None, "why is it so", "reasoning", "", None, None, "because", None)]
 
 
-@query("seed_rows", f"""WITH {S.values('s', _SEED, _SEED_ROWS)} SELECT ord, coalesce(id, 'seed-unknown') AS id, coalesce(category, 'coding') AS category, 'medium' AS difficulty, coalesce(language, 'python') AS language, 'human' AS source, coalesce(notes, 'a seed') AS notes,
+@query("seed_rows", f"""WITH {X.values('s', _SEED, _SEED_ROWS, 'ord', {'code': 'after', 'expected_answer': 'after', 'notes': 'after'})} SELECT ord, coalesce(id, 'seed-unknown') AS id, coalesce(category, 'coding') AS category, 'medium' AS difficulty, coalesce(language, 'python') AS language, 'human' AS source, coalesce(notes, 'a seed') AS notes,
  CASE WHEN test_code IS NOT NULL THEN 'main.py,test_main.py' END AS files, CASE WHEN test_code IS NOT NULL THEN 'python -m pytest -q' END AS command, CASE WHEN test_code IS NOT NULL THEN 'all tests pass' END AS expected FROM s""")
 def _(spark, d):
-    made = C.candidate_rows(frame(spark, _SEED, _SEED_ROWS), note="a seed")
+    made = C.candidate_rows(X.rows(spark, d, _SEED, _SEED_ROWS, "ord", {'code': 'after', 'expected_answer': 'after', 'notes': 'after'}), note="a seed")
     return made.select("ord", "id", "category", "difficulty", "language", F.col("source_type").alias("source"), F.col("metadata")["notes"].alias("notes"), F.array_join(F.array_sort(F.map_keys("files")), ",").alias("files"),
                        F.array_join("test_command", " ").alias("command"), F.get_json_object("tests_json", "$[0].expected").alias("expected"))

@@ -11,6 +11,7 @@ from ..operators import distill as D
 from ..operators import evaluation as E
 from ..operators import suite as U
 from ..operators.curation import fold_rows
+from . import dealt as X
 from . import sql as S
 from .curation_queries import frame, table
 
@@ -54,21 +55,21 @@ _RUN_ROWS = [(1, True, "sum 3\n", "", "3", False, None, 0), (2, True, "sum 4", "
              (6, False, "", " Trace\nlast line ", None, True, None, -1), (7, False, "out", "docker: x\nno image\n", None, False, "boom", 125), (8, False, "\n only out", "", None, False, None, 127)]
 
 
-@query("executable_grade", f"WITH {S.values('r', _RUNS, _RUN_ROWS)} SELECT id, coalesce(success, false) AND (expected IS NULL OR coalesce(contains(stdout, expected), false)) AS pass FROM r")
+@query("executable_grade", f"WITH {X.values('r', _RUNS, _RUN_ROWS, 'id', {'stdout': 'after', 'stderr': 'after'})} SELECT id, coalesce(success, false) AND (expected IS NULL OR coalesce(contains(stdout, expected), false)) AS pass FROM r")
 def _(spark, d):
-    return frame(spark, _RUNS, _RUN_ROWS).select("id", E.grade_executable(F.col("success"), F.col("stdout"), F.col("expected")).alias("pass"))
+    return X.rows(spark, d, _RUNS, _RUN_ROWS, "id", {'stdout': 'after', 'stderr': 'after'}).select("id", E.grade_executable(F.col("success"), F.col("stdout"), F.col("expected")).alias("pass"))
 
 
 _E, _O = S.strip("stderr"), S.strip("stdout")
 
 
-@query("format_failure", f"""WITH {S.values('r', _RUNS, _RUN_ROWS)}, p AS (SELECT *, concat_ws(chr(10) || chr(10), CASE WHEN timed_out THEN 'The run timed out before finishing.' END, CASE WHEN length(error) > 0 THEN 'Runner error: ' || error END,
+@query("format_failure", f"""WITH {X.values('r', _RUNS, _RUN_ROWS, 'id', {'stdout': 'after', 'stderr': 'after'})}, p AS (SELECT *, concat_ws(chr(10) || chr(10), CASE WHEN timed_out THEN 'The run timed out before finishing.' END, CASE WHEN length(error) > 0 THEN 'Runner error: ' || error END,
  CASE WHEN length({_E}) > 0 THEN 'STDERR:' || chr(10) || right({_E}, 4000) END, CASE WHEN length({_O}) > 0 THEN 'STDOUT:' || chr(10) || right({_O}, 4000) END) AS parts FROM r)
  SELECT id, CASE WHEN parts = '' THEN 'The run failed with exit code ' || coalesce(exit_code::VARCHAR, 'None') || '.' ELSE parts END AS evidence,
  CASE WHEN exit_code IN (125, 126, 127) THEN 'Sandbox could not start the container (docker exit ' || exit_code || '). ' || list_extract(string_split({S.strip("CASE WHEN length(stderr) > 0 THEN stderr ELSE stdout END")}, chr(10)), -1) END AS container FROM p""")
 def _(spark, d):
     c = F.col
-    return frame(spark, _RUNS, _RUN_ROWS).select("id", E.format_failure(c("timed_out"), c("error"), c("stderr"), c("stdout"), c("exit_code")).alias("evidence"), E.container_error(c("exit_code"), c("stderr"), c("stdout")).alias("container"))
+    return X.rows(spark, d, _RUNS, _RUN_ROWS, "id", {'stdout': 'after', 'stderr': 'after'}).select("id", E.format_failure(c("timed_out"), c("error"), c("stderr"), c("stdout"), c("exit_code")).alias("evidence"), E.container_error(c("exit_code"), c("stderr"), c("stdout")).alias("container"))
 
 
 _COUNTS = "count(*) AS total, count(*) FILTER (pass) AS passed, count(*) FILTER (NOT pass) AS failed, count(*) FILTER (pass IS NULL) AS unscored, count(*) FILTER (pass) / count(*) AS pass_rate FROM results"
@@ -157,18 +158,18 @@ _OUT_ROWS = [
 _LAST = S.strip(r"coalesce(list_extract(regexp_extract_all(x, '(?s)```(?:[a-zA-Z]+)?\s*\n?(.*?)```', 1), -1), x)")
 
 
-@query("extract_code", rf"""WITH {S.values('o', _OUT, _OUT_ROWS)}, t AS (SELECT oid, regexp_replace(output, '<\|start_of_thought\|>.*?<\|end_of_thought\|>', '', 'gs') AS x FROM o) SELECT oid, {_LAST} AS code FROM t""")
+@query("extract_code", rf"""WITH {X.values('o', _OUT, _OUT_ROWS, 'oid', {'output': 'after'})}, t AS (SELECT oid, regexp_replace(output, '<\|start_of_thought\|>.*?<\|end_of_thought\|>', '', 'gs') AS x FROM o) SELECT oid, {_LAST} AS code FROM t""")
 def _(spark, d):
-    return frame(spark, _OUT, _OUT_ROWS).select("oid", E.extract_code(F.col("output")).alias("code"))
+    return X.rows(spark, d, _OUT, _OUT_ROWS, "oid", {'output': 'after'}).select("oid", E.extract_code(F.col("output")).alias("code"))
 
 
 _MARK = r"</think(?:ing)?>|<\|end_of_thought\|>|<response>|<\|answer\|>|\n\s*response\b|\n<\|im_start\|>response"
 
 
-@query("clean_completion", rf"""WITH {S.values('o', _OUT, _OUT_ROWS)}, h AS (SELECT oid, output, regexp_matches(output, '<think(?:ing)?>|<\|start_of_thought\|>|\A\s+thinking\b') AS opened, regexp_replace(output, '\A\s*<\s*(?:think(?:ing)?|start_of_thought)/?\s*\n?', '') AS head FROM o)
+@query("clean_completion", rf"""WITH {X.values('o', _OUT, _OUT_ROWS, 'oid', {'output': 'after'})}, h AS (SELECT oid, output, regexp_matches(output, '<think(?:ing)?>|<\|start_of_thought\|>|\A\s+thinking\b') AS opened, regexp_replace(output, '\A\s*<\s*(?:think(?:ing)?|start_of_thought)/?\s*\n?', '') AS head FROM o)
  SELECT oid, CASE WHEN NOT opened THEN output WHEN regexp_matches(head, '{_MARK}') THEN {S.strip(rf"regexp_extract(head, '(?s)\A.*(?:{_MARK})(.*)\z', 1)")} ELSE '' END AS answer FROM h""")
 def _(spark, d):
-    return frame(spark, _OUT, _OUT_ROWS).select("oid", E.clean_completion(F.col("output")).alias("answer"))
+    return X.rows(spark, d, _OUT, _OUT_ROWS, "oid", {'output': 'after'}).select("oid", E.clean_completion(F.col("output")).alias("answer"))
 
 
 @query("token_usage", "SELECT conv_id, sum(CASE WHEN role <> 'assistant' THEN CASE WHEN length(text) = 0 THEN 0 ELSE greatest(1, length(text) // 4) END ELSE 0 END)::BIGINT AS prompt_tokens, sum(CASE WHEN role = 'assistant' THEN CASE WHEN length(text) = 0 THEN 0 ELSE greatest(1, length(text) // 4) END ELSE 0 END)::BIGINT AS completion_tokens FROM conversations GROUP BY conv_id")
@@ -177,18 +178,18 @@ def _(spark, d):
     return table(spark, d, "conversations").groupBy("conv_id").agg(F.sum(F.when(~own, n).otherwise(0)).alias("prompt_tokens"), F.sum(F.when(own, n).otherwise(0)).alias("completion_tokens"))
 
 
-@query("graded_runs", f"""WITH {S.values('r', _RUNS, _RUN_ROWS)}, g AS (SELECT *, error IS NULL AS ran, expected IS NULL OR coalesce(contains(stdout, expected), false) AS ok FROM r)
+@query("graded_runs", f"""WITH {X.values('r', _RUNS, _RUN_ROWS, 'id', {'stdout': 'after', 'stderr': 'after'})}, g AS (SELECT *, error IS NULL AS ran, expected IS NULL OR coalesce(contains(stdout, expected), false) AS ok FROM r)
  SELECT id, ran AND coalesce(success, false) AND ok AS pass, ran AS verified, CASE WHEN ran THEN ok END AS output_matched, CASE WHEN ran THEN right(coalesce(stdout, ''), 300) END AS stdout_tail, CASE WHEN ran THEN right(coalesce(stderr, ''), 300) END AS stderr_tail, 'sandbox unavailable: ' || error AS error FROM g""")
 def _(spark, d):
     c = F.col
-    g = frame(spark, _RUNS, _RUN_ROWS).select("id", E.grade_run(c("success"), c("exit_code"), c("timed_out"), c("stdout"), c("stderr"), c("expected"), c("error")).alias("g"))
+    g = X.rows(spark, d, _RUNS, _RUN_ROWS, "id", {'stdout': 'after', 'stderr': 'after'}).select("id", E.grade_run(c("success"), c("exit_code"), c("timed_out"), c("stdout"), c("stderr"), c("expected"), c("error")).alias("g"))
     return g.select("id", "g.pass", "g.verified", "g.output_matched", F.col("g.stdout_truncated").alias("stdout_tail"), F.col("g.stderr_truncated").alias("stderr_tail"), "g.error")
 
 
-@query("run_summary", f"""WITH {S.values('r', _RUNS, _RUN_ROWS)} SELECT id, CASE WHEN coalesce(success, false) THEN 'Verification passed.' ELSE 'Verification failed.' || chr(10) || 'Exit code: ' || coalesce(exit_code::VARCHAR, '-1') || chr(10) || 'STDOUT:' || chr(10) || coalesce(stdout, '') || chr(10) || 'STDERR:' || chr(10) || coalesce(stderr, '') END AS summary FROM r""")
+@query("run_summary", f"""WITH {X.values('r', _RUNS, _RUN_ROWS, 'id', {'stdout': 'after', 'stderr': 'after'})} SELECT id, CASE WHEN coalesce(success, false) THEN 'Verification passed.' ELSE 'Verification failed.' || chr(10) || 'Exit code: ' || coalesce(exit_code::VARCHAR, '-1') || chr(10) || 'STDOUT:' || chr(10) || coalesce(stdout, '') || chr(10) || 'STDERR:' || chr(10) || coalesce(stderr, '') END AS summary FROM r""")
 def _(spark, d):
     c = F.col
-    return frame(spark, _RUNS, _RUN_ROWS).select("id", E.run_summary(c("success"), c("exit_code"), c("stdout"), c("stderr")).alias("summary"))
+    return X.rows(spark, d, _RUNS, _RUN_ROWS, "id", {'stdout': 'after', 'stderr': 'after'}).select("id", E.run_summary(c("success"), c("exit_code"), c("stdout"), c("stderr")).alias("summary"))
 
 
 _REC = {"ord": "BIGINT", "id": "VARCHAR", "category": "VARCHAR", "difficulty": "VARCHAR", "language": "VARCHAR", "prompt": "VARCHAR", "files": "MAP(VARCHAR, VARCHAR)", "command": "VARCHAR[]", "code": "VARCHAR"}
@@ -200,32 +201,32 @@ _EXP = {"id": "VARCHAR", "expected_output": "VARCHAR"}
 _EXP_ROWS = [("r2", "5"), ("zz", "6")]
 _BASE = {"ord": "BIGINT", "id": "VARCHAR", "category": "VARCHAR", "difficulty": "VARCHAR", "prompt": "VARCHAR", "rubric": "VARCHAR[]", "rubric_min": "INTEGER", "source": "VARCHAR"}
 _BASE_ROWS = [(1, "b1", "reasoning", "easy", "explain a", ["a"], 1, "baseline"), (2, "b2", "coding", "medium", "explain b", ["b", "c"], None, "baseline")]
-_SUITE = f"""WITH {S.values('rec', _REC, _REC_ROWS)}, {S.values('rub', _RUB, _RUB_ROWS)}, {S.values('exp', _EXP, _EXP_ROWS)}, {S.values('base', _BASE, _BASE_ROWS)},
+_SUITE = f"""WITH {X.values('rec', _REC, _REC_ROWS, 'id', {'prompt': 'after', 'ord': 'number'})}, {S.values('rub', _RUB, _RUB_ROWS)}, {S.values('exp', _EXP, _EXP_ROWS)}, {X.values('base', _BASE, _BASE_ROWS, 'id', {'prompt': 'after', 'ord': 'number'})},
  v AS (SELECT 1 AS part, ord, id, category, nullif(language, '') AS language, 'verified' AS source, prompt, rubric, rubric_min, coalesce(cardinality(files), 0) > 0 AS run, CASE WHEN language = 'python' THEN 'main.py' ELSE 'math.ts' END AS main, files, command, expected_output, language AS raw FROM rec LEFT JOIN rub USING (id) LEFT JOIN exp USING (id)),
  suite AS (SELECT 0 AS part, ord, id, category, NULL AS language, source, prompt, rubric, rubric_min, false AS run, NULL AS main, NULL::MAP(VARCHAR, VARCHAR) AS files, NULL::VARCHAR[] AS command, NULL AS expected_output, NULL AS raw FROM base UNION ALL SELECT * FROM v)"""
 
 
-def _suite(spark):
-    base = frame(spark, _BASE, _BASE_ROWS)
-    return U.assemble(base, U.verified_tasks(frame(spark, _REC, _REC_ROWS), frame(spark, _RUB, _RUB_ROWS), frame(spark, _EXP, _EXP_ROWS)))
+def _suite(spark, d):
+    base = X.rows(spark, d, _BASE, _BASE_ROWS, 'id', {'prompt': 'after', 'ord': 'number'})
+    return U.assemble(base, U.verified_tasks(X.rows(spark, d, _REC, _REC_ROWS, 'id', {'prompt': 'after', 'ord': 'number'}), frame(spark, _RUB, _RUB_ROWS), frame(spark, _EXP, _EXP_ROWS)))
 
 
 @query("suite_tasks", f"""{_SUITE} SELECT part, ord, id, category, language, source, array_to_string(rubric, ',') AS rubric, rubric_min::BIGINT AS rubric_min, CASE WHEN run THEN main END AS main_file, CASE WHEN run THEN array_to_string(list_sort(list_filter(map_keys(files), lambda k: k <> main)), ',') END AS other_files,
  CASE WHEN run THEN array_to_string(CASE WHEN len(command) > 0 THEN command ELSE ['python', '-m', 'pytest', '-q'] END, ' ') END AS command, CASE WHEN run THEN expected_output END AS expected, CASE WHEN run THEN raw = 'typescript' END AS has_contract FROM suite""")
 def _(spark, d):
     g = F.col("grading")
-    return _suite(spark).select(F.col("part").cast("long").alias("part"), "ord", "id", "category", "language", "source", F.array_join("rubric", ",").alias("rubric"), F.col("rubric_min").cast("long").alias("rubric_min"), g["main_file"].alias("main_file"),
+    return _suite(spark, d).select(F.col("part").cast("long").alias("part"), "ord", "id", "category", "language", "source", F.array_join("rubric", ",").alias("rubric"), F.col("rubric_min").cast("long").alias("rubric_min"), g["main_file"].alias("main_file"),
                                 F.array_join(F.array_sort(F.map_keys(g["other_files"])), ",").alias("other_files"), F.array_join(g["command"], " ").alias("command"), g["expected_output"].alias("expected"), F.when(g.isNotNull(), g["contract"].isNotNull()).alias("has_contract"))
 
 
 @query("suite_filter", f"{_SUITE} SELECT id FROM (SELECT * FROM suite WHERE category IN ('coding', 'reasoning') ORDER BY part, ord LIMIT 3)")
 def _(spark, d):
-    return U.select_tasks(_suite(spark), categories="coding, reasoning,", limit=3).select("id")
+    return U.select_tasks(_suite(spark, d), categories="coding, reasoning,", limit=3).select("id")
 
 
 @query("suite_prompts", f"""{_SUITE} SELECT id, prompt || CASE WHEN run THEN CASE WHEN raw = 'typescript' THEN chr(10) || chr(10) || {S.q(R.CONTRACTS['typescript'])} ELSE '' END || {S.q(R.CODE_ONLY)} ELSE '' END AS prompt FROM suite""")
 def _(spark, d):
-    return _suite(spark).select("id", U.task_prompt(F.col("prompt"), F.col("grading")).alias("prompt"))
+    return _suite(spark, d).select("id", U.task_prompt(F.col("prompt"), F.col("grading")).alias("prompt"))
 
 
 #: Events as samples of tasks, with outputs that are sometimes nothing but thoughts.

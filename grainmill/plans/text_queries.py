@@ -12,6 +12,7 @@ from ..operators import policy as P
 from ..operators import prompts as N
 from ..operators import repository as Y
 from ..operators import web as W
+from . import dealt as X
 from . import sql as S
 from .curation_queries import frame, table
 
@@ -134,24 +135,26 @@ _CALL_ROWS = [
     ("a", 4, '<tool_call>{"name": "read", "arguments": {"path": "c"}}</tool_call>', True), ("b", 1, '<tool_call>{"name": "list"}</tool_call>', False), ("b", 2, '<tool_call>{"name": "list"', None), ("b", 3, "no call", None), ("b", 4, "<tool_call>not json</tool_call>", None),
     ("b", 5, '<tool_call>{"name": 5, "arguments": {}}</tool_call>', None), ("b", 6, '<tool_call>{"name": "x", "arguments": [1]}</tool_call>', None), ("b", 7, '</tool_call> <tool_call>{"name": "x"}', None), ("b", 8, '<tool_call>[1]</tool_call>', None),
 ]
-_PARSED = f"""WITH {S.values('c', _CALL, _CALL_ROWS)}, s AS (SELECT *, instr(text, '<tool_call>') AS a, instr(text, '</tool_call>') AS b FROM c), p AS (SELECT *, CASE WHEN a > 0 AND b > a THEN trim(substr(text, a + 11, b - a - 11)) END AS payload FROM s),
+#: Documents take the steps in turn, in both sessions.
+_CALL_SLOTS = list(range(1, 9))
+_PARSED = f"""WITH {X.values('c', _CALL, _CALL_ROWS, 'step', {'text': 'after', 'session': 'family'}, _CALL_SLOTS)}, s AS (SELECT *, instr(text, '<tool_call>') AS a, instr(text, '</tool_call>') AS b FROM c), p AS (SELECT *, CASE WHEN a > 0 AND b > a THEN trim(substr(text, a + 11, b - a - 11)) END AS payload FROM s),
  j AS (SELECT *, CASE WHEN json_valid(payload) THEN payload::JSON END AS v FROM p), k AS (SELECT *, json_type(v) = 'OBJECT' AND json_type(v, '$.name') = 'VARCHAR' AND coalesce(json_type(v, '$.arguments'), 'OBJECT') = 'OBJECT' AS good FROM j),
  f AS (SELECT session, step, ok, a > 0 AND b < a AS cut_off, CASE WHEN good THEN json_extract_string(v, '$.name') END AS name, CASE WHEN good THEN coalesce('{{' || (SELECT string_agg('"' || k || '":' || json_extract(v, '$.arguments.' || k), ',' ORDER BY k) FROM (SELECT unnest(json_keys(v, '$.arguments')) AS k)) || '}}', '{{}}') END AS arguments FROM k)"""
 
 
-def _calls(spark):
-    parsed = frame(spark, _CALL, _CALL_ROWS).withColumn("c", V.tool_call(F.col("text")))
+def _calls(spark, d):
+    parsed = X.rows(spark, d, _CALL, _CALL_ROWS, 'step', {'text': 'after', 'session': 'family'}, _CALL_SLOTS).withColumn("c", V.tool_call(F.col("text")))
     return parsed.select("session", "step", "ok", V.partial_tool_call(F.col("text")).alias("cut_off"), "c.name", "c.arguments")
 
 
 @query("tool_call_parse", f"{_PARSED} SELECT session, step, cut_off, name, arguments FROM f")
 def _(spark, d):
-    return _calls(spark).drop("ok")
+    return _calls(spark, d).drop("ok")
 
 
 @query("repeat_call_flag", f"{_PARSED} SELECT session, step, coalesce(lag(name) OVER w = name AND lag(arguments) OVER w = arguments AND NOT lag(ok) OVER w, false) AS repeated FROM f WINDOW w AS (PARTITION BY session ORDER BY step)")
 def _(spark, d):
-    return V.repeated_failing_calls(_calls(spark)).select("session", "step", "repeated")
+    return V.repeated_failing_calls(_calls(spark, d)).select("session", "step", "repeated")
 
 
 _FLOW = {"session": "VARCHAR", "step": "BIGINT", "name": "VARCHAR", "arguments": "VARCHAR", "ok": "BOOLEAN"}
@@ -167,13 +170,13 @@ def _(spark, d):
 
 _DELTA = {"eid": "BIGINT", "text": "VARCHAR", "role": "VARCHAR", "finish": "BOOLEAN"}
 _DELTA_ROWS = [(1, "", "assistant", False), (2, "hé\n", None, False), (3, "", None, True)]
-_DELTA_WANT = [(k, f'data: {{"id":"c{k}","object":"chat.completion.chunk","created":7,"model":"m","choices":[{{"index":0,"delta":{d},"finish_reason":{f}}}]}}\n\n') for k, d, f in ((1, '{"role":"assistant"}', "null"), (2, '{"content":"hé\\n"}', "null"), (3, "{}", '"stop"'))]
+_DELTA_PARTS = "concat_ws(',', CASE WHEN role <> '' THEN '\"role\":' || to_json(role)::VARCHAR END, CASE WHEN text <> '' THEN '\"content\":' || to_json(text)::VARCHAR END)"
 
 
-@query("server_delta", f"WITH {S.values('w', {'eid': 'BIGINT', 'event': 'VARCHAR'}, _DELTA_WANT)} SELECT * FROM w")
+@query("server_delta", f"""WITH {X.values('t', _DELTA, _DELTA_ROWS, 'eid', {'text': 'after'})} SELECT eid, 'data: {{"id":"c' || eid || '","object":"chat.completion.chunk","created":7,"model":"m","choices":[{{"index":0,"delta":{{' || {_DELTA_PARTS} || '}},"finish_reason":' || CASE WHEN finish THEN '"stop"' ELSE 'null' END || '}}]}}' || chr(10) || chr(10) AS event FROM t""")
 def _(spark, d):
     c = F.col
-    return frame(spark, _DELTA, _DELTA_ROWS).select("eid", V.server_delta(F.concat(F.lit("c"), c("eid").cast("string")), F.lit(7), F.lit("m"), c("text"), c("role"), c("finish")).alias("event"))
+    return X.rows(spark, d, _DELTA, _DELTA_ROWS, "eid", {"text": "after"}).select("eid", V.server_delta(F.concat(F.lit("c"), c("eid").cast("string")), F.lit(7), F.lit("m"), c("text"), c("role"), c("finish")).alias("event"))
 
 
 _NOTES = N.Notes(domains={"general": "any", "web": "web notes", "game": "game notes", "graphics3d": "3d notes"}, categories={"debugging": "find it", "security": "guard it", "agentic": "loop", "software_engineering": "structure", "reasoning": "prove", "general_chat": "chat"}, shapes={"game": "a loop"}, steps="Now write the code.", review="Review it.")
@@ -192,9 +195,9 @@ _ARG = {"tool": "VARCHAR", "given": "VARCHAR[]", "accepted": "VARCHAR[]", "requi
 _ARG_ROWS = [("read", ["path", "mode"], ["path", "limit"], ["path"]), ("write", ["text"], ["path", "text"], ["path", "text"]), ("list", [], ["root"], [])]
 
 
-@query("argument_check", f"WITH {S.values('t', _ARG, _ARG_ROWS)} SELECT tool, array_to_string(list_sort(list_filter(given, lambda g: NOT list_contains(accepted, g))), ',') AS unknown, array_to_string(list_sort(list_filter(required, lambda g: NOT list_contains(given, g))), ',') AS missing FROM t")
+@query("argument_check", f"WITH {X.values('t', _ARG, _ARG_ROWS, 'tool', {'given': 'word'})} SELECT tool, array_to_string(list_sort(list_filter(given, lambda g: NOT list_contains(accepted, g))), ',') AS unknown, array_to_string(list_sort(list_filter(required, lambda g: NOT list_contains(given, g))), ',') AS missing FROM t")
 def _(spark, d):
-    e = frame(spark, _ARG, _ARG_ROWS).select("tool", V.argument_errors(F.col("given"), F.col("accepted"), F.col("required")).alias("e"))
+    e = X.rows(spark, d, _ARG, _ARG_ROWS, "tool", {'given': 'word'}).select("tool", V.argument_errors(F.col("given"), F.col("accepted"), F.col("required")).alias("e"))
     return e.select("tool", F.array_join("e.unknown", ",").alias("unknown"), F.array_join("e.missing", ",").alias("missing"))
 
 
@@ -232,9 +235,9 @@ _PAIR = {"sid": "BIGINT", "titles": "VARCHAR[]", "urls": "VARCHAR[]"}
 _PAIR_ROWS = [(1, ["a", "b"], ["u"]), (2, ["c"], ["v", "w"]), (3, [], ["x"])]
 
 
-@query("paired_results", f"WITH {S.values('p', _PAIR, _PAIR_ROWS)} SELECT sid, unnest(titles[1:least(len(titles), len(urls))]) AS title, unnest(urls[1:least(len(titles), len(urls))]) AS url FROM p")
+@query("paired_results", f"WITH {X.values('p', _PAIR, _PAIR_ROWS, 'sid', {'titles': 'word', 'urls': 'word'})} SELECT sid, unnest(titles[1:least(len(titles), len(urls))]) AS title, unnest(urls[1:least(len(titles), len(urls))]) AS url FROM p")
 def _(spark, d):
-    return frame(spark, _PAIR, _PAIR_ROWS).select("sid", F.explode(W.paired_results(F.col("titles"), F.col("urls"))).alias("r")).select("sid", "r.title", "r.url")
+    return X.rows(spark, d, _PAIR, _PAIR_ROWS, "sid", {'titles': 'word', 'urls': 'word'}).select("sid", F.explode(W.paired_results(F.col("titles"), F.col("urls"))).alias("r")).select("sid", "r.title", "r.url")
 
 
 _TERMS = sorted({"the", "license", "version"})
@@ -298,29 +301,29 @@ _REV = {"rid": "BIGINT", "files": "MAP(VARCHAR, VARCHAR)", "rewrite": "VARCHAR[]
 _REV_ROWS = [(1, {"b.py": "bbbb", "a.py": "aaaaaa"}, ["b.py", "zz.py"], ["a.py", "b.py"]), (2, {"a.py": "x", "b.py": "y", "c.py": "z", "d.py": "w"}, ["d.py"], ["c.py", "b.py", "a.py"]), (3, {"a.py": ""}, [], ["q"]), (4, {"a.py": "k"}, None, None)]
 
 
-@query("review_targets", f"""WITH {S.values('r', _REV, _REV_ROWS)}, n AS (SELECT rid, unnest(list_concat(coalesce(rewrite, []), coalesce(named, []))) AS path, unnest(range(len(list_concat(coalesce(rewrite, []), coalesce(named, []))))) AS i FROM r), f AS (SELECT rid, unnest(map_keys(files)) AS path FROM r),
+@query("review_targets", f"""WITH {X.values('r', _REV, _REV_ROWS, 'rid', {'files': 'files'})}, n AS (SELECT rid, unnest(list_concat(coalesce(rewrite, []), coalesce(named, []))) AS path, unnest(range(len(list_concat(coalesce(rewrite, []), coalesce(named, []))))) AS i FROM r), f AS (SELECT rid, unnest(map_keys(files)) AS path FROM r),
  o AS (SELECT rid, path, min(i) AS i FROM n SEMI JOIN f USING (rid, path) GROUP BY ALL) SELECT rid, row_number() OVER (PARTITION BY rid ORDER BY i) AS place, path, CASE WHEN path IN (SELECT unnest(named) FROM r WHERE r.rid = o.rid) THEN '- bad ' || path || ' → mend' ELSE '- the previous attempt was incomplete' END AS notes FROM o QUALIFY place <= 3""")
 def _(spark, d):
     issues = F.transform("named", lambda p: F.struct(p.alias("path"), F.concat(F.lit("bad "), p).alias("problem"), F.lit("mend").alias("fix")))
-    r = frame(spark, _REV, _REV_ROWS).withColumn("issues", issues)
+    r = X.rows(spark, d, _REV, _REV_ROWS, "rid", {'files': 'files'}).withColumn("issues", issues)
     placed = r.select("rid", "issues", F.posexplode(G.review_targets(F.col("files"), F.col("rewrite"), F.col("issues"))).alias("at", "path"))
     return placed.select("rid", (F.col("at") + 1).cast("long").alias("place"), "path", G.review_notes(F.col("issues"), F.col("path")).alias("notes"))
 
 
-@query("review_body", f"WITH {S.values('r', _REV, _REV_ROWS)}, e AS (SELECT rid, cardinality(files) AS n, unnest(map_keys(files)) AS path, unnest(map_values(files)) AS code FROM r) SELECT rid, string_agg('--- ' || path || ' ---' || chr(10) || left(code, (10 // n)::BIGINT), chr(10) || chr(10) ORDER BY path) AS body FROM e GROUP BY rid")
+@query("review_body", f"WITH {X.values('r', _REV, _REV_ROWS, 'rid', {'files': 'files'})}, e AS (SELECT rid, cardinality(files) AS n, unnest(map_keys(files)) AS path, unnest(map_values(files)) AS code FROM r) SELECT rid, string_agg('--- ' || path || ' ---' || chr(10) || left(code, (10 // n)::BIGINT), chr(10) || chr(10) ORDER BY path) AS body FROM e GROUP BY rid")
 def _(spark, d):
-    return frame(spark, _REV, _REV_ROWS).select("rid", G.review_body(F.col("files"), 10).alias("body"))
+    return X.rows(spark, d, _REV, _REV_ROWS, "rid", {'files': 'files'}).select("rid", G.review_body(F.col("files"), 10).alias("body"))
 
 
 _PATHS = {"pid": "BIGINT", "path": "VARCHAR"}
 _PATH_ROWS = [(i, p) for i, p in enumerate(("src/a.py", "./x/./y.ts", "/etc/passwd", "../up.py", "`q.md`", "a\\b.JSON", "Dockerfile", ".gitignore", "bin/run", "", "a//b.css", "x/../y.py"))]
 
 
-@query("normalize_path", f"""WITH {S.values('p', _PATHS, _PATH_ROWS)}, c AS (SELECT pid, regexp_replace(regexp_replace(replace(regexp_replace(trim(path), '^[`"'']+|[`"'']+$', '', 'g'), chr(92), '/'), '^(\\./)+', ''), '^/+', '') AS x FROM p),
+@query("normalize_path", f"""WITH {X.values('p', _PATHS, _PATH_ROWS, 'pid', {'path': 'suffix'})}, c AS (SELECT pid, regexp_replace(regexp_replace(replace(regexp_replace(trim(path), '^[`"'']+|[`"'']+$', '', 'g'), chr(92), '/'), '^(\\./)+', ''), '^/+', '') AS x FROM p),
  s AS (SELECT pid, list_filter(string_split(x, '/'), lambda t: t NOT IN ('', '.')) AS parts FROM c), n AS (SELECT pid, parts, lower(parts[-1]) AS name FROM s)
  SELECT pid, CASE WHEN len(parts) > 0 AND NOT list_contains(parts, '..') AND (regexp_extract(name, '^.+(\\.[^.]+)$', 1) IN {S.listed(R.WRITABLE)} OR name IN {S.listed(R.WRITABLE_NAMES)}) THEN array_to_string(parts, '/') END AS clean FROM n""")
 def _(spark, d):
-    return frame(spark, _PATHS, _PATH_ROWS).select("pid", G.normalize_path(F.col("path")).alias("clean"))
+    return X.rows(spark, d, _PATHS, _PATH_ROWS, "pid", {'path': 'suffix'}).select("pid", G.normalize_path(F.col("path")).alias("clean"))
 
 
 _GEN = {"gid": "BIGINT", "text": "VARCHAR"}
@@ -328,10 +331,10 @@ _GEN_ROWS = [(1, "main.py:\n\nprint('x')\n"), (2, "```python\nsrc/app.ts\nexport
 _STRIPPED = r"regexp_replace(coalesce(list_extract(regexp_extract_all(text, '(?s)```[a-zA-Z0-9_+-]*\s*\n(.*?)```', 1), -1), text), '^\n+|\n+$', '', 'g')"
 
 
-@query("clean_file_output", rf"""WITH {S.values('g', _GEN, _GEN_ROWS)}, c AS (SELECT gid, {_STRIPPED} AS content FROM g), r AS (SELECT gid, content, regexp_replace(string_split(content, chr(10))[1], '^[\s`*_]+|[\s`*_]+$', '', 'g') AS head, regexp_replace(regexp_extract(content, '(?s)^[^\n]*\n(.*)$', 1), '^\n+', '') AS rest FROM c)
+@query("clean_file_output", rf"""WITH {X.values('g', _GEN, _GEN_ROWS, 'gid', {'text': 'after'})}, c AS (SELECT gid, {_STRIPPED} AS content FROM g), r AS (SELECT gid, content, regexp_replace(string_split(content, chr(10))[1], '^[\s`*_]+|[\s`*_]+$', '', 'g') AS head, regexp_replace(regexp_extract(content, '(?s)^[^\n]*\n(.*)$', 1), '^\n+', '') AS rest FROM c)
  SELECT gid, CASE WHEN regexp_matches(head, '^[\w./-]+\.(?:[a-zA-Z0-9]{{1,8}})(?::)?$') AND length(trim(rest)) > 0 THEN rest ELSE content END AS content FROM r""")
 def _(spark, d):
-    return frame(spark, _GEN, _GEN_ROWS).select("gid", G.clean_file_output(F.col("text")).alias("content"))
+    return X.rows(spark, d, _GEN, _GEN_ROWS, "gid", {'text': 'after'}).select("gid", G.clean_file_output(F.col("text")).alias("content"))
 
 
 def _snapshot(spark, d, new: bool = False):
@@ -369,26 +372,26 @@ def _(spark, d):
     return Y.search_lines(files, r"^(Licensed|Released) .*\b(MIT|Apache)\b").select("path", "line", F.sha2("text", 256).alias("line_sha"))
 
 
-@query("code_search_definitions", rf"WITH {S.values('f', _FILE, _FILE_ROWS)}, l AS (SELECT path, unnest(string_split(code, chr(10))) AS text, unnest(range(1, len(string_split(code, chr(10))) + 1)) AS line FROM f) SELECT path, line, text FROM l WHERE regexp_matches(text, '^(class |def |async def )[A-Za-z_].*x') AND regexp_matches(path, '(\.py|\.pyi)$')")
+@query("code_search_definitions", rf"WITH {X.values('f', _FILE, _FILE_ROWS, 'path', {'code': 'after'})}, l AS (SELECT path, unnest(string_split(code, chr(10))) AS text, unnest(range(1, len(string_split(code, chr(10))) + 1)) AS line FROM f) SELECT path, line, text FROM l WHERE regexp_matches(text, '^(class |def |async def )[A-Za-z_].*x') AND regexp_matches(path, '(\.py|\.pyi)$')")
 def _(spark, d):
-    files = frame(spark, _FILE, _FILE_ROWS).withColumnRenamed("code", "text")
+    files = X.rows(spark, d, _FILE, _FILE_ROWS, "path", {"code": "after"}).withColumnRenamed("code", "text")
     return Y.search_lines(files, "x", "Python", definitions=True)
 
 
 _TREE = {"path": "VARCHAR", "text": "VARCHAR"}
 _TREE_ROWS = [("src/a.go", "x\nneedle one\n"), ("node_modules/b.go", "needle two"), ("src/c.py", "needle three"), ("dist/x/d.go", "needle"), ("build.go", "a needle\nneedle"), ("e.go", "no\0needle"), ("README.md", "hello needle")]
-_FOUND = f"""WITH {S.values('t', _TREE, _TREE_ROWS)}, l AS (SELECT path, unnest(string_split(text, chr(10))) AS text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line FROM t WHERE NOT contains(text, chr(0)) AND NOT regexp_matches(path, '(^|/)(node_modules|dist)/')),
+_FOUND = f"""WITH {X.values('t', _TREE, _TREE_ROWS, 'path', {'text': 'after'})}, l AS (SELECT path, unnest(string_split(text, chr(10))) AS text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line FROM t WHERE NOT contains(text, chr(0)) AND NOT regexp_matches(path, '(^|/)(node_modules|dist)/')),
  m AS (SELECT * FROM l WHERE contains(text, 'needle'))"""
 
 
-@query("code_search_output", f"{_FOUND} SELECT string_agg('./' || path || ':' || line || ':' || text || chr(10), '' ORDER BY path, line) AS matches, 0::BIGINT AS exit_code FROM m WHERE path LIKE '%.go'")
+@query("code_search_output", f"{_FOUND} SELECT right(string_agg('./' || path || ':' || line || ':' || text || chr(10), '' ORDER BY path, line), {R.SEARCH_TAIL}) AS matches, 0::BIGINT AS exit_code FROM m WHERE path LIKE '%.go'")
 def _(spark, d):
-    return Y.search_output(Y.search_lines(frame(spark, _TREE, _TREE_ROWS), "needle", "go")).select("matches", F.col("exit_code").cast("long").alias("exit_code"))
+    return Y.search_output(Y.search_lines(X.rows(spark, d, _TREE, _TREE_ROWS, 'path', {'text': 'after'}), "needle", "go")).select("matches", F.col("exit_code").cast("long").alias("exit_code"))
 
 
-@query("project_files", f"WITH {S.values('t', _TREE, _TREE_ROWS)} SELECT 'list' AS what, path, NULL AS text FROM t WHERE path LIKE 'src/%' UNION ALL SELECT 'read', path, text FROM t WHERE path = 'src/c.py' UNION ALL SELECT 'readme', path, '# PROJECT README (' || path || ')' || chr(10) || text FROM t WHERE path = 'README.md'")
+@query("project_files", f"WITH {X.values('t', _TREE, _TREE_ROWS, 'path', {'text': 'after'})} SELECT 'list' AS what, path, NULL AS text FROM t WHERE path LIKE 'src/%' UNION ALL SELECT 'read', path, text FROM t WHERE path = 'src/c.py' UNION ALL SELECT 'readme', path, '# PROJECT README (' || path || ')' || chr(10) || text FROM t WHERE path = 'README.md'")
 def _(spark, d):
-    files = frame(spark, _TREE, _TREE_ROWS)
+    files = X.rows(spark, d, _TREE, _TREE_ROWS, 'path', {'text': 'after'})
     listed = Y.list_files(files, "./src").select(F.lit("list").alias("what"), "path", F.lit(None).cast("string").alias("text"))
     return listed.union(Y.read_file(files, "src/./c.py").select(F.lit("read"), "path", "text")).union(Y.read_readme(files).select(F.lit("readme"), "path", "shown"))
 
@@ -402,22 +405,22 @@ _TOKEN = f"""CASE WHEN starts_with(t, '/') THEN 'Command argument must not be an
  WHEN length(translate(t, {S.q(R.FORBIDDEN_CHARS)}, '')) < length(t) THEN 'Command argument contains forbidden characters: ''' || t || '''' WHEN NOT regexp_matches(t, CASE WHEN starts_with(t, '-') THEN '^[A-Za-z0-9_.@=:-]*$' ELSE '^[A-Za-z0-9_.@-]*$' END) THEN 'Command argument is not a plain safe token for language ''' || language || ''': ''' || t || '''' END"""
 
 
-@query("command_policy", f"""WITH {S.values('c', _CMD, _CMD_ROWS)}, t AS (SELECT cid, language, unnest(command[2:]) AS t, unnest(range(len(command[2:]))) AS i FROM c WHERE len(command) > 1), e AS (SELECT cid, arg_min({_TOKEN}, i) FILTER ({_TOKEN} IS NOT NULL) AS error FROM t GROUP BY cid)
+@query("command_policy", f"""WITH {X.values('c', _CMD, _CMD_ROWS, 'cid', {'command': 'word'})}, t AS (SELECT cid, language, unnest(command[2:]) AS t, unnest(range(len(command[2:]))) AS i FROM c WHERE len(command) > 1), e AS (SELECT cid, arg_min({_TOKEN}, i) FILTER ({_TOKEN} IS NOT NULL) AS error FROM t GROUP BY cid)
  SELECT cid, CASE WHEN coalesce(len(command), 0) = 0 THEN 'Command must be a non-empty list of arguments' WHEN len(list_filter(command, lambda x: trim(x) = '')) > 0 THEN 'Command arguments must be non-empty strings' WHEN {_ALLOWED} IS NULL THEN 'Unsupported language: ' || language
  WHEN NOT list_contains({_ALLOWED}, command[1]) THEN 'Command ''' || command[1] || ''' is not allowed for language ''' || language || '''. Allowed: ' || {_NAMED} ELSE error END AS error FROM c LEFT JOIN e USING (cid)""")
 def _(spark, d):
-    return frame(spark, _CMD, _CMD_ROWS).select("cid", P.command_error(F.col("language"), F.col("command")).alias("error"))
+    return X.rows(spark, d, _CMD, _CMD_ROWS, "cid", {'command': 'word'}).select("cid", P.command_error(F.col("language"), F.col("command")).alias("error"))
 
 
 _PAY = {"pid": "BIGINT", "language": "VARCHAR", "files": "MAP(VARCHAR, VARCHAR)", "command": "VARCHAR[]", "seconds": "INTEGER"}
 _PAY_ROWS = [(1, "python", {"main.py": "x"}, ["python"], 5), (2, "ruby", {"a": "b"}, ["ruby"], None), (3, "node", {}, ["node"], 0), (4, "node", {"/a.js": ""}, ["node"], 500), (5, "node", {"x/../a.js": ""}, ["node"], -1), (6, "node", {" ": ""}, ["node"], 120), (7, "node", {"a.js": ""}, [], 1)]
 
 
-@query("payload_policy", f"""WITH {S.values('p', _PAY, _PAY_ROWS)}, k AS (SELECT *, map_keys(files) AS names, list_filter(map_keys(files), lambda n: starts_with(n, '/') OR list_contains(string_split(n, '/'), '..')) AS illegal FROM p)
+@query("payload_policy", f"""WITH {X.values('p', _PAY, _PAY_ROWS, 'pid', {'files': 'files', 'command': 'word'})}, k AS (SELECT *, map_keys(files) AS names, list_filter(map_keys(files), lambda n: starts_with(n, '/') OR list_contains(string_split(n, '/'), '..')) AS illegal FROM p)
  SELECT pid, CASE WHEN language NOT IN {S.listed(R.LANGUAGES)} THEN 'Unsupported language: ' || language WHEN len(names) = 0 THEN 'Payload requires a non-empty ''files'' object' WHEN len(list_filter(names, lambda n: trim(n) = '')) > 0 THEN 'File names must be non-empty strings' WHEN len(illegal) > 0 THEN 'Illegal file name: ' || illegal[1]
  WHEN len(command) = 0 THEN 'Payload requires a non-empty ''command'' list' END AS error, CASE WHEN coalesce(seconds, 20) >= 1 THEN least(coalesce(seconds, 20), 120)::BIGINT END AS seconds FROM k""")
 def _(spark, d):
-    return frame(spark, _PAY, _PAY_ROWS).select("pid", P.payload_error(F.col("language"), F.col("files"), F.col("command")).alias("error"), P.time_limit(F.col("seconds")).cast("long").alias("seconds"))
+    return X.rows(spark, d, _PAY, _PAY_ROWS, "pid", {'files': 'files', 'command': 'word'}).select("pid", P.payload_error(F.col("language"), F.col("files"), F.col("command")).alias("error"), P.time_limit(F.col("seconds")).cast("long").alias("seconds"))
 
 
 _SH = {"sid": "BIGINT", "line": "VARCHAR"}
@@ -441,34 +444,34 @@ _TOOL = {"tid": "BIGINT", "language": "VARCHAR", "command": "VARCHAR[]", "second
 _TOOL_ROWS = [(1, "python", None, 5), (2, "node", None, 118), (3, "typescript", None, 20), (4, "python", ["pytest"], 120), (5, "ruby", ["ruby", "x"], 1)]
 
 
-@query("tool_command", f"WITH {S.values('t', _TOOL, _TOOL_ROWS)} SELECT tid, array_to_string(coalesce(command, CASE language WHEN 'python' THEN ['python', '-m', 'pytest', '-q'] WHEN 'node' THEN ['node', 'index.js'] WHEN 'typescript' THEN ['tsx', 'index.ts'] END), ' ') AS command, least(seconds + 5, 120)::BIGINT AS host_limit FROM t")
+@query("tool_command", f"WITH {X.values('t', _TOOL, _TOOL_ROWS, 'tid', {'command': 'word'})} SELECT tid, array_to_string(coalesce(command, CASE language WHEN 'python' THEN ['python', '-m', 'pytest', '-q'] WHEN 'node' THEN ['node', 'index.js'] WHEN 'typescript' THEN ['tsx', 'index.ts'] END), ' ') AS command, least(seconds + 5, 120)::BIGINT AS host_limit FROM t")
 def _(spark, d):
-    return frame(spark, _TOOL, _TOOL_ROWS).select("tid", F.array_join(P.tool_command(F.col("language"), F.col("command")), " ").alias("command"), P.host_limit(F.col("seconds")).cast("long").alias("host_limit"))
+    return X.rows(spark, d, _TOOL, _TOOL_ROWS, "tid", {'command': 'word'}).select("tid", F.array_join(P.tool_command(F.col("language"), F.col("command")), " ").alias("command"), P.host_limit(F.col("seconds")).cast("long").alias("host_limit"))
 
 
 _BLOCK = r"```([a-zA-Z0-9_]+)?\s*\n(.*?)```"
 
 
-@query("large_code_block", rf"WITH {S.values('g', _GEN, _GEN_ROWS)}, b AS (SELECT gid, unnest(regexp_extract_all(text, '(?s){_BLOCK}', 1)) AS lang, unnest(regexp_extract_all(text, '(?s){_BLOCK}', 2)) AS code, unnest(range(len(regexp_extract_all(text, '(?s){_BLOCK}', 1)))) AS i FROM g) SELECT gid, coalesce(lang, '') AS lang, code FROM b WHERE length(code) >= 2 QUALIFY row_number() OVER (PARTITION BY gid ORDER BY i DESC) = 1")
+@query("large_code_block", rf"WITH {X.values('g', _GEN, _GEN_ROWS, 'gid', {'text': 'after'})}, b AS (SELECT gid, unnest(regexp_extract_all(text, '(?s){_BLOCK}', 1)) AS lang, unnest(regexp_extract_all(text, '(?s){_BLOCK}', 2)) AS code, unnest(range(len(regexp_extract_all(text, '(?s){_BLOCK}', 1)))) AS i FROM g) SELECT gid, coalesce(lang, '') AS lang, code FROM b WHERE length(code) >= 2 QUALIFY row_number() OVER (PARTITION BY gid ORDER BY i DESC) = 1")
 def _(spark, d):
-    return frame(spark, _GEN, _GEN_ROWS).select("gid", V.large_code_block(F.col("text"), 2).alias("b")).where("b is not null").select("gid", F.coalesce("b.lang", F.lit("")).alias("lang"), "b.code")
+    return X.rows(spark, d, _GEN, _GEN_ROWS, "gid", {'text': 'after'}).select("gid", V.large_code_block(F.col("text"), 2).alias("b")).where("b is not null").select("gid", F.coalesce("b.lang", F.lit("")).alias("lang"), "b.code")
 
 
-_EXT = {"lang": "VARCHAR", "ext": "VARCHAR"}
-_EXT_ROWS = [("python", "py"), ("ts", "ts"), ("shell", "sh"), ("node", "js"), ("", "txt"), ("cobol", "txt"), (None, "txt")]
+_EXT = {"xid": "BIGINT", "lang": "VARCHAR"}
+_EXT_ROWS = [(i, x) for i, x in enumerate(("python", "ts", "shell", "node", "", "cobol", None))]
 
 
-@query("saved_extension", f"WITH {S.values('w', _EXT, _EXT_ROWS)} SELECT * FROM w")
+@query("saved_extension", f"WITH {X.values('t', _EXT, _EXT_ROWS, 'xid', {})} SELECT xid, lang, {_case('lang', R.SAVED_AS, S.q('txt'))} AS ext FROM t")
 def _(spark, d):
-    return frame(spark, _EXT, _EXT_ROWS).select("lang", V.saved_extension(F.col("lang")).alias("ext"))
+    return X.rows(spark, d, _EXT, _EXT_ROWS, "xid", {}).select("xid", "lang", V.saved_extension(F.col("lang")).alias("ext"))
 
 
 _LONG = {"tid": "BIGINT", "text": "VARCHAR"}
 _LONG_ROWS = [(1, "x" * 12), (2, "y" * 4 + "z" * 10), (3, None)]
 
 
-@query("trimmed_result", f"WITH {S.values('t', _LONG, _LONG_ROWS)} SELECT tid, CASE WHEN length(text) > 12 THEN '[trimmed] ... ' || right(text, 12) ELSE text END AS text, CASE WHEN length(text) > 13 THEN left(text, 13) || chr(10) || '... [output truncated]' ELSE text END AS capped FROM t")
+@query("trimmed_result", f"WITH {X.values('t', _LONG, _LONG_ROWS, 'tid', {'text': 'after'})} SELECT tid, CASE WHEN length(text) > 12 THEN '[trimmed] ... ' || right(text, 12) ELSE text END AS text, CASE WHEN length(text) > 13 THEN left(text, 13) || chr(10) || '... [output truncated]' ELSE text END AS capped FROM t")
 def _(spark, d):
     from ..functions.text import cap_output
 
-    return frame(spark, _LONG, _LONG_ROWS).select("tid", V.trim_result(F.col("text"), 12).alias("text"), cap_output(F.col("text"), 13).alias("capped"))
+    return X.rows(spark, d, _LONG, _LONG_ROWS, "tid", {'text': 'after'}).select("tid", V.trim_result(F.col("text"), 12).alias("text"), cap_output(F.col("text"), 13).alias("capped"))
