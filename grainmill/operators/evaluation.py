@@ -99,7 +99,7 @@ def verdict(compared: DataFrame, min_overall_delta: float = 0.0, max_category_re
     delta = F.col("cand_passed") / F.col("cand_scored") - F.col("base_passed") / F.col("base_scored")
     overall = F.when(delta.isNull(), "no scored tasks in one of the reports").when(delta < min_overall_delta - EPSILON, F.concat(F.lit("overall pass rate fell or missed the target: "), percent(delta, 2), F.lit(f" (required {min_overall_delta:+.2%})")))
     out = total.select(delta.alias("overall_delta"), F.array_compact(F.concat(F.array(overall), F.transform("regressions", lambda r: r["why"]))).alias("reasons"))
-    return out.select((F.size("reasons") == 0).alias("passed"), "overall_delta", F.array_join("reasons", "; ").alias("reasons"))
+    return out.select((F.size("reasons") == 0).alias("passed"), "overall_delta", F.array_join("reasons", "; ").alias("reasons"), F.col("reasons").alias("reason_list"))
 
 
 def task_stats(samples: DataFrame) -> DataFrame:

@@ -113,7 +113,7 @@ _DELTA = "sum(cand_passed) / sum(cand_scored) - sum(base_passed) / sum(base_scor
  t AS (SELECT {_DELTA} AS overall_delta, list(why ORDER BY category) FILTER (why IS NOT NULL) AS listed FROM why), f AS (SELECT overall_delta, list_concat(CASE WHEN overall_delta < -1e-9 THEN ['overall pass rate fell or missed the target: ' || printf('%+.2f%%', overall_delta * 100) || ' (required +0.00%)'] ELSE [] END, coalesce(listed, [])) AS reasons FROM t)
  SELECT len(reasons) = 0 AS passed, overall_delta, array_to_string(reasons, '; ') AS reasons FROM f""")
 def _(spark, d):
-    return E.verdict(_compared(spark, d))
+    return E.verdict(_compared(spark, d)).drop("reason_list")
 
 
 @query("distill_stats", f"WITH {_RESULTS} SELECT user_id::VARCHAR AS id, min(category) AS category, count(*) AS samples, count(*) FILTER (pass) AS passed FROM results GROUP BY user_id")

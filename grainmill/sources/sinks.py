@@ -198,14 +198,14 @@ def gate_markdown(verdict: DataFrame, compared: DataFrame) -> str:
     delta = "n/a" if one["overall_delta"] is None else f"{one['overall_delta']:+.2%}"
     lines = ["# Evaluation gate", "", f"- result: **{'PASS' if one['passed'] else 'FAIL'}**", f"- overall delta: {delta}", "", "| category | baseline | candidate | delta | scored |", "| --- | ---: | ---: | ---: | ---: |"]
     lines += [f"| {r['category']} | {share(r['base_rate'])} | {share(r['cand_rate'])} | {share(r['delta'], '+')} | {r['cand_scored'] or 0} |" for r in compared.orderBy("category").collect()]
-    reasons = one["reasons"].split("; ") if one["reasons"] else []
+    reasons = one["reason_list"]
     return "\n".join(lines + (["", "## Failures", "", *[f"- {r}" for r in reasons]] if reasons else [])) + "\n"
 
 
 def gate_json(verdict: DataFrame, compared: DataFrame) -> str:
     one = verdict.first()
     categories = {r["category"]: {"baseline": r["base_rate"], "candidate": r["cand_rate"], "delta": r["delta"], "scored": r["cand_scored"] or 0} for r in compared.orderBy("category").collect()}
-    return json.dumps({"passed": one["passed"], "overall_delta": one["overall_delta"], "reasons": one["reasons"].split("; ") if one["reasons"] else [], "categories": categories}, indent=2)
+    return json.dumps({"passed": one["passed"], "overall_delta": one["overall_delta"], "reasons": one["reason_list"], "categories": categories}, indent=2)
 
 
 def exit_code(verdict: DataFrame) -> int:
