@@ -16,18 +16,24 @@ def trim_context(messages: DataFrame, key: str = "conv_id", order: str = "turn",
     """The messages that fit: of longer conversations the system ones, the first real request, and the newest after it.
 
     Messages before that request are lost; at least one message after it stays. Adds ``place``, the new order.
+
+    Counts and the request are found by an aggregation, the newest messages by a window that each task limits to ``most`` rows
+    before the shuffle, so a conversation of any length brings few rows together; all its system messages stay.
     """
-    conv = Window.partitionBy(key)
     system = F.col("role").isin("system", "developer")
     ask = (F.col("role") == "user") & ~F.coalesce(F.col("text").contains("<tool_result>"), F.lit(False))
-    df = messages.withColumns({"_n": F.count(F.lit(1)).over(conv), "_sys": F.count_if(system).over(conv), "_anchor": F.min(F.when(ask, F.col(order))).over(conv)})
+    own = F.struct(F.col(key).alias("k"))  # never null, and not what the windows are dealt by, so that hot joins can be split
+    counts = messages.groupBy(own.alias("_of")).agg(F.count(F.lit(1)).alias("_n"), F.count_if(system).alias("_sys"), F.min(F.when(ask, F.col(order))).alias("_anchor"))
+    df = messages.withColumn("_own", own).join(counts, F.col("_own") == F.col("_of")).drop("_own", "_of")
+    long, first = F.col("_n") > most, F.coalesce(F.col(order) == F.col("_anchor"), F.lit(False))
+    is_system = F.coalesce(system, F.lit(False))
+    head = df.where(~long | is_system | first)
     after = ~system & (F.col("_anchor").isNull() | (F.col(order) > F.col("_anchor")))
-    df = df.withColumn("_back", F.row_number().over(Window.partitionBy(key, after).orderBy(F.desc(order))))
+    newest = df.where(long & after & ~first).withColumn("_back", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).where(F.col("_back") <= most)
     budget = F.greatest(F.lit(1), most - F.col("_sys") - F.when(F.col("_anchor").isNotNull(), 1).otherwise(0))
-    keep = (F.col("_n") <= most) | system | (F.col(order) == F.col("_anchor")) | (after & (F.col("_back") <= budget))
-    group = F.when((F.col("_n") <= most), 0).when(system, 0).otherwise(1)
-    kept = df.where(keep).withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(group, order)))
-    return kept.drop("_n", "_sys", "_anchor", "_back")
+    kept = head.union(newest.where(F.col("_back") <= budget).drop("_back"))
+    group = F.when(~long, 0).when(system, 0).otherwise(1)
+    return kept.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(group, order))).drop("_n", "_sys", "_anchor")
 
 
 def message_error(index: Column, role: Column, content: Column) -> Column:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from grainmill.functions.text import cap_output
-from grainmill.operators import evaluation, repository, web
+from grainmill.operators import conversation, curation, evaluation, repository, web
 from grainmill.plans.evaluation_queries import results
 from grainmill.sources import sinks
 from grainmill.streaming import ingest
@@ -64,3 +64,19 @@ def test_entities_of_links(spark, href, want):
     assert spark.createDataFrame([(href,)], "h string").select(web.decode_href(F.col("h"))).first()[0] == want
     if href:
         assert spark.createDataFrame([(f'<a href="{href}">t</a>',)], "h string").select(web.links(F.col("h"))).first()[0] == ([("t", want)] if '"' not in href else [])
+
+
+def test_a_long_conversation_is_trimmed_before_the_shuffle(spark):
+    turns = spark.range(100_000).select(F.lit(None).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 5, "system").when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.lit("x").alias("text"))
+    short = spark.createDataFrame([(1, 1, None, "a"), (1, 2, "user", None)], "conv_id bigint, turn bigint, role string, text string")
+    trimmed = conversation.trim_context(turns.union(short))
+    assert "WindowGroupLimit" in trimmed._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r["conv_id"] or 0, r["place"], r["turn"]) for r in trimmed.collect())
+    assert got == [(0, 1, 5), (0, 2, 0), *[(0, 3 + k, 99_988 + k) for k in range(12)], (1, 1, 1), (1, 2, 2)]
+
+
+def test_repeated_completions_are_combined_before_the_shuffle(spark):
+    rows = spark.range(50_000).select(F.col("id").alias("ord"), F.lit("t").alias("id"), F.lit("p").alias("prompt"), F.when(F.col("id") % 3 == 0, "").otherwise("c").alias("completion"))
+    folded = curation.fold_rows(rows)
+    assert "WindowGroupLimit" in folded._jdf.queryExecution().executedPlan().toString()
+    assert [r["ord"] for r in folded.collect()] == [1]
