@@ -15,6 +15,7 @@ from ..lineage import cut_lineage
 from ..operators.distill import row_counts
 from ..operators.evaluation import compare, summarize, verdict
 from ..operators.suite import report_line
+from .files import write_file_set, write_joined
 from .readers import read_report
 
 
@@ -101,20 +102,27 @@ def write_scored(scored: DataFrame, path: str) -> None:
     write_jsonl(scored.select(_candidate(), F.struct("total", "dimensions").alias("score")), path)
 
 
-def teacher_stats(rows: DataFrame, tasks: DataFrame, about: dict) -> dict:
-    """Statistics of a distillation: counts of its rows and of each task's samples. ``about`` holds the settings of the run."""
+def teacher_stats(rows: DataFrame, tasks: DataFrame, about: dict, per_task: bool = True) -> dict:
+    """Statistics of a distillation: counts of its rows and of each task's samples. ``about`` holds the settings of the run.
+    ``per_task`` brings an entry for each task to the driver."""
     counts = {(r["dimension"], r["key"]): r["n"] for r in row_counts(rows).collect()}  # a row for each reason and category
     out = dict(about) | {"rows_total": counts.get(("all", "all"), 0), "rows_distilled": counts.get(("reason", "distilled"), 0), "rows_gold": counts.get(("reason", "gold"), 0)}
     out["rows_by_category"] = {k: n for (d, k), n in sorted(counts.items(), key=str) if d == "category"}
-    out["per_task"] = {r["id"]: {"category": r["category"], "type": r["type"], "samples": r["samples"], "passed": r["passed"]} for r in tasks.orderBy("id").toLocalIterator()}
+    if per_task:
+        out["per_task"] = {r["id"]: {"category": r["category"], "type": r["type"], "samples": r["samples"], "passed": r["passed"]} for r in tasks.orderBy("id").toLocalIterator()}
     return out
 
 
-def write_teacher(rows: DataFrame, tasks: DataFrame, path: str, about: dict) -> dict:
-    """Training rows as JSON lines, and their statistics next to them."""
+def write_teacher(rows: DataFrame, tasks: DataFrame, path: str, about: dict, per_task: bool = True) -> dict:
+    """Training rows as JSON lines, and their statistics next to them, each task's entry written by executors. Returns the
+    statistics; without ``per_task`` only their totals, so that no task passes the driver."""
     write_jsonl(rows, f"{path}/rows")
-    stats = teacher_stats(rows, tasks, about)
-    write_text(rows.sparkSession, f"{path}/stats.json", json.dumps(stats, indent=2, ensure_ascii=False))
+    held = cut_lineage(tasks.select("id", "category", "type", "samples", "passed"))
+    stats = teacher_stats(rows, held, about, per_task)
+    head = json.dumps({k: v for k, v in stats.items() if k != "per_task"}, indent=2, ensure_ascii=False)[:-2]
+    key = F.regexp_extract(F.to_json(F.struct("id")), "(?s)^.\"id\":(.*).$", 1)
+    entry = F.to_json(F.struct("category", "type", "samples", "passed"), {"ignoreNullFields": "false"})
+    write_joined(held.select("id", F.concat(key, F.lit(": "), entry).alias("line")), ["id"], f"{path}/stats.json", head + ',\n  "per_task": {\n', "  }\n}\n", ",")
     return stats
 
 
@@ -142,28 +150,25 @@ def summary_markdown(found: dict, meta: dict, lines: Iterable[str], title: str =
 def write_report(results: DataFrame, path: str, meta: dict, title: str = "Benchmark") -> dict:
     """A benchmark's report.json, summary.md and the output of each task, under ``path``; returns the summary.
 
-    ``results`` has ord, id, category, source, type, output, pass, missed and error, and further columns of its own. Rows pass
-    the driver one by one.
+    ``results`` has ord, id, category, source, type, output, pass, missed and error, and further columns of its own. All three are
+    written by executors; only the summary, a row for each category and source, passes the driver. Of results with one id the last
+    one's output stays. An id that can't name a file fails the report before anything is written.
     """
-    spark, found = results.sparkSession, summary(results)
-    rows = report_line(cut_lineage(results)).orderBy("ord")
-    own = [c for c in results.columns if c != "ord"]
-
-    def report() -> Iterator[str]:
-        yield json.dumps({"meta": meta, "summary": found}, ensure_ascii=False)[:-1] + ', "results": ['
-        for k, r in enumerate(rows.select(F.to_json(F.struct(*own), {"ignoreNullFields": "false"}).alias("j")).toLocalIterator()):
-            yield (",\n" if k else "\n") + r["j"]
-        yield "\n]}\n"
-
-    write_text(spark, f"{path}/report.json", report())
-    write_text(spark, f"{path}/summary.md", summary_markdown(found, meta, (r["line"] for r in rows.select("line").toLocalIterator()), title))
-    for r in rows.select("id", "output").toLocalIterator():
-        if "/" in r["id"] or r["id"] in ("", ".", ".."):
-            raise ValueError(f"the id of a task can't name a file: {r['id']!r}")
-        write_text(spark, f"{path}/outputs/{r['id']}.txt", r["output"] or "")
+    rows = cut_lineage(report_line(results))
+    found, own = summary(rows.select(*results.columns)), [c for c in results.columns if c != "ord"]
+    last = F.max(F.struct("ord", F.coalesce("output", F.lit("")).alias("content"))).alias("last")
+    write_file_set(rows.groupBy("id").agg(last).select(F.col("id").alias("_id"), "last.content").select(_file_name(F.col("_id")).alias("name"), "content"), f"{path}/outputs")
+    lines = rows.select("ord", "id", F.to_json(F.struct(*own), {"ignoreNullFields": "false"}).alias("line"))
+    write_joined(lines, ["ord", "id", "line"], f"{path}/report.json", json.dumps({"meta": meta, "summary": found}, ensure_ascii=False)[:-1] + ', "results": [\n', "]}\n", ",")
+    write_joined(rows.select("ord", "id", "line"), ["ord", "id", "line"], f"{path}/summary.md", "".join(summary_markdown(found, meta, (), title)))
     return found
 
 
+def _file_name(task: Column) -> Column:
+    bad = task.isNull() | task.isin("", ".", "..") | task.contains("/")
+    return F.when(bad, F.raise_error(F.concat(F.lit("the id of a task can't name a file: "), F.coalesce(task, F.lit("null")))).cast("string")).otherwise(F.concat(task, F.lit(".txt")))
+
+
 def manifest(totals: DataFrame, counts: DataFrame, version: str, generated_at: str, **versions: str) -> dict:
     """The manifest as a dict: one row of totals and the few rows of counts. ``versions`` are further ones, of schema and engine."""
     one = totals.first().asDict()
