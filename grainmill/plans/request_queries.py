@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..lineage import spread
 from ..operators import requests as Q
+from ..streaming import sessions as E
 from . import sql as S
 from .curation_queries import table
 
@@ -67,3 +68,35 @@ def _(spark, d):
     told = Q.parse_requests(request_bodies(spark, d), "local")
     each = lambda field: F.transform("messages", lambda m: m[field])
     return told.select("conv_id", "turn", "error", "model", "temperature", "top_p", F.col("max_tokens").cast("long").alias("max_tokens"), "stream", F.array_join(each("role"), ",").alias("roles"), F.sha2(F.array_join(each("content"), "\n"), 256).alias("content_sha"))
+
+
+_SESSION = """
+WITH marked AS (SELECT *, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) > INTERVAL 30 MINUTE, false)::INT AS opens FROM events WHERE ts IS NOT NULL),
+placed AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM marked)
+SELECT user_id, min(ts)::VARCHAR AS first_at, max(ts)::VARCHAR AS last_at, count(*) AS n, count(*) FILTER (event_type = 'error') AS n_errors, max(value) AS highest FROM placed GROUP BY user_id, s"""
+
+
+@query("event_sessions", _SESSION)
+def _(spark, d):
+    found = E.event_sessions(spread(table(spark, d, "events")))
+    return found.select("user_id", F.col("first_ts").cast("string").alias("first_at"), F.col("last_ts").cast("string").alias("last_at"), "n", "n_errors", "highest")
+
+
+def events_as_runs(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Events as tasks, those with an even number, and as results, those with an odd one that say nothing of an error: such a
+    result is of a task up to 62 events before it, so that some come too late."""
+    tasks = events.where("event_id % 2 = 0").select(F.col("event_id").alias("task"), F.col("ts").alias("started"))
+    of = F.col("event_id") - 1 - 2 * (F.floor(F.col("event_id") / 2) * 37 % 32)
+    return tasks, events.where("event_id % 2 = 1 and event_type <> 'error'").select(of.alias("task"), F.col("ts").alias("finished"), (F.col("value") > 5).alias("pass"))
+
+
+_RESULTS = """
+WITH t AS (SELECT event_id AS task, ts AS started FROM events WHERE event_id % 2 = 0),
+r AS (SELECT event_id - 1 - 2 * (event_id // 2 * 37 % 32) AS task, ts AS finished, value > 5 AS pass FROM events WHERE event_id % 2 = 1 AND event_type <> 'error')
+SELECT t.task, finished::VARCHAR AS finished_at, pass FROM t LEFT JOIN r ON t.task = r.task AND finished BETWEEN started AND started + INTERVAL 1 HOUR"""
+
+
+@query("task_results", _RESULTS)
+def _(spark, d):
+    found = E.task_results(*events_as_runs(spread(table(spark, d, "events"))))
+    return found.select("task", F.col("finished").cast("string").alias("finished_at"), "pass")
