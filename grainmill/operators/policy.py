@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import shlex
 from functools import reduce
 
@@ -60,12 +61,16 @@ def host_limit(seconds: Column, most: int = 120) -> Column:
     return F.least(seconds + 5, F.lit(most))
 
 
+_SPECIAL, _WORD = re.compile(r"""["'\\]"""), re.compile(r"[^ \t\r\n]+")
+
+
 def command_words(command: Column | str) -> Column:
     """The words of a shell line, quotes and escapes resolved; null if a quote or escape is left open."""
 
     def split(line: str | None) -> list[str] | None:
         try:
-            return shlex.split(line or "")
+            line = line or ""
+            return shlex.split(line) if _SPECIAL.search(line) else _WORD.findall(line)
         except ValueError:
             return None
 

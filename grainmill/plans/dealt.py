@@ -55,3 +55,14 @@ def rows(spark: SparkSession, d: str, columns: dict[str, str], fixture: list[tup
     joined = docs.join(F.broadcast(fixed), F.col("_slot") == F.col("doc_id") % n)  # a fixed table
     taken = [(_key(columns[c])[1](F.col(c)) if c == key else _GLUE[glue[c]][1](F.col(c)) if c in glue else F.col(c)).alias(c) for c in columns]
     return fixed.select(*columns).unionByName(joined.select(*taken))
+
+
+def json_text(text: Column | str) -> Column:
+    """A text as a JSON value; ``to_json`` of the checking engine."""
+    x = F.to_json(F.struct(F.coalesce(text, F.lit("")).alias("x")))
+    return F.substr(x, F.lit(6), F.length(x) - 6)
+
+
+def put(template: Column, text: Column) -> Column:
+    """A template with a text in the place of each @T."""
+    return F.replace(template, F.lit("@T"), text)

@@ -61,10 +61,10 @@ _PAR = {"pid": "BIGINT", "t": "DOUBLE", "p": "DOUBLE", "m": "BIGINT"}
 _PAR_ROWS = [(1, None, None, None), (2, 2.5, 0.9, 10), (3, 1.0, 0.0, 10), (4, 1.0, 1.0, 0), (5, 0.0, 0.5, 99999), (6, -0.1, 2.0, -1)]
 
 
-@query("request_parameters", f"""WITH {S.values('r', _PAR, _PAR_ROWS)}, c AS (SELECT pid, coalesce(t, 0.3) AS t, coalesce(p, 0.9) AS p, coalesce(m, 4096) AS m FROM r) SELECT pid, t::DOUBLE AS temperature, p::DOUBLE AS top_p, least(m, 16384)::BIGINT AS max_tokens,
+@query("request_parameters", f"""WITH {X.values('r', _PAR, _PAR_ROWS, 'pid', {'m': 'number'})}, c AS (SELECT pid, coalesce(t, 0.3) AS t, coalesce(p, 0.9) AS p, coalesce(m, 4096) AS m FROM r) SELECT pid, t::DOUBLE AS temperature, p::DOUBLE AS top_p, least(m, 16384)::BIGINT AS max_tokens,
  CASE WHEN t < 0 OR t > 2 THEN 'temperature must be between 0 and 2' WHEN p <= 0 OR p > 1 THEN 'top_p must be between 0 and 1' WHEN m < 1 THEN 'max_tokens must be at least 1' END AS error FROM c""")
 def _(spark, d):
-    return frame(spark, _PAR, _PAR_ROWS).select("pid", V.request_parameters(F.col("t"), F.col("p"), F.col("m")).alias("r")).select("pid", "r.temperature", "r.top_p", F.col("r.max_tokens").cast("long").alias("max_tokens"), "r.error")
+    return X.rows(spark, d, _PAR, _PAR_ROWS, "pid", {"m": "number"}).select("pid", V.request_parameters(F.col("t"), F.col("p"), F.col("m")).alias("r")).select("pid", "r.temperature", "r.top_p", F.col("r.max_tokens").cast("long").alias("max_tokens"), "r.error")
 
 
 @query("token_estimate", "SELECT doc_id, CASE WHEN length(text) = 0 THEN 0 ELSE greatest(1, length(text) // 4) END::BIGINT AS tokens FROM documents")
@@ -163,9 +163,22 @@ _FLOW_ROWS = [("a", 1, "read", "{}", False), ("a", 2, "read", "{}", None), ("a",
 _FLOW_WANT = [("a", 1, "run"), ("a", 2, "warn"), ("a", 3, "stop"), ("a", 4, None), ("b", 1, "run"), ("b", 2, "run"), ("b", 3, "warn"), ("b", 4, "run"), ("b", 5, "stop"), ("b", 6, None), *[("c", k, "run" if k <= 6 else None) for k in range(1, 9)]]
 
 
-@query("call_flow", f"WITH {S.values('w', {'session': 'VARCHAR', 'step': 'BIGINT', 'action': 'VARCHAR'}, _FLOW_WANT)} SELECT * FROM w")
+#: Every turn of ``conversations`` as a call, too: its tool and argument change every few turns, its outcome is known of most.
+_FLOW_SQL = f"""WITH RECURSIVE {S.values('fixed', _FLOW, _FLOW_ROWS)}, calls AS (SELECT * FROM fixed UNION ALL SELECT 'c' || conv_id, turn, CASE WHEN conv_id % 11 > 0 THEN 'tool' || (conv_id + turn // 3) % 3 END, coalesce(role, ''), CASE (conv_id + turn) % 4 WHEN 0 THEN true WHEN 1 THEN NULL ELSE false END FROM conversations),
+placed AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY step) AS place FROM calls),
+walk AS (SELECT session, 0::BIGINT AS place, NULL::BIGINT AS step, NULL::VARCHAR AS name, NULL::VARCHAR AS arguments, NULL::BOOLEAN AS known, 0::BIGINT AS nth, false AS stopped, NULL::VARCHAR AS action FROM (SELECT DISTINCT session FROM calls)
+ UNION ALL SELECT session, place, step, name, arguments, coalesce(ok, last), nth + again::INT, stopped OR (again AND nth >= 1), CASE WHEN stopped OR place > 6 THEN NULL WHEN NOT again THEN 'run' WHEN nth = 0 THEN 'warn' ELSE 'stop' END
+ FROM (SELECT *, coalesce(NOT last, false) AND name IS NOT NULL AS again FROM (SELECT p.session, p.place, p.step, p.name, p.arguments, p.ok, w.nth, w.stopped, CASE WHEN w.place > 0 AND w.name IS NOT DISTINCT FROM p.name AND w.arguments IS NOT DISTINCT FROM p.arguments THEN w.known END AS last FROM walk w JOIN placed p ON p.session = w.session AND p.place = w.place + 1)))
+SELECT session, step, action FROM walk WHERE place > 0"""
+
+
+@query("call_flow", _FLOW_SQL)
 def _(spark, d):
-    return V.call_flow(frame(spark, _FLOW, _FLOW_ROWS)).select("session", "step", "action")
+    n = F.col("conv_id") + F.col("turn")
+    name = F.when(F.col("conv_id") % 11 > 0, F.concat(F.lit("tool"), ((F.col("conv_id") + F.floor(F.col("turn") / 3)) % 3).cast("string")))
+    ok = F.when(n % 4 == 0, True).when(n % 4 == 1, F.lit(None)).otherwise(False)
+    own = table(spark, d, "conversations").select(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("session"), F.col("turn").alias("step"), name.alias("name"), F.coalesce("role", F.lit("")).alias("arguments"), ok.alias("ok"))
+    return V.call_flow(frame(spark, _FLOW, _FLOW_ROWS).unionByName(own)).select("session", "step", "action")
 
 
 _DELTA = {"eid": "BIGINT", "text": "VARCHAR", "role": "VARCHAR", "finish": "BOOLEAN"}
@@ -257,15 +270,32 @@ _STATIC = {"path": "VARCHAR", "problem": "VARCHAR"}
 _STATIC_WANT = [("b.py", "contains a TODO/placeholder instead of logic"), ("b.py", "unbalanced brackets — the file is truncated or malformed"), ("c.js", "file is empty"), ("g.py", "contains a TODO/placeholder instead of logic"), ("j.java", "unbalanced brackets — the file is truncated or malformed")]
 
 
-@query("static_checks", f"WITH {S.values('w', _STATIC, _STATIC_WANT)} SELECT * FROM w")
+#: Documents as files, too: their texts without what opens strings and comments, so that a rule in SQL can match their brackets.
+_NO_LEXER = "'\"`#/*\\"
+_AROUND = [("f(", ")", ".py"), ("x = [{", "}]", ".js"), ("", "", ".go"), ("a[", ")", ".ts"), ("g((", ")", ".md"), ("TODO (", ")", ".c")]
+_DOC_FILES = f"""{S.values('around', {'slot': 'BIGINT', 'before': 'VARCHAR', 'behind': 'VARCHAR', 'suffix': 'VARCHAR'}, [(i, *x) for i, x in enumerate(_AROUND)])},
+files AS (SELECT 'doc' || doc_id || suffix AS path, suffix, before || translate(coalesce(text, ''), {S.q(_NO_LEXER)}, '') || behind AS code FROM documents JOIN around ON slot = doc_id % {len(_AROUND)})"""
+_LEFT = r"regexp_replace(code, '[^()\[\]{}]', '', 'g')"
+for _ in range(12):  # deeper than any brackets of the given texts
+    _LEFT = rf"regexp_replace({_LEFT}, '\(\)|\[\]|\{{\}}', '', 'g')"
+
+
+def _doc_files(spark, d):
+    shape = F.element_at(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c")) for a, b, c in _AROUND]), (F.col("doc_id") % len(_AROUND) + 1).cast("int"))
+    docs = spread(table(spark, d, "documents")).select("doc_id", F.translate(F.coalesce("text", F.lit("")), _NO_LEXER, "").alias("t"), shape.alias("s"))
+    own = docs.select(F.concat(F.lit("doc"), F.col("doc_id").cast("string"), "s.c").alias("path"), F.concat("s.a", "t", "s.b").alias("code"))
+    return frame(spark, _FILE, _FILE_ROWS).unionByName(own)
+
+
+@query("static_checks", f"""WITH {S.values('w', _STATIC, _STATIC_WANT)}, {_DOC_FILES} SELECT * FROM w UNION ALL SELECT path, CASE WHEN {S.strip('code')} = '' THEN 'file is empty' ELSE 'contains a TODO/placeholder instead of logic' END FROM files WHERE {S.strip('code')} = '' OR regexp_matches(code, {S.q(R.PLACEHOLDER)})
+ UNION ALL SELECT path, 'unbalanced brackets — the file is truncated or malformed' FROM files WHERE suffix IN {S.listed(R.BRACKETED)} AND {S.strip('code')} <> '' AND {_LEFT} <> ''""")
 def _(spark, d):
-    return G.static_issues(frame(spark, _FILE, _FILE_ROWS))
+    return G.static_issues(_doc_files(spark, d))
 
 
-@query("bracket_balance", f"WITH {S.values('w', {'path': 'VARCHAR', 'balanced': 'BOOLEAN'}, [(p, p not in ('b.py', 'e.md', 'j.java')) for p, _ in _FILE_ROWS])} SELECT * FROM w")
+@query("bracket_balance", f"WITH {S.values('w', {'path': 'VARCHAR', 'balanced': 'BOOLEAN'}, [(p, p not in ('b.py', 'e.md', 'j.java')) for p, _ in _FILE_ROWS])}, {_DOC_FILES} SELECT * FROM w UNION ALL SELECT path, {_LEFT} = '' FROM files")
 def _(spark, d):
-    files = frame(spark, _FILE, _FILE_ROWS)
-    return files.select("path", G.bracket_balance("code").alias("balanced"))
+    return _doc_files(spark, d).select("path", G.bracket_balance("code").alias("balanced"))
 
 
 _PLAN = {"id": "VARCHAR", "text": "VARCHAR"}
@@ -275,25 +305,45 @@ _PLAN_ROWS = [("p1", 'Sure: {"files": [{"path": "./src/a.py", "purpose": "one"},
 _JSON_WANT = [("p1", '{"files":[{"path":"./src/a.py","purpose":"one"},"b.js",{"description":"three","file":"/c.md"},{"path":"../x.py"},"src/a.py","run.exe"],"project":"X"}'), ("p2", '{"a":{"b":1}}'), ("p3", None), ("p4", None), ("p5", '{"entrypoint":"nope.py","files":["app.py"],"language":"Python","project":"My App!2","test_command":["python","app.py"]}')]
 
 
-@query("extract_json", f"WITH {S.values('w', {'id': 'VARCHAR', 'json': 'VARCHAR'}, _JSON_WANT)} SELECT * FROM w")
+#: Documents as plans, too: a text without braces, an object that holds the text as JSON where @T stands, and the text once more.
+_PLANS = ('{"project": "X", "files": [{"purpose": @T, "path": "./src/a.py"}, "b.js"]}', '{bad json} {"project": @T, "files": ["a.py", {"file": "/b.js", "description": @T}, "../up.py", "a.py"], "entrypoint": "b.js", "language": "Python", "test_command": ["python", "a.py"]}',
+          '{"files": ["f0.py", "f1.py", "f2.py", "f3.py", "f4.py", "f5.py", "f6.py", "f7.py", "f8.py"], "project": "  "}')
+#: The same objects in canonical form.
+_CANONICAL = ('{"files":[{"path":"./src/a.py","purpose":@T},"b.js"],"project":"X"}', '{"entrypoint":"b.js","files":["a.py",{"description":@T,"file":"/b.js"},"../up.py","a.py"],"language":"Python","project":@T,"test_command":["python","a.py"]}',
+              '{"files":["f0.py","f1.py","f2.py","f3.py","f4.py","f5.py","f6.py","f7.py","f8.py"],"project":"  "}')
+_DOC_PLANS = f"plans AS (SELECT 'doc' || doc_id AS id, coalesce(text, '') AS t, doc_id % {len(_PLANS)} AS slot FROM documents)"
+
+
+def _doc_plans(spark, d):
+    text = F.coalesce("text", F.lit(""))
+    plan = X.put(F.element_at(F.array(*map(F.lit, _PLANS)), (F.col("doc_id") % len(_PLANS) + 1).cast("int")), X.json_text(F.col("text")))
+    own = spread(table(spark, d, "documents")).select(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("id"), F.concat(F.translate(text, "{", ""), F.lit(" "), plan, F.lit(" "), text).alias("text"))
+    return frame(spark, _PLAN, _PLAN_ROWS).unionByName(own)
+
+
+@query("extract_json", f"WITH {S.values('w', {'id': 'VARCHAR', 'json': 'VARCHAR'}, _JSON_WANT)}, {_DOC_PLANS} SELECT id, sha256(json) AS json_sha FROM w UNION ALL SELECT id, sha256(replace([{', '.join(map(S.q, _CANONICAL))}][slot + 1], '@T', to_json(t)::VARCHAR)) FROM plans")
 def _(spark, d):
-    return frame(spark, _PLAN, _PLAN_ROWS).select("id", G.extract_json("text").alias("json"))
+    return _doc_plans(spark, d).select("id", F.sha2(G.extract_json("text"), 256).alias("json_sha"))
 
 
 _FILES_WANT = [("p1", 1, "src/a.py", "one"), ("p1", 2, "b.js", ""), ("p1", 3, "c.md", "three"), ("p3", 1, "src/main.py", "entry"), ("p3", 2, "lib/util.ts", "helpers"), ("p5", 1, "app.py", "")]
 
 
-@query("file_plan", f"WITH {S.values('w', {'id': 'VARCHAR', 'place': 'BIGINT', 'path': 'VARCHAR', 'purpose': 'VARCHAR'}, _FILES_WANT)} SELECT * FROM w")
+_DOC_ITEMS = "items AS (SELECT 0 AS slot, 1 AS place, 'src/a.py' AS path, true AS told UNION ALL SELECT 0, 2, 'b.js', false UNION ALL SELECT 1, 1, 'a.py', false UNION ALL SELECT 1, 2, 'b.js', true UNION ALL SELECT 2, i + 1, 'f' || i || '.py', false FROM range(8) AS r(i))"
+
+
+@query("file_plan", f"WITH {S.values('w', {'id': 'VARCHAR', 'place': 'BIGINT', 'path': 'VARCHAR', 'purpose': 'VARCHAR'}, _FILES_WANT)}, {_DOC_PLANS}, {_DOC_ITEMS} SELECT * FROM w UNION ALL SELECT id, place, path, CASE WHEN told THEN left(t, 300) ELSE '' END FROM plans JOIN items USING (slot)")
 def _(spark, d):
-    return G.file_plan(frame(spark, _PLAN, _PLAN_ROWS))
+    return G.file_plan(_doc_plans(spark, d))
 
 
 _HEADER_WANT = [("p1", "x", "", "src/a.py", ""), ("p3", "build", "", "src/main.py", ""), ("p5", "my-app-2", "Python", "app.py", "python app.py")]
 
 
-@query("plan_header", f"WITH {S.values('w', {'id': 'VARCHAR', 'project': 'VARCHAR', 'language': 'VARCHAR', 'entrypoint': 'VARCHAR', 'test_command': 'VARCHAR'}, _HEADER_WANT)} SELECT * FROM w")
+@query("plan_header", f"WITH {S.values('w', {'id': 'VARCHAR', 'project': 'VARCHAR', 'language': 'VARCHAR', 'entrypoint': 'VARCHAR', 'test_command': 'VARCHAR'}, _HEADER_WANT)}, {_DOC_PLANS}, s AS (SELECT *, CASE slot WHEN 0 THEN 'x' WHEN 1 THEN regexp_replace(regexp_replace(lower(t), '[^a-z0-9-]+', '-', 'g'), '^-+|-+$', '', 'g') ELSE '' END AS slug FROM plans)"
+       " SELECT * FROM w UNION ALL SELECT id, CASE WHEN slug = '' THEN 'build' ELSE slug END, CASE slot WHEN 1 THEN 'Python' ELSE '' END, ['src/a.py', 'b.js', 'f0.py'][slot + 1], CASE slot WHEN 1 THEN 'python a.py' ELSE '' END FROM s")
 def _(spark, d):
-    plans = frame(spark, _PLAN, _PLAN_ROWS)
+    plans = _doc_plans(spark, d)
     return G.plan_header(plans, G.file_plan(plans)).withColumn("test_command", F.array_join("test_command", " "))
 
 
@@ -430,14 +480,28 @@ _SH_WANT = [(0, None), (1, "Empty command"), (2, "Blocked command: rm"), (3, "Bl
             (9, "Blocked command: chmod"), (10, "Blocked command: rm"), (11, "Blocked command: rm"), (12, "Blocked command: rm"), (13, None), (14, None), (15, "Invalid shell syntax"), (16, None), (17, None)]
 
 
-@query("inspect_command", f"WITH {S.values('w', {'sid': 'BIGINT', 'reason': 'VARCHAR'}, _SH_WANT)} SELECT sid, reason IS NULL AS allowed, coalesce(reason, 'Allowed') AS reason FROM w")
+#: Documents as shell lines, too: a command and the text without quotes and escapes, so that words end at blanks.
+_COMMANDS = ("ls -la", "/bin/rm -rf", "sudo", "echo", "rm\t-r", "git commit", "chmod 1")
+_DOC_LINES = f"""{S.values('w', {'sid': 'BIGINT', 'reason': 'VARCHAR'}, _SH_WANT)}, {S.values('commands', {'slot': 'BIGINT', 'command': 'VARCHAR'}, list(enumerate(_COMMANDS)))},
+lines AS (SELECT doc_id + 1000 AS sid, command || ' ' || translate(coalesce(text, ''), {S.q(chr(39) + '"' + chr(92))}, '') AS line FROM documents JOIN commands ON slot = doc_id % {len(_COMMANDS)}),
+named AS (SELECT sid, lower(line) AS low, regexp_extract(regexp_extract(line, '[^ \t\r\n]+'), '[^/]*$') AS first FROM lines),
+told AS (SELECT * FROM w UNION ALL SELECT sid, CASE WHEN first IN {S.listed(R.BLOCKED_COMMANDS)} THEN 'Blocked command: ' || first {' '.join(f"WHEN contains(low, {S.q(p)}) THEN {S.q('Blocked sensitive path/pattern: ' + p)}" for p in R.BLOCKED_PATTERNS)} END FROM named)"""
+
+
+def _doc_lines(spark, d):
+    command = F.element_at(F.array(*map(F.lit, _COMMANDS)), (F.col("doc_id") % len(_COMMANDS) + 1).cast("int"))
+    own = spread(table(spark, d, "documents")).select((F.col("doc_id") + 1000).alias("sid"), F.concat(command, F.lit(" "), F.translate(F.coalesce("text", F.lit("")), "'\"\\", "")).alias("line"))
+    return frame(spark, _SH, _SH_ROWS).unionByName(own)
+
+
+@query("inspect_command", f"WITH {_DOC_LINES} SELECT sid, reason IS NULL AS allowed, coalesce(reason, 'Allowed') AS reason FROM told")
 def _(spark, d):
-    return frame(spark, _SH, _SH_ROWS).select("sid", P.inspect_command(F.col("line")).alias("r")).select("sid", "r.allowed", "r.reason")
+    return _doc_lines(spark, d).select("sid", P.inspect_command(F.col("line")).alias("r")).select("sid", "r.allowed", "r.reason")
 
 
-@query("confirm_command", f"WITH {S.values('w', {'sid': 'BIGINT', 'reason': 'VARCHAR'}, _SH_WANT)} SELECT sid, reason IS NULL AS allowed, reason IS NULL AS requires_confirmation, coalesce(reason, 'Command requires confirmation.') AS reason FROM w")
+@query("confirm_command", f"WITH {_DOC_LINES} SELECT sid, reason IS NULL AS allowed, reason IS NULL AS requires_confirmation, coalesce(reason, 'Command requires confirmation.') AS reason FROM told")
 def _(spark, d):
-    return frame(spark, _SH, _SH_ROWS).select("sid", P.confirmation(F.col("line")).alias("r")).select("sid", "r.*")
+    return _doc_lines(spark, d).select("sid", P.confirmation(F.col("line")).alias("r")).select("sid", "r.*")
 
 
 _TOOL = {"tid": "BIGINT", "language": "VARCHAR", "command": "VARCHAR[]", "seconds": "INTEGER"}
