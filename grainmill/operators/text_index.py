@@ -19,6 +19,8 @@ from .repository import search_lines
 
 GRAM = 3
 _POSTINGS = "file string, gram bigint, places array<int>"
+#: Characters whose postings a task sorts at a time; bounds a worker's memory, and larger runs are searched in fewer pages.
+_HELD = 4_000_000
 
 
 def gram_code(text: str) -> int:
@@ -29,49 +31,50 @@ def gram_code(text: str) -> int:
 
 def postings(files: DataFrame, key: str = "file", text: str = "text", with_places: bool = True) -> DataFrame:
     """(file, gram, places): where each three characters of each whole text, in lower case, begin. Null texts and those of fewer
-    characters have one row without a gram, which says that the file is known. Without places the lists are empty."""
+    characters have one row without a gram, which says that the file is known. Without places the lists are empty. Rows come in
+    runs of about ``_HELD`` characters of text, each sorted by gram and file, so that no task sorts all of its postings."""
+
+    def packed(texts: list[tuple[str | None, np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        """The postings of some texts, sorted by gram and file; a missing gram is -1 here and comes first."""
+        texts.sort(key=lambda x: x[0] or "")
+        names, grams, sizes, places = zip(*texts, strict=True)
+        of, gram = np.repeat(np.arange(len(names)), list(map(len, grams))), np.concatenate(grams)
+        order = np.argsort(gram, kind="stable")
+        size = np.concatenate(sizes)
+        start, n = (np.cumsum(size) - size)[order], size[order]
+        offsets = np.concatenate([[0], np.cumsum(n)])
+        place = np.concatenate(places)[np.repeat(start - offsets[:-1], n) + np.arange(offsets[-1])]
+        name, gram = pa.array(names, pa.string()), gram[order]
+        for k in range(0, len(order), 100_000):
+            at, end = slice(k, k + 100_000), min(k + 100_000, len(order))
+            lists = pa.ListArray.from_arrays(pa.array((offsets[k : end + 1] - offsets[k]).astype(np.int32)), pa.array(place[offsets[k] : offsets[end]]))
+            yield pa.RecordBatch.from_arrays([name.take(pa.array(of[order[at]])), pa.array(gram[at], mask=gram[at] < 0), lists], names=["file", "gram", "places"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names: list[pa.Array] = []
-        grams: list[np.ndarray] = []
-        known: list[np.ndarray] = []
-        sizes: list[np.ndarray] = []
-        places: list[np.ndarray] = []
-
-        def packed() -> pa.RecordBatch:
-            offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32)
-            columns = [pa.concat_arrays(names), pa.array(np.concatenate(grams), mask=~np.concatenate(known)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(places)))]
-            for x in (names, grams, known, sizes, places):
-                x.clear()
-            return pa.RecordBatch.from_arrays(columns, names=["file", "gram", "places"])
-
+        texts, held = [], 0
         for batch in batches:
-            held = 0
             for file, low in zip(batch.column(0), batch.column(1), strict=True):
                 codes = np.frombuffer((low.as_py() or "").encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
                 own = codes[:-2] << 42 | codes[1:-1] << 21 | codes[2:]
                 order = np.argsort(own, kind="stable")
                 found, count = np.unique(own[order], return_counts=True)
-                some = len(found) > 0
-                names.append(pa.array([file.as_py()] * max(1, len(found)), pa.string()))
-                grams.append(found if some else np.zeros(1, np.int64))
-                known.append(np.full(max(1, len(found)), some))
-                sizes.append(count if some and with_places else np.zeros(max(1, len(found)), np.int64))
-                places.append(order.astype(np.int32) if with_places else order[:0].astype(np.int32))
-                held += len(order)
-                if held > 1_000_000:
-                    yield packed()
-                    held = 0
-            if names:
-                yield packed()
+                if not len(found):
+                    found, count = np.full(1, -1), np.zeros(1, np.int64)
+                texts.append((file.as_py(), found, count if with_places else np.zeros(len(found), np.int64), (order if with_places else order[:0]).astype(np.int32)))
+                held += len(order) + 1
+                if held > _HELD:
+                    yield from packed(texts)
+                    texts, held = [], 0
+        if texts:
+            yield from packed(texts)
 
     return files.select(F.col(key).cast("string"), F.lower(F.col(text))).mapInArrow(run, _POSTINGS)
 
 
 def index_store(spark: SparkSession, folder: str, buckets: int = 32) -> BucketStore:
-    """Postings in buckets of files, so that a changed file touches one bucket; each is sorted by gram, so that a search reads the
-    row groups of its grams."""
-    return BucketStore(spark, folder, ("file",), buckets, ("gram", "file"), {"parquet.writer.version": "v2", "parquet.enable.dictionary#places.list.element": "false", "compression": "zstd"})
+    """Postings in buckets of files, so that a changed file touches one bucket; each has runs sorted by gram, so that a search reads
+    the pages of its grams. Row groups are small, since a task may hold one for each of its buckets."""
+    return BucketStore(spark, folder, ("file",), buckets, ("gram", "file"), {"parquet.block.size": str(16 << 20), "parquet.writer.version": "v2", "parquet.enable.dictionary#places.list.element": "false", "compression": "zstd"})
 
 
 def update_index(store: BucketStore, files: DataFrame, batch: int, removed: DataFrame | None = None, key: str = "file", text: str = "text", with_places: bool = True) -> bool:
@@ -85,7 +88,7 @@ def update_index(store: BucketStore, files: DataFrame, batch: int, removed: Data
     def combine(before: DataFrame | None, changes: DataFrame) -> DataFrame:
         if before is None:
             return changes
-        kept = before.join(names.distinct(), "file", "left_anti")
+        kept = before.join(names.distinct(), "file", "left_anti").sortWithinPartitions(*store.sort)
         return changes.unionByName(kept)
 
     return store.merge(postings(dealt, with_places=with_places), combine, batch, keys=names, placed=True).applied

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +15,19 @@ from ..lineage import cut_lineage
 from .sinks import _path, write_text
 
 
+@contextmanager
+def _writers(spark: SparkSession, most: int | None) -> Iterator[None]:
+    """Up to ``most`` files of a task open at once, so that rows need no sort by their folders; None changes nothing."""
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(name)
+    if most is not None:
+        spark.conf.set(name, most)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class Merged(NamedTuple):
     """Whether the batch was new, and the rows of the touched buckets before and after it (None: there were none)."""
 
@@ -67,7 +81,8 @@ class BucketStore:
         write no bucket.
 
         Changes are computed once and held in the checkpoint folder, unless ``keys`` has their keys more cheaply. ``placed`` says
-        that the rows lie in partitions by bucket already; else they are dealt out, large buckets to several tasks.
+        that the rows lie in partitions by bucket already and in the order in which they are to be written, or in sorted runs of it;
+        they are written as they come, to all buckets of a task at once. Else they are dealt out, large buckets to several tasks.
         """
         now = self.snapshot()
         if now["batch"] is not None and batch <= now["batch"]:
@@ -81,8 +96,9 @@ class BucketStore:
         target, held = f"{self.folder}/data/v{version}", {b: v for b, v in now["held"].items() if int(b) not in touched}
         if touched:
             dealt = combined.withColumn("_bucket", self.bucket())
-            dealt = dealt if placed else dealt.hint("rebalance", "_bucket")
-            dealt.sortWithinPartitions("_bucket", *self.sort).write.mode("overwrite").options(**self.options).partitionBy("_bucket").parquet(target)
+            dealt = dealt if placed else dealt.hint("rebalance", "_bucket").sortWithinPartitions("_bucket", *self.sort)
+            with _writers(self.spark, self.buckets if placed else None):
+                dealt.write.mode("overwrite").options(**self.options).partitionBy("_bucket").parquet(target)
             held |= {n.removeprefix("_bucket="): version for n in self._names(target) if n.startswith("_bucket=")}
         now = {"version": version, "batch": batch, "schema": now["schema"] or combined.schema.jsonValue(), "held": held}
         self._commit(now)

@@ -235,6 +235,18 @@ def test_terms_that_overlap_themselves(spark, tmp_path):
     assert not text_index.rank_files(store, "aba").collect() and store.read().where("file = 'b'").count() == 0
 
 
+def test_postings_come_in_sorted_runs_and_are_written_without_a_sort(spark, tmp_path, monkeypatch):
+    files = spark.createDataFrame([("b", "zzz abc"), ("a", "abc yyy"), ("c", None), ("d", "abcabc")], "file string, text string")
+    rows = [tuple(r) for r in text_index.postings(files.coalesce(1)).collect()]
+    assert rows[0] == ("c", None, []) and [r[:2] for r in rows[1:]] == sorted([r[:2] for r in rows[1:]], key=lambda r: (r[1], r[0]))
+    assert ("d", text_index.gram_code("abc"), [0, 3]) in rows and ("b", text_index.gram_code("abc"), [4]) in rows
+    name, seen = "spark.sql.maxConcurrentOutputFileWriters", []
+    before = spark.conf.get(name)
+    monkeypatch.setattr("pyspark.sql.DataFrameWriter.parquet", lambda self, path, f=type(files.write).parquet: seen.append((spark.conf.get(name), "Sort" in self._df._jdf.queryExecution().executedPlan().toString())) or f(self, path))
+    text_index.update_index(text_index.index_store(spark, str(tmp_path), 4), files, 1)
+    assert seen == [("4", False)] and spark.conf.get(name) == before
+
+
 def test_grams_that_a_pattern_needs():
     need = text_index.needed_grams
     assert need("abcd") == ["and", "abc", "bcd"] and need("a|bcd") is None and need("abc|bcd") == ["or", "abc", "bcd"]
