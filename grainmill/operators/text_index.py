@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
+from ..lineage import cut_lineage
 from ..sources.store import BucketStore
 from .repository import search_lines
 
@@ -21,6 +22,8 @@ GRAM = 3
 _POSTINGS = "file string, gram bigint, places array<int>"
 #: Characters whose postings a task sorts at a time; bounds a worker's memory, and larger runs are searched in fewer pages.
 _HELD = 4_000_000
+#: Candidate files that are broadcast to the scan of texts; more of them are joined in a shuffle.
+FEW = 200_000
 
 
 def gram_code(text: str) -> int:
@@ -201,6 +204,9 @@ def search_indexed_lines(store: BucketStore, files: DataFrame, pattern: str, lan
     known = language.strip().lower() if language else None
     wanted = rf"{R.DEFINITIONS[known]}.*{pattern}" if definitions and known in R.DEFINITIONS else pattern
     some = candidate_files(store, wanted)
+    if some is not None:
+        some = cut_lineage(some)
+        some = F.broadcast(some) if some.count() <= FEW else some  # texts stay where they are read
     chosen = files if some is None else files.join(some.withColumnRenamed("file", "_file"), F.col(key).cast("string") == F.col("_file"), "left_semi")
     return search_lines(chosen, pattern, language, definitions)
 

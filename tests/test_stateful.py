@@ -247,6 +247,18 @@ def test_postings_come_in_sorted_runs_and_are_written_without_a_sort(spark, tmp_
     assert seen == [("4", False)] and spark.conf.get(name) == before
 
 
+def test_texts_are_not_shuffled_for_few_candidates(spark, indexed):
+    files, store = indexed
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    try:
+        plan = text_index.search_indexed_lines(store, files, PATTERNS[0])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(name, before)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_grams_that_a_pattern_needs():
     need = text_index.needed_grams
     assert need("abcd") == ["and", "abc", "bcd"] and need("a|bcd") is None and need("abc|bcd") == ["or", "abc", "bcd"]
