@@ -6,6 +6,7 @@ import re
 import shlex
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -77,18 +78,46 @@ def command_words(command: Column | str) -> Column:
     return F.pandas_udf(lambda lines: lines.map(split), "array<string>")(command)
 
 
+def first_word(line: str) -> dict:
+    """The first word of a shell line, null if there is none, and whether all its quotes and escapes are closed. Other words are
+    read and dropped one by one."""
+    words = shlex.shlex(line, posix=True)
+    words.whitespace_split, words.commenters = True, ""
+    try:
+        first = next(words, None)
+        for _ in words:
+            pass
+    except ValueError:
+        return {"valid": False, "word": None}
+    return {"valid": True, "word": first}
+
+
+def command_name(command: Column) -> tuple[Column, Column]:
+    """Whether the quotes and escapes of a shell line are closed, and its first word, null if there is none. Lines without quotes and
+    escapes never leave the JVM."""
+
+    def read(lines: pa.Array) -> pa.Array:
+        kind = pa.struct([("valid", pa.bool_()), ("word", pa.string())])
+        return pa.array((first_word(x.as_py()) if x.is_valid else None for x in lines), kind)
+
+    special = command.rlike(_SPECIAL.pattern)
+    read_out = F.arrow_udf(read, "valid boolean, word string")(F.when(special, command))
+    plain = F.nullif(F.regexp_extract(command, _WORD.pattern, 0), F.lit(""))
+    return ~special | read_out["valid"], F.when(special, read_out["word"]).otherwise(plain)
+
+
 def inspect_command(command: Column) -> Column:
     """Whether a shell line may run, as a struct (allowed, reason). Its first word decides, as a shell would read it."""
 
-    def decide(words: Column) -> Column:
-        first = F.element_at(F.split(words[0], "/"), -1)
+    def decide(valid: Column, word: Column) -> Column:
+        first = F.element_at(F.split(word, "/"), -1)
         low = F.lower(command)
-        reason = F.when(F.length(strip(command)) == 0, "Empty command").when(words.isNull(), "Invalid shell syntax").when(F.size(words) == 0, "Empty command").when(first.isin(*R.BLOCKED_COMMANDS), F.concat(F.lit("Blocked command: "), first))
+        reason = F.when(F.length(strip(command)) == 0, "Empty command").when(~valid, "Invalid shell syntax").when(word.isNull(), "Empty command").when(first.isin(*R.BLOCKED_COMMANDS), F.concat(F.lit("Blocked command: "), first))
         for p in R.BLOCKED_PATTERNS:
             reason = reason.when(low.contains(p), f"Blocked sensitive path/pattern: {p}")
         return reason.otherwise(None)
 
-    reason = decide(command_words(command))
+    reason = decide(*command_name(F.coalesce(command, F.lit(""))))
     return F.struct(reason.isNull().alias("allowed"), F.coalesce(reason, F.lit("Allowed")).alias("reason"))
 
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import re
 import unicodedata
 
 import pytest
@@ -248,3 +249,30 @@ def test_rounding_is_exact(spark):
     cuts = [1, 4, 4, 9, 20, 21, 50]
     got = spark.createDataFrame([(k,) for k in [*range(60), None]], "x bigint").select("x", range_index(F.col("x"), cuts).alias("i")).collect()
     assert all(r["i"] == (0 if r["x"] is None else sum(c <= r["x"] for c in cuts)) for r in got)
+
+
+def test_command_names_hold_no_other_words(spark):
+    import shlex
+    import tracemalloc
+
+    from grainmill.operators import policy
+
+    lines = ["", " \t\r\n", None, "ls -la", "\u00a0x y", "a\x0bb c", "'' rm", "'rm' x", "r\\m -rf", 'say "it', "end\\", "x 'a b' \"c", "'#' x # y", "😀/rm z", "a=b'c d' e", "'a\nb' c"]
+    for line in lines:
+        try:
+            want = {"valid": True, "word": next(iter(shlex.split(line or "")), None)}
+        except ValueError:
+            want = {"valid": False, "word": None}
+        assert policy.first_word(line or "") == want
+    valid, word = policy.command_name(F.coalesce("line", F.lit("")))
+    rows = spark.createDataFrame(list(enumerate(lines)), "i int, line string").select("i", "line", valid.alias("valid"), F.when(valid, word).alias("word"))
+    for r in rows.collect():
+        plain = re.findall("[^ \t\r\n]+", r["line"] or "")
+        want = policy.first_word(r["line"]) if re.search("[\"'\\\\]", r["line"] or "") else {"valid": True, "word": plain[0] if plain else None}
+        assert (r["valid"], r["word"]) == (want["valid"], want["word"]), r
+    tracemalloc.start()
+    try:
+        policy.first_word("'run' " + "word " * 20_000)
+        assert tracemalloc.get_traced_memory()[1] < 1_000_000
+    finally:
+        tracemalloc.stop()
