@@ -6,6 +6,7 @@ import json
 import re
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,10 +89,16 @@ def bracket_balance(code: Column | str) -> Column:
 
 
 def extract_json(text: Column | str) -> Column:
-    def run(text: pd.Series) -> pd.Series:
-        return text.map(json_object)
+    """``json_object`` of each text. What stands before the first brace stays in the JVM, and of a batch only a few texts at a time
+    are strings of Python."""
 
-    return F.pandas_udf(run, "string")(text)
+    def run(texts: pa.Array) -> pa.Array:
+        parts = [pa.array([json_object(t.as_py()) for t in texts[k : k + 64]], pa.string()) for k in range(0, len(texts), 64)]
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
+
+    text = F.col(text) if isinstance(text, str) else text
+    brace = F.instr(text, "{")
+    return F.arrow_udf(run, "string")(F.when(brace > 0, F.substr(text, brace)))
 
 
 def static_issues(files: DataFrame) -> DataFrame:

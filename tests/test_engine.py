@@ -276,3 +276,10 @@ def test_command_names_hold_no_other_words(spark):
         assert tracemalloc.get_traced_memory()[1] < 1_000_000
     finally:
         tracemalloc.stop()
+
+
+def test_json_is_looked_for_from_the_first_brace(spark):
+    texts = ["", None, "no", "x" * 50 + '{"a": 1} z', "{bad} {\"b\": [2]}", "é😀 {\"c\": \"😀\"}", "{", "}{}"]
+    found = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", G.extract_json("text").alias("j"))
+    assert {r["i"]: r["j"] for r in found.collect()} == {i: G.json_object(t) for i, t in enumerate(texts)}
+    assert "instr" in found._jdf.queryExecution().optimizedPlan().toString()
