@@ -35,6 +35,8 @@ COMMON_ROWS, COMMON_BYTES = 10_000, 1 << 24
 CELL = 128
 #: Bits of the outline of a set; more tell larger sets apart, results do not depend on it.
 OUTLINE = 1024
+#: Pairs whose ends are broadcast (16 bytes or so each) to leave out the texts of other sets; more meet in shuffles of all texts.
+FEW = 50_000
 #: Members of a hot signature in a row; more make more rows.
 BLOCK = 4096
 #: Signatures that a scanning task holds before it hands them on; bounds its memory and nothing else.
@@ -360,8 +362,9 @@ def shared_shingles(s: Shingles, t: Shingles) -> tuple[int, int, int]:
     return len(s.hashes), len(t.hashes), len(common)
 
 
-def verify(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """(a, b, n_a, n_b, shared) of pairs of nodes, counted on whole sets. ``a``, the commoner end, is joined last."""
+def verify(pairs: DataFrame, texts: DataFrame, width: int, few: bool = False) -> DataFrame:
+    """(a, b, n_a, n_b, shared) of pairs of nodes, counted on whole sets. ``a``, the commoner end, is joined last. The ends of a
+    ``few`` pairs are broadcast, so that no other texts are shuffled for them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, Shingles] = {}
@@ -383,6 +386,8 @@ def verify(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     # the names of nodes pass through an expression, so that both joins have exchanges on both sides and a common end can be split
     own = F.col("node").bitwiseXOR(F.lit(0))
     x, y = texts.select(own.alias("a"), F.col("text").alias("x")), texts.select(own.alias("b"), F.col("text").alias("y"))
+    if few:
+        x, y = (t.join(F.broadcast(pairs.select(F.col(c).alias("_end")).distinct()), F.col(c) == F.col("_end"), "left_semi") for t, c in ((x, "a"), (y, "b")))
     return pairs.select("a", "b").join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint, n_a bigint, n_b bigint, shared bigint")
 
 
@@ -588,6 +593,7 @@ def similar_sets(df: DataFrame, text_col: str = "text", key: str = "doc_id", wid
     """
     docs, names = named_sets(df, text_col, key, width, bits)
     lists = cut_lineage(shared_signatures(df, text_col, width, similarity, names))
+    release(df.sparkSession)  # the signatures, the largest shuffle of all
     member = F.col("m")
     hot = lists.where("hot").select("block", "band", "times", F.element_at("nodes", 1).alias("pivot"), F.element_at("sizes", 1).alias("p_n"), F.posexplode(F.arrays_zip("nodes", "sizes", "weak")).alias("place", "m"))
     hot = hot.select("block", "band", "times", "pivot", "p_n", "place", member["nodes"].alias("node"), member["sizes"].alias("n"), member["weak"].alias("weak"))
@@ -617,6 +623,7 @@ def similar_sets(df: DataFrame, text_col: str = "text", key: str = "doc_id", wid
     pick = docs.where("node is not null").groupBy("node").agg(F.min("md5").alias("_md5")).join(met, "node", "left_semi")
     source = df.select(F.md5(df[text_col].cast("binary")).alias("md5"), df[text_col].alias("text")).groupBy("md5").agg(F.first("text").alias("text"))  # copies are one from each task
     texts = cut_lineage(source.join(pick, F.col("md5") == F.col("_md5")).select("node", "text"))
+    release(df.sparkSession)
 
     # of both, those that their outlines do not exclude
     outlines = cut_lineage(outlines_of(texts, width))
@@ -636,6 +643,7 @@ def similar_sets(df: DataFrame, text_col: str = "text", key: str = "doc_id", wid
         mixed = cut_lineage(open_.groupBy(F.col("token").alias("_token")).agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("_token"))
         mixed = mixed.withColumn("_token", F.col("_token").bitwiseXOR(F.lit(0)))
         open_ = cut_lineage(open_.join(mixed, F.col("token") == F.col("_token"), "left_semi"))
+        release(df.sparkSession)
         tried = known.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         if not most:
             stars = star_pairs(open_, similarity).withColumn("star", F.lit(True))
@@ -644,6 +652,7 @@ def similar_sets(df: DataFrame, text_col: str = "text", key: str = "doc_id", wid
             # of each set, ``most`` partners that it has not been compared with, those met in most cells first
             drawn = open_.join(outlines.select(F.col("node").alias("_node"), "outline"), F.col("node") == F.col("_node"))
             met = cut_lineage(open_pairs(drawn, similarity, most))
+            release(df.sparkSession)
             both = tried.union(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
             nth = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("c"), F.xxhash64("a", "b")))
             ranked = cut_lineage(met.where("a is not null").join(both, ["a", "b"], "left_anti").withColumn("nth", nth))
@@ -658,7 +667,7 @@ def similar_sets(df: DataFrame, text_col: str = "text", key: str = "doc_id", wid
             break
         if count:
             total += count
-            known = cut_small(known.union(cut_lineage(verify(new, texts, width))), total)
+            known = cut_small(known.union(cut_lineage(verify(new, texts, width, count <= FEW))), total)
             labels = connected_components(known.where(linked))
         release(df.sparkSession)
         most = most * 8 or 1

@@ -711,3 +711,11 @@ def test_standard_licence_texts_and_wrapped_headers(spark):
 def test_shingles_of_short_texts():
     assert len(shingle_set(b"")) == len(shingle_set(b" \n")) == 0 and len(shingle_set(b"a b")) == 1
     assert shingle_set(b"a b")[0] != shingle_set(b"b a")[0] and shingle_set(b"a b")[0] == shingle_set(b" a\t\nb ")[0]
+
+
+def test_few_pairs_are_verified_without_the_texts_of_other_sets(spark):
+    texts = spark.createDataFrame([(i, f"w{i % 3} a b c d e f g h i{i}") for i in range(40)], "node bigint, text string")
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (4, 7), (4, 1)], "a bigint, b bigint")
+    some, all_ = (ngramjoin.verify(pairs, texts, 5, few) for few in (True, False))
+    assert sorted(map(tuple, some.collect())) == sorted(map(tuple, all_.collect())) and some.count() == 4
+    assert some._jdf.queryExecution().optimizedPlan().toString().count("LeftSemi") == 2
