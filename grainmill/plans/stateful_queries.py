@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..lineage import shared_folder, spread
+from ..lineage import cut_lineage, shared_folder, spread
 from ..operators import curation as C
 from ..operators import sessions as A
 from ..operators import text_index as T
@@ -105,7 +105,7 @@ _FIRSTS = f"WITH {S.CAND}, {S.HASHED}, firsts AS (SELECT instruction_hash, min(o
 @query("incremental_dedup", f"{_FIRSTS} SELECT ord, id, CASE WHEN ord = first_ord THEN NULL WHEN content_hash = first_hash THEN 'exact' ELSE 'near_instruction' END AS duplicate_type, CASE WHEN ord <> first_ord THEN first_id END AS duplicate_of FROM hashed JOIN firsts USING (instruction_hash)")
 def _(spark, d):
     """All candidates in four batches; the smallest ordinals come last, so that rows which were kept become duplicates."""
-    rows = C.with_fingerprints(cand(spark, d)).select("ord", "id", "content_hash", "instruction_hash")
+    rows = cut_lineage(C.with_fingerprints(cand(spark, d)).select("ord", "id", "content_hash", "instruction_hash"))  # texts are read and hashed once
     store = D.label_store(spark, _folder(spark, "labels"), 8)
     for batch in range(4):
         D.add_batch(store, rows.where(3 - _part("ord", 4) == batch), batch)

@@ -266,3 +266,11 @@ def test_grams_that_a_pattern_needs():
     assert need("ABC") == "abc" and need("aß") is None and need(r"a\.b") == "a.b"
     for pattern in PATTERNS:
         re.compile(pattern)
+
+
+def test_batches_read_hashes_and_no_texts(spark, sf_dir, monkeypatch):
+    plans, add = [], dedup.add_batch
+    monkeypatch.setattr(dedup, "add_batch", lambda store, rows, batch: plans.append(rows._jdf.queryExecution().optimizedPlan().toString()) or add(store, rows, batch))
+    rows = Q.QUERIES["incremental_dedup"](spark, sf_dir)
+    assert len(plans) == 4 and not any("parquet" in p or "sha2" in p for p in plans)
+    assert rows.count() == table(spark, sf_dir, "documents").count()
