@@ -719,3 +719,12 @@ def test_few_pairs_are_verified_without_the_texts_of_other_sets(spark):
     some, all_ = (ngramjoin.verify(pairs, texts, 5, few) for few in (True, False))
     assert sorted(map(tuple, some.collect())) == sorted(map(tuple, all_.collect())) and some.count() == 4
     assert some._jdf.queryExecution().optimizedPlan().toString().count("LeftSemi") == 2
+
+
+def test_last_stage_of_the_pipeline_replays_small_blocks(monkeypatch):
+    import corpus_pipeline
+
+    seen = []
+    monkeypatch.setattr(bpe, "tokenize", lambda *a, **how: seen.append(how["block_chars"]))
+    corpus_pipeline.encode(None, None, "")
+    assert seen == [500_000]
