@@ -35,8 +35,10 @@ COMMON_ROWS, COMMON_BYTES = 10_000, 1 << 24
 CELL = 128
 #: Bits of the outline of a set; more tell larger sets apart, results do not depend on it.
 OUTLINE = 1024
-#: Pairs whose ends are broadcast (16 bytes or so each) to leave out the texts of other sets; more meet in shuffles of all texts.
+#: Rows of a table of pairs, labels or names that is broadcast (16 bytes or so each); more meet in shuffles of both sides.
 FEW = 50_000
+#: Sets whose outlines are broadcast (152 bytes each).
+FEW_OUTLINES = 20_000
 #: Members of a hot signature in a row; more make more rows.
 BLOCK = 4096
 #: Signatures that a scanning task holds before it hands them on; bounds its memory and nothing else.
@@ -387,7 +389,7 @@ def verify(pairs: DataFrame, texts: DataFrame, width: int, few: bool = False) ->
     own = F.col("node").bitwiseXOR(F.lit(0))
     x, y = texts.select(own.alias("a"), F.col("text").alias("x")), texts.select(own.alias("b"), F.col("text").alias("y"))
     if few:
-        x, y = (t.join(F.broadcast(pairs.select(F.col(c).alias("_end")).distinct()), F.col(c) == F.col("_end"), "left_semi") for t, c in ((x, "a"), (y, "b")))
+        x, y = (t.join(F.broadcast(pairs.select(F.col(c).alias("_end"))), F.col(c) == F.col("_end"), "left_semi") for t, c in ((x, "a"), (y, "b")))
     return pairs.select("a", "b").join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint, n_a bigint, n_b bigint, shared bigint")
 
 
@@ -433,10 +435,11 @@ def plausible(pairs: DataFrame, outlines: DataFrame, similarity: int) -> DataFra
     return both.mapInArrow(run, "a bigint, b bigint, star boolean")
 
 
-def common_tokens(texts: DataFrame, width: int, rows: int = COMMON_ROWS, most: int = COMMON_BYTES) -> tuple[np.ndarray, np.ndarray]:
+def common_tokens(texts: DataFrame, width: int, rows: int = COMMON_ROWS, most: int = COMMON_BYTES, count: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Tokens of several of about ``rows`` sets, and in how many they are. They only order the tokens of prefixes.
 
     The sets are those with the least names, which are as good as random; at most ``most`` bytes of their texts are counted.
+    ``count`` is the number of texts, where it is known.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -450,15 +453,15 @@ def common_tokens(texts: DataFrame, width: int, rows: int = COMMON_ROWS, most: i
         token, count = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.uint64), return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array([token[count > 2].tobytes()], pa.binary()), pa.array([count[count > 2].astype(np.int32).tobytes()], pa.binary())], names=["token", "count"])
 
-    share = min(1.0, rows / max(1, texts.count()))
+    share = min(1.0, rows / max(1, texts.count() if count is None else count))
     few = texts if share == 1 else texts.where(F.col("node") < int((2 * share - 1) * (1 << 63)))
     one = few.select("text").repartition(1).mapInArrow(run, "token binary, count binary").collect()
     return (np.frombuffer(one[0]["token"], np.uint64), np.frombuffer(one[0]["count"], np.int32)) if one else (np.zeros(0, np.uint64), np.zeros(0, np.int32))
 
 
-def prefixes(texts: DataFrame, width: int, similarity: int) -> DataFrame:
+def prefixes(texts: DataFrame, width: int, similarity: int, count: int | None = None) -> DataFrame:
     """(token, node, n, place) of the first tokens of each set, common ones last: similar sets share one of them."""
-    shared = texts.sparkSession.sparkContext.broadcast(common_tokens(texts, width))  # COMMON_ROWS sets' tokens at most
+    shared = texts.sparkSession.sparkContext.broadcast(common_tokens(texts, width, count=count))  # COMMON_ROWS sets' tokens at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, count = shared.value
@@ -485,27 +488,28 @@ def _may(similarity: int, left: str, right: str):
     return (a("label") != b("label")) & (rest * den >= (a("n") + b("n")) * num) & (F.least(a("n"), b("n")) * 100 >= F.greatest(a("n"), b("n")) * similarity)
 
 
-def star_pairs(members: DataFrame, similarity: int) -> DataFrame:
+def star_pairs(members: DataFrame, similarity: int, rows: int) -> DataFrame:
     """Of each set, the pair with the set that is the smallest of most of its prefix tokens, among those that may be similar to it
     and are in another component.
 
-    The smallest set of a token is found by an aggregation, so that no task gathers a list.
+    The smallest set of a token is found by an aggregation, so that no task gathers a list. ``members`` has at most ``rows``.
     """
     least = members.groupBy(F.col("token").alias("_token")).agg(F.min(F.struct("n", "node", "place", "label")).alias("p"))
-    least = cut_lineage(least.select("_token", *[F.col(f"p.{c}").alias(f"p_{c}") for c in ("n", "node", "place", "label")])).withColumn("_token", F.col("_token").bitwiseXOR(F.lit(0)))
+    least = cut_small(least.select("_token", *[F.col(f"p.{c}").alias(f"p_{c}") for c in ("n", "node", "place", "label")]), rows).withColumn("_token", F.col("_token").bitwiseXOR(F.lit(0)))
     own = members.select("token", *[F.col(c).alias(f"m_{c}") for c in ("n", "node", "place", "label")])
     met = own.join(least, F.col("token") == F.col("_token")).where(_may(similarity, "p_", "m_"))
     best = met.groupBy("m_node", "p_node").agg(F.count(F.lit(1)).alias("c")).groupBy(F.col("m_node").alias("a")).agg(F.max_by("p_node", F.struct("c", "p_node")).alias("b"))
     return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def open_pairs(members: DataFrame, similarity: int, most: int) -> DataFrame:
+def open_pairs(members: DataFrame, similarity: int, most: int, rows: int) -> DataFrame:
     """Pairs of sets with a common prefix token that are in different components so far and may be similar.
 
     Of each token, the sets outside the component that has most of its sets meet its sets. Long lists are cut into stretches of
     about ``CELL`` sets, and each pair of stretches meets in a cell of its own; a set goes to ``most`` cells of a token and finds
     ``most`` partners in each, the same ones in the cells of different tokens as far as possible. Returns (a, b, c): the set, the
     partner, and in how many cells they met; pairs whose outlines differ too much are none. A row with ``a`` null says that some pairs were left for a later round.
+    ``members`` has at most ``rows``, all of tokens whose sets are in several components.
     """
     num, den = similarity, 100 + similarity
 
@@ -551,23 +555,34 @@ def open_pairs(members: DataFrame, similarity: int, most: int) -> DataFrame:
         if out or left:
             yield give(out, left)
 
-    counts = cut_lineage(members.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c")))
+    counts = cut_small(members.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c")), rows)
     main = counts.groupBy(F.col("token").alias("_token")).agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.sum("c").alias("all"), F.max("c").alias("c"))
     parts = lambda c: F.ceil(c / CELL).cast("int")
-    main = cut_lineage(main.select("_token", "main", parts(F.col("all")).alias("across"), F.greatest(F.lit(1), parts(F.col("all") - F.col("c"))).alias("down"))).withColumn("_token", F.col("_token").bitwiseXOR(F.lit(0)))
-    rows = members.join(main, F.col("token") == F.col("_token")).withColumn("spot", F.pmod(F.xxhash64("node"), F.lit(1 << 30)))
-    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    shown = ["n", "node", "place", "label", "outline"]
-    listed = rows.select("token", every("down").alias("i"), (F.col("spot") % F.col("across")).cast("int").alias("j"), F.lit(False).alias("open"), *shown)
-    reach = F.explode(F.sequence(F.lit(0), F.least(F.col("across"), F.lit(most)) - 1))
-    opened = rows.where("label != main").select("token", (F.col("spot") % F.col("down")).cast("int").alias("i"), "spot", "across", reach.alias("t"), F.lit(True).alias("open"), *shown)
-    later = opened.where(F.col("across") > most).limit(1).select(F.lit(None).cast("bigint").alias("a"), F.lit(None).cast("bigint").alias("b"), F.lit(None).cast("bigint").alias("c"))
+    main = cut_small(main.select("_token", "main", parts(F.col("all")).alias("across"), F.greatest(F.lit(1), parts(F.col("all") - F.col("c"))).alias("down")), rows)
+    later = main.where(F.col("across") > most).limit(1).select(F.lit(None).cast("bigint").alias("a"), F.lit(None).cast("bigint").alias("b"), F.lit(None).cast("bigint").alias("c"))
+    main = main.withColumn("_token", F.col("_token").bitwiseXOR(F.lit(0)))
+    dealt = members.join(main, F.col("token") == F.col("_token")).withColumn("spot", F.pmod(F.xxhash64("node"), F.lit(1 << 30)))
     turn = F.pmod(F.xxhash64("node", F.lit(1)), F.col("across"))
-    cells = listed.union(opened.select("token", "i", ((turn + F.col("t")) % F.col("across")).cast("int").alias("j"), "open", *shown))
+    cell = lambda i, j, open_: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(open_).alias("open"))
+    listed = F.transform(F.sequence(F.lit(0), F.col("down") - 1), lambda i: cell(i, F.col("spot") % F.col("across"), False))
+    opened = F.transform(F.sequence(F.lit(0), F.least(F.col("across"), F.lit(most)) - 1), lambda t: cell(F.col("spot") % F.col("down"), (turn + t) % F.col("across"), True))
+    every = F.explode(F.when(F.col("label") != F.col("main"), F.concat(listed, opened)).otherwise(listed)).alias("cell")
+    shown = ["n", "node", "place", "label", "outline"]
+    cells = dealt.select("token", every, *shown).select("token", "cell.i", "cell.j", "cell.open", *shown)
     found = cells.repartition(shuffle_partitions(members.sparkSession), "token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(run, "a bigint, b bigint, c bigint")
     return found.union(later).groupBy("a", "b").agg(F.sum("c").alias("c"))
 
 
+def sent(df: DataFrame, rows: int, most: int | None = None) -> DataFrame:
+    """``df`` of so many rows, for joins: broadcast if they are few."""
+    return F.broadcast(df) if rows <= (FEW if most is None else most) else df
+
+
+def in_few(df: DataFrame, rows: int, each: int = 50_000) -> DataFrame:
+    """``df``, which is at hand already, read in one partition for every ``each`` rows."""
+    return df.coalesce(max(1, min(-(-rows // each), shuffle_partitions(df.sparkSession))))
+
+
 def _labelled(df: DataFrame, labels: DataFrame) -> DataFrame:
     own = labels.select(F.col("node").alias("_node"), F.col("label").alias("_label"))
     return df.join(own, df["node"] == own["_node"], "left").withColumn("label", F.coalesce("_label", "node")).drop("_node", "_label")
@@ -628,50 +643,61 @@ def similar_sets(df: DataFrame, text_col: str = "text", key: str = "doc_id", wid
     # of both, those that their outlines do not exclude
     outlines = cut_lineage(outlines_of(texts, width))
     pairs = cut_lineage(plausible(near.withColumn("star", F.lit(False)).union(stars.withColumn("star", F.lit(True))), outlines, similarity))
+    maybe = pairs.count()
+    pairs = in_few(pairs, maybe)
     near, stars = pairs.where("not star").select("a", "b"), pairs.where("star").select("a", "b")
 
     # first a tree's worth of pairs: each set with the least one that it may be similar to, and with its pivot
     first = near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").union(stars)
     known = cut_lineage(verify(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), texts, width))
     linked = F.expr(f"shared * 100 >= (n_a + n_b - shared) * {similarity}")
-    labels = connected_components(known.where(linked))
-    members = cut_lineage(prefixes(texts.join(heavy, "node", "left_semi"), width, similarity))
-    most = 0
     total = known.count()
+    known = in_few(known, total)
+    labels = connected_components(known.where(linked), most=total)
+    many = heavy.count()
+    heavy = sent(heavy, many)
+    members = cut_lineage(prefixes(texts.join(heavy, "node", "left_semi"), width, similarity, many))
+    rows = members.count()
+    members = in_few(members, rows)
+    drawn_from = sent(cut_small(outlines.join(heavy, "node", "left_semi").select(F.col("node").alias("_node"), "outline"), many), many, FEW_OUTLINES)
+    most = 0
     while True:
+        # what is known to be small is kept in few partitions or sent to all, so that a round over little takes few tasks
+        labels = sent(labels, total)
         open_ = _labelled(members, labels)
-        mixed = cut_lineage(open_.groupBy(F.col("token").alias("_token")).agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("_token"))
+        mixed = cut_small(open_.groupBy(F.col("token").alias("_token")).agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("_token"), rows)
         mixed = mixed.withColumn("_token", F.col("_token").bitwiseXOR(F.lit(0)))
-        open_ = cut_lineage(open_.join(mixed, F.col("token") == F.col("_token"), "left_semi"))
+        open_ = cut_small(open_.join(mixed, F.col("token") == F.col("_token"), "left_semi"), rows)
         release(df.sparkSession)
         tried = known.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         if not most:
-            stars = star_pairs(open_, similarity).withColumn("star", F.lit(True))
+            stars = star_pairs(open_, similarity, rows).withColumn("star", F.lit(True))
             more, left = plausible(stars, outlines, similarity).select("a", "b"), not open_.isEmpty()
         else:
             # of each set, ``most`` partners that it has not been compared with, those met in most cells first
-            drawn = open_.join(outlines.select(F.col("node").alias("_node"), "outline"), F.col("node") == F.col("_node"))
-            met = cut_lineage(open_pairs(drawn, similarity, most))
+            drawn = open_.join(drawn_from, F.col("node") == F.col("_node"))
+            met = cut_small(open_pairs(drawn, similarity, most, rows), rows * most)
             release(df.sparkSession)
-            both = tried.union(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            both = sent(tried.union(tried.select(F.col("b").alias("a"), F.col("a").alias("b"))), total)
             nth = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("c"), F.xxhash64("a", "b")))
-            ranked = cut_lineage(met.where("a is not null").join(both, ["a", "b"], "left_anti").withColumn("nth", nth))
+            ranked = cut_small(met.where("a is not null").join(both, ["a", "b"], "left_anti").withColumn("nth", nth), rows * most)
             more = ranked.where(F.col("nth") <= most).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
             left = not met.where("a is null").isEmpty() or not ranked.where(F.col("nth") > most).isEmpty()
+        tried = sent(tried, total)
         rest = near.join(tried, ["a", "b"], "left_anti")
-        of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"l_{c}"))  # noqa: E731, B023
+        of = lambda c: sent(labels.select(F.col("node").alias(c), F.col("label").alias(f"l_{c}")), total)  # noqa: E731, B023
         rest = rest.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("l_a", "a") != F.coalesce("l_b", "b"))
-        new = cut_lineage(more.join(tried, ["a", "b"], "left_anti").union(rest.select("a", "b")).distinct())
+        new = cut_small(more.join(tried, ["a", "b"], "left_anti").union(rest.select("a", "b")).distinct(), maybe + rows * max(1, most))
         count = new.count()
         if not count and not left:
             break
         if count:
             total += count
-            known = cut_small(known.union(cut_lineage(verify(new, texts, width, count <= FEW))), total)
-            labels = connected_components(known.where(linked))
+            known = cut_small(known.union(cut_small(verify(new, texts, width, count <= FEW), count, 500)), total)
+            labels = connected_components(known.where(linked), most=total)
         release(df.sparkSession)
         most = most * 8 or 1
 
-    whole = _labelled(docs, labels)
+    whole = _labelled(docs, sent(labels, total))
     first = whole.where("node is not null").groupBy("label").agg(F.min("key").alias("component_id"))
     return whole.join(first, "label", "left").select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "key").alias("component_id"))

@@ -728,3 +728,35 @@ def test_last_stage_of_the_pipeline_replays_small_blocks(monkeypatch):
     monkeypatch.setattr(bpe, "tokenize", lambda *a, **how: seen.append(how["block_chars"]))
     corpus_pipeline.encode(None, None, "")
     assert seen == [500_000]
+
+
+def test_short_lists_of_edges_are_joined_up_without_a_shuffle(spark, monkeypatch):
+    from grainmill.llm import components as C
+
+    rng = np.random.default_rng(23)
+    rows = [(int(a), int(b)) for a, b in rng.integers(-300, 300, (260, 2))] + [(k, k + 1) for k in range(1000, 1100)] + [(None, 5), (7, None), (4000, 4000)]
+    edges = spark.createDataFrame(rows, "a bigint, b bigint").repartition(5)
+    want = sorted(map(tuple, C.connected_components(edges).collect()))
+    stars = []
+    monkeypatch.setattr(C, "_star", lambda *a: stars.append(a))
+    assert sorted(map(tuple, C.connected_components(edges, most=len(rows)).collect())) == want and not stars
+    assert C.connected_components(edges.where("a is null"), most=1).collect() == []
+
+
+def test_rounds_over_few_sets_take_few_tasks(spark, docs):
+    base = [f"w{k}" for k in range(60)]
+    rows = [(i, " ".join(base[:k] + [f"e{i}"] + base[k:])) for i, k in enumerate([*range(0, 60, 2)] * 2)] + [(100 + i, " ".join(f"o{i}-{k}" for k in range(30))) for i in range(40)]
+    group, before = "few tasks", spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        assert joined(docs(rows)) == components(rows)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    tracker = spark.sparkContext.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds}
+    tasks = sum(i.numCompletedTasks for s in stages if (i := tracker.getStageInfo(s)))
+    assert tasks < 1500
