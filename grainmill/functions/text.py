@@ -10,8 +10,13 @@ WS = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]
 _NORMALIZER, _CHARACTERS = "com.ibm.icu.text.Normalizer", "com.ibm.icu.lang.UCharacter"
 
 
+#: The characters of ``WS`` themselves, and its class without one of them.
+_BLANKS = "".join(map(chr, (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+_WS_NOT_LINE, _WS_NOT_SPACE = WS.replace(r"\t-\r", r"\t\x0b-\r"), WS.replace(r"\x1c-\x20", r"\x1c-\x1f")
+
+
 def _ascii(x: Column) -> Column:
-    return x.rlike(r"^[\x00-\x7F]*$")
+    return F.octet_length(x) == F.length(x)
 
 
 def _let(value: Column, body) -> Column:
@@ -30,22 +35,22 @@ def casefold(x: Column) -> Column:
 
 def strip(x: Column) -> Column:
     """Without white space of any kind at either end."""
-    return F.regexp_replace(x, f"^{WS}+|{WS}+$", "")
+    return F.btrim(x, F.lit(_BLANKS))
 
 
 def is_blank(x: Column) -> Column:
     """True for null, empty and white-space-only texts."""
-    return F.coalesce(F.length(strip(x)), F.lit(0)) == 0
+    return F.coalesce(~x.rlike(f"[^{WS[1:]}"), F.lit(True))
 
 
 def normalize_prose(x: Column) -> Column:
     """NFC, white space collapsed and stripped, case folded."""
-    return casefold(F.trim(F.regexp_replace(nfc(x), f"{WS}+", " ")))
+    return casefold(F.trim(F.regexp_replace(nfc(x), f"{WS}{{2,}}|{_WS_NOT_SPACE}", " ")))
 
 
 def normalize_code(x: Column) -> Column:
     """NFC, unix line ends, no trailing blanks, at most one blank line in a row, stripped. Case is kept."""
-    lines = F.regexp_replace(nfc(F.regexp_replace(x, "\r\n", "\n")), rf"(?:(?!\n){WS})+(?=\n|\z)", "")
+    lines = F.regexp_replace(nfc(F.replace(x, F.lit("\r\n"), F.lit("\n"))), rf"{_WS_NOT_LINE}+(?=\n|\z)", "")
     return strip(F.regexp_replace(lines, r"\n{3,}", "\n\n"))
 
 

@@ -91,9 +91,11 @@ def safety_corpus() -> Column:
 
 
 def pattern_labels(text: Column, patterns: tuple[tuple[str, str], ...]) -> Column:
-    """Labels of the patterns that occur. One alternation of all decides for most texts that none does."""
-    some = text.rlike("(?i)" + "|".join(f"(?:{p})" for _, p in patterns))
-    return F.when(some, F.array_compact(F.array(*[F.when(text.rlike(f"(?i){p}"), name) for name, p in patterns]))).otherwise(F.array().cast("array<string>"))
+    """Labels of the patterns that occur. Plain searches for what each match has in it decide for most texts that none does."""
+    low = F.lower(text)
+    may = {name: _any(*[low.contains(n) for n in R.NEEDLES[name]]) for name, _ in patterns}
+    found = F.array_compact(F.array(*[F.when(may[name] & text.rlike(f"(?i){p}"), name) for name, p in patterns]))
+    return F.when(_any(*may.values()), found).otherwise(F.array().cast("array<string>"))
 
 
 def executable_decision() -> Column:
@@ -222,20 +224,25 @@ def deduplicate(df: DataFrame, id_prefix: str = "record-", key: str = "instructi
 _NO_RESULT = {"success": "boolean", "timed_out": "boolean", "exit_code": "int", "stdout": "string", "stderr": "string", "error": "string"}
 
 
-def _judged(candidates: DataFrame, results: DataFrame | None) -> DataFrame:
-    """Candidates with errors, labels, indicators, decision and the results of an executor."""
+def _ruled(candidates: DataFrame) -> DataFrame:
+    """Candidates with errors, labels, indicators and decision."""
     df = typed(candidates).withColumn("errors", validation_errors())
-    df = df.withColumns({"labels": pattern_labels(safety_corpus(), R.UNSAFE), "indicators": pattern_labels(safety_corpus(), R.SUSPICIOUS), "decision": executable_decision()})
+    return df.withColumns({"labels": pattern_labels(safety_corpus(), R.UNSAFE), "indicators": pattern_labels(safety_corpus(), R.SUSPICIOUS), "decision": executable_decision()})
+
+
+def _with_results(df: DataFrame, results: DataFrame | None) -> DataFrame:
+    """Candidates with the results of an executor, and by ``_run`` why one failed, which is told from its outputs before the join:
+    what is joined is shuffled, so drop long columns first where they are not needed."""
     if results is None:
-        return df.withColumns({c: F.lit(None).cast(t) for c, t in _NO_RESULT.items()})
-    return df.join(results.select("id", *_NO_RESULT), "id", "left")
+        return df.withColumns({c: F.lit(None).cast(t) for c, t in _NO_RESULT.items()} | {"_run": F.lit(None).cast("string")})
+    run = verification_reason(F.col("success"), F.col("timed_out"), F.col("stdout"), F.col("stderr"), F.col("error"))
+    return df.join(results.select("id", *_NO_RESULT, run.alias("_run")), "id", "left")
 
 
 def _outcome(needs: Column) -> Column:
     """The reason by which an executed candidate fails; one without a result fails the query."""
     lost = F.raise_error(F.concat(F.lit("no executor result for "), F.coalesce("id", F.lit("a candidate without id")))).cast("string")
-    checked = F.when(F.col("success").isNull(), lost).otherwise(verification_reason(F.col("success"), F.col("timed_out"), F.col("stdout"), F.col("stderr"), F.col("error")))
-    return F.when(needs, checked)
+    return F.when(needs, F.when(F.col("success").isNull(), lost).otherwise(F.col("_run")))
 
 
 def decide(candidates: DataFrame, results: DataFrame | None = None, min_score: float = R.MIN_SCORE) -> DataFrame:
@@ -243,21 +250,24 @@ def decide(candidates: DataFrame, results: DataFrame | None = None, min_score: f
 
     ``results`` has what an executor returned for candidates to be verified: id, success, exit_code, stdout, stderr,
     timed_out, error. The engine runs no code itself: a candidate that needs a result and has none fails the query.
-    All rules and hashes are evaluated in one pass over the texts.
+    All rules and hashes are evaluated in one pass over the texts, before results are joined: no text is shuffled.
     """
-    df = _judged(candidates, results)
+    df = _ruled(candidates)
     early = F.when(F.size("errors") > 0, "malformed_record").when(F.size("labels") > 0, "unsafe_candidate").when(F.col("decision") == "unsupported_language", "unsupported_language")
-    df = df.withColumn("early", early)
+    dims = score_dimensions(unsafe=F.size("labels") > 0, indicators=F.col("indicators"))
+    df = with_fingerprints(df.withColumns({"early": early, "_dims": F.struct(*[v.alias(k) for k, v in dims.items()])}))
+    df = _with_results(df.drop(*LONG, "raw"), results)
     df = df.withColumn("needs", F.col("early").isNull() & (F.col("decision") == "verify"))
     needs = F.col("needs")
     df = df.withColumn("early", F.coalesce("early", _outcome(needs)))
     df = df.withColumn("status", F.when(needs, F.when(F.col("success"), "passed").otherwise("failed")).otherwise("not_required")).drop("needs")
-    dims = score_dimensions(F.col("status"), F.col("timed_out"), F.size("labels") > 0, F.col("indicators"))
+    # of the dimensions only this one depends on the results
+    dims = {k: F.col(f"_dims.{k}") for k in dims} | {"verification_result": score_dimensions(F.col("status"), F.col("timed_out"))["verification_result"]}
     df = df.withColumn("score", F.when(F.col("early").isNull(), score_total(dims)))
-    df = with_fingerprints(df.withColumn("early", F.coalesce("early", F.when(F.col("score") < min_score, "low_quality"))))
+    df = df.withColumn("early", F.coalesce("early", F.when(F.col("score") < min_score, "low_quality")))
     # what is rejected already is a group of its own: it shadows no later row
     own = F.coalesce(F.when(F.col("early").isNull(), F.col("instruction_hash")), F.concat(F.lit("rejected "), F.col("ord").cast("string")))
-    narrow = df.withColumn("_group", own).drop(*LONG, "stdout", "stderr", "raw")
+    narrow = df.withColumn("_group", own).drop("_dims", "_run", "stdout", "stderr")
     both = deduplicate(narrow, key="_group").drop("_group")
     shown = lambda c: F.when(F.col(c), "True").otherwise("False")
     both = both.withColumn("reason", F.coalesce("early", F.when(F.col("duplicate_type").isNotNull(), "duplicate")))
@@ -283,12 +293,12 @@ def verify_stage(candidates: DataFrame, results: DataFrame | None = None) -> Dat
 
     Unlike the full run it scans for nothing unsafe and accepts languages that can't be run; failures have one fixed detail.
     """
-    df = _judged(candidates, results)
+    df = _with_results(_ruled(candidates), results)
     valid = F.size("errors") == 0
     needs = valid & (F.col("decision") == "verify")
     reason = F.coalesce(F.when(~valid, "malformed_record"), _outcome(needs))
     df = df.withColumns({"reason": reason, "status": F.when(needs, F.when(F.col("success"), "passed").otherwise("failed")).when(valid, "not_required")})
-    return df.withColumn("detail", F.when(~valid, F.array_join("errors", "; ")).when(F.col("reason").isNotNull(), "verification failed"))
+    return df.drop("_run").withColumn("detail", F.when(~valid, F.array_join("errors", "; ")).when(F.col("reason").isNotNull(), "verification failed"))
 
 
 def score_stage(candidates: DataFrame, min_score: float = R.MIN_SCORE) -> DataFrame:
