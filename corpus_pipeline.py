@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,21 @@ from grainmill.llm.common import fresh, read_table
 
 #: Some stages have no counterpart in SQL; tests/llm compare run() with a plain version of all five on a small table.
 ORACLE_SQL = None
+#: Bytes of rows that go to a Python worker at once; an executor and its workers hold several times as much in each task.
+BATCH_BYTES = 4 << 20
+_BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _in_small_batches(stage: Stage) -> Stage:
+    """``stage`` with Arrow batches of ``BATCH_BYTES``. What it returns runs later, so the setting stays until ``run`` ends."""
+
+    def small(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set(_BATCHES, str(BATCH_BYTES))
+        return stage(spark, docs, sf_dir)
+
+    return small
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
@@ -62,25 +78,28 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
                         keep=("doc_id", "source"), outputs=("n_tokens", "ids", "ids_sha256", "decoded_sha256"), block_chars=500_000)
 
 
-STAGES = [
+STAGES = [(name, _in_small_batches(stage)) for name, stage in (
     ("toxicity", drop_toxic),
     ("ngram_jaccard_join", drop_near_copies),
     ("personal_data", redact_personal_data),
     ("mix_sources", mix_to_weights),
     ("byte_bpe", encode),
-]
+)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``. The tables between them are in the shared checkpoint folder of the cluster; each is deleted
     once the next is written, the last one stays, as the result."""
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4()}"
-    docs, before = read_table(spark, sf_dir, "documents"), None
-    for k, (name, stage) in enumerate(STAGES):
-        own = f"{folder}/{k}_{name}"
-        stage(spark, docs, sf_dir).write.parquet(own)
-        if before:
-            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(before)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-        docs, before = spark.read.parquet(own), own
+    docs, before, batches = read_table(spark, sf_dir, "documents"), None, spark.conf.get(_BATCHES)
+    try:
+        for k, (name, stage) in enumerate(STAGES):
+            own = f"{folder}/{k}_{name}"
+            stage(spark, docs, sf_dir).write.parquet(own)
+            if before:
+                path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(before)
+                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            docs, before = spark.read.parquet(own), own
+    finally:
+        spark.conf.set(_BATCHES, batches)
     return docs

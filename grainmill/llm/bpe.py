@@ -20,6 +20,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .common import tidy
+
 #: Characters of text that one replay takes together; bounds a worker's memory and nothing else.
 BLOCK_CHARS = 12_000_000
 
@@ -249,4 +251,4 @@ def tokenize(
         if held:
             yield from block(pa.Table.from_batches(held), texts)
 
-    return df.select(*[df[c] for c in keep], df[text_col].alias("_text_")).mapInArrow(run, schema)
+    return df.select(*[df[c] for c in keep], df[text_col].alias("_text_")).mapInArrow(tidy(run), schema)

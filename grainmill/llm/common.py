@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +35,29 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+_LIBC = ctypes.CDLL(None)
+
+
+def give_back() -> None:
+    """Give memory that this process has freed back to the system; Arrow and the C library keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(_LIBC, "malloc_trim", None):  # glibc only
+        trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow, after which its worker gives back what it has freed. Workers wait beside the executor's heap for the
+    next task, of any stage, and would hold the most that each of them ever took."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return tidied
+
+
 def fresh(name: str) -> Column:
     """A text column whose partitioning is not known, so that a join by it has exchanges on both sides and is split where it is hot."""
     return F.concat(F.col(name), F.lit(""))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import _C1, _C2, _C3, cut_lineage, cut_small, lower_ascii, mix, release, shingle_hashes, shingle_set, shuffle_partitions
+from .common import _C1, _C2, _C3, cut_lineage, cut_small, lower_ascii, mix, release, shingle_hashes, shingle_set, shuffle_partitions, tidy
 from .components import connected_components
 
 WIDTH, SIMILARITY = 5, 80
@@ -155,7 +155,7 @@ def sets_of(df: DataFrame, text_col: str, key: str, width: int, names: Names) ->
                 rows.append((len(s), names.others.get(pair, pair[0]), *pair) if len(s) else (0, None, None, None))
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([r[k] for r in rows], pa.int64()) for k in range(4)], batch.column(2)], names=["key", "n", "node", "first", "second", "md5"])
 
-    return df.select(df[key], df[text_col], F.md5(df[text_col].cast("binary")).alias("md5")).mapInArrow(run, f"key {df.schema[key].dataType.simpleString()}, n bigint, node bigint, first bigint, second bigint, md5 string")
+    return df.select(df[key], df[text_col], F.md5(df[text_col].cast("binary")).alias("md5")).mapInArrow(tidy(run), f"key {df.schema[key].dataType.simpleString()}, n bigint, node bigint, first bigint, second bigint, md5 string")
 
 
 def named_sets(df: DataFrame, text_col: str, key: str, width: int, bits: int = 64) -> tuple[DataFrame, Names]:
@@ -324,8 +324,8 @@ def shared_signatures(df: DataFrame, text_col: str, width: int, similarity: int,
         if blobs:
             yield from settle(blobs)
 
-    packed = df.select(df[text_col]).mapInArrow(scan, "bucket int, blob binary")
-    lists = packed.repartition(shuffle_partitions(df.sparkSession), "bucket").sortWithinPartitions("bucket").mapInArrow(group, _LISTS)
+    packed = df.select(df[text_col]).mapInArrow(tidy(scan), "bucket int, blob binary")
+    lists = packed.repartition(shuffle_partitions(df.sparkSession), "bucket").sortWithinPartitions("bucket").mapInArrow(tidy(group), _LISTS)
     one = F.first(F.struct("hot", "band", "nodes", "sizes", "weak")).alias("one")
     return lists.groupBy("id", "block").agg(F.sum("times").alias("times"), one).select("id", "block", "times", "one.*")
 
@@ -390,7 +390,7 @@ def verify(pairs: DataFrame, texts: DataFrame, width: int, few: bool = False) ->
     x, y = texts.select(own.alias("a"), F.col("text").alias("x")), texts.select(own.alias("b"), F.col("text").alias("y"))
     if few:
         x, y = (t.join(F.broadcast(pairs.select(F.col(c).alias("_end"))), F.col(c) == F.col("_end"), "left_semi") for t, c in ((x, "a"), (y, "b")))
-    return pairs.select("a", "b").join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint, n_a bigint, n_b bigint, shared bigint")
+    return pairs.select("a", "b").join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(tidy(run), "a bigint, b bigint, n_a bigint, n_b bigint, shared bigint")
 
 
 def outline(tokens: np.ndarray) -> bytes:
@@ -416,7 +416,7 @@ def outlines_of(texts: DataFrame, width: int) -> DataFrame:
             sizes, bits = zip(*[(len(s), outline(s)) for s in sets], strict=True) if batch.num_rows else ((), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary())], names=["node", "n", "outline"])
 
-    return texts.select("node", "text").mapInArrow(run, "node bigint, n bigint, outline binary")
+    return texts.select("node", "text").mapInArrow(tidy(run), "node bigint, n bigint, outline binary")
 
 
 def plausible(pairs: DataFrame, outlines: DataFrame, similarity: int) -> DataFrame:
@@ -477,7 +477,7 @@ def prefixes(texts: DataFrame, width: int, similarity: int, count: int | None =
                 k = len(first)
                 yield pa.RecordBatch.from_arrays([pa.array(first.view(np.int64)), pa.array(np.full(k, node)), pa.array(np.full(k, n)), pa.array(np.arange(k))], names=["token", "node", "n", "place"])
 
-    return texts.select("node", "text").mapInArrow(run, "token bigint, node bigint, n bigint, place bigint")
+    return texts.select("node", "text").mapInArrow(tidy(run), "token bigint, node bigint, n bigint, place bigint")
 
 
 def _may(similarity: int, left: str, right: str):

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import _C1, _C2, _powers, cut_lineage, mix
+from .common import _C1, _C2, _powers, cut_lineage, mix, tidy
 
 #: Kinds in the order that breaks ties of start.
 KINDS = ("email", "ip", "card", "phone")
@@ -270,7 +270,7 @@ def scan(df: DataFrame, text_col: str = "text", key: str = "doc_id", hide: int =
                 [batch.column(0), *[pa.array(c, pa.int64()) for c in counts], pa.array(base, _BASE), pa.array(sha, pa.string()), pa.array(digest, pa.string()), pa.array(seeds, _SEEDS), pa.array(found, _FOUND)],
                 names=["key", "n_email", "n_ip", "n_card", "n_phone", "base", "base_sha256", "digest", "seeds", "found"])
 
-    return df.select(df[key], df[text_col]).mapInArrow(run, _SCAN.format(df.schema[key].dataType.simpleString()))
+    return df.select(df[key], df[text_col]).mapInArrow(tidy(run), _SCAN.format(df.schema[key].dataType.simpleString()))
 
 
 def score_patterns(scanned: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
@@ -369,4 +369,4 @@ def redact(df: DataFrame, found: DataFrame, text_col: str = "text") -> DataFrame
             columns[place] = pa.array(out, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return joined.mapInArrow(run, df.schema)
+    return joined.mapInArrow(tidy(run), df.schema)

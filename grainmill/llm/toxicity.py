@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _C1, lower_ascii, mix, word_hashes
+from .common import _C1, lower_ascii, mix, tidy, word_hashes
 
 #: Buckets of the hashed features, a power of two.
 BUCKETS = 1 << 20
@@ -83,7 +83,7 @@ def train(labelled: DataFrame, text_col: str = "text", label_col: str = "label",
         at, w, bias = fit([f for *_, f in found], [y for _, _, y, _ in found], how, buckets)
         yield pa.RecordBatch.from_arrays([pa.array([*at.tolist(), -1], pa.int64()), pa.array([*w.tolist(), bias], pa.float64())], names=["bucket", "weight"])
 
-    got = labelled.select(key, text_col, F.col(label_col).cast("int")).repartition(1).mapInArrow(run, "bucket bigint, weight double").toPandas()
+    got = labelled.select(key, text_col, F.col(label_col).cast("int")).repartition(1).mapInArrow(tidy(run), "bucket bigint, weight double").toPandas()
     bias = float(got.loc[got["bucket"] < 0, "weight"].sum())
     got = got[got["bucket"] >= 0].sort_values("bucket")
     return got["bucket"].to_numpy(), got["weight"].to_numpy(), bias
@@ -124,4 +124,4 @@ def score(df: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text_col:
                 scores.append(1 / (1 + np.exp(-min(max(dense[np.unique(f)].sum() + bias, -35), 35))))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(scores, pa.float64())], names=[*kept, name])
 
-    return df.select(*[df[c] for c in kept], df[text_col].alias("_text_")).mapInArrow(run, schema)
+    return df.select(*[df[c] for c in kept], df[text_col].alias("_text_")).mapInArrow(tidy(run), schema)

@@ -730,6 +730,48 @@ def test_last_stage_of_the_pipeline_replays_small_blocks(monkeypatch):
     assert seen == [500_000]
 
 
+def test_stages_of_the_pipeline_take_small_batches(spark, monkeypatch):
+    import pyarrow as pa
+
+    import corpus_pipeline
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64()), pa.array([b.nbytes], pa.int64())], names=["n", "size"])
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before, asked, stages = spark.conf.get(name), [], corpus_pipeline.STAGES
+    monkeypatch.setattr(bpe, "tokenize", lambda df, *a, **how: df.mapInArrow(sizes, "n bigint, size bigint"))
+    try:
+        got = dict(stages)["byte_bpe"](spark, spark.range(0, 3000, 1, 1).selectExpr("repeat(cast(id % 10 as string), 8000) as text"), "").collect()
+        assert sum(r["n"] for r in got) == 3000 and sum(r["size"] for r in got) > 24_000_000 and max(r["size"] for r in got) < 6_000_000
+        spark.conf.set(name, "8388608b")
+        monkeypatch.setattr(corpus_pipeline, "STAGES", [("first", corpus_pipeline._in_small_batches(lambda s, docs, d: asked.append(spark.conf.get(name)) or docs))])
+        assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
+        assert asked == [str(corpus_pipeline.BATCH_BYTES)] and spark.conf.get(name) == "8388608b"
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_workers_give_back_what_they_have_freed():
+    from pathlib import Path
+
+    from grainmill.llm.common import tidy
+
+    held, took = [], []
+    rss = lambda: int(Path("/proc/self/statm").read_text().split()[1]) * 4096
+
+    def run(batches):
+        for b in batches:
+            parts = [bytes([k % 7 + 1]) * 50_000 for k in range(4000)]
+            held.append(parts[-1])  # lies above the others, which the C library then keeps
+            took.append(rss())
+            yield b
+
+    assert list(tidy(run)(iter([1]))) == [1]
+    assert rss() < took[0] - 150_000_000
+
+
 def test_short_lists_of_edges_are_joined_up_without_a_shuffle(spark, monkeypatch):
     from grainmill.llm import components as C
 
