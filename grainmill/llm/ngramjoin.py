@@ -31,8 +31,13 @@ RATIO = 1.4
 HOT = 12
 #: Sets, and bytes of their texts, whose tokens are counted to order those of prefixes; bounds what is broadcast, changes no result.
 COMMON_ROWS, COMMON_BYTES = 10_000, 1 << 24
-#: Sets of one prefix token that meet in one task; longer lists are cut into cells of two stretches each.
+#: Sets of one prefix token that meet in one task at least; longer lists are cut into stretches, each of which meets in a task.
 CELL = 128
+#: Stretches of a list, however long, until one would have more than ``LONGEST`` sets (168 bytes each); so a set is sent to so many
+#: tasks for a token at most, and what a round shuffles grows with its sets alone.
+STRETCHES, LONGEST = 8, 1 << 16
+#: Pairs of sets whose sizes are compared at once.
+_MET = 1 << 16
 #: Bits of the outline of a set; more tell larger sets apart, results do not depend on it.
 OUTLINE = 1024
 #: Rows of a table of pairs, labels or names that is broadcast (16 bytes or so each); more meet in shuffles of both sides.
@@ -505,71 +510,77 @@ def star_pairs(members: DataFrame, similarity: int, rows: int) -> DataFrame:
 def open_pairs(members: DataFrame, similarity: int, most: int, rows: int) -> DataFrame:
     """Pairs of sets with a common prefix token that are in different components so far and may be similar.
 
-    Of each token, the sets outside the component that has most of its sets meet its sets. Long lists are cut into stretches of
-    about ``CELL`` sets, and each pair of stretches meets in a cell of its own; a set goes to ``most`` cells of a token and finds
-    ``most`` partners in each, the same ones in the cells of different tokens as far as possible. Returns (a, b, c): the set, the
-    partner, and in how many cells they met; pairs whose outlines differ too much are none. A row with ``a`` null says that some pairs were left for a later round.
-    ``members`` has at most ``rows``, all of tokens whose sets are in several components.
+    Of each token, the sets outside the component that has most of its sets meet its sets. Long lists are cut into stretches: every
+    set stands in one of them, which its task holds, and those outside go to ``most`` stretches of a token and find ``most``
+    partners in each, the same ones for different tokens as far as possible. They pass through the task one block after
+    another, so they need no stretches of their own, and no set is repeated for those that come to meet it. Returns (a, b, c): the set, the
+    partner, and in how many stretches they met; pairs whose outlines differ too much are none. A row with ``a`` null says that some
+    pairs were left for a later round. ``members`` has at most ``rows``, all of tokens whose sets are in several components.
     """
     num, den = similarity, 100 + similarity
 
-    def pairs(cell: list[tuple]) -> tuple[list[tuple[int, int]], bool]:
-        open_ = [g for g in cell if g[3]]
-        node, n, place, label = (np.array(c, dtype=np.int64) for c in zip(*[(g[5], g[4], g[6], g[7]) for g in cell if not g[3]], strict=True)) if any(not g[3] for g in cell) else (np.zeros(0, np.int64),) * 4
-        bits = _rows_of([g[8] for g in cell if not g[3]])
-        out: list[tuple[int, int]] = []
-        left = False
-        for *_, own_n, own, own_place, own_label, own_outline in open_:
+    def pairs(stretch: tuple[np.ndarray, ...], open_: tuple[np.ndarray, ...]) -> Iterator[tuple[list[tuple[int, int]], bool]]:
+        """Partners of open sets in a stretch, a block at a time, and whether any were left; both come in the order of sizes."""
+        step = max(1, _MET // len(stretch[0]))
+        for k in range(0, len(open_[0]), step):
+            own_n, own, own_place, own_label, own_bits = (c[k : k + step] for c in open_)
+            low, high = np.searchsorted(stretch[0], -(-own_n[0] * num // 100)), np.searchsorted(stretch[0], own_n[-1] * 100 // num, "right")
+            n, node, place, label, bits = (c[low:high] for c in stretch)
             # a shared token at these places leaves so many that both may have: enough for the union's share?
-            may = (label != own_label) & (np.minimum(n - place, own_n - own_place) * den >= (n + own_n) * num) & (np.minimum(n, own_n) * 100 >= np.maximum(n, own_n) * similarity)
-            at = np.flatnonzero(may)
-            at = at[_differ(bits[at], np.frombuffer(own_outline, np.uint64)) * den <= (n[at] + own_n) * (100 - num)]
-            if len(at) > most:
-                left = True
-                at = at[np.argsort(mix(node[at].view(np.uint64) ^ np.uint64(own & (1 << 64) - 1)), kind="stable")[:most]]
-            out += [(own, k) for k in node[at].tolist()]
-        return out, left
+            x, y = own_n[:, None], own_place[:, None]
+            may = (label != own_label[:, None]) & (np.minimum(n - place, x - y) * den >= (n + x) * num) & (np.minimum(n, x) * 100 >= np.maximum(n, x) * similarity)
+            who, at = np.nonzero(may)
+            near = _differ(bits[at], own_bits[who]) * den <= (n[at] + own_n[who]) * (100 - num)
+            who, at = who[near], at[near]
+            order = np.lexsort((mix(node[at].view(np.uint64) ^ own[who].view(np.uint64)), who))
+            who, at = who[order], at[order]
+            taken = np.arange(len(who)) - np.searchsorted(who, who) < most
+            yield list(zip(own[who[taken]].tolist(), node[at[taken]].tolist(), strict=True)), not taken.all()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def give(out: Counter, left: bool) -> pa.RecordBatch:
             rows = [*((a, b, c) for (a, b), c in out.items()), *[(None, None, None)] * left]
             return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], names=["a", "b", "c"])
 
-        now, cell, out, left = None, [], Counter(), False
+        now, held, out, left = None, [], Counter(), False
         for batch in batches:
-            for g in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if g[:3] != now and cell:
-                    more, rest = pairs(cell)
-                    out.update(more)
-                    left |= rest
-                    cell = []
-                    if len(out) > 50_000:
-                        yield give(out, False)
-                        out = Counter()
-                now = g[:3]
-                cell.append(g)
-        if cell:
-            more, rest = pairs(cell)
-            out.update(more)
-            left |= rest
+            if not batch.num_rows:
+                continue
+            token, cell, open_, *sets = (c.to_numpy(zero_copy_only=False) for c in batch.columns[:-1])
+            sets.append(_rows_of(batch.column(len(sets) + 3).to_pylist()))
+            cuts = np.flatnonzero((token[1:] != token[:-1]) | (cell[1:] != cell[:-1]) | (open_[1:] != open_[:-1])) + 1
+            for start, end in zip(np.append(0, cuts).tolist(), np.append(cuts, len(token)).tolist(), strict=True):
+                if (token[start], cell[start]) != now:
+                    now, held = (token[start], cell[start]), []
+                some = tuple(c[start:end] for c in sets)
+                if not open_[start]:  # the sets of a stretch come before those that meet them
+                    held.append(some)
+                elif held:
+                    held = [tuple(np.concatenate(c) for c in zip(*held, strict=True))] if len(held) > 1 else held
+                    for more, rest in pairs(held[0], some):
+                        out.update(more)
+                        left |= rest
+                        if len(out) > 50_000:
+                            yield give(out, False)
+                            out = Counter()
         if out or left:
             yield give(out, left)
 
     counts = cut_small(members.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c")), rows)
-    main = counts.groupBy(F.col("token").alias("_token")).agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.sum("c").alias("all"), F.max("c").alias("c"))
-    parts = lambda c: F.ceil(c / CELL).cast("int")
-    main = cut_small(main.select("_token", "main", parts(F.col("all")).alias("across"), F.greatest(F.lit(1), parts(F.col("all") - F.col("c"))).alias("down")), rows)
+    main = counts.groupBy(F.col("token").alias("_token")).agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.sum("c").alias("all"))
+    parts = lambda size: F.ceil(F.col("all") / size).cast("int")
+    main = cut_small(main.select("_token", "main", F.greatest(F.least(parts(CELL), F.lit(STRETCHES)), parts(LONGEST)).alias("across")), rows)
     later = main.where(F.col("across") > most).limit(1).select(F.lit(None).cast("bigint").alias("a"), F.lit(None).cast("bigint").alias("b"), F.lit(None).cast("bigint").alias("c"))
     main = main.withColumn("_token", F.col("_token").bitwiseXOR(F.lit(0)))
-    dealt = members.join(main, F.col("token") == F.col("_token")).withColumn("spot", F.pmod(F.xxhash64("node"), F.lit(1 << 30)))
-    turn = F.pmod(F.xxhash64("node", F.lit(1)), F.col("across"))
-    cell = lambda i, j, open_: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(open_).alias("open"))
-    listed = F.transform(F.sequence(F.lit(0), F.col("down") - 1), lambda i: cell(i, F.col("spot") % F.col("across"), False))
-    opened = F.transform(F.sequence(F.lit(0), F.least(F.col("across"), F.lit(most)) - 1), lambda t: cell(F.col("spot") % F.col("down"), (turn + t) % F.col("across"), True))
+    dealt = members.join(main, F.col("token") == F.col("_token"))
+    turn = lambda k: F.pmod(F.xxhash64("node", F.lit(k)), F.col("across"))
+    cell = lambda j, open_: F.struct(j.cast("int").alias("j"), F.lit(open_).alias("open"))
+    listed = F.array(cell(turn(0), False))
+    opened = F.transform(F.sequence(F.lit(0), F.least(F.col("across"), F.lit(most)) - 1), lambda t: cell((turn(1) + t) % F.col("across"), True))
     every = F.explode(F.when(F.col("label") != F.col("main"), F.concat(listed, opened)).otherwise(listed)).alias("cell")
     shown = ["n", "node", "place", "label", "outline"]
-    cells = dealt.select("token", every, *shown).select("token", "cell.i", "cell.j", "cell.open", *shown)
-    found = cells.repartition(shuffle_partitions(members.sparkSession), "token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(run, "a bigint, b bigint, c bigint")
+    cells = dealt.select("token", every, *shown).select("token", "cell.j", "cell.open", *shown)
+    found = cells.repartition(shuffle_partitions(members.sparkSession), "token", "j").sortWithinPartitions("token", "j", "open", "n").mapInArrow(run, "a bigint, b bigint, c bigint")
     return found.union(later).groupBy("a", "b").agg(F.sum("c").alias("c"))
 
 

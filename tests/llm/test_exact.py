@@ -1,6 +1,7 @@
 """Operators with one right answer, against plain Python versions of it."""
 
 import hashlib
+import itertools
 import re
 import time
 import unicodedata
@@ -123,6 +124,66 @@ def test_join_of_large_groups_of_near_copies(docs, monkeypatch, cell):
     assert joined(docs(rows)) == components(rows)
 
 
+def made_by_explode(df):
+    """Rows that the explodes of a query made when it last ran."""
+    def total(node):
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            return total(node.executedPlan())
+        if kind.endswith("QueryStageExec"):
+            return total(node.plan())
+        below = [node.children().apply(k) for k in range(node.children().size())]
+        return sum(map(total, below)) + (node.metrics().apply("numOutputRows").value() if kind == "GenerateExec" else 0)
+
+    return total(df._jdf.queryExecution().executedPlan())
+
+
+def prefix_members(spark, rng, n):
+    """Sets of a large component and as many others that all have one token, and of smaller tokens."""
+    sizes = rng.integers(40, 60, 2 * n).tolist()
+    outlines = [bytes(b) for b in rng.integers(0, 256, (4, ngramjoin.OUTLINE // 8), dtype=np.uint8)]
+    near = lambda k: (int.from_bytes(outlines[k % 4], "big") ^ 7 << int(rng.integers(0, ngramjoin.OUTLINE - 3))).to_bytes(ngramjoin.OUTLINE // 8, "big")
+    sets = [(k - n, sizes[k], 0 if k < n else k, near(k)) for k in range(2 * n)]
+    rows = [(t, node, size, int(rng.integers(0, 12)), label, o) for t, every in ((5, 1), (-6, 3), (7, 9)) for node, size, label, o in sets[::every]]
+    return rows, spark.createDataFrame(rows, "token bigint, node bigint, n bigint, place bigint, label bigint, outline binary")
+
+
+def test_rows_of_a_round_grow_with_the_sets_of_a_token(spark, monkeypatch):
+    monkeypatch.setattr(ngramjoin, "CELL", 4)
+    made = []
+    for n in (60, 240):
+        rows, members = prefix_members(spark, np.random.default_rng(18), n)
+        found = ngramjoin.open_pairs(members, 80, 8, len(rows))
+        found.collect()
+        made.append(made_by_explode(found) / len(rows))
+    assert 1 < made[0] <= 9 and made[1] <= 1.2 * made[0], made
+
+
+@pytest.mark.parametrize("longest", [1 << 16, 20])
+def test_stretches_have_all_pairs_of_a_token(spark, monkeypatch, longest):
+    monkeypatch.setattr(ngramjoin, "CELL", 4)
+    monkeypatch.setattr(ngramjoin, "LONGEST", longest, raising=False)
+    monkeypatch.setattr(ngramjoin, "_MET", 50, raising=False)
+    rows, members = prefix_members(spark, np.random.default_rng(19), 120)
+    want = Counter()
+    for token in (5, -6, 7):
+        own = [r for r in rows if r[0] == token]
+        labels = Counter(r[4] for r in own)
+        main = max(labels, key=lambda k: (labels[k], k))
+        for (_, x, n_x, p_x, l_x, o_x), (_, y, n_y, p_y, l_y, o_y) in itertools.product((r for r in own if r[4] != main), own):
+            differ = (int.from_bytes(o_x, "big") ^ int.from_bytes(o_y, "big")).bit_count()
+            if l_x != l_y and min(n_x - p_x, n_y - p_y) * 180 >= (n_x + n_y) * 80 and min(n_x, n_y) * 100 >= max(n_x, n_y) * 80 and differ * 180 <= (n_x + n_y) * 20:
+                want[x, y] += 1
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        all_, some = ({(r["a"], r["b"]): r["c"] for r in ngramjoin.open_pairs(members, 80, most, len(rows)).collect()} for most in (512, 2))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert len(want) > 500 and all_ == want
+    assert (None, None) in some and {k for k in some if k[0] is not None} < set(want)
+
+
 def test_join_on_groups_of_copies_and_common_passages(docs):
     rng = np.random.default_rng(5)
     word = lambda n: [f"w{k}" for k in rng.integers(0, 10**6, n)]
